@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, mixing, quality, tokens, warc
+from . import decontam, html, jaccard, langid, mixing, quality, tokens, warc
 from .common import scratch, table
 
 
@@ -25,6 +25,10 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.training_order(mix)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -46,5 +50,5 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_curriculum_mix, op6_html_text, op7_language_id, op9_decontamination, op10_token_lengths)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_curriculum_mix, op5_jaccard_join, op6_html_text, op7_language_id, op9_decontamination, op10_token_lengths)}
 ORACLES: dict[str, str] = {}
