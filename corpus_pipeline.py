@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontam, mixing, quality
+from seqloom.llm import decontam, jaccard, mixing, pii, quality
 from seqloom.llm.common import cut, table
 from seqloom.session import ship
 
@@ -15,17 +15,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    ship(spark)
+    return jaccard.keep_one(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     return decontam.remove_contaminated(docs, table(ship(spark), sf_dir, "benchmark"))
 
 
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training manifest: a row per document with the words taken and its positions."""
     return mixing.training_order(mixing.curriculum(docs))
 
 
-STAGES = [("quality rules", quality_stage), ("decontamination", decontamination_stage), ("mixing", mixing_stage)]
+STAGES = [("quality rules", quality_stage), ("near duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("personal data", personal_data_stage), ("mixing", mixing_stage)]
 ORACLE_SQL = None
 
 

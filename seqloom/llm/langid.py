@@ -3,13 +3,13 @@
 Training takes, per language, a bounded number of characters of labelled texts (``budget``, a
 documented parameter) chosen by a hash of the document id, and joins them into a zstandard raw-content
 dictionary.  A text is compressed in blocks with every dictionary and gets the language whose total is
-smallest.  The score is the margin between the best and the second best total, relative to the second,
+smallest; texts and dictionaries are reduced to lower-case letters first.  The score is the margin between the best and the second best total, relative to the second,
 scaled so that ``narrow`` maps to 0.5 and clipped to [0, 1]; predictions with a margin below ``narrow``
 are marked rejected.
 
 Whole texts are compressed, in blocks of ``BLOCK`` bytes so that the dictionary stays in reach.
 Defined results: null texts and texts without a letter -> `und`, score 0, rejected; with no labelled
-rows every text is `und`; ties go to the language that sorts first; repeated rows are alike.
+rows every text is `und`; ties go to the language with more labelled rows, then to the one that sorts first; repeated rows are alike.
 """
 
 import re
@@ -22,18 +22,19 @@ from pyspark.sql import functions as F
 from .common import without
 
 UNKNOWN = "und"
-BLOCK = 16_384
+BLOCK = 65_536
+LEVEL = 9
 NARROW = 0.01
 #: Characters of training text per language, at most.
-BUDGET = 98_304
+BUDGET = 131_072
 #: Characters of one document that training may use, at most.
-PER_TEXT = 2_048
+PER_TEXT = 512
 #: Languages, at most; the most frequent ones are learned.
 LANGUAGES = 64
 
 
 def train(labelled: DataFrame, budget: int = BUDGET) -> dict[str, bytes]:
-    """Language -> dictionary content.  ``labelled`` has doc_id, text and lang; null or empty ones are skipped.
+    """Language -> dictionary content, the language with most rows first.  ``labelled`` has doc_id, text and lang; null or empty ones are skipped.
 
     A first pass counts rows per language over all data; the second keeps rows whose id hash is below a
     rate that gives about twice the budget, so what reaches the driver is bounded.
@@ -50,17 +51,23 @@ def train(labelled: DataFrame, budget: int = BUDGET) -> dict[str, bytes]:
     for lang, text, _ in sorted(some.select("lang", F.substring("text", 1, PER_TEXT), order.alias("h")).collect(), key=lambda r: (r[0], r[2], r[1])):
         if len(got.get(lang, "")) < budget:
             got[lang] = got.get(lang, "") + text + "\n"
-    return {k: v[:budget].encode() for k, v in sorted(got.items())}
+    return {r.lang: b for r in known if (b := plain(got.get(r.lang, ""))[:budget])}
 
 
 _LETTER = re.compile(r"[^\W\d_]")
+_REST = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased letters with single spaces between words: case and symbols say nothing about the language."""
+    return _REST.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; only the text decides."""
     added = ["lang_pred", "score", "rejected"]
     docs = without(docs, added)
-    langs = sorted(dictionaries)
+    langs = list(dictionaries)  # the most frequent first: it wins ties
     content = [dictionaries[x] for x in langs]
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -69,15 +76,15 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NAR
         tools = []
         for c in content:
             d = z.ZstdCompressionDict(c, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=3)
-            tools.append(z.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
+            d.precompute_compress(level=LEVEL)
+            tools.append(z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
         for batch in batches:
             out = []
             for t in batch:
                 if not t or not tools or not _LETTER.search(t):
                     out.append((UNKNOWN, 0.0, True))
                     continue
-                data = t.encode("utf-8", "surrogatepass")
+                data = plain(t)
                 parts = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
                 sizes = [sum(len(c.compress(p)) for p in parts) for c in tools]
                 best = min(range(len(langs)), key=sizes.__getitem__)

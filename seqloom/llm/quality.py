@@ -25,7 +25,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RATIOS = {
     "word_length": ("word_chars", "n_words", 100, 100, ("low", "high")),
     "symbols": ("n_symbols", "n_words", 1000, 60, ("high",)),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, ("high",)),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 200, ("high",)),
     "repeats": ("n_repeat_words", "n_words", 1000, 100, ("high",)),
 }
 POS_BITS = 24

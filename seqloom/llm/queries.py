@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, langid, mixing, quality, tokens, warc
+from . import decontam, html, jaccard, langid, licenses, mixing, pii, quality, tokens, warc
 from .common import scratch, table
 
 
@@ -20,6 +20,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("n_lines")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files <source>/<lang>/<doc_id>.txt."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.curriculum(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixing.training_order(mix)
@@ -41,6 +48,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select("doc_id", *decontam.DIGEST)
@@ -50,5 +61,5 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op4_curriculum_mix, op5_jaccard_join, op6_html_text, op7_language_id, op9_decontamination, op10_token_lengths)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_license_scan, op4_curriculum_mix, op5_jaccard_join, op6_html_text, op7_language_id, op8_pii, op9_decontamination, op10_token_lengths)}
 ORACLES: dict[str, str] = {}
