@@ -28,17 +28,19 @@ def pipe_clusters(records: DataFrame, command: list[str], batch_records: int = 1
             os.unlink(f.name)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[pd.DataFrame]] = {}
+        cluster, held = None, pd.DataFrame()
+        out = lambda rows: pd.DataFrame({"cluster_id": [cluster], "output": [call(cluster, rows)]})
         for batch in batches:
-            for cluster, rows in batch.groupby("cluster_id", sort=False):
-                others = [c for c in held if c != cluster]  # rows are sorted by cluster: these are complete
-                for c in others:
-                    yield pd.DataFrame({"cluster_id": [c], "output": [call(c, pd.concat(held.pop(c)))]})
-                held.setdefault(cluster, []).append(rows)
-                if sum(map(len, held[cluster])) >= batch_records:
-                    yield pd.DataFrame({"cluster_id": [cluster], "output": [call(cluster, pd.concat(held.pop(cluster)))]})
-        for c, parts in held.items():
-            yield pd.DataFrame({"cluster_id": [c], "output": [call(c, pd.concat(parts))]})
+            for name, rows in batch.groupby("cluster_id", sort=False):
+                if name != cluster and len(held):
+                    yield out(held)
+                held = rows if name != cluster else pd.concat([held, rows])
+                cluster = name
+                while len(held) >= batch_records:
+                    yield out(held[:batch_records])
+                    held = held[batch_records:]
+        if len(held):
+            yield out(held)
 
     dealt = records.select("cluster_id", "seq_id", "seq").repartition("cluster_id").sortWithinPartitions("cluster_id", "seq_id")
     return dealt.mapInPandas(work, "cluster_id bigint, output string")
