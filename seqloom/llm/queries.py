@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontam, html, jaccard, langid, licenses, mixing, pii, quality, tokens, warc
 from .common import scratch, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +29,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.curriculum(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return mixing.training_order(mix)
+    mix = mixing.training_order(mixing.curriculum(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+    return mix.withColumn("position", F.round("position", 9)).withColumn("position_again", F.round("position_again", 9))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,3 @@ def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_license_scan, op4_curriculum_mix, op5_jaccard_join, op6_html_text, op7_language_id, op8_pii, op9_decontamination, op10_token_lengths)}
-ORACLES: dict[str, str] = {}

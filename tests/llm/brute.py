@@ -4,7 +4,6 @@ import base64
 import collections
 import hashlib
 import re
-import unicodedata  # noqa: F401
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
