@@ -47,7 +47,6 @@ NAMES = {
     "form": "form search login signup signin contact",
     "social": "share sharing social follow tweet like likes",
     "comment": "comment comments reply replies discussion disqus respond responses thread",
-    "meta": "meta byline author date tags tag timestamp posted",
     "content": "article content post entry story main text body page-content article-body entry-content post-content richtext prose",
 }
 _NAME_OF = {w: k for k, v in NAMES.items() for w in v.split()}
@@ -187,11 +186,12 @@ def parse(html: str) -> list[Node]:
 
 
 def features(x: Node) -> list[str]:
+    """Kinds of evidence: an inner node's tag and what its names say, a leaf's looks."""
     if x.text is None:
-        return [f"tag={x.tag}", *[f"name={k}" for k in sorted(x.names)]] if x.tag in BLOCKS else ["tag=root"]
+        return [f"tag={x.tag}", *[f"name={k}" for k in sorted(x.names) or ["none"]]]
     words = x.text.count(" ") + 1
     size = "1" if words < 4 else "2" if words < 10 else "3" if words < 25 else "4"
-    return [f"size={size}", f"link={'0' if x.links == 0 else '1' if x.links < 0.5 else '2'}", f"end={bool(_END.search(x.text))}"]
+    return [f"leaf={size},{'0' if x.links == 0 else '1' if x.links < 0.5 else '2'},{bool(_END.search(x.text))}"]
 
 
 class Model:
@@ -201,9 +201,11 @@ class Model:
         seen, total, moves = defaultdict(lambda: [1.0, 1.0]), defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [1.0, 1.0])
         for page in pages:
             for x in parse(page):
-                for f in features(x):
+                found = features(x)
+                for f in found:
                     seen[f][x.label] += 1
-                    total[f.split("=")[0]][x.label] += 1
+                for kind in {f.split("=")[0] for f in found}:
+                    total[kind][x.label] += 1
                 if x.up is not None:
                     moves[x.up.label, x.text is None][x.label] += 1
         self.odds = {f: tuple(math.log(v[s] / (total[f.split("=")[0]][s] + 2)) for s in (0, 1)) for f, v in seen.items()}
@@ -242,7 +244,7 @@ class Model:
         return out
 
 
-def labelled_pages(count: int = 120, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
     """Pages with data-y labels: semantic and plain layouts, with and without each kind of page furniture."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
@@ -251,11 +253,11 @@ def labelled_pages(count: int = 120, seed: int = 7) -> list[str]:
     links = lambda k: "<ul>" + "".join(f"<li><a href='/x'>{say(1, 3)}</a></li>" for _ in range(k)) + "</ul>"
     inner = {
         "p": lambda: f"<p>{prose()}</p>", "short": lambda: f"<p>{say(1, 3)}{r.choice(['.', ''])}</p>", "h": lambda: f"<h{r.choice('1234')}>{say(1, 8)}</h2>",
-        "linked": lambda: f"<p>{say(4, 12)} <a href='/y'>{say(1, 4)}</a> {say(2, 12)}.</p>", "list": lambda: f"<ul>{''.join(f'<li>{say(2, 12)}</li>' for _ in range(3))}</ul>",
+        "linked": lambda: f"<p>{say(4, 12)} <a href='/y'>{say(1, 4)}</a> {say(2, 12)}.</p>", "list": lambda: f"<ul>{''.join(f'<li>{say(1, 10)}{r.choice(chr(46) + chr(59) + chr(32))}</li>' for _ in range(r.randint(1, 5)))}</ul>",
         "quote": lambda: f"<blockquote><p>{prose()}</p></blockquote>", "pre": lambda: f"<pre>{say(3, 20)}</pre>", "figure": lambda: f"<figure><figcaption>{say(3, 10)}.</figcaption></figure>",
         "table": lambda: f"<table><tr><th>{word()}</th><td>{say(1, 5)}</td></tr></table>", "section": lambda: f"<section><h2>{say(2, 5)}</h2><p>{prose()}</p></section>", "div": lambda: f"<div><p>{prose()}</p></div>", "bare": lambda: f"<div>{prose()}</div>",
     }
-    weights = [10, 3, 3, 3, 2, 1, 1, 1, 1, 2, 2, 1]
+    weights = [10, 3, 3, 3, 5, 1, 1, 1, 1, 2, 2, 1]
     names = {k: v.split() for k, v in NAMES.items()}
     zero, one = ' data-y="0"', ' data-y="1"'
 
@@ -266,10 +268,10 @@ def labelled_pages(count: int = 120, seed: int = 7) -> list[str]:
         attr = "" if semantic and tag not in ("div", "section", "ul") and r.random() < 0.6 else f' {r.choice(["class", "id"])}="{r.choice(names[kind])}"'
         body = {
             "menu": lambda: links(r.randint(3, 8)), "header": lambda: f"<h1><a href='/'>{say(1, 3)}</a></h1><p>{say(2, 6)}</p>" if r.random() < 0.6 else links(4),
-            "footer": lambda: f"<p>&copy; {say(1, 4)}</p>{links(3)}" if r.random() < 0.6 else f"{say(2, 8)}.", "side": lambda: f"<h3>{say(1, 3)}</h3>{links(5)}" if r.random() < 0.6 else f"<h3>{say(1, 3)}</h3><p>{prose()}</p>",
+            "footer": lambda: f"<p>&copy; {say(1, 4)}</p>{links(3)}" if r.random() < 0.6 else f"{say(2, 8)}.", "side": lambda: f"<{(h := r.choice(["h2", "h3", "h3", "h4"]))}>{say(1, 3)}</{h}>{links(5)}" if r.random() < 0.6 else f"<{(h := r.choice(["h2", "h3", "h3", "h4"]))}>{say(1, 3)}</{h}><p>{prose()}</p>",
             "advert": lambda: f"<p>{prose()}</p>" if r.random() < 0.5 else prose(), "notice": lambda: f"<p>{prose()} <a href='/c'>{word()}</a></p>" if r.random() < 0.7 else prose(),
-            "form": lambda: f"<p>{say(2, 7)}</p><label>{word()}</label><input name='q'>", "social": lambda: links(3), "meta": lambda: f"<p>{say(2, 5)}</p>",
-            "comment": lambda: f"<h3>{say(1, 3)}</h3>" + "".join(f'<{c} class="{r.choice(["comment", "reply", "x"])}"><p>{prose()}</p></{c}>' for c in [r.choice(["div", "li", "article"])] * r.randint(1, 3)),
+            "form": lambda: f"<p>{say(2, 7)}</p><label>{word()}</label><input name='q'>", "social": lambda: links(3),
+            "comment": lambda: f"<{(h := r.choice(["h2", "h3", "h3", "h4"]))}>{say(1, 3)}</{h}>" + "".join(f'<{c} class="{r.choice(["comment", "reply", "x"])}"><p>{prose()}</p></{c}>' for c in [r.choice(["div", "li", "article"])] * r.randint(1, 3)),
         }[kind]()
         return f"<{tag}{attr}{zero}>{body}</{tag}>"
 
@@ -281,7 +283,7 @@ def labelled_pages(count: int = 120, seed: int = 7) -> list[str]:
         body = [inner[x]() for x in r.choices(list(inner), weights, k=r.randint(2, 14))]
         if r.random() < 0.8:
             body.insert(0, f"<h1>{say(2, 10)}</h1>")
-        for x in ("advert", "social", "side", "comment", "meta"):
+        for x in ("advert", "social", "side", "comment"):
             if r.random() < 0.15:
                 body.insert(r.randint(1, len(body)), junk(x, semantic))
         tag = r.choice(["article", "article", "main", "section"]) if semantic else "div"
