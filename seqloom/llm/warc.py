@@ -150,8 +150,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         return kept.select(*columns)
     #: ranges of the records that hold magics, joined to the pieces inside them by (file, block of offsets)
     grain = 1 << 20
-    spans = split.select("file", F.col("off").alias("owner"), "succ").withColumn("_g", F.explode(F.sequence(F.floor(F.col("owner") / grain), F.floor(F.col("succ") / grain))))
-    inside = found.withColumn("_g", F.floor(F.col("off") / grain)).join(spans, ["file", "_g"]).filter((F.col("off") >= F.col("owner")) & (F.col("off") < F.col("succ")))
+    spans = split.select("file", F.col("off").alias("owner"), F.col("succ").alias("end")).withColumn("_g", F.explode(F.sequence(F.floor(F.col("owner") / grain), F.floor(F.col("end") / grain))))
+    pieces = found.select("file", "block", "pos", "off").withColumn("_g", F.floor(F.col("off") / grain))
+    inside = pieces.join(spans, ["file", "_g"]).filter((F.col("off") >= F.col("owner")) & (F.col("off") < F.col("end")))
     wanted = inside.select("file", "block", "pos", "owner", F.col("off").alias("at"))
     parts = _pieces(spark, path).join(wanted, ["file", "block", "pos"])
     #: a record's pieces are as long together as the record
