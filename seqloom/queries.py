@@ -418,3 +418,30 @@ SQL = {
       p AS (SELECT l.id_a, l.id_b, least(length(s), length(t)) - 2 AS room, coalesce(common, 0) AS common FROM {_LENGTHS} l LEFT JOIN c ON c.a = l.id_a AND c.b = l.id_b)
       SELECT id_a || ',' || id_b AS pair, CAST(common AS BIGINT) AS common, CAST(trunc(2147483647 * (ln(CAST(1.1 AS DOUBLE)) - ln(CAST(0.1 AS DOUBLE) + CASE WHEN room > 0 THEN CAST(common AS DOUBLE) / room ELSE 0 END))) AS BIGINT) AS distance FROM p""",
 }
+
+
+def _global_sql(pairs: str) -> str:
+    """(id_a, id_b, s, t, score): one recursive step per letter of s; the gap along a row is a running maximum."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {pairs} p0),
+      r(id_a, id_b, i, v) AS (SELECT id_a, id_b, 0, list_transform(generate_series(0, length(t)), lambda j : CAST(-5 * j AS BIGINT)) FROM p
+        UNION ALL SELECT id_a, id_b, i + 1, w FROM (SELECT id_a, id_b, i, list(m - 5 * j ORDER BY j) AS w FROM (SELECT id_a, id_b, i, j, max(x + 5 * j) OVER (PARTITION BY id_a, id_b ORDER BY j) AS m FROM (
+          SELECT id_a, id_b, r.i, j, CASE WHEN j = 0 THEN -5 * (r.i + 1) ELSE greatest(v[j] + CASE WHEN substr(s, r.i + 1, 1) = substr(t, j, 1) THEN 10 ELSE -5 END, v[j + 1] - 5) END AS x
+          FROM r JOIN p USING (id_a, id_b), unnest(generate_series(0, length(t))) u(j) WHERE r.i < length(s)) a) b GROUP BY ALL) z)
+      SELECT id_a, id_b, s, t, v[len(v)] AS score FROM r JOIN p USING (id_a, id_b) WHERE i = length(s)"""
+
+
+def _local_sql(pairs: str) -> str:
+    """The same with affine gaps; gaps along a row open from values without one."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {pairs} p0),
+      r(id_a, id_b, i, v, f, best) AS (SELECT id_a, id_b, 0, list_transform(generate_series(0, length(t)), lambda j : CAST(0 AS BIGINT)), list_transform(generate_series(0, length(t)), lambda j : CAST(-1000000 AS BIGINT)), CAST(0 AS BIGINT) FROM p
+        UNION ALL SELECT id_a, id_b, i + 1, v, f, greatest(best, top) FROM (SELECT id_a, id_b, i, best, list(vv ORDER BY j) AS v, list(ff ORDER BY j) AS f, max(vv) AS top FROM (
+          SELECT id_a, id_b, i, best, j, ff, greatest(x, coalesce(max(x - 5 + 2 * j) OVER (PARTITION BY id_a, id_b ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2 * j, 0)) AS vv FROM (
+            SELECT *, CASE WHEN j = 0 THEN 0 ELSE greatest(0, d, ff) END AS x FROM (
+              SELECT id_a, id_b, r.i, best, j, CASE WHEN j = 0 THEN -1000000 ELSE greatest(f[j + 1], v[j + 1] - 5) - 2 END AS ff, CASE WHEN j > 0 THEN v[j] + CASE WHEN substr(s, r.i + 1, 1) = substr(t, j, 1) THEN 10 ELSE -5 END END AS d
+              FROM r JOIN p USING (id_a, id_b), unnest(generate_series(0, length(t))) u(j) WHERE r.i < length(s)) c) a) b GROUP BY ALL) z)
+      SELECT id_a, id_b, best AS score, 10000 // (best + 1) AS distance FROM r JOIN p USING (id_a, id_b) WHERE i = length(s)"""
+
+
+SQL["global_alignment"] = f"""SELECT id_a, id_b, score, CAST(30 * (10 * least(length(s), length(t)) - score) AS BIGINT) // (length(s) + length(t)) AS distance,
+  CAST(30 * (score * least(length(s), length(t)) - score) AS BIGINT) // (length(s) + length(t)) AS distance_ref FROM ({_global_sql(_LENGTHS)}) g"""
+SQL["local_alignment"] = _local_sql(_LENGTHS)
