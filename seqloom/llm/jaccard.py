@@ -11,10 +11,11 @@ num/(num+den) * (n + m) of them, and the sum of coordinate minima of two points
   under one of these.  Frequencies are exact counts over all documents, so passages that many documents share
   come last in the order and hardly ever serve as entries.
 * Entries of rare groups hold at most ``RARE`` points and give pairs directly.  Entries of frequent groups, which only
-  families of near copies have, are joined to one pivot per entry; what is then still in different
-  components is compared within the entry in full.
-* Pairs whose sum of minima over ``COARSE`` groups is below the bound go; the rest are verified on their sets.
-  Pairs already in one component need no test, as only the components are returned.
+  families of near copies have, are joined to one pivot per entry, and in ``rounds`` rounds to others; what is then still in different components is packed into leaves with bounding boxes, and leaves are
+  compared with leaves.
+* Pairs whose sum of minima over coarse groups is below the bound go; the rest are verified on their sets, of
+  which 40 bits of each hash are compared (two sets of 20,000 take a foreign shingle for a common one with
+  probability 0.0004).  Pairs already in one component need no test, as only the components are returned.
 
 Every step is a shuffle by a hashed key; groups that may be large are handled by aggregates and joins
 that adaptive execution can split.  What is broadcast is a table of fixed size: one level byte for
@@ -26,13 +27,14 @@ Defined results: null, empty and blank texts have 0 shingles and are their own c
 unless all its ids are null.
 """
 
+import ctypes
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -40,14 +42,24 @@ from .common import cut
 WIDTH, NUM, DEN = 5, 75, 100
 RARE = 32
 COARSE = 64
+LEAF = 64
 SLOTS = 1 << 22
 MARKS = 1 << 26
 _WORDS: dict[bytes, int] = {}
-_CACHE = 1 << 20
+_CACHE = 1 << 16  # words whose hashes a task remembers
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SIZE_STEP = math.log(1.05)
 
 
+def _trim() -> None:
+    """Give freed memory back to the system: a worker is reused by later tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -63,25 +75,31 @@ def shingle_sets(texts, width: int = WIDTH) -> list[np.ndarray]:
     get, fresh = _WORDS, xxhash.xxh3_64_intdigest
     if len(get) > _CACHE:
         get.clear()
-    out, k = [], [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(width)]
+    lengths, codes = [], []
     for t in texts:
         words = t.encode("utf-8", "surrogatepass").translate(_LOWER).split() if t else ()
-        n = len(words)
-        if not n:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        codes = []
+        lengths.append(len(words))
         for w in words:
             c = get.get(w)
             if c is None:
                 c = get[w] = fresh(w)
             codes.append(c)
-        v = np.array(codes, dtype=np.uint64)
-        m = min(n, width)
-        h = np.full(n - m + 1, m * 0x51ED270B, np.uint64)
-        for i in range(m):
-            h += _mix(v[i:n - m + 1 + i] * k[i])
-        out.append(np.unique(_mix(h)))
+    # one linear form of all texts at once; what reaches into the next text isn't used
+    v = np.zeros(len(codes) + width, np.uint64)
+    v[:len(codes)] = np.array(codes, dtype=np.uint64)
+    k = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64)) for i in range(width)]
+    full = sum((v[i:i + len(codes)] * k[i] for i in range(width)), np.zeros(len(codes), np.uint64))
+    full = _mix(full + np.uint64(width))
+    out, at = [], 0
+    for n in lengths:
+        if n >= width:
+            out.append(np.unique(full[at:at + n - width + 1]))
+        elif n:
+            whole = sum((v[at + i:at + i + 1] * k[i] for i in range(n)), np.zeros(1, np.uint64))
+            out.append(_mix(whole + np.uint64(n)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += n
     return out
 
 
@@ -96,9 +114,27 @@ def _fine(s: np.ndarray) -> np.ndarray:
 
 
 def _point(s: np.ndarray) -> bytes:
-    """Counts over COARSE groups: two bytes each, four if a count needs it."""
-    c = np.bincount((s & np.uint64(COARSE - 1)).astype(np.int64), minlength=COARSE)
-    return c.astype("<u2" if len(s) < 65536 else "<u4").tobytes()
+    """Counts over the lowest bits of the hashes: COARSE groups or more, up to 4 hashes to a group, so that chance
+    overlaps stay small beside the bound whatever the size.  The first byte states the bytes of a count."""
+    groups = COARSE
+    while groups * 4 < len(s):
+        groups *= 2
+    c = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    wide = 1 if c.max(initial=0) < 256 else 4
+    return bytes([wide]) + c.astype("<u1" if wide == 1 else "<u4").tobytes()
+
+
+def _counts_of(point: bytes, groups: int | None = None) -> np.ndarray:
+    """The counts of a point, folded to fewer groups if asked."""
+    c = np.frombuffer(point, "<u1" if point[0] == 1 else "<u4", offset=1).astype(np.int64)
+    return c if groups is None else c.reshape(-1, groups).sum(0)
+
+
+def _most(p: bytes, q: bytes) -> int:
+    """Sum of the coordinate minima of two points."""
+    a, b = _counts_of(p), _counts_of(q)
+    g = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, g).sum(0), b.reshape(-1, g).sum(0)).sum())
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -125,6 +161,8 @@ def _by_bucket(v: np.ndarray, buckets: int) -> np.ndarray:
 def _buckets(docs: DataFrame) -> int:
     """One bucket for about 8 MB of input as the optimizer knows it, 64 to 2^20; only the split of the work hangs on it."""
     size = float(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1e18:  # not known
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return int(min(max(size / (8 << 20), 64), 1 << 20))
 
 
@@ -160,10 +198,11 @@ def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                         size += len(held[-1])
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
-                if size > 8_000_000:
+                if size > 2_000_000:
                     yield flush()
         if held:
             yield flush()
+        _trim()
 
     return docs.mapInArrow(work, "kind int, key bigint, n bigint, sig bigint, blob binary, more binary, times binary")
 
@@ -180,6 +219,8 @@ def _levels(points: DataFrame) -> bytes:
             c[np.searchsorted(v, m)] += t.astype(np.int64) - 1
         v, c = v[c > RARE], c[c > RARE]
         slot = v.astype(np.int64) % SLOTS
+        del w
+        _trim()
         return pa.table({"slot": slot, "level": np.log2(c).astype(np.int64)})
 
     slots = points.filter("kind = 1").select("key", "blob", "more", "times").groupBy("key").applyInArrow(count, "slot bigint, level bigint")
@@ -249,10 +290,11 @@ def _entries(docs: DataFrame, levels: bytes, buckets: int, width: int, num: int,
                     sigs.append(np.full(len(c), g, np.int64))
                     sizes.append(np.full(len(c), min(255, int(math.log(len(s)) / _SIZE_STEP)), np.uint8))
                     n += len(c)
-                if n > 4_000_000:
+                if n > 1_000_000:
                     yield from flush()
         if n:
             yield from flush()
+        _trim()
 
     reach = math.ceil(math.log(den / num) / _SIZE_STEP) + 1
 
@@ -284,6 +326,8 @@ def _entries(docs: DataFrame, levels: bytes, buckets: int, width: int, num: int,
             a, b = a[keep], b[keep]
         n = len(a)
         m = sum(len(c) for c, _ in hot)
+        del got, rare, out_a, out_b
+        _trim()
         ea = np.concatenate([s for _, s in hot]) if hot else np.zeros(0, np.int64)
         ee = np.concatenate([c for c, _ in hot]).astype(np.int64) if hot else np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate([a, ea]), pa.int64()), "b": pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(m, pa.int64())]), "entry": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(ee, pa.int64())])})
@@ -308,6 +352,18 @@ def _marks(ids: DataFrame) -> bytes:
     return bytes(table)
 
 
+def _narrow(s: np.ndarray) -> bytes:
+    """The upper 40 bits of every hash, five bytes each."""
+    return np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _wide(b) -> np.ndarray:
+    five = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.view("<u8").ravel()
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(sig, shingles) of the documents whose ids are marked: all of ``ids``, and a few that share their slots."""
     shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
@@ -321,46 +377,46 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 part = batch.column(1).take(pa.array(wanted[at:at + 500])).to_pylist()
                 sets = {g: s for s in shingle_sets(part, width) if len(s) and (g := _signature(s)) not in seen}
                 seen.update(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([_narrow(s) for s in sets.values()], pa.binary())], names=["sig", "shingles"])
+        _trim()
 
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("slot"), "text").mapInArrow(work, "sig bigint, shingles binary")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose summed coordinate minima reach the least overlap of a link."""
+    """(a, b, most): pairs whose summed coordinate minima reach the least overlap of a link; most is the similarity they allow."""
     side = lambda x: classes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
 
-    @F.pandas_udf("boolean")
-    def may_link(n_a: pd.Series, n_b: pd.Series, p_a: pd.Series, p_b: pd.Series) -> pd.Series:
-        def counts(n, p):
-            if not len(p):
-                return np.zeros((0, COARSE), np.int64)
-            return np.stack([np.frombuffer(x, "<u2" if k < 65536 else "<u4") for k, x in zip(n, p)]).astype(np.int64)
-
-        most = np.minimum(counts(n_a, p_a), counts(n_b, p_b)).sum(1)
-        return pd.Series(most * (num + den) >= num * (n_a.to_numpy() + n_b.to_numpy()))
+    @F.arrow_udf("double")
+    def allowed(n_a: pa.Array, n_b: pa.Array, p_a: pa.Array, p_b: pa.Array) -> pa.Array:
+        most = np.array([_most(p, q) for p, q in zip(p_a.to_pylist(), p_b.to_pylist())], np.int64)
+        both = n_a.to_numpy() + n_b.to_numpy()
+        return pa.array(np.where(most * (num + den) >= num * both, most / np.maximum(both - most, 1), -1.0), pa.float64())
 
     j = pairs.join(side("a"), "a").join(side("b"), "b")
-    return j.filter(may_link("n_a", "n_b", "p_a", "p_b")).select("a", "b")
+    return j.select("a", "b", allowed("n_a", "n_b", "p_a", "p_b").alias("most")).filter("most >= 0")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return den * both >= num * (len(a) + len(b) - both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that link, tested on their sets."""
 
-    @F.pandas_udf("boolean")
-    def links(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def links(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(x, y):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            out.append(den * both >= num * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
+            out.append(_similar(_wide(a.as_buffer()), _wide(b.as_buffer()), num, den))
+        return pa.array(out, pa.bool_())
 
-    j = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
-    return j.filter(links("x", "y")).select("a", "b")
+    first = pairs.join(sets, pairs.a == sets.sig).select("a", "b", F.col("shingles").alias("x"))
+    return first.join(sets, first.b == sets.sig).filter(links("x", "shingles")).select("a", "b")
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -368,17 +424,18 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps, each written out, until the edges are stars.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
+    e, state = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        e = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         down = e.join(least, "u")
-        e = cut(down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small-star")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        e = down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        seen = Observation()
+        e = cut(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "stars")
+        now = seen.get
+        if now == state or not now["n"]:
             break
         state = now
     else:
@@ -386,72 +443,123 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("c")).union(e.select("v", F.col("v").alias("c")).distinct())
 
 
-def _still_apart(frequent: DataFrame, comp: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of frequent entries in different components whose leaves may hold links.
+def _star(frequent: DataFrame, comp: DataFrame, k: int) -> DataFrame:
+    """(a, b): each frequent entry's k-th random pivot with the points of the entry that are in other components."""
+    named = frequent.join(comp, frequent.a == comp.v, "left").select("entry", "a", F.coalesce("c", "a").alias("c"))
+    pivot = named.groupBy("entry").agg(F.min_by(F.struct("a", "c"), F.xxhash64("a", F.lit(k))).alias("p")).select("entry", "p.*").toDF("entry", "pa", "pc")
+    apart = named.join(pivot, "entry").filter("c <> pc")
+    return apart.select(F.least("a", "pa").alias("a"), F.greatest("a", "pa").alias("b")).distinct()
+
+
+def _still_apart(frequent: DataFrame, comp: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between points under a common frequent entry that are in different components, enough to join all these.
 
-    A leaf is the points of one entry, component and size class, with the largest count of every coarse group and the
-    least size; two leaves are opened only if the sum of minima of these reaches what their smallest points need.
+    Points under entries that hold several components are packed into leaves of about LEAF points with the same first entry and size
+    class.  Leaves that share an entry are compared once, whatever the number of entries they share: first by the components they
+    hold and the sum of minima of their bounding boxes (largest counts, least size), then point by point, by summed minima
+    and at last by their sets.
     """
     named = frequent.join(comp, frequent.a == comp.v, "left").select("entry", "a", F.coalesce("c", "a").alias("c"))
     open_ = named.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("entry")
-    named = named.join(open_, "entry", "left_semi")
-    counts = _counts(classes)
-    named = cut(named.join(counts, named.a == counts.sig).select("entry", "a", "c", "n", "p", F.floor(F.log("n") / _SIZE_STEP).alias("z")), "open-entries")
-    leaf = named.groupBy("entry", "c", "z").agg(F.min("n").alias("n"), F.array(*[F.max(F.get("p", F.lit(k))) for k in range(COARSE)]).alias("p"))
+    named = cut(named.join(open_, "entry", "left_semi"), "open-entries")
+    points = named.groupBy("a").agg(F.min("entry").alias("e"), F.first("c").alias("c"))
+    points = points.join(classes, F.col("a") == F.col("sig")).select("a", "c", "e", "n", "point", _coarse("point").alias("p"), F.floor(F.log("n") / _SIZE_STEP).alias("z"))
+    share = points.groupBy("e", "z").agg(F.ceil(F.count("*") / LEAF).alias("k"))
+    points = cut(points.join(share, ["e", "z"]).withColumn("leaf", F.xxhash64("e", "z", F.pmod("a", "k"))).drop("e", "k"), "leaf-points")
+    box = points.groupBy("leaf").agg(F.min("n").alias("n"), F.min("z").alias("z"), F.max("z").alias("zz"), F.min("c").alias("c"), F.max("c").alias("cc"), F.array(*[F.max(F.get("p", F.lit(k))) for k in range(COARSE)]).alias("p"))
+    under = named.select("entry", "a").join(points.select("a", "leaf"), "a").select("entry", "leaf").distinct()
+    meet = under.join(under.withColumnRenamed("leaf", "other"), "entry").filter("leaf <= other").select("leaf", "other").distinct()
     reach = math.ceil(math.log(den / num) / _SIZE_STEP) + 1
-    x, y = leaf.alias("x"), leaf.alias("y")
+    x, y = box.select(F.col("leaf"), F.struct("n", "z", "zz", "c", "cc", "p").alias("x")), box.select(F.col("leaf").alias("other"), F.struct("n", "z", "zz", "c", "cc", "p").alias("y"))
     most = F.aggregate(F.zip_with("x.p", "y.p", lambda i, j: F.least(i, j)), F.lit(0).cast("long"), lambda s, v: s + v)
-    near = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.c") < F.col("y.c")) & (F.abs(F.col("x.z") - F.col("y.z")) <= reach)
-                  & (most * (num + den) >= num * (F.col("x.n") + F.col("y.n"))))
-    near = near.select(F.col("x.entry").alias("entry"), F.col("x.c").alias("cx"), F.col("x.z").alias("zx"), F.col("y.c").alias("cy"), F.col("y.z").alias("zy"))
-    left = named.select("entry", F.col("c").alias("cx"), F.col("z").alias("zx"), F.col("a").alias("i"))
-    right = named.select("entry", F.col("c").alias("cy"), F.col("z").alias("zy"), F.col("a").alias("j"))
-    pairs = near.join(left, ["entry", "cx", "zx"]).join(right, ["entry", "cy", "zy"])
-    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    near = meet.join(x, "leaf").join(y, "other").filter((F.least("x.c", "y.c") != F.greatest("x.cc", "y.cc")) & (F.col("x.z") - F.col("y.zz") <= reach) & (F.col("y.z") - F.col("x.zz") <= reach)
+                                                       & (most * (num + den) >= num * (F.col("x.n") + F.col("y.n")))).select("leaf", "other")
+    def links(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
+        """Links of two leaves, or of one, that join components this call has not joined yet."""
+        up: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        rows = list(zip(*(batch[x].to_pylist() for x in ("second", "a", "c", "n", "point", "shingles"))))
+        left, right = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+        wide, out = {r[1]: _wide(r[5]) for r in rows}, []
+        for i, (_, u, cu, n, p, _) in enumerate(left):
+            for _, v, cv, m, q, _ in right or left[i + 1:]:
+                if den * min(n, m) >= num * max(n, m) and find(cu) != find(cv) and _most(p, q) * (num + den) >= num * (n + m) and _similar(wide[u], wide[v], num, den):
+                    up[find(cu)] = find(cv)
+                    out.append((u, v))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    near = near.withColumn("pair", F.xxhash64("leaf", "other"))
+    held = points.select("leaf", "a", "c", "n", "point").join(sets, F.col("a") == F.col("sig")).drop("sig")
+    one = near.select("pair", "leaf").join(held, "leaf").withColumn("second", F.lit(False))
+    two = near.filter("leaf <> other").select("pair", F.col("other").alias("leaf")).join(held, "leaf").withColumn("second", F.lit(True))
+    return one.union(two).select("pair", "second", "a", "c", "n", "point", "shingles").groupBy("pair").applyInArrow(links, "a bigint, b bigint")
 
 
-def _counts(classes: DataFrame) -> DataFrame:
-    """(sig, n, p) with the point as an array of counts."""
+def _coarse(point: str):
+    """A point as an array of COARSE counts."""
 
-    @F.pandas_udf("array<bigint>")
-    def unpacked(n: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, "<u2" if k < 65536 else "<u4").astype(np.int64) for k, x in zip(n, p)], dtype=object)
+    @F.arrow_udf("array<bigint>")
+    def counts(p: pa.Array) -> pa.Array:
+        return pa.array([_counts_of(x, COARSE) for x in p.to_pylist()], pa.list_(pa.int64()))
 
-    return classes.select("sig", "n", unpacked("n", "point").alias("p"))
+    return counts(point)
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, rounds: int = 2) -> DataFrame:
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends aren't in one component yet."""
+    c = lambda x: comp.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}"))
+    j = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left")
+    return j.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def _extended(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; ``comp`` itself if there are none."""
+    if links.isEmpty():
+        return comp
+    return connected(comp.select(F.col("v").alias("a"), F.col("c").alias("b")).union(links))
+
+
+def _by_class(sets: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """``sets`` as a table in buckets of its key, so that the joins of every round move the pairs but not the sets; and its name."""
+    spark, name = sets.sparkSession, f"seqloom_sets_{uuid.uuid4().hex}"
+    buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+    sets.repartition(buckets, "sig").write.format("parquet").bucketBy(buckets, "sig").sortBy("sig").saveAsTable(name)
+    return spark.table(name), name
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = _buckets(docs)
     made = cut(_points(docs, buckets, width), "points")
     rows = made.filter("kind = 0").select(F.col("key").alias("doc_id"), "n", "sig")
-    classes = made.filter("kind = 0 and sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("blob").alias("point"))
+    classes = cut(made.filter("kind = 0 and sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("blob").alias("point")), "classes")
     entries = cut(_entries(docs, _levels(made), buckets, width, num, den), "entries")
     pairs = entries.filter("b is not null").select("a", "b")
     frequent = entries.filter("b is null").select("entry", "a").distinct()
-    pivots = lambda named, k: named.groupBy("entry").agg(F.min_by("a", F.xxhash64("a", F.lit(k))).alias("pivot"))
-    star = frequent.join(pivots(frequent, 0), "entry").filter("a <> pivot").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
+    pivots = frequent.groupBy("entry").agg(F.min("a").alias("pivot"))  # a hash, and so the same random point in many entries
+    star = frequent.join(pivots, "entry").filter("a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"))
+    of = lambda p: p.select("a").union(p.select("b")).union(frequent.select("a")).distinct()
     pairs = cut(pairs.union(star).distinct(), "pairs")
-    members = pairs.select("a").union(pairs.select("b")).union(frequent.select("a")).distinct()
-    classes = cut(classes, "classes")
-    used = cut(classes.join(members, classes.sig == members.a, "left_semi"), "used")
-    sets = cut(_sets(docs, used.select(F.col("rep").alias("id")), width), "sets")
-    edges = cut(_verified(_bounded(pairs, used, num, den), sets, num, den), "links")
-    comp = connected(edges)
+    used = cut(classes.join(of(pairs), F.col("sig") == F.col("a"), "left_semi"), "used")
+    pairs = cut(_bounded(pairs, used, num, den), "bounded")
+    used = cut(used.join(of(pairs), F.col("sig") == F.col("a"), "left_semi"), "used")
+    sets, name = _by_class(_sets(docs, used.select(F.col("rep").alias("id")), width), buckets)
+    #: every point's most promising pair first: most others then lie within one component and need no test
+    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("most", "a")).alias("a")).select("a", "b"), "best")
+    comp = connected(cut(_verified(best, sets, num, den), "links"))
+    rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), comp)
+    comp = _extended(comp, cut(_verified(rest, sets, num, den), "links"))
     for k in range(1, rounds + 1):
-        last = k == rounds
-        if last:
-            more = _still_apart(frequent, comp, used, num, den)
-        else:
-            named = frequent.join(comp, frequent.a == comp.v, "left").select("entry", "a", F.coalesce("c", "a").alias("c"))
-            p = named.groupBy("entry").agg(F.min_by(F.struct("a", "c"), F.xxhash64("a", F.lit(k))).alias("p")).select("entry", F.col("p.a").alias("pa"), F.col("p.c").alias("pc"))
-            more = named.join(p, "entry").filter("c <> pc").select(F.least("a", "pa").alias("a"), F.greatest("a", "pa").alias("b")).distinct()
-        more = more.join(pairs, ["a", "b"], "left_anti")
-        fresh = cut(_verified(_bounded(more, used, num, den), sets, num, den), "links")
-        if not fresh.isEmpty():
-            edges = edges.union(fresh)
-            comp = connected(comp.select(F.col("v").alias("a"), F.col("c").alias("b")).union(fresh))
+        star = _star(frequent, comp, k)
+        comp = _extended(comp, cut(_verified(_bounded(star, used, num, den).select("a", "b"), sets, num, den), "links"))
+    comp = _extended(comp, cut(_still_apart(frequent, comp, used, sets, num, den), "links"))
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # all that follows is written out
     named = classes.join(comp, classes.sig == comp.v, "left").select("sig", "rep", F.coalesce("c", "sig").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     final = named.join(least, "c").select(F.col("sig").alias("s"), "component_id")
