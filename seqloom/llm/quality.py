@@ -133,7 +133,7 @@ def apply_rules(docs: DataFrame, carry: list[str] | None = None, spread: int = 3
     m = m.select(*[F.col(f"`{c}`") for c in keep + extra], *[F.col(f"counts.{c}").alias(c) for c in COUNTS])
     m = m.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     m = cut(m, "quality")
-    t = thresholds(sketches(m), spread, min_group)
+    t = cut(thresholds(sketches(m), spread, min_group), "thresholds")  # of known size, so that the join need not move the texts
     t = t.withColumnsRenamed({"lang": "lang_t", "source": "source_t"})
     j = m.join(t, m.lang.eqNullSafe(t.lang_t) & m.source.eqNullSafe(t.source_t), "left")
     inside = [ratio(r) >= F.col(f"{r}_low") if side == "low" else ratio(r) <= F.col(f"{r}_high") for r, v in RATIOS.items() for side in v[4]]
