@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequences as S
 from .functions import vectors as V
-from .functions.alphabet import A20, DEFAULT, GENETIC_CODE, NUCLEOTIDES, RESIDUES, Alphabet
+from .functions.alphabet import DEFAULT, GENETIC_CODE, NUCLEOTIDES, RESIDUES, Alphabet
 from .operators import allpairs, clustering, kmers, routing
 from .operators.alignment import with_global, with_local
 from .plans import pipelines
