@@ -31,6 +31,7 @@ import ctypes
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,7 @@ _SIZE_STEP = math.log(1.05)
 
 def _trim() -> None:
     """Give freed memory back to the system: a worker is reused by later tasks of other stages."""
+    _WORDS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -393,6 +395,7 @@ def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
         both = n_a.to_numpy() + n_b.to_numpy()
         return pa.array(np.where(most * (num + den) >= num * both, most / np.maximum(both - most, 1), -1.0), pa.float64())
 
+    allowed = allowed.asNondeterministic()  # else the filter makes the plan evaluate it twice, in two workers a task
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     return j.select("a", "b", allowed("n_a", "n_b", "p_a", "p_b").alias("most")).filter("most >= 0")
 
@@ -532,8 +535,25 @@ def _by_class(sets: DataFrame, buckets: int) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+@contextmanager
+def _small_batches(spark):
+    """Arrow batches of few rows while the steps of the join run: a batch of 10,000 long texts or sets is too much for a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text)."""
+    with _small_batches(docs.sparkSession):
+        return _near_duplicates(docs, width, num, den, rounds)
+
+
+def _near_duplicates(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = _buckets(docs)
     made = cut(_points(docs, buckets, width), "points")
