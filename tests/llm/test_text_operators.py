@@ -138,6 +138,20 @@ def test_language(spark):
     assert langid.train(data.empty(spark)) == {} and {x.lang_pred for x in langid.predict(docs, {}).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than fit one group of dictionaries, the rarest of them with a single labelled row."""
+    r, n = random.Random(5), 70
+    lexicon = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 8))) for _ in range(30)] for _ in range(n)]
+    speak = lambda k: " ".join(r.choice(lexicon[k]) for _ in range(60))
+    rows = [(100 * k + i, speak(k), f"l{k:02}", None) for k in range(n) for i in range(1 if k == n - 1 else 4)]
+    known = langid.train(data.frame(spark, rows))
+    assert set(known) == {f"l{k:02}" for k in range(n)} and list(known)[-1] == "l69"
+    asked = data.frame(spark, [(k, speak(k), None, None) for k in range(n)])
+    assert {x.doc_id: x.lang_pred for x in langid.predict(asked, known).collect()} == {k: f"l{k:02}" for k in range(n)}
+    copies = langid.train(data.frame(spark, [(7, lexicon[0][0] * 200, "same", None)] * 2000 + rows))
+    assert set(copies) == {*known, "same"}
+
+
 # -- personal data
 
 TRICKY = [None, "", "x" * 20000 + "@", "a@b.c+d@e.f a.b@c-d.e.f@g.h", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4 1.2.3.4", "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111 1111 1111",
