@@ -10,7 +10,8 @@ The potentials are counted on labelled pages, written by ``labelled_pages`` from
 add-one smoothing; nothing is learned from the pages to be extracted.
 
 Defined results: null or empty html -> empty text; unclosed and misnested elements are closed as
-browsers close them, roughly; comments, scripts, styles, form fields and markup never give text;
+browsers close them, roughly; an element without text of its own (a button, an image) whose end tag is missing ends at the next block,
+and a head without end tag at the first tag or text that can't be in one; comments, scripts, styles, form fields and markup never give text;
 character references are decoded and white space in a block becomes one space.  Repeated rows are
 extracted alike; input columns named as an output column are replaced.
 """
@@ -53,6 +54,10 @@ _NAME_OF = {w: k for k, v in NAMES.items() for w in v.split()}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Besides blocks, tags that end an open silent element.
+_BREAKS = frozenset("option optgroup select datalist hr head".split())
+_OF_HEAD = frozenset("base basefont bgsound link meta".split())
+_BODY = re.compile(r"<body\b", re.I)
 _LABEL = re.compile(r"data-y=\"([01])\"")
 _END = re.compile(r"[.!?…:;]['\"”»)]*$")
 
@@ -75,11 +80,92 @@ def _kinds(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+def _tokens(html: str) -> list[tuple]:
+    """(start, end, tag, is an end tag, attributes) of each tag in order; what gives no text, like comments and the
+    contents of scripts, has no tag name."""
+    out, tag_at, i, open_raw = [], _TAG, 0, set()
+    while (j := html.find("<", i)) >= 0:
+        if html.startswith("<!--", j):
+            k = html.find("-->", j + 4)
+            i = len(html) if k < 0 else k + 3
+            out.append((j, i, "", False, ""))
+            continue
+        if html[j + 1:j + 2] in ("!", "?"):
+            k = html.find(">", j)
+            i = len(html) if k < 0 else k + 1
+            out.append((j, i, "", False, ""))
+            continue
+        m = tag_at.match(html, j)
+        if not m and html[j + 1:j + 2].isascii() and (html[j + 1:j + 2].isalpha() or html[j + 1:j + 2] == "/") and tag_at is _TAG:
+            if (k := html.find(">", j)) >= 0 and re.match(r"</?[a-zA-Z]", html[j:j + 3]):
+                tag_at = _PLAIN_TAG  # a quote stays open: read the rest of the page without quotes
+                m = tag_at.match(html, j)
+        if not m:
+            i = j + 1
+            continue
+        i, end, tag = m.end(), m[1] == "/", m[2].lower()
+        if tag in RAW and not end and not m[3].endswith("/"):
+            k = None if tag in open_raw else re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, i)
+            if not k:  # never closed: up to the body, else up to the end
+                open_raw.add(tag)
+                k = _BODY.search(html, i)
+                i = k.start() if k else len(html)
+            else:
+                i = k.end()
+            tag = ""
+        out.append((j, i, "" if tag in RAW else tag, end, m[3]))
+    return out
+
+
+def _extents(tokens: list[tuple]) -> dict[int, int]:
+    """Start of a silent element -> where it ends: behind its end tag; or, if that is left out, at the next tag of a
+    block or form element, so that an open element takes no more than its own line of text along."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = defaultdict(int)  # tags on the stack
+    loose: list[int] = []  # silent elements that have met no block tag yet
+
+    def pop(upto: int):
+        for t, _ in stack[upto:]:
+            count[t] -= 1
+        del stack[upto:]
+
+    for j, i, tag, end, more in tokens:
+        silent = tag in SILENT and tag != "head"
+        if tag in BLOCKS or tag in _BREAKS:
+            for k in loose:
+                out[k] = j
+            loose = []
+        if not end:
+            if tag == "body":
+                pop(0)
+            elif tag in ("option", "button") and count[tag]:  # a new one closes an open one
+                pop(max(k for k, (t, _) in enumerate(stack) if t == tag))
+            if tag in BLOCKS or silent and not more.endswith("/"):
+                stack.append((tag, j))
+                count[tag] += 1
+                if silent:
+                    loose.append(j)
+        elif count[tag]:
+            for k in range(len(stack) - 1, -1, -1):
+                t, start = stack[k]
+                if t == tag:
+                    if silent:
+                        out[start] = i
+                        if loose and loose[-1] >= start:
+                            loose = [x for x in loose if x < start]
+                    pop(k)
+                    break
+                if t == "object" or tag == "p" and t in SILENT:
+                    break
+    return out
+
+
 def parse(html: str) -> list[Node]:
     """Nodes of the page in document order, parents first; leaves have text."""
     root = Node("root", frozenset(), 0, None)
     nodes, stack, held, linked = [root], [root], [], 0
-    silent, link, tag_at, i, n = [], 0, _TAG, 0, len(html)
+    head, link, i, n = False, 0, 0, len(html)
 
     def flush():
         nonlocal held, linked
@@ -93,8 +179,10 @@ def parse(html: str) -> list[Node]:
         held, linked = [], 0
 
     def say(raw: str):
-        nonlocal linked
-        if not silent and raw:
+        nonlocal linked, head
+        if head and raw.strip(" \t\n\f\r"):
+            head = False
+        if not head and raw:
             text = unescape(raw)
             held.append(text)
             if link:
@@ -104,52 +192,31 @@ def parse(html: str) -> list[Node]:
         flush()
         del stack[upto:]
 
-    while i < n:
-        j = html.find("<", i)
-        if j < 0:
-            say(html[i:])
-            break
+    tokens = _tokens(html)
+    extent = _extents(tokens) if any(t[2] in SILENT and t[2] != "head" for t in tokens) else {}
+    for j, after, tag, end, attributes in [*tokens, (n, n, "", False, "")]:
+        if j < i:
+            continue  # within a silent element
         say(html[i:j])
-        if html.startswith("<!--", j):
-            k = html.find("-->", j + 4)
-            i = n if k < 0 else k + 3
-            continue
-        if html[j + 1:j + 2] in ("!", "?"):
-            k = html.find(">", j)
-            i = n if k < 0 else k + 1
+        i = after
+        if not tag:
             continue
-        m = tag_at.match(html, j)
-        if not m and html[j + 1:j + 2].isascii() and (html[j + 1:j + 2].isalpha() or html[j + 1:j + 2] == "/") and tag_at is _TAG:
-            if (k := html.find(">", j)) >= 0 and re.match(r"</?[a-zA-Z]", html[j:j + 3]):
-                tag_at = _PLAIN_TAG  # a quote stays open: read the rest of the page without quotes
-                m = tag_at.match(html, j)
-        if not m:
-            say("<")
-            i = j + 1
+        if tag == "head":
+            head = not end and len(nodes) == 1 + sum(x.tag == "html" for x in nodes[1:2])
             continue
-        i, end, tag = m.end(), m[1] == "/", m[2].lower()
-        if silent:
-            if end and tag == silent[-1]:
-                silent.pop()
-            elif not end and tag in SILENT and tag not in VOID and not m[3].endswith("/"):
-                silent.append(tag)
-            elif tag == "body":
-                silent.clear()
-            if silent:
+        if head:
+            if tag in _OF_HEAD or end and tag not in ("body", "html", "br"):
                 continue
+            head = False  # it was left open
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag == "br" and not silent:
+            elif tag == "br":
                 held.append(" ")
             continue
         if tag in SILENT:
-            if not end and not m[3].endswith("/"):
-                if tag in RAW:
-                    k = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, i)
-                    i = k.end() if k else n
-                else:
-                    silent.append(tag)
+            if not end and not attributes.endswith("/"):
+                i = extent.get(j, n)
             continue
         if tag == "a":
             link = 0 if end else 1
@@ -174,8 +241,8 @@ def parse(html: str) -> list[Node]:
                 if stack[k].tag in ("ul", "ol", "dl", "table"):
                     break
         flush()
-        label = _LABEL.search(m[3]) if "data-y" in m[3] else None
-        node = Node(tag, _kinds(m[3]) if m[3] else frozenset(), int(label[1]) if label else stack[-1].label, stack[-1])
+        label = _LABEL.search(attributes) if "data-y" in attributes else None
+        node = Node(tag, _kinds(attributes) if attributes else frozenset(), int(label[1]) if label else stack[-1].label, stack[-1])
         stack[-1].kids.append(node)
         nodes.append(node)
         stack.append(node)

@@ -73,6 +73,18 @@ def test_odd_pages(page):
     assert isinstance(html.main_text(page), str)
 
 
+WORDS = "Some real words here, with a stop."
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><select><option>A<option>B</select><p>{WORDS}</p></article>", f"<head><title>T</title><article><p>{WORDS}</p></article>", f"<html><head><title>T</title><meta charset='x'><article><p>{WORDS}</p></article>",
+    f"<article><button>Click<p>{WORDS}</p></article>", f"<article><div><svg><path d='x'><g></div><p>{WORDS}</p><svg><path/></svg></article>", f"<article><canvas><object><p>{WORDS}</p></article>",
+    f"<article><div><button>Click</div><p>{WORDS}</p><button>Again</button></article>", f"<article><datalist><option>A<option>B</datalist><p>{WORDS}</p></article>",
+    f"<html><head><script>if (a < b) x = '</head>'</script></head><body><article><p>{WORDS}</p></article>", f"<article><button><div>Click</div></button><svg><g><text>no</text></svg><p>{WORDS}</p></article>"])
+def test_silent_elements_left_open(page):
+    assert html.main_text(page) == WORDS
+
+
 def test_marginals_equal_enumeration():
     """Sum-product marginals are those of all assignments of a small tree."""
     import itertools
