@@ -1,7 +1,7 @@
 """Licence scans: TF-IDF cosine to templates, and inheritance from ancestor directories [native].
 
 Statements are the sentences of a text that use licence vocabulary; a licence file is a file of a usual
-name, or one of whose lines at least half are statements.  Statements and templates are sparse TF-IDF vectors over
+name, or one at least half of whose lines hold statements that are at least half of its characters, white space apart.  Statements and templates are sparse TF-IDF vectors over
 lower-cased words, with document frequencies over the templates; terms are joined, and the best cosine
 of at least ``least`` names a statement's licence.  A file has its best statement's licence.  A file
 without one inherits that of the nearest ancestor directory holding a licence file, found by joining the
@@ -92,15 +92,19 @@ def scan(files: DataFrame, notices: DataFrame | None = None, least: float = LEAS
     notices = templates(files.sparkSession) if notices is None else notices
     text = F.coalesce(F.col("text"), F.lit(""))
     some = F.when(text.rlike(VOCABULARY), F.filter(_sentences(text), lambda s: s.rlike(VOCABULARY))).otherwise(F.array().cast("array<string>"))
-    lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
-    rows = cut(files.select(*[F.col(f"`{c}`") for c in keep], some.alias("_said"), lines.alias("_lines"), F.xxhash64("path", text).alias("_row")), "statements")
+    solid = lambda x: F.length(F.regexp_replace(x, r"\s+", "")).cast("long")
+    mostly = F.when(F.size("_said") > 0, 2 * F.aggregate(F.col("_said"), F.lit(0).cast("long"), lambda n, x: n + solid(x)) >= solid(F.col("_text"))).otherwise(False)
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != "")
+    mostly = mostly & (2 * F.size(F.filter(lines, lambda x: x.rlike(VOCABULARY))) >= F.size(lines))
+    rows = files.select(*[F.col(f"`{c}`") for c in keep], some.alias("_said"), text.alias("_text"), F.xxhash64("path", text).alias("_row"))
+    rows = cut(rows.select(*[F.col(f"`{c}`") for c in keep], "_said", mostly.alias("_mostly"), "_row"), "statements")
     hit = cut(matched(rows.select(F.col("_said").alias("said")), notices, least), "matched")
     own = rows.filter(F.size("_said") > 0).select("_row", F.explode("_said").alias("statement")).distinct().join(hit, "statement")
     own = own.groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.count("*").alias("_n"))
     own = own.select("_row", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"))
     rows = rows.join(own, "_row", "left")
     name = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
-    is_file = name.rlike(FILE_NAMES) | ((F.col("_lines") > 0) & (2 * F.size("_said") >= F.col("_lines")))
+    is_file = name.rlike(FILE_NAMES) | F.col("_mostly")
     parent = lambda p: F.regexp_replace(p, "/?[^/]*$", "")
     folders = rows.filter(F.col("own_license").isNotNull() & is_file & F.col("path").isNotNull()).select(parent(F.col("path")).alias("folder"), "own_license", "own_score")
     folders = folders.groupBy("folder").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("license"))).alias("b")).select("folder", F.col("b.license").alias("folder_license"))

@@ -245,6 +245,13 @@ def test_licenses(spark):
         ("a/z.py", "Apache-2.0", "Apache-2.0", None), ("q/w.py", None, None, None), (None, None, None, None), ("a/b/null", None, "MIT", "a"), ("top.txt", None, None, None)]))
 
 
+def test_a_notice_in_a_long_line_is_no_license_file(spark):
+    long = "Released under the MIT License. " + "Nothing else in this line is about it, and it goes on and on. " * 20
+    files = [("a/1.txt", long), ("a/2.txt", "code"), ("b/1.txt", "Released under the MIT License.\nThank you."), ("b/2.txt", "code")]
+    got = {r.path: (r.own_license, r.license) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {"a/1.txt": ("MIT", "MIT"), "a/2.txt": (None, None), "b/1.txt": ("MIT", "MIT"), "b/2.txt": (None, "MIT")}
+
+
 def test_every_template_matches_itself(spark):
     t = licenses.templates(spark)
     hit = licenses.matched(t.select(F.array("notice").alias("said")), t)
