@@ -169,7 +169,7 @@ def _buckets(docs: DataFrame) -> int:
 
 
 def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Rows of kind 0, one per document (key = id, n, sig, point), and of kind 1, fine-group counts of a task by bucket."""
+    """Rows of kind 0, one per document (key = id, n, sig, point, hash of the text), and of kind 1, fine-group counts of a task by bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -185,9 +185,9 @@ def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                     for b, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
             b, x, y, w = zip(*rows)
             k = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(b, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(w, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(b, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary()), pa.array(w, pa.binary()), pa.nulls(k, pa.int64())], names=names)
 
-        names = ["kind", "key", "n", "sig", "blob", "more", "times"]
+        names = ["kind", "key", "n", "sig", "blob", "more", "times", "text_hash"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -199,14 +199,14 @@ def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                         held.append(np.unique(_fine(s)))
                         size += len(held[-1])
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), part.column(2)], names=names)
                 if size > 2_000_000:
                     yield flush()
         if held:
             yield flush()
         _trim()
 
-    return docs.mapInArrow(work, "kind int, key bigint, n bigint, sig bigint, blob binary, more binary, times binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(work, "kind int, key bigint, n bigint, sig bigint, blob binary, more binary, times binary, text_hash bigint")
 
 
 def _levels(points: DataFrame) -> bytes:
@@ -550,15 +550,16 @@ def _small_batches(spark):
 def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text)."""
     with _small_batches(docs.sparkSession):
-        return _near_duplicates(docs, width, num, den, rounds)
+        return _near_duplicates(docs, width, num, den, rounds).select("doc_id", "n_shingles", "component_id")
 
 
 def _near_duplicates(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
+    """near_duplicates() with text_hash and ``stays``: whether a row has the id and text that its component keeps."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = _buckets(docs)
     made = cut(_points(docs, buckets, width), "points")
-    rows = made.filter("kind = 0").select(F.col("key").alias("doc_id"), "n", "sig")
-    classes = cut(made.filter("kind = 0 and sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("blob").alias("point")), "classes")
+    rows = made.filter("kind = 0").select(F.col("key").alias("doc_id"), "n", "sig", "text_hash")
+    classes = cut(made.filter("kind = 0 and sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("blob").alias("point"), F.min(F.struct(F.isnull("key").alias("no_id"), "key", "text_hash")).alias("top")), "classes")
     entries = cut(_entries(docs, _levels(made), buckets, width, num, den), "entries")
     pairs = entries.filter("b is not null").select("a", "b")
     frequent = entries.filter("b is null").select("entry", "a").distinct()
@@ -580,15 +581,30 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int, rounds: in
         comp = _extended(comp, cut(_verified(_bounded(star, used, num, den).select("a", "b"), sets, num, den), "links"))
     comp = _extended(comp, cut(_still_apart(frequent, comp, used, sets, num, den), "links"))
     docs.sparkSession.sql(f"DROP TABLE {name}")  # all that follows is written out
-    named = classes.join(comp, classes.sig == comp.v, "left").select("sig", "rep", F.coalesce("c", "sig").alias("c"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    final = named.join(least, "c").select(F.col("sig").alias("s"), "component_id")
+    named = classes.join(comp, classes.sig == comp.v, "left").select("sig", "rep", "top", F.coalesce("c", "sig").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min("top").alias("top"))
+    final = named.select("sig", "c").join(least, "c").select(F.col("sig").alias("s"), "component_id", "top")
     out = rows.join(final, rows.sig == final.s, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    stays = F.isnull("sig") | F.col("top.key").eqNullSafe(F.col("doc_id")) & (F.col("top.text_hash") == F.col("text_hash"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", stays.alias("stays"), F.isnull("sig").alias("blank"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group (rows that share that id stay together)."""
-    found = near_duplicates(docs, **options)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    """One row of each group of near copies: one with the smallest id, null ids last; rows without a word all stay.
+
+    Id and text name a row.  Of rows that agree in both, which are counted, an arbitrary one stays."""
+    o = {"width": WIDTH, "num": NUM, "den": DEN, "rounds": 3} | options
+    with _small_batches(docs.sparkSession):
+        found = cut(_near_duplicates(docs, **o).select("doc_id", "text_hash", "stays", "blank"), "found")
+    gone = found.filter("not stays").select("doc_id", "text_hash").distinct()
+    several = cut(found.filter("stays and not blank").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash"), "several")
+    same = lambda x, k: x["_h"].eqNullSafe(k["_text_hash"]) & x["_i"].eqNullSafe(k["_doc_id"])
+    d = docs.withColumn("_h", F.xxhash64("text")).withColumn("_i", F.col("doc_id").cast("long"))
+    keys = lambda k: k.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
+    if several.isEmpty():
+        k = keys(gone)
+        return d.join(k, same(d, k), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    k, again = keys(gone.union(several)), keys(several)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    one = d.join(again, same(d, again), "left_semi").groupBy("_i", "_h").agg(F.first(whole).alias("_row")).select("_row.*")
+    return d.join(k, same(d, k), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).union(one)

@@ -118,6 +118,15 @@ def test_keep_one(spark):
     assert kept.columns == data.frame(spark).columns and {r.doc_id for r in kept.collect()} == names
 
 
+def test_keep_one_decides_by_row(spark):
+    """Null, repeated and shared ids: one row of each group stays, and no text without a copy is lost."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, a.upper()), (1, b), (1, b), (1, b.upper()), (2, c), (3, c), (3, d), (None, d), (None, e), (9, ""), (9, None), (None, None), (None, None)]
+    got = jaccard.keep_one(data.frame(spark, [(i, t, "x", "s") for i, t in rows])).collect()
+    assert sorted((str(r.doc_id), str(r.text).lower()) for r in got) == sorted((str(i), str(t).lower()) for i, t in [(None, a), (1, b), (2, c), (3, d), (None, e), (9, ""), (9, None), (None, None), (None, None)])
+    assert all(r.lang == "x" and r.source == "s" for r in got)
+
+
 # -- language
 
 
