@@ -261,6 +261,17 @@ def test_a_notice_in_a_long_line_is_no_license_file(spark):
     assert got == {"a/1.txt": ("MIT", "MIT"), "a/2.txt": (None, None), "b/1.txt": ("MIT", "MIT"), "b/2.txt": (None, "MIT")}
 
 
+def test_headers_identifiers_and_whole_licenses(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nx = 1"
+    full = dict(licenses.FULL)
+    said = [("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nx = 1"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;"), ("GPL-3.0", gpl),
+            ("GPL-unversioned", "GNU GENERAL PUBLIC LICENSE\nfor all"), ("BSD-2-Clause", "Released under the BSD 2-Clause License."), ("MIT", "Use of this source code is governed by the MIT license"), ("GPL-2.0", full["GPL-2.0"]), ("MIT", full["MIT"])]
+    files = [(f"f{k}/x", t) for k, (_, t) in enumerate(said)] + [("f7/y", "code"), ("f8/y", "code"), ("f0/y", "There is no licence.")]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [got[f"f{k}/x"].own_license for k in range(len(said))] == [k for k, _ in said]
+    assert (got["f7/y"].license, got["f8/y"].license, got["f0/y"].own_license) == ("GPL-2.0", "MIT", None)
+
+
 def test_every_template_matches_itself(spark):
     t = licenses.templates(spark)
     hit = licenses.matched(t.select(F.array("notice").alias("said")), t)
