@@ -6,25 +6,29 @@ point of its group counts.  Linked documents of n and m shingles share at least
 num/(num+den) * (n + m) of them, and the sum of coordinate minima of two points bounds what they share.
 
 * Copies: documents with equal sets are one point (their class), whatever their number.
-* Top of the tree: 2^32 fine groups, ordered by the level of their document frequency, then by hash.
-  A point is entered under its first n - ceil(n * num/den) + 1 fine groups, as any two linked points must meet
-  under one of these.  Frequencies are exact counts over all documents, so passages that many documents share
-  come last in the order and hardly ever serve as entries.
-* Entries of rare groups hold at most ``RARE`` points and give pairs directly.  Entries of frequent groups, which only
-  families of near copies have, are joined to one pivot per entry, and in ``rounds`` rounds to others; what is then still in different components is packed into leaves with bounding boxes, and leaves are
-  compared with leaves.
-* Pairs whose sum of minima over coarse groups is below the bound go; the rest are verified on their sets, of
-  which 40 bits of each hash are compared (two sets of 20,000 take a foreign shingle for a common one with
-  probability 0.0004).  Pairs already in one component need no test, as only the components are returned.
+* Top of the tree: half-spaces "count of fine group g is at least 1" of the space of fine groups (2^32 or more of them,
+  growing with the input).  A point lies in those of its first n - ceil(n * num/den) + 1 fine groups by level
+  of their document frequency, then by hash, as any two linked points must meet in one of these.  Frequencies are exact
+  counts over all documents, so passages that many documents share come last in the order and hardly ever serve as
+  entries.  Boxes alone would not do: at this dimension every box of unrelated points covers all others.
+* Half-spaces of at most ``RARE`` points are leaves and give pairs directly, dropped where the sum of minima is too small.
+* The points of larger ones, which only families of near copies have, are linked to a pivot each; what is then still
+  in different components is packed into an R-tree: by the largest half-space and size class of a point, then in the order
+  of a code of its counts into leaves of about ``LEAF`` points, and ``FAN`` nodes to a parent.  Leaves are joined with
+  themselves first.  Then the tree is joined with itself from the roots whose half-spaces share a point downward; node
+  pairs go when the sum of minima of their bounding boxes is too small or when they hold one and the same component.
+* Surviving pairs are verified on their sets, of which 48 bits of each hash are compared (two sets of 20,000 take a
+  foreign shingle for a common one with probability 0.0000014).  Pairs already in one component need no test, as only
+  the components are returned.  Classes are named by 64 bits of a hash of their set.
 
 Every step is a shuffle by a hashed key; groups that may be large are handled by aggregates and joins
-that adaptive execution can split.  What is broadcast is a table of fixed size: one level byte for
-each of 2^22 slots (colliding groups share the larger level, which changes the order, not the result),
-and one bit for each of 2^26 slots that marks documents in pairs.
+that adaptive execution can split.  What is broadcast has a bound: one level byte for each of at most 2^28 slots, as many as
+the frequent groups need (colliding groups share the larger level, which changes the order, not the result),
+and one bit for each of at most 2^31 slots that marks documents in pairs.
 
 Defined results: null, empty and blank texts have 0 shingles and are their own component; fewer than
 ``width`` words make one shingle; repeated rows are copies; null ids never become a component's name
-unless all its ids are null.
+unless all its ids are null; an empty table gives no rows; columns of other names are not read.
 """
 
 import ctypes
@@ -43,9 +47,12 @@ from .common import cut
 WIDTH, NUM, DEN = 5, 75, 100
 RARE = 32
 COARSE = 64
-LEAF = 64
-SLOTS = 1 << 22
-MARKS = 1 << 26
+LEAF, FAN = 64, 16
+#: Slots of the broadcast tables: as many as the data need between these bounds.
+SLOTS = (1 << 18, 1 << 28)
+MARKS = (1 << 20, 1 << 31)
+#: Edges that one task joins to components (64 MB); more are contracted in rounds over all tasks.
+EDGES = 1 << 22
 _WORDS: dict[bytes, int] = {}
 _CACHE = 1 << 16  # words whose hashes a task remembers
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -111,8 +118,8 @@ def _signature(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _fine(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(32)).astype(np.uint32)
+def _fine(s: np.ndarray, bits: int) -> np.ndarray:
+    return s >> np.uint64(64 - bits)
 
 
 def _point(s: np.ndarray) -> bytes:
@@ -140,35 +147,38 @@ def _most(p: bytes, q: bytes) -> int:
 
 
 def _pack(v: np.ndarray) -> bytes:
-    """Sorted uint32 values, as two-byte gaps if all are small enough."""
-    gaps = np.diff(v, prepend=v[:1])
-    first = np.array(v[:1], "<u4").tobytes()
-    if len(v) and int(gaps.max()) < 65536:
-        return b"s" + first + gaps.astype("<u2").tobytes()
-    return b"l" + v.astype("<u4").tobytes()
+    """Sorted values as gaps of as many bytes as the largest needs."""
+    gaps = np.diff(v, prepend=np.uint64(0)).astype("<u8")
+    wide = max(1, (int(gaps[1:].max(initial=0)).bit_length() + 7) // 8)
+    return bytes([wide]) + v[:1].astype("<u8").tobytes() + np.ascontiguousarray(gaps[1:].view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    if b[:1] == b"l":
-        return np.frombuffer(b, "<u4", offset=1)
-    return (np.cumsum(np.frombuffer(b, "<u2", offset=5).astype(np.uint64)) + np.uint64(np.frombuffer(b, "<u4", 1, 1)[0])).astype(np.uint32)
+    if len(b) == 1:
+        return np.zeros(0, np.uint64)
+    part = np.frombuffer(b, np.uint8, offset=9).reshape(-1, b[0])
+    gaps = np.zeros((len(part) + 1, 8), np.uint8)
+    gaps[0] = np.frombuffer(b, np.uint8, 8, 1)
+    gaps[1:, :b[0]] = part
+    return np.cumsum(gaps.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def _by_bucket(v: np.ndarray, buckets: int) -> np.ndarray:
-    """Edges of the buckets in sorted uint32 values."""
-    bounds = (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
-    return np.searchsorted(v.astype(np.uint64), bounds)
+def _by_bucket(v: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Edges of the buckets in sorted values of so many bits."""
+    bounds = [(k << bits) // buckets for k in range(buckets)]
+    return np.append(np.searchsorted(v, np.array(bounds, np.uint64)), len(v))
 
 
-def _buckets(docs: DataFrame) -> int:
-    """One bucket for about 8 MB of input as the optimizer knows it, 64 to 2^20; only the split of the work hangs on it."""
+def _shape(docs: DataFrame) -> tuple[int, int]:
+    """Buckets, one for about 8 MB of input as the optimizer knows it, and bits of a fine group, so that there are a hundred
+    times more groups than shingles.  Only the split of the work hangs on them."""
     size = float(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > 1e18:  # not known
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(min(max(size / (8 << 20), 64), 1 << 20))
+    return int(min(max(size / (8 << 20), 64), 1 << 20)), min(max(math.ceil(math.log2(size + 1)) + 5, 32), 56)
 
 
-def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
+def _points(docs: DataFrame, buckets: int, bits: int, width: int) -> DataFrame:
     """Rows of kind 0, one per document (key = id, n, sig, point, hash of the text), and of kind 1, fine-group counts of a task by bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +190,7 @@ def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                 return None
             v, c = np.unique(np.concatenate(held), return_counts=True)
             held, size = [], 0
-            edges = _by_bucket(v, buckets)
+            edges = _by_bucket(v, buckets, bits)
             rows = [(b, _pack(v[a:z]), _pack(many) if len(many := v[a:z][c[a:z] > 1]) else None, c[a:z][c[a:z] > 1].astype("<u4").tobytes() or None)
                     for b, (a, z) in enumerate(zip(edges, edges[1:])) if z > a]
             b, x, y, w = zip(*rows)
@@ -196,7 +206,7 @@ def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                 for s, g in zip(sets, sigs):
                     if g is not None and g not in seen:
                         seen.add(g)
-                        held.append(np.unique(_fine(s)))
+                        held.append(np.unique(_fine(s, bits)))
                         size += len(held[-1])
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.array([_point(s) for s in sets], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), part.column(2)], names=names)
@@ -209,8 +219,28 @@ def _points(docs: DataFrame, buckets: int, width: int) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(work, "kind int, key bigint, n bigint, sig bigint, blob binary, more binary, times binary, text_hash bigint")
 
 
+def _table(rows: DataFrame, slots: int, kind: type) -> bytes:
+    """``rows`` (slot, level) as one array of so many slots, folded by the tasks; the largest level of a slot counts."""
+    chunk = 1 << 14
+
+    def fold(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
+        out = np.zeros(chunk, np.uint8)
+        np.maximum.at(out, batch["slot"].to_numpy() % chunk, batch["level"].to_numpy().astype(np.uint8))
+        return pa.table({"at": [key[0].as_py()], "bytes": pa.array([(np.packbits(out) if kind is bool else out).tobytes()], pa.binary())})
+
+    per = 8 if kind is bool else 1
+    table, size = bytearray(slots // per), chunk // per
+    for r in rows.groupBy(F.expr(f"slot div {chunk}").alias("at")).applyInArrow(fold, "at bigint, bytes binary").toLocalIterator():  # slots / per bytes at most
+        table[r["at"] * size:(r["at"] + 1) * size] = r["bytes"]
+    return bytes(table)
+
+
+def _slots(n: int, bounds: tuple[int, int]) -> int:
+    return min(max(1 << (8 * n).bit_length(), bounds[0]), bounds[1])
+
+
 def _levels(points: DataFrame) -> bytes:
-    """Level of each slot: 0 for document frequencies up to RARE, else its binary logarithm."""
+    """Level of each slot: 0 for document frequencies up to RARE, else the binary logarithm."""
 
     def count(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
         v = np.concatenate([_unpack(b) for b in batch["blob"].to_pylist()])
@@ -220,38 +250,25 @@ def _levels(points: DataFrame) -> bytes:
         for m, t in w:
             c[np.searchsorted(v, m)] += t.astype(np.int64) - 1
         v, c = v[c > RARE], c[c > RARE]
-        slot = v.astype(np.int64) % SLOTS
         del w
         _trim()
-        return pa.table({"slot": slot, "level": np.log2(c).astype(np.int64)})
+        return pa.table({"fine": v.astype(np.int64), "level": np.log2(c).astype(np.int64)})
 
-    slots = points.filter("kind = 1").select("key", "blob", "more", "times").groupBy("key").applyInArrow(count, "slot bigint, level bigint")
-    slots = slots.groupBy("slot").agg(F.max("level").alias("level"))
-    chunk = 1 << 14
-
-    def fold(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-        out = np.zeros(chunk, np.uint8)
-        out[batch["slot"].to_numpy() % chunk] = batch["level"].to_numpy()
-        return pa.table({"at": [key[0].as_py()], "bytes": pa.array([out.tobytes()], pa.binary())})
-
-    table = bytearray(SLOTS)
-    folded = slots.withColumn("at", F.expr(f"slot div {chunk}")).groupBy("at").applyInArrow(fold, "at bigint, bytes binary")
-    for r in folded.collect():  # SLOTS bytes at most
-        table[r["at"] * chunk:(r["at"] + 1) * chunk] = r["bytes"]
-    return bytes(table)
+    common = cut(points.filter("kind = 1").select("key", "blob", "more", "times").groupBy("key").applyInArrow(count, "fine bigint, level bigint"), "frequent")
+    slots = _slots(common.count(), SLOTS)
+    return _table(common.select(F.pmod("fine", F.lit(slots)).alias("slot"), "level"), slots, int)
 
 
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return n - -(-n * num // den) + 1
 
 
-def _entries(docs: DataFrame, levels: bytes, buckets: int, width: int, num: int, den: int) -> DataFrame:
+def _entries(docs: DataFrame, levels, buckets: int, bits: int, width: int, num: int, den: int) -> DataFrame:
     """(a, b, entry): pairs of classes that meet in a rare entry (entry null), and points of frequent entries (b null)."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
     names = ["bucket", "cells", "sigs", "sizes", "frequent"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(shared.value, np.uint8)
+        level = np.frombuffer(levels.value, np.uint8)
         seen: set[int] = set()
         cells, sigs, sizes, hot, n = [], [], [], [], 0
 
@@ -268,7 +285,7 @@ def _entries(docs: DataFrame, levels: bytes, buckets: int, width: int, num: int,
                 if frequent:  # these only pass through: deal them out evenly
                     rows += [(b, c1[b::buckets], s1[b::buckets], z1[b::buckets], True) for b in range(min(buckets, len(c1)))]
                 else:
-                    e = _by_bucket(c1, buckets)
+                    e = _by_bucket(c1, buckets, bits)
                     rows += [(b, c1[i:j], s1[i:j], z1[i:j], False) for b, (i, j) in enumerate(zip(e, e[1:])) if j > i]
             if rows:
                 b, x, y, w, f = zip(*rows)
@@ -281,8 +298,8 @@ def _entries(docs: DataFrame, levels: bytes, buckets: int, width: int, num: int,
                     if not len(s) or (g := _signature(s)) in seen:
                         continue
                     seen.add(g)
-                    fine = _fine(s)
-                    deep = level[fine & np.uint32(SLOTS - 1)]
+                    fine = _fine(s, bits)
+                    deep = level[fine & np.uint64(len(level) - 1)]
                     k = prefix_length(len(s), num, den)
                     first = np.lexsort((s, deep))[:k]
                     # equal fine groups of one document are one entry
@@ -338,40 +355,23 @@ def _entries(docs: DataFrame, levels: bytes, buckets: int, width: int, num: int,
     return blobs.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, entry bigint")
 
 
-def _marks(ids: DataFrame) -> bytes:
-    """One bit for each slot that the hash of an id in ``ids`` (column id) falls into; MARKS bits whatever the input."""
-    chunk = 1 << 17
-
-    def fold(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-        out = np.zeros(chunk, bool)
-        out[batch["slot"].to_numpy() % chunk] = True
-        return pa.table({"at": [key[0].as_py()], "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
-
-    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("slot")).distinct()
-    table, size = bytearray(MARKS // 8), chunk // 8
-    for r in slots.withColumn("at", F.expr(f"slot div {chunk}")).groupBy("at").applyInArrow(fold, "at bigint, bits binary").collect():
-        table[r["at"] * size:(r["at"] + 1) * size] = r["bits"]
-    return bytes(table)
-
-
 def _narrow(s: np.ndarray) -> bytes:
-    """The upper 40 bits of every hash, five bytes each."""
-    return np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """The upper 48 bits of every hash, six bytes each."""
+    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _wide(b) -> np.ndarray:
-    five = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
+    six = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
     return out.view("<u8").ravel()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(sig, shingles) of the documents whose ids are marked: all of ``ids``, and a few that share their slots."""
-    shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+def _sets(docs: DataFrame, marks, slots: int, width: int) -> DataFrame:
+    """(sig, shingles) of the documents whose ids are marked, and of a few that share their slots."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        bits, seen = np.frombuffer(marks.value, np.uint8), set()
         for batch in batches:
             slot = batch.column(0).to_numpy()
             wanted = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
@@ -382,7 +382,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([_narrow(s) for s in sets.values()], pa.binary())], names=["sig", "shingles"])
         _trim()
 
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("slot"), "text").mapInArrow(work, "sig bigint, shingles binary")
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"), "text").mapInArrow(work, "sig bigint, shingles binary")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -422,12 +422,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return first.join(sets, first.b == sets.sig).filter(links("x", "shingles")).select("a", "b")
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c): the smallest member of the component of every node of the edges (u, v)."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    u, v = (np.concatenate(x) for x in zip(*got))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[:len(u)], at[len(u):]
+    up = np.arange(len(nodes))
+    while True:  # hooks every root to the least neighbouring one, then points all nodes to their roots
+        a, b = up[u], up[v]
+        if not len(open_ := np.flatnonzero(a != b)):
+            break
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+    for k in range(0, len(nodes), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k:k + 10_000]), pa.array(nodes[up[k:k + 10_000]])], names=["v", "c"])
+
+
+def connected(edges: DataFrame, max_rounds: int = 60, in_one: int = EDGES) -> DataFrame:
     """(v, c): the smallest member c of the component of every v in ``edges`` (a, b).
 
-    Alternating large-star and small-star steps, each written out, until the edges are stars.
+    At most ``in_one`` distinct edges, which are counted, are joined by one task.  More take alternating
+    large-star and small-star steps, each written out, until the edges are stars.
     """
-    e, state = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), None
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    if e.count() <= in_one:
+        return cut(e.repartition(1).mapInArrow(_union, "v bigint, c bigint"), "components")
+    state = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -446,61 +471,105 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("v"), F.col("v").alias("c")).union(e.select("v", F.col("v").alias("c")).distinct())
 
 
-def _star(frequent: DataFrame, comp: DataFrame, k: int) -> DataFrame:
-    """(a, b): each frequent entry's k-th random pivot with the points of the entry that are in other components."""
-    named = frequent.join(comp, frequent.a == comp.v, "left").select("entry", "a", F.coalesce("c", "a").alias("c"))
-    pivot = named.groupBy("entry").agg(F.min_by(F.struct("a", "c"), F.xxhash64("a", F.lit(k))).alias("p")).select("entry", "p.*").toDF("entry", "pa", "pc")
-    apart = named.join(pivot, "entry").filter("c <> pc")
-    return apart.select(F.least("a", "pa").alias("a"), F.greatest("a", "pa").alias("b")).distinct()
-
-
-def _still_apart(frequent: DataFrame, comp: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links between points under a common frequent entry that are in different components, enough to join all these.
-
-    Points under entries that hold several components are packed into leaves of about LEAF points with the same first entry and size
-    class.  Leaves that share an entry are compared once, whatever the number of entries they share: first by the components they
-    hold and the sum of minima of their bounding boxes (largest counts, least size), then point by point, by summed minima
-    and at last by their sets.
-    """
-    named = frequent.join(comp, frequent.a == comp.v, "left").select("entry", "a", F.coalesce("c", "a").alias("c"))
-    open_ = named.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("entry")
-    named = cut(named.join(open_, "entry", "left_semi"), "open-entries")
-    points = named.groupBy("a").agg(F.min("entry").alias("e"), F.first("c").alias("c"))
-    points = points.join(classes, F.col("a") == F.col("sig")).select("a", "c", "e", "n", "point", _coarse("point").alias("p"), F.floor(F.log("n") / _SIZE_STEP).alias("z"))
-    share = points.groupBy("e", "z").agg(F.ceil(F.count("*") / LEAF).alias("k"))
-    points = cut(points.join(share, ["e", "z"]).withColumn("leaf", F.xxhash64("e", "z", F.pmod("a", "k"))).drop("e", "k"), "leaf-points")
-    box = points.groupBy("leaf").agg(F.min("n").alias("n"), F.min("z").alias("z"), F.max("z").alias("zz"), F.min("c").alias("c"), F.max("c").alias("cc"), F.array(*[F.max(F.get("p", F.lit(k))) for k in range(COARSE)]).alias("p"))
-    under = named.select("entry", "a").join(points.select("a", "leaf"), "a").select("entry", "leaf").distinct()
-    meet = under.join(under.withColumnRenamed("leaf", "other"), "entry").filter("leaf <= other").select("leaf", "other").distinct()
+def _named(points: DataFrame, comp: DataFrame) -> DataFrame:
+    """``points`` with the component c of a, which is a itself where nothing links to it."""
+    return points.drop("c").join(comp.withColumnRenamed("v", "a"), "a", "left").withColumn("c", F.coalesce("c", "a"))
+
+
+def _packed(frequent: DataFrame, comp: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points of half-spaces that hold several components: (a, c, n, point, p, home, z, k, leaf), leaf being the number of the
+    leaf among the k leaves of the root (home, z); and (entry, home), the half-spaces that the points of each home lie in."""
+    named = _named(frequent, comp)
+    size = named.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("held")).filter("x <> y").select("entry", "held")
+    named = cut(named.join(size, "entry"), "open-entries")
+    points = named.groupBy("a").agg(F.max_by("entry", F.struct("held", "entry")).alias("home"), F.first("c").alias("c"))
+    points = points.join(classes, F.col("a") == F.col("sig")).select("a", "c", "home", "n", "point", _coarse("point").alias("p"), F.floor(F.log("n") / _SIZE_STEP).alias("z"))
+    bit = f"transform(sequence(0, {COARSE // 2 - 1}), i -> if(p[2 * i] > p[2 * i + 1], 1L, 0L))"
+    points = cut(points.withColumn("code", F.expr(f"aggregate({bit}, 0L, (s, x) -> 2 * s + x)")), "open-points")
+    share = points.groupBy("home", "z").agg(F.ceil(F.count("*") / LEAF).alias("k"), F.percentile_approx("code", [i / 256 for i in range(1, 256)], 10_000).alias("q"))
+    j = points.join(share, ["home", "z"])
+    low = F.size(F.filter("q", lambda x: x < F.col("code")))
+    fine = F.ceil(F.col("k") / 256)
+    j = j.withColumn("leaf", F.when(fine <= 1, F.floor(low * F.col("k") / 256)).otherwise(low * fine + F.pmod(F.xxhash64("a"), fine)))
+    under = named.select("entry", "a").join(points.select("a", "home"), "a").select("entry", "home").distinct()
+    return cut(j.drop("q", "code"), "leaf-points"), cut(under, "homes")
+
+
+def _node(level: int):
+    """Name of a point's node ``level`` levels above its leaf."""
+    return F.xxhash64("home", "z", F.lit(level), F.expr(f"leaf div {FAN ** level}L"))
+
+
+def _near(points: DataFrame, under: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): pairs of different leaves that may hold links between components, by a join of the tree with itself."""
+    top = points.agg(F.max("leaf")).first()[0] or 0
+    levels = 0
+    while FAN ** levels <= top:
+        levels += 1
+    box = [F.max(F.get("p", F.lit(k))) for k in range(COARSE)]
     reach = math.ceil(math.log(den / num) / _SIZE_STEP) + 1
-    x, y = box.select(F.col("leaf"), F.struct("n", "z", "zz", "c", "cc", "p").alias("x")), box.select(F.col("leaf").alias("other"), F.struct("n", "z", "zz", "c", "cc", "p").alias("y"))
-    most = F.aggregate(F.zip_with("x.p", "y.p", lambda i, j: F.least(i, j)), F.lit(0).cast("long"), lambda s, v: s + v)
-    near = meet.join(x, "leaf").join(y, "other").filter((F.least("x.c", "y.c") != F.greatest("x.cc", "y.cc")) & (F.col("x.z") - F.col("y.zz") <= reach) & (F.col("y.z") - F.col("x.zz") <= reach)
-                                                       & (most * (num + den) >= num * (F.col("x.n") + F.col("y.n")))).select("leaf", "other")
-    def links(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-        """Links of two leaves, or of one, that join components this call has not joined yet."""
-        up: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while up.get(c, c) != c:
-                c = up[c]
-            return c
-
-        rows = list(zip(*(batch[x].to_pylist() for x in ("second", "a", "c", "n", "point", "shingles"))))
-        left, right = [r for r in rows if not r[0]], [r for r in rows if r[0]]
-        wide, out = {r[1]: _wide(r[5]) for r in rows}, []
-        for i, (_, u, cu, n, p, _) in enumerate(left):
-            for _, v, cv, m, q, _ in right or left[i + 1:]:
-                if den * min(n, m) >= num * max(n, m) and find(cu) != find(cv) and _most(p, q) * (num + den) >= num * (n + m) and _similar(wide[u], wide[v], num, den):
-                    up[find(cu)] = find(cv)
-                    out.append((u, v))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    near = near.withColumn("pair", F.xxhash64("leaf", "other"))
-    held = points.select("leaf", "a", "c", "n", "point").join(sets, F.col("a") == F.col("sig")).drop("sig")
-    one = near.select("pair", "leaf").join(held, "leaf").withColumn("second", F.lit(False))
-    two = near.filter("leaf <> other").select("pair", F.col("other").alias("leaf")).join(held, "leaf").withColumn("second", F.lit(True))
-    return one.union(two).select("pair", "second", "a", "c", "n", "point", "shingles").groupBy("pair").applyInArrow(links, "a bigint, b bigint")
+
+    def boxes(level: int, *more: str) -> DataFrame:
+        return points.groupBy(_node(level).alias("node"), *more).agg(F.struct(F.min("n").alias("n"), F.min("z").alias("z"), F.min("c").alias("c"), F.max("c").alias("cc"), F.array(*box).alias("p")).alias("b"))
+
+    def kept(pairs: DataFrame, level: int) -> DataFrame:
+        b = boxes(level)
+        j = pairs.join(b.toDF("x", "bx"), "x").join(b.toDF("y", "by"), "y")
+        most = F.aggregate(F.zip_with("bx.p", "by.p", lambda i, j: F.least(i, j)), F.lit(0).cast("long"), lambda s, v: s + v)
+        apart = (F.least("bx.c", "by.c") != F.greatest("bx.cc", "by.cc")) & (F.abs(F.col("bx.z") - F.col("by.z")) <= reach)
+        return j.filter(apart & (most * (num + den) >= num * (F.col("bx.n") + F.col("by.n")))).select("x", "y")
+
+    one = lambda d: d.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    meet = under.join(under.withColumnRenamed("home", "other"), "entry").filter("home <= other").select("home", "other").distinct()
+    roots = points.select("home", _node(levels).alias("x")).distinct()
+    pairs = kept(one(meet.join(roots, "home").join(roots.toDF("other", "y"), "other")), levels)
+    for level in range(levels - 1, -1, -1):
+        below = points.select(_node(level + 1).alias("x"), _node(level).alias("kid")).distinct()
+        pairs = kept(one(pairs.join(below, "x").withColumnRenamed("kid", "kx").join(below.toDF("y", "ky"), "y").select(F.col("kx").alias("x"), F.col("ky").alias("y"))), level)
+    return pairs.filter("x <> y")
+
+
+def _leaf_links(key: tuple[pa.Scalar, ...], batch: pa.Table, num: int, den: int) -> pa.Table:
+    """Links of two leaves, or within one, that join components this call has not joined yet."""
+    up: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    rows = list(zip(*(batch[x].to_pylist() for x in ("a", "c", "n", "point", "second"))))
+    wide = [_wide(b.as_buffer()) for b in batch["shingles"].combine_chunks()]
+    flat = np.array(batch["p"].to_pylist(), np.int64).reshape(len(rows), COARSE)
+    n = np.array([r[2] for r in rows], np.int64)
+    second = np.array([r[4] for r in rows], bool)
+    left = np.flatnonzero(~second)
+    right = np.flatnonzero(second) if second.any() else left
+    out = []
+    for i in left.tolist():
+        most = np.minimum(flat[i], flat[right]).sum(1)
+        able = right[(most * (num + den) >= num * (n[i] + n[right])) & (den * np.minimum(n[i], n[right]) >= num * np.maximum(n[i], n[right]))]
+        for j in able.tolist():
+            if (right is not left or j > i) and find(rows[i][1]) != find(rows[j][1]) and _most(rows[i][3], rows[j][3]) * (num + den) >= num * (n[i] + n[j]) and _similar(wide[i], wide[j], num, den):
+                up[find(rows[i][1])] = find(rows[j][1])
+                out.append((rows[i][0], rows[j][0]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _within(points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between components within each leaf."""
+    mixed = points.groupBy(_node(0).alias("pair")).agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("pair")
+    held = points.withColumn("pair", _node(0)).join(mixed, "pair", "left_semi").join(sets, F.col("a") == F.col("sig"))
+    held = held.select("pair", F.lit(False).alias("second"), "a", "c", "n", "point", "p", "shingles")
+    return held.groupBy("pair").applyInArrow(lambda k, b: _leaf_links(k, b, num, den), "a bigint, b bigint")
+
+
+def _across(near: DataFrame, points: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between components of each pair of leaves."""
+    near = near.withColumn("pair", F.xxhash64("x", "y"))
+    held = points.select(_node(0).alias("node"), "a", "c", "n", "point", "p").join(sets, F.col("a") == F.col("sig")).drop("sig")
+    side = near.select("pair", F.explode(F.array(F.struct(F.col("x").alias("node"), F.lit(False).alias("second")), F.struct(F.col("y").alias("node"), F.lit(True).alias("second")))).alias("s")).select("pair", "s.*")
+    return side.join(held, "node").drop("node").groupBy("pair").applyInArrow(lambda k, b: _leaf_links(k, b, num, den), "a bigint, b bigint")
 
 
 def _coarse(point: str):
@@ -521,9 +590,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _extended(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links; ``comp`` itself if there are none."""
-    if links.isEmpty():
-        return comp
+    """Components after more links."""
     return connected(comp.select(F.col("v").alias("a"), F.col("c").alias("b")).union(links))
 
 
@@ -547,40 +614,39 @@ def _small_batches(spark):
         spark.conf.set(key, old)
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text)."""
     with _small_batches(docs.sparkSession):
-        return _near_duplicates(docs, width, num, den, rounds).select("doc_id", "n_shingles", "component_id")
+        return _near_duplicates(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
 
 
-def _near_duplicates(docs: DataFrame, width: int, num: int, den: int, rounds: int) -> DataFrame:
+def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """near_duplicates() with text_hash and ``stays``: whether a row has the id and text that its component keeps."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    buckets = _buckets(docs)
-    made = cut(_points(docs, buckets, width), "points")
+    buckets, bits = _shape(docs)
+    made = cut(_points(docs, buckets, bits, width), "points")
     rows = made.filter("kind = 0").select(F.col("key").alias("doc_id"), "n", "sig", "text_hash")
     classes = cut(made.filter("kind = 0 and sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("blob").alias("point"), F.min(F.struct(F.isnull("key").alias("no_id"), "key", "text_hash")).alias("top")), "classes")
-    entries = cut(_entries(docs, _levels(made), buckets, width, num, den), "entries")
-    pairs = entries.filter("b is not null").select("a", "b")
+    levels = spark.sparkContext.broadcast(_levels(made))
+    entries = cut(_entries(docs, levels, buckets, bits, width, num, den), "entries")
+    levels.destroy()
     frequent = entries.filter("b is null").select("entry", "a").distinct()
     pivots = frequent.groupBy("entry").agg(F.min("a").alias("pivot"))  # a hash, and so the same random point in many entries
     star = frequent.join(pivots, "entry").filter("a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"))
     of = lambda p: p.select("a").union(p.select("b")).union(frequent.select("a")).distinct()
-    pairs = cut(pairs.union(star).distinct(), "pairs")
+    pairs = cut(entries.filter("b is not null").select("a", "b").union(star).distinct(), "pairs")
     used = cut(classes.join(of(pairs), F.col("sig") == F.col("a"), "left_semi"), "used")
     pairs = cut(_bounded(pairs, used, num, den), "bounded")
     used = cut(used.join(of(pairs), F.col("sig") == F.col("a"), "left_semi"), "used")
-    sets, name = _by_class(_sets(docs, used.select(F.col("rep").alias("id")), width), buckets)
-    #: every point's most promising pair first: most others then lie within one component and need no test
-    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("most", "a")).alias("a")).select("a", "b"), "best")
-    comp = connected(cut(_verified(best, sets, num, den), "links"))
-    rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), comp)
-    comp = _extended(comp, cut(_verified(rest, sets, num, den), "links"))
-    for k in range(1, rounds + 1):
-        star = _star(frequent, comp, k)
-        comp = _extended(comp, cut(_verified(_bounded(star, used, num, den).select("a", "b"), sets, num, den), "links"))
-    comp = _extended(comp, cut(_still_apart(frequent, comp, used, sets, num, den), "links"))
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # all that follows is written out
+    slots = _slots(used.count(), MARKS)
+    marks = spark.sparkContext.broadcast(_table(used.select(F.pmod(F.xxhash64("rep"), F.lit(slots)).alias("slot"), F.lit(1).alias("level")), slots, bool))
+    sets, name = _by_class(_sets(docs, marks, slots, width), buckets)
+    try:
+        marks.destroy()
+        comp = _links(pairs, frequent, used, sets, num, den)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # all that follows is written out
     named = classes.join(comp, classes.sig == comp.v, "left").select("sig", "rep", "top", F.coalesce("c", "sig").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), F.min("top").alias("top"))
     final = named.select("sig", "c").join(least, "c").select(F.col("sig").alias("s"), "component_id", "top")
@@ -589,11 +655,26 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int, rounds: in
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", stays.alias("stays"), F.isnull("sig").alias("blank"))
 
 
+def _links(pairs: DataFrame, frequent: DataFrame, used: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(v, c): components of the classes by all links."""
+    #: every point's most promising pair first: most others then lie within one component and need no test
+    best = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("most", "a")).alias("a")).select("a", "b"), "best")
+    comp = connected(_verified(best, sets, num, den))
+    rest = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), comp)
+    comp = _extended(comp, _verified(rest, sets, num, den))
+    points, under = _packed(frequent, comp, used)
+    if points.isEmpty():
+        return comp
+    comp = _extended(comp, _within(points, sets, num, den))
+    points = cut(_named(points, comp), "leaf-points")
+    return _extended(comp, _across(cut(_near(points, under, num, den), "near"), points, sets, num, den))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near copies: one with the smallest id, null ids last; rows without a word all stay.
 
     Id and text name a row.  Of rows that agree in both, which are counted, an arbitrary one stays."""
-    o = {"width": WIDTH, "num": NUM, "den": DEN, "rounds": 3} | options
+    o = {"width": WIDTH, "num": NUM, "den": DEN} | options
     with _small_batches(docs.sparkSession):
         found = cut(_near_duplicates(docs, **o).select("doc_id", "text_hash", "stays", "blank"), "found")
     gone = found.filter("not stays").select("doc_id", "text_hash").distinct()
