@@ -476,12 +476,18 @@ def _named(points: DataFrame, comp: DataFrame) -> DataFrame:
     return points.drop("c").join(comp.withColumnRenamed("v", "a"), "a", "left").withColumn("c", F.coalesce("c", "a"))
 
 
+def _by_entry(points: DataFrame, entries: DataFrame, shares: int = 16) -> DataFrame:
+    """``points`` with what ``entries`` says of their entry; an entry's points are dealt out to ``shares`` tasks."""
+    some = entries.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return points.withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(shares)).cast("int")).join(some, ["entry", "_s"]).drop("_s")
+
+
 def _packed(frequent: DataFrame, comp: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The points of half-spaces that hold several components: (a, c, n, point, p, home, z, k, leaf), leaf being the number of the
     leaf among the k leaves of the root (home, z); and (entry, home), the half-spaces that the points of each home lie in."""
     named = _named(frequent, comp)
     size = named.groupBy("entry").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("held")).filter("x <> y").select("entry", "held")
-    named = cut(named.join(size, "entry"), "open-entries")
+    named = cut(_by_entry(named, size), "open-entries")
     points = named.groupBy("a").agg(F.max_by("entry", F.struct("held", "entry")).alias("home"), F.first("c").alias("c"))
     points = points.join(classes, F.col("a") == F.col("sig")).select("a", "c", "home", "n", "point", _coarse("point").alias("p"), F.floor(F.log("n") / _SIZE_STEP).alias("z"))
     bit = f"transform(sequence(0, {COARSE // 2 - 1}), i -> if(p[2 * i] > p[2 * i + 1], 1L, 0L))"
@@ -633,7 +639,7 @@ def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFra
     levels.destroy()
     frequent = entries.filter("b is null").select("entry", "a").distinct()
     pivots = frequent.groupBy("entry").agg(F.min("a").alias("pivot"))  # a hash, and so the same random point in many entries
-    star = frequent.join(pivots, "entry").filter("a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"))
+    star = _by_entry(frequent, pivots).filter("a <> pivot").select(F.col("pivot").alias("a"), F.col("a").alias("b"))
     of = lambda p: p.select("a").union(p.select("b")).union(frequent.select("a")).distinct()
     pairs = cut(entries.filter("b is not null").select("a", "b").union(star).distinct(), "pairs")
     used = cut(classes.join(of(pairs), F.col("sig") == F.col("a"), "left_semi"), "used")

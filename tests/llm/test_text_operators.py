@@ -322,3 +322,28 @@ def test_clashing_columns(spark):
     assert quality.keep_good(data.frame(spark).withColumn("other", F.lit("mine"))).columns == [*data.frame(spark).columns, "other"]
     assert mixing.curriculum(d).count() == n and jaccard.near_duplicates(d).count() == n and pii.redact(d).columns == d.columns
     assert decontam.find_matches(d, bench(spark, [(1, "a b c")])).schema["contaminated"].dataType.typeName() == "boolean"
+
+
+# -- long and repetitive texts, and discovered keys
+
+
+def test_personal_data_in_long_chains(spark):
+    """Chains that a recursive matcher would not survive, and texts with many spans."""
+    texts = ["a@" + "b." * 300_000 + "c", "1." * 100_000, "+1 (017) 555-7713 " * 3_000, "x1@y.com " * 3_000]
+    got = {r.doc_id: r for r in pii.digest(pii.scan(data.frame(spark, [(i, t, "x", "s") for i, t in enumerate(texts)]))).collect()}
+    assert (got[0].n_email, got[3].n_email, got[2].n_phone) == (1, 3_000, 3_000)
+    assert got[2].spans.startswith("phone:0:17,phone:18:35,") and got[3].spans.endswith(",email:26991:26999")
+
+
+def test_keys_beside_a_cue_are_found(spark):
+    r = random.Random(3)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'{data.prose(r, 20)} token = "{key(40)}" {data.prose(r, 10)}', "en", "s") for i in range(12)]
+    rows += [(100, "some words token=ab12cd34 here", "en", "s"), (101, "the build 7f3a9c1d2e5b8a4f6c0d1234 passed", "en", "s"), (102, "nothing of this kind 12345", "en", "s")]
+    got = {x.doc_id: x.spans for x in pii.digest(pii.scan(data.frame(spark, rows))).collect()}
+    for i, t, *_ in rows[:12]:
+        at = t.index('"') + 1
+        assert got[i] == f"ctx_secret:{at}:{at + 40}"
+    assert got[100] == "ctx_secret:17:25" and got[101] == "" and got[102] == ""
+    gone = {x.doc_id: x.text for x in pii.redact(data.frame(spark, rows)).collect()}
+    assert 'token = "[CTX_SECRET]"' in gone[0] and gone[100] == "some words token=[CTX_SECRET] here" and gone[102] == rows[-1][1]
