@@ -32,7 +32,7 @@ from .common import without
 
 BLOCKS = frozenset("html body article main section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption address details summary dialog menu hgroup center search".split())
 #: Their contents are never text.
-SILENT = frozenset("script style noscript template head title svg math iframe object select textarea button option canvas audio video".split())
+SILENT = frozenset("script style noscript template head title svg annotation annotation-xml iframe object select textarea button option canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag on the left closes an open element on the right.
@@ -51,8 +51,8 @@ NAMES = {
     "content": "article content post entry story main text body page-content article-body entry-content post-content richtext prose",
 }
 _NAME_OF = {w: k for k, v in NAMES.items() for w in v.split()}
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Besides blocks, tags that end an open silent element.
 _BREAKS = frozenset("option optgroup select datalist hr head".split())
@@ -80,56 +80,82 @@ def _kinds(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+def _raw_end(html: str, tag: str, i: int) -> int:
+    """Where the end tag of a raw element is over; -1 if there is none."""
+    m = re.compile(rf"</{tag}\b", re.I | re.A).search(html, i)
+    return html.find(">", m.end()) + 1 or -1 if m else -1
+
+
 def _tokens(html: str) -> list[tuple]:
     """(start, end, tag, is an end tag, attributes) of each tag in order; what gives no text, like comments and the
-    contents of scripts, has no tag name."""
-    out, tag_at, i, open_raw = [], _TAG, 0, set()
+    contents of scripts, has no tag name.  The time is linear: every search goes on where the last one ended, or is the last one."""
+    out, quoted, i, open_raw, n = [], True, 0, set(), len(html)
     while (j := html.find("<", i)) >= 0:
         if html.startswith("<!--", j):
             k = html.find("-->", j + 4)
-            i = len(html) if k < 0 else k + 3
+            i = n if k < 0 else k + 3
             out.append((j, i, "", False, ""))
             continue
         if html[j + 1:j + 2] in ("!", "?"):
             k = html.find(">", j)
-            i = len(html) if k < 0 else k + 1
+            i = n if k < 0 else k + 1
             out.append((j, i, "", False, ""))
             continue
-        m = tag_at.match(html, j)
-        if not m and html[j + 1:j + 2].isascii() and (html[j + 1:j + 2].isalpha() or html[j + 1:j + 2] == "/") and tag_at is _TAG:
-            if (k := html.find(">", j)) >= 0 and re.match(r"</?[a-zA-Z]", html[j:j + 3]):
-                tag_at = _PLAIN_TAG  # a quote stays open: read the rest of the page without quotes
-                m = tag_at.match(html, j)
+        m = _NAME.match(html, j)
         if not m:
             i = j + 1
             continue
-        i, end, tag = m.end(), m[1] == "/", m[2].lower()
-        if tag in RAW and not end and not m[3].endswith("/"):
-            k = None if tag in open_raw else re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, i)
-            if not k:  # never closed: up to the body, else up to the end
+        k = m.end()
+        while quoted:  # to the first > that no quotes hold
+            k = _PLAIN.match(html, k).end()
+            if k < n and html[k] == ">":
+                break
+            k = html.find(html[k], k + 1) + 1 if k < n else 0
+            quoted = k > 0  # a quote or the tag stays open: read the rest of the page without quotes
+        if not quoted and (k := html.find(">", m.end())) < 0:
+            break  # no tag ends any more
+        more, i, end, tag = html[m.end():k], k + 1, m[1] == "/", m[2].lower()
+        if tag in RAW and not end and not more.endswith("/"):
+            k = -1 if tag in open_raw else _raw_end(html, tag, i)
+            if k < 0:  # never closed: up to the body, else up to the end
                 open_raw.add(tag)
-                k = _BODY.search(html, i)
-                i = k.start() if k else len(html)
+                body = _BODY.search(html, i)
+                i = body.start() if body else n
             else:
-                i = k.end()
+                i = k
             tag = ""
-        out.append((j, i, "" if tag in RAW else tag, end, m[3]))
+        out.append((j, i, "" if tag in RAW else tag, end, more))
     return out
 
 
+class _Open:
+    """Open elements; where the last one of each tag is, is known without a search."""
+
+    def __init__(self, *tags: str):
+        self.tags, self.at = [], defaultdict(list)
+        for t in tags:
+            self.push(t)
+
+    def push(self, tag: str) -> None:
+        self.at[tag].append(len(self.tags))
+        self.tags.append(tag)
+
+    def pop(self, upto: int) -> None:
+        while len(self.tags) > upto:
+            self.at[self.tags.pop()].pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost element of these tags, -1 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+
 def _extents(tokens: list[tuple]) -> dict[int, int]:
     """Start of a silent element -> where it ends: behind its end tag; or, if that is left out, at the next tag of a
     block or form element, so that an open element takes no more than its own line of text along."""
     out: dict[int, int] = {}
-    stack: list[tuple[str, int]] = []
-    count: dict[str, int] = defaultdict(int)  # tags on the stack
+    stack, starts = _Open(), []
     loose: list[int] = []  # silent elements that have met no block tag yet
 
-    def pop(upto: int):
-        for t, _ in stack[upto:]:
-            count[t] -= 1
-        del stack[upto:]
-
     for j, i, tag, end, more in tokens:
         silent = tag in SILENT and tag != "head"
         if tag in BLOCKS or tag in _BREAKS:
@@ -138,26 +164,22 @@ def _extents(tokens: list[tuple]) -> dict[int, int]:
             loose = []
         if not end:
             if tag == "body":
-                pop(0)
-            elif tag in ("option", "button") and count[tag]:  # a new one closes an open one
-                pop(max(k for k, (t, _) in enumerate(stack) if t == tag))
+                stack.pop(0)
+            elif tag in ("option", "button") and (k := stack.last(tag)) >= 0:  # a new one closes an open one
+                stack.pop(k)
+            del starts[len(stack.tags):]
             if tag in BLOCKS or silent and not more.endswith("/"):
-                stack.append((tag, j))
-                count[tag] += 1
+                stack.push(tag)
+                starts.append(j)
                 if silent:
                     loose.append(j)
-        elif count[tag]:
-            for k in range(len(stack) - 1, -1, -1):
-                t, start = stack[k]
-                if t == tag:
-                    if silent:
-                        out[start] = i
-                        if loose and loose[-1] >= start:
-                            loose = [x for x in loose if x < start]
-                    pop(k)
-                    break
-                if t == "object" or tag == "p" and t in SILENT:
-                    break
+        elif (k := stack.last(tag)) >= 0 and (tag == "object" or stack.last("object") < k) and (tag != "p" or stack.last(*SILENT) < k):
+            if silent:
+                out[starts[k]] = i
+                while loose and loose[-1] >= starts[k]:
+                    loose.pop()
+            stack.pop(k)
+            del starts[k:]
     return out
 
 
@@ -166,6 +188,7 @@ def parse(html: str) -> list[Node]:
     root = Node("root", frozenset(), 0, None)
     nodes, stack, held, linked = [root], [root], [], 0
     head, link, i, n = False, 0, 0, len(html)
+    opened = _Open("root")
 
     def flush():
         nonlocal held, linked
@@ -191,6 +214,7 @@ def parse(html: str) -> list[Node]:
     def close(upto: int):
         flush()
         del stack[upto:]
+        opened.pop(upto)
 
     tokens = _tokens(html)
     extent = _extents(tokens) if any(t[2] in SILENT and t[2] != "head" for t in tokens) else {}
@@ -224,8 +248,7 @@ def parse(html: str) -> list[Node]:
         if tag not in BLOCKS:
             continue
         if end:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if at:
+            if (at := opened.last(tag)) > 0:
                 close(at)
             else:
                 flush()
@@ -234,18 +257,15 @@ def parse(html: str) -> list[Node]:
         if stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
             close(len(stack) - 1)
         elif tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    close(k)
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table"):
-                    break
+            if (at := opened.last(*CLOSES[tag])) > opened.last("ul", "ol", "dl", "table"):
+                close(at)
         flush()
         label = _LABEL.search(attributes) if "data-y" in attributes else None
         node = Node(tag, _kinds(attributes) if attributes else frozenset(), int(label[1]) if label else stack[-1].label, stack[-1])
         stack[-1].kids.append(node)
         nodes.append(node)
         stack.append(node)
+        opened.push(tag)
     flush()
     for k, x in enumerate(nodes):
         x.index = k
