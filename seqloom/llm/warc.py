@@ -10,10 +10,13 @@ candidate: a task emits its offset and the successor offset that its Content-Len
 inside a payload gives a candidate too.  Consecutive candidates that declare each other form runs; runs
 are linked by their last member's successor, and pointer jumping over the runs from each file's first
 byte doubles its reach every round.  Only candidates on that chain are records; the rest are payload.
-A record whose payload holds magics is put together again from its pieces.
+A record whose payload holds magics is put together again from its pieces.  Pieces are named by their byte offsets, never by
+what a scan's splits happen to be.  A file whose chain does not end at its last byte raises an error, so no record is lost unseen.
 
 Defined results: null html -> empty payload; null ids -> the record refers to null ids alike; null url
--> an empty target; an empty table gives an archive without records.
+-> an empty target; URLs are written percent-encoded where they hold characters that are not printable ASCII, or the magic;
+an empty table gives an archive without records; equal pages give a record each; columns besides page_id, url and html
+are not read; a page may be as long as a string of Spark.
 """
 
 from __future__ import annotations
@@ -35,6 +38,13 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*parts), *_BASE32)
 
 
+def _uri(url: Column) -> Column:
+    """``url`` in printable ASCII and without the magic."""
+    escaped = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"[^\x21-\x7E]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    plain = F.when(url.rlike(r"[^\x21-\x7E]"), F.array_join(escaped, "")).otherwise(url)
+    return F.replace(plain, F.lit(MAGIC), F.lit(MAGIC.replace("W", "%57")))
+
+
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, record_type, refers_to, value): ``value`` is the record without its closing line ends."""
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
@@ -49,15 +59,15 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     head = F.concat(
         F.lit(f"{MAGIC}1\r\nWARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), name("page_id"),
         F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Refers-To: "), name("keeper"), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
-        F.lit("\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", " "), F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
+        F.lit("\r\nWARC-Target-URI: "), _uri(F.col("url")), F.lit("\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit(END))
     return p.select("page_id", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
                     F.when(F.col("revisit"), F.col("keeper")).alias("refers_to"), F.concat(head, F.col("block")).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
-    """Archives under ``path``; with compression "none" readers can split the files."""
-    records(pages, least).select("value").write.option("lineSep", END).option("compression", compression).mode("overwrite").text(path)
+def write_warc(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip", per_file: int = 50_000) -> None:
+    """Archives under ``path`` of at most ``per_file`` records each; with compression "none" readers can split the files."""
+    records(pages, least).select("value").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", compression).mode("overwrite").text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +88,7 @@ def _offsets(pieces: DataFrame) -> DataFrame:
 
 
 def _field(head: Column, name: str) -> Column:
-    return F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
+    return F.regexp_extract(head, rf"(?imd)^{name}:[ \t]*([^\r\n]*)", 1)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
@@ -89,14 +99,14 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     p = p.withColumn("_bytes", F.octet_length("value").cast("long")).withColumn("_head", F.substring_index("value", END, 1))
     p = p.withColumn("_start", (F.octet_length("_head") + len(END)).cast("long"))
     ok = F.col("value").rlike(r"^[01]\r\n") & (F.instr("value", END) > 0)
-    length = F.when(ok, F.expr("try_cast(" + "regexp_extract(_head, '(?im)^Content-Length:[ \\t]*([0-9]+)', 1)" + " AS bigint)"))
+    length = F.when(ok, F.expr("try_cast(" + "regexp_extract(_head, '(?imd)^Content-Length:[ \\t]*([0-9]+)', 1)" + " AS bigint)"))
     p = p.withColumn("_length", length)
     p = p.withColumn("size", len(MAGIC) + F.col("_start") + F.col("_length") + len(END))
     p = p.withColumn("whole", F.coalesce(F.col("size") <= F.col("_bytes") + len(MAGIC), F.lit(False)))
     block = F.expr("substring(cast(value as binary), cast(_start + 1 as int), cast(_length as int))")
     p = p.withColumn("_block", F.when(F.col("whole"), block))
     fields = _fields(F.col("_head"), F.col("_block"))
-    p = p.select("file", "block", "pos", "_bytes", "size", "whole", *[v.alias(k) for k, v in fields.items()])
+    p = cut(p.select("file", "block", "pos", "_bytes", "size", "whole", *[v.alias(k) for k, v in fields.items()]), "warc-scan")  # one scan gives places and sizes
     return cut(_offsets(p).withColumn("succ", F.col("off") + F.col("size")), "warc")
 
 
@@ -110,7 +120,7 @@ def _fields(head: Column, block: Column) -> dict[str, Column]:
         "record_type": kind, "page_id": number("WARC-Record-ID"), "refers_to": number("WARC-Refers-To"), "url": _field(head, "WARC-Target-URI"),
         "declared_digest": F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha1:", ""),
         "payload_digest": F.when(kind == "revisit", F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha1:", "")).otherwise(sha1_base32(payload(block))),
-        "payload_bytes": F.when(kind == "revisit", F.regexp_extract(http, r"(?im)^Content-Length:[ \t]*([0-9]+)", 1).try_cast("long")).otherwise(F.octet_length(payload(block)).cast("long")),
+        "payload_bytes": F.when(kind == "revisit", F.regexp_extract(http, r"(?imd)^Content-Length:[ \t]*([0-9]+)", 1).try_cast("long")).otherwise(F.octet_length(payload(block)).cast("long")),
     }
 
 
@@ -139,26 +149,40 @@ def chain(found: DataFrame, max_rounds: int = 64) -> DataFrame:
     return nodes.join(entry, ["file", "run"]).filter(F.col("off") >= F.col("entry")).select("file", "off")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, off, record_type, page_id, refers_to, url, payload_bytes, payload_digest, declared_digest) of every record."""
+def _check_ends(found: DataFrame, kept: DataFrame) -> None:
+    """Raise an error if a file holds bytes behind the end of its chain."""
+    end = found.groupBy("file").agg(F.max(F.col("off") + len(MAGIC) + F.col("_bytes")).alias("end"))
+    last = kept.groupBy("file").agg(F.max("succ").alias("last"))
+    bad = end.join(last, "file", "left").filter(F.col("end") > F.coalesce("last", F.lit(0))).orderBy("file").first()
+    if bad:
+        raise ValueError(f"{bad.file}: no record begins at byte {bad['last'] or 0} of {bad.end}")
+
+
+def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(file, off, record_type, page_id, refers_to, url, payload_bytes, payload_digest, declared_digest) of every record.
+
+    Files that end within a record, or hold something else behind one, raise an error; with ``strict`` false their
+    records up to there are returned."""
     columns = ["file", "off", "record_type", "page_id", "refers_to", "url", "payload_bytes", "payload_digest", "declared_digest"]
     found = candidates(spark, path)
     real = chain(found)
     kept = cut(found.join(real, ["file", "off"], "left_semi"), "warc-records")
+    if strict:
+        _check_ends(found, kept)
     split = kept.filter(~F.col("whole"))
     if split.isEmpty():
         return kept.select(*columns)
     #: ranges of the records that hold magics, joined to the pieces inside them by (file, block of offsets)
     grain = 1 << 20
     spans = split.select("file", F.col("off").alias("owner"), F.col("succ").alias("end")).withColumn("_g", F.explode(F.sequence(F.floor(F.col("owner") / grain), F.floor(F.col("end") / grain))))
-    pieces = found.select("file", "block", "pos", "off").withColumn("_g", F.floor(F.col("off") / grain))
+    pieces = found.select("file", "off").withColumn("_g", F.floor(F.col("off") / grain))
     inside = pieces.join(spans, ["file", "_g"]).filter((F.col("off") >= F.col("owner")) & (F.col("off") < F.col("end")))
-    wanted = inside.select("file", "block", "pos", "owner", F.col("off").alias("at"))
-    parts = _pieces(spark, path).join(wanted, ["file", "block", "pos"])
+    again = cut(_pieces(spark, path).join(split.select("file").distinct(), "file", "left_semi").withColumn("_bytes", F.octet_length("value").cast("long")), "warc-pieces")
+    parts = _offsets(again).join(inside.select("file", "owner", "off"), ["file", "off"]).withColumnRenamed("off", "at")
     #: a record's pieces are as long together as the record
     whole = parts.groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x.value), MAGIC).alias("value"))
     whole = whole.withColumn("_head", F.substring_index("value", END, 1)).withColumn("_start", F.octet_length("_head") + len(END))
-    whole = whole.withColumn("_length", F.expr("try_cast(regexp_extract(_head, '(?im)^Content-Length:[ \\t]*([0-9]+)', 1) AS bigint)"))
+    whole = whole.withColumn("_length", F.expr("try_cast(regexp_extract(_head, '(?imd)^Content-Length:[ \\t]*([0-9]+)', 1) AS bigint)"))
     whole = whole.withColumn("_block", F.expr("substring(cast(value as binary), cast(_start + 1 as int), cast(_length as int))"))
     fields = _fields(F.col("_head"), F.col("_block"))
     whole = whole.select("file", F.col("owner").alias("off"), *[v.alias(k) for k, v in fields.items()])

@@ -1,4 +1,5 @@
 import random
+import time
 
 import brute
 import pytest
@@ -119,3 +120,49 @@ def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (1, "u", PAGE)], PAGES).withColumn("text", F.lit("mine"))
     rows = html.extract(pages).collect()
     assert [(r.page_id, r.n_chars) for r in rows] == [(1, len(html.main_text(PAGE))), (2, 0), (1, len(html.main_text(PAGE)))]
+
+
+@pytest.mark.parametrize("part", ["<a", "<", "<p>", "<div></b>", '<a href="', "<button>", "<script>", "<style>a</style", "<!--", "<ul><li>", "<svg>", "<object><p>", "</p>", "<td>", "&", "<a class='"])
+def test_long_broken_pages_take_linear_time(part):
+    html.model()
+    began = time.time()
+    html.main_text(part * (1_000_000 // len(part)))
+    html.main_text("<div>" * 50_000 + part * 50_000)
+    assert time.time() - began < 60
+
+
+def test_urls_that_look_like_records(spark, tmp_path):
+    odd = ["http://x/WARC/1.1", "http://x/ Content-Length: 5", "a\r\nContent-Length: 3\r\n\r\nWARC/1.1\r\n", "http://é.x/ü?q=a b", "WARC/1.WARC/1.", None, ""]
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(odd)] + [(50, "http://x", FAKE), (51, "u", "end")]
+    at = archive(spark, tmp_path, rows)
+    assert read(spark, at) == brute.warc([(i, h) for i, _, h in rows])
+    urls = {r.page_id: r.url for r in warc.read_warc(spark, at).collect()}
+    assert urls[0] == "http://x/%57ARC/1.1" and urls[3] == "http://%C3%A9.x/%C3%BC?q=a%20b" and urls[51] == "u" and urls[5] == urls[6] == ""
+
+
+def test_splits_may_change_between_scans(spark, tmp_path, monkeypatch):
+    """Records are put together by byte offsets, so another split size in the second scan loses none."""
+    rows = [(i, None, f"{FAKE} {i} WARC/1. " * 3) for i in range(60)]
+    at = archive(spark, tmp_path, rows, compression="none")
+    old, whole, sizes = spark.conf.get("spark.sql.files.maxPartitionBytes"), warc._pieces, iter(["900b", "2000b"])
+
+    def pieces(s, path):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return whole(s, path)
+
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    try:
+        assert read(spark, at) == brute.warc([(i, h) for i, _, h in rows])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_truncated_archives_raise(spark, tmp_path):
+    at = tmp_path / "cut"
+    at.mkdir()
+    warc.write_warc(spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 9) for i in range(5)], PAGES).coalesce(1), str(tmp_path / "all"), compression="none")
+    data = next((tmp_path / "all").glob("part-*")).read_bytes()
+    (at / "one").write_bytes(data[: len(data) - 30])
+    with pytest.raises(ValueError, match="no record begins"):
+        warc.read_warc(spark, str(at))
+    assert warc.read_warc(spark, str(at), strict=False).count() >= 4
