@@ -149,11 +149,15 @@ def chain(found: DataFrame, max_rounds: int = 64) -> DataFrame:
     return nodes.join(entry, ["file", "run"]).filter(F.col("off") >= F.col("entry")).select("file", "off")
 
 
+def _ends(found: DataFrame) -> DataFrame:
+    """(file, end): the bytes of each file."""
+    return found.groupBy("file").agg(F.max(F.col("off") + len(MAGIC) + F.col("_bytes")).alias("end"))
+
+
 def _check_ends(found: DataFrame, kept: DataFrame) -> None:
-    """Raise an error if a file holds bytes behind the end of its chain."""
-    end = found.groupBy("file").agg(F.max(F.col("off") + len(MAGIC) + F.col("_bytes")).alias("end"))
+    """Raise an error if a file's chain ends before or behind the file's end."""
     last = kept.groupBy("file").agg(F.max("succ").alias("last"))
-    bad = end.join(last, "file", "left").filter(F.col("end") > F.coalesce("last", F.lit(0))).orderBy("file").first()
+    bad = _ends(found).join(last, "file", "left").filter((F.col("end") > 0) & ~F.col("end").eqNullSafe(F.col("last"))).orderBy("file").first()
     if bad:
         raise ValueError(f"{bad.file}: no record begins at byte {bad['last'] or 0} of {bad.end}")
 
@@ -169,6 +173,8 @@ def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     kept = cut(found.join(real, ["file", "off"], "left_semi"), "warc-records")
     if strict:
         _check_ends(found, kept)
+    else:
+        kept = kept.join(_ends(found), "file").filter("succ <= end").drop("end")
     split = kept.filter(~F.col("whole"))
     if split.isEmpty():
         return kept.select(*columns)

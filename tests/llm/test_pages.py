@@ -165,4 +165,4 @@ def test_truncated_archives_raise(spark, tmp_path):
     (at / "one").write_bytes(data[: len(data) - 30])
     with pytest.raises(ValueError, match="no record begins"):
         warc.read_warc(spark, str(at))
-    assert warc.read_warc(spark, str(at), strict=False).count() >= 4
+    assert warc.read_warc(spark, str(at), strict=False).count() == 4
