@@ -11,7 +11,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d"""
 
 
-def _op2(spread: int = 3, min_group: int = 30) -> str:
+def _op2(spread: int = 6, min_group: int = 30) -> str:
     ratios = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, CASE WHEN {den} > 0 THEN ({scale} * {num}) // {den} ELSE 0 END AS v FROM m WHERE NOT base_failed" for r, (num, den, scale, *_) in quality.RATIOS.items())
     quart = lambda keys, source: f"""SELECT {keys + ', ' if keys else ''}ratio, max(total) AS total, min(CASE WHEN 4 * cum >= total THEN bin END) AS q25, min(CASE WHEN 4 * cum >= 3 * total THEN bin END) AS q75
       FROM (SELECT *, sum(n) OVER (PARTITION BY {keys + ', ' if keys else ''}ratio) AS total, sum(n) OVER (PARTITION BY {keys + ', ' if keys else ''}ratio ORDER BY bin) AS cum FROM {source}) z GROUP BY ALL"""
@@ -26,7 +26,7 @@ def _op2(spread: int = 3, min_group: int = 30) -> str:
   m AS MATERIALIZED (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
     len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed FROM d JOIN l USING (rid) LEFT JOIN rep USING (rid)),
-  h AS MATERIALIZED (SELECT lang, source, ratio, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bin, count(*) AS n FROM ({ratios}) r GROUP BY ALL),
+  h AS MATERIALIZED (SELECT lang, source, ratio, CASE WHEN v < 256 THEN v ELSE (v >> (length(bin(v)) - 8)) << (length(bin(v)) - 8) END AS bin, count(*) AS n FROM ({ratios}) r GROUP BY ALL),
   hl AS (SELECT lang, ratio, bin, sum(n) AS n FROM h GROUP BY ALL), ho AS (SELECT ratio, bin, sum(n) AS n FROM h GROUP BY ALL),
   a AS ({quart('lang, source', 'h')}), b AS ({quart('lang', 'hl')}), c AS ({quart('', 'ho')}),
   s AS (SELECT a.lang, a.source, a.ratio, CASE WHEN a.total >= {min_group} THEN a.q25 WHEN b.total >= {min_group} THEN b.q25 ELSE c.q25 END AS q25, CASE WHEN a.total >= {min_group} THEN a.q75 WHEN b.total >= {min_group} THEN b.q75 ELSE c.q75 END AS q75

@@ -2,15 +2,16 @@
 
 Each text gets exact base counts.  Four ratios of them are summarised per (lang, source) in a
 mergeable quantile sketch: a histogram over log-linear integer bins with a relative error of at most
-1/32.  Sketches merge by adding counts, so the per-language and global sketches are sums of the
+1/128.  Sketches merge by adding counts, so the per-language and global sketches are sums of the
 (lang, source) ones and the result doesn't depend on row order.  A group's threshold for a ratio is an
 outlier fence over its own quartiles, upper = q75 + spread * max(q75 - q25, least); thresholds are
-joined back and rows beyond a fence are rejected.
+joined back and rows beyond a fence are rejected.  ``least`` is the smallest spread that counts; it decides only where
+three quarters of a group's texts agree to that much, as they do in a ratio that is 0 for most texts.
 
 Defined results: null or blank text -> all counts 0 and base_failed; null lang or source form their
 own groups; groups with fewer than ``min_group`` rows use their language's sketch, and languages with
-fewer use the global one; repeated rows are judged alike; an empty table gives an empty result; input
-columns named as an output column are replaced.
+fewer use the global one; repeated rows are judged alike; an empty table gives an empty result; texts of any length
+are counted whole; input columns named as an output column are replaced, but keep_good() gives all columns back as they were.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from .common import SPACE, cut, let, without, words_of
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 #: Ratio -> (numerator, denominator, scale, least inter-quartile range, sides fenced).
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 100, 100, ("low", "high")),
-    "symbols": ("n_symbols", "n_words", 1000, 60, ("high",)),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 200, ("high",)),
-    "repeats": ("n_repeat_words", "n_words", 1000, 100, ("high",)),
+    "word_length": ("word_chars", "n_words", 100, 10, ("low", "high")),
+    "symbols": ("n_symbols", "n_words", 1000, 30, ("high",)),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, ("high",)),
+    "repeats": ("n_repeat_words", "n_words", 1000, 50, ("high",)),
 }
 POS_BITS = 24
 
@@ -84,9 +85,9 @@ def ratio(name: str) -> Column:
 
 
 def bin_of(value: Column) -> Column:
-    """Lower bound of the log-linear bin: exact below 64, then 32 bins per power of two."""
-    drop = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
-    return F.when(value < 64, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop))
+    """Lower bound of the log-linear bin: exact below 256, then 128 bins per power of two."""
+    drop = F.greatest(F.length(F.bin(value)) - 8, F.lit(0))
+    return F.when(value < 256, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -105,7 +106,7 @@ def _quartiles(hist: DataFrame, keys: list[str]) -> DataFrame:
         F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bin"))).alias("q75"))
 
 
-def thresholds(hist: DataFrame, spread: int = 3, min_group: int = 30) -> DataFrame:
+def thresholds(hist: DataFrame, spread: int = 6, min_group: int = 30) -> DataFrame:
     """(lang, source, t: map ratio -> struct(low, high)); a row per (lang, source) that the sketches hold."""
     by_lang = hist.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("ratio", "bin").agg(F.sum("n").alias("n"))
@@ -123,14 +124,14 @@ def thresholds(hist: DataFrame, spread: int = 3, min_group: int = 30) -> DataFra
         for r, v in RATIOS.items() for side in v[4]])
 
 
-def apply_rules(docs: DataFrame, carry: list[str] | None = None, spread: int = 3, min_group: int = 30) -> DataFrame:
+def apply_rules(docs: DataFrame, carry: list[str] | None = None, spread: int = 6, min_group: int = 30) -> DataFrame:
     """``carry`` columns (default: all of ``docs``) with the base counts, base_failed and kept."""
     added = [*COUNTS, "base_failed", "kept"]
     carry = docs.columns if carry is None else carry
     keep = [c for c in carry if c.lower() not in added]
     extra = [c for c in ("lang", "source") if c not in keep]
-    m = without(docs, added).withColumn("counts", counts(F.col("text")))
-    m = m.select(*[F.col(f"`{c}`") for c in keep + extra], *[F.col(f"counts.{c}").alias(c) for c in COUNTS])
+    m = without(docs, added).withColumn("_base_counts", counts(F.col("text")))
+    m = m.select(*[F.col(f"`{c}`") for c in keep + extra], *[F.col(f"_base_counts.{c}").alias(c) for c in COUNTS])
     m = m.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     m = cut(m, "quality")
     t = cut(thresholds(sketches(m), spread, min_group), "thresholds")  # of known size, so that the join need not move the texts
@@ -145,4 +146,6 @@ def apply_rules(docs: DataFrame, carry: list[str] | None = None, spread: int = 3
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """Only the rows that are kept, with the columns of ``docs``."""
-    return apply_rules(docs, **options).filter("kept").select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() in {*COUNTS, "base_failed", "kept"}}
+    judged = apply_rules(docs.withColumnsRenamed(aside), **options)
+    return judged.filter("kept").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
