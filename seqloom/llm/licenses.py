@@ -143,7 +143,7 @@ def matched(said: DataFrame, notices: DataFrame, least: float = LEAST) -> DataFr
 def scan(files: DataFrame, notices: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """(``path``, other columns but text, own_license, own_score, license, inherited_from) for every row of ``files`` (path, text, ...)."""
     added = ["own_license", "own_score", "license", "inherited_from"]
-    keep = [c for c in files.columns if c not in ("text", *added)]
+    keep = [c for c in files.columns if c.lower() not in ("text", *added)]
     notices = templates(files.sparkSession) if notices is None else notices
     text = F.coalesce(F.col("text"), F.lit(""))
     some = F.when(text.rlike(VOCABULARY), F.filter(_sentences(text), lambda s: s.rlike(VOCABULARY))).otherwise(F.array().cast("array<string>"))
@@ -162,14 +162,14 @@ def scan(files: DataFrame, notices: DataFrame | None = None, least: float = LEAS
     name = F.element_at(F.split(F.coalesce("path", F.lit("")), "/"), -1)
     is_file = name.rlike(FILE_NAMES) | F.col("_mostly") | F.coalesce("_whole", F.lit(False))
     parent = lambda p: F.regexp_replace(p, "/?[^/]*$", "")
-    folders = rows.filter(F.col("own_license").isNotNull() & is_file & F.col("path").isNotNull()).select(parent(F.col("path")).alias("folder"), "own_license", "own_score")
-    folders = folders.groupBy("folder").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("license"))).alias("b")).select("folder", F.col("b.license").alias("folder_license"))
+    folders = rows.filter(F.col("own_license").isNotNull() & is_file & F.col("path").isNotNull()).select(parent(F.col("path")).alias("_folder"), "own_license", "own_score")
+    folders = folders.groupBy("_folder").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("license"))).alias("b")).select("_folder", F.col("b.license").alias("_folder_license"))
     #: ancestors of the distinct directories, not of every file
-    homes = rows.filter(F.col("path").isNotNull()).select(parent(F.col("path")).alias("home")).distinct()
-    parts = F.split("home", "/")
-    up = homes.select("home", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("folder"))
-    near = up.join(folders, "folder").groupBy("home").agg(F.max(F.struct(F.length("folder").alias("depth"), "folder", "folder_license")).alias("b"))
-    near = near.select("home", F.col("b.folder").alias("folder"), "b.folder_license")
-    j = rows.join(near, parent(rows.path) == near.home, "left")
-    given = F.col("own_license").isNull() & F.col("folder_license").isNotNull()
-    return j.select(*[F.col(f"`{c}`") for c in keep], "own_license", "own_score", F.coalesce("own_license", "folder_license").alias("license"), F.when(given, F.col("folder")).alias("inherited_from"))
+    homes = rows.filter(F.col("path").isNotNull()).select(parent(F.col("path")).alias("_home")).distinct()
+    parts = F.split("_home", "/")
+    up = homes.select("_home", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("_folder"))
+    near = up.join(folders, "_folder").groupBy("_home").agg(F.max(F.struct(F.length("_folder").alias("depth"), "_folder", "_folder_license")).alias("b"))
+    near = near.select("_home", "b._folder", "b._folder_license")
+    j = rows.join(near, parent(rows.path) == near._home, "left")
+    given = F.col("own_license").isNull() & F.col("_folder_license").isNotNull()
+    return j.select(*[F.col(f"`{c}`") for c in keep], "own_license", "own_score", F.coalesce("own_license", "_folder_license").alias("license"), F.when(given, F.col("_folder")).alias("inherited_from"))
