@@ -10,7 +10,7 @@ are marked rejected.
 
 Whole texts are compressed, in blocks of ``BLOCK`` bytes so that the dictionary stays in reach.
 Defined results: null texts and texts without a letter -> `und`, score 0, rejected; with no labelled
-rows every text is `und`; ties go to the language with more labelled rows, then to the one that sorts first; repeated rows are alike.
+rows, as in an empty table, every text is `und`; a letter is a character of Unicode category L; input columns of the output's names are replaced; ties go to the language with more labelled rows, then to the one that sorts first; repeated rows are alike.
 """
 
 import re
@@ -55,21 +55,24 @@ def train(labelled: DataFrame, budget: int = BUDGET) -> dict[str, bytes]:
     budget = min(budget, max(TOTAL // len(known), SHARE))
     #: the row that comes first is taken at any rate, so that no language goes without
     limits = each.select(F.col("lang").alias("_lang"), F.greatest("first", (2.0 * budget + 8 * PER_TEXT) / F.col("c") * 1_000_003).alias("_to"))
-    some = rows.join(limits, F.col("lang") == F.col("_lang")).filter(F.col("at") <= F.col("_to"))
+    some = rows.join(limits, F.col("lang") == F.col("_lang")).filter(F.col("at") <= F.col("_to")).select("lang", "text", "h").distinct()  # equal rows count once
     got: dict[str, str] = {}
-    for lang, text, _ in sorted(some.select("lang", "text", "h").collect(), key=lambda r: (r[0], r[2], r[1])):
+    for lang, text, _ in sorted(some.collect(), key=lambda r: (r[0], r[2], r[1])):
         if len(got.get(lang, "")) < budget:
             got[lang] = got.get(lang, "") + text + "\n"
-    return {r.lang: b for r in known if (b := plain(got.get(r.lang, ""))[:budget])}
+    return {r.lang: b for r in known if (b := _letters(got.get(r.lang, ""))[:budget].encode("utf-8", "surrogatepass"))}
 
 
-_LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
 
 
-def plain(text: str) -> bytes:
+def _letters(text: str) -> str:
     """Lower-cased letters with single spaces between words: case and symbols say nothing about the language."""
-    return _REST.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
+    return _REST.sub(" ", text.lower())
+
+
+def plain(text: str) -> bytes:
+    return _letters(text).encode("utf-8", "surrogatepass")
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
@@ -93,7 +96,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], narrow: float = NAR
         starts = range(0, len(content), GROUP)
         only = tools(content) if len(starts) == 1 else None
         for batch in batches:
-            texts = [t if t and _LETTER.search(t) else None for t in batch]
+            texts = [t if t and any(map(str.isalpha, t)) else None for t in batch]
             best: list = [None] * len(texts)  # smallest total, its language, the second smallest
             for at in starts:
                 group = only or tools(content[at:at + GROUP])
