@@ -59,7 +59,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents")))
+    limits = spark.createDataFrame([(n,) for n in tokens.LIMITS], "context_limit bigint")
+    return tokens.suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents")), limits)
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_license_scan, op4_curriculum_mix, op5_jaccard_join, op6_html_text, op7_language_id, op8_pii, op9_decontamination, op10_token_lengths)}
