@@ -2,36 +2,38 @@
 
 Tasks cut their documents into shards of at most ``SHARD`` words.  A shard's suffix array holds the
 word positions that can begin a match at all: those followed by enough words of the benchmark's
-vocabulary.  Suffixes are compared by the window length's first words; every test suffix is found by
-binary search, which gives all its locations.  Occurrences on one diagonal are merged into longest
-verbatim matches.
+vocabulary.  Suffixes are compared by as many words as a window has, which is all that a hit takes; every test suffix is
+found by binary search, which gives all its locations.  Longer matches are overlapping windows on one diagonal, merged into
+longest verbatim matches.
 
 A window is ``width`` consecutive words of an item; an item with fewer words, but not none, is one
 window.  Words are the maximal runs of ASCII letters and digits and of characters beyond ASCII, with
 A-Z lower-cased.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words each (size checked while
-reading it), one scan after the other in the same pass over the documents, so its size is not limited
-by a task's memory for one block.
+The benchmark is read a partition at a time in blocks of at most ``BLOCK_WORDS`` words (or one item).  One block is
+broadcast and scanned for in a single pass over the documents.  Of several, only one is held at a time: its
+matches are written out by a hash of the text, its broadcast is released, and the matches are joined to the documents at last.
 
 Defined results: null or empty texts have no words, hits or items; repeated rows and repeated item
 ids are each handled by themselves (an id counts once per document); an empty benchmark hits nothing;
-input columns named as an output column are replaced.
+an empty table gives no rows; of texts beyond a shard's size, each is a shard of its own; equal matches are one;
+input columns named as an output column are replaced, but remove_contaminated() gives all columns back as they were.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import cut, without
 
 WIDTH = 10
 SHARD = 2_000_000
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -153,46 +155,62 @@ MATCHES = "array<struct<item_id: string, start: bigint, item_start: bigint, word
 DIGEST = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def _match_table(docs: DataFrame, block: TestBlock) -> DataFrame:
+    """(key, item_id, start, item_start, words), written out: the matches of the distinct texts of ``docs`` (text), key naming the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _shards(batch, 0):
+                _, found = _scan(part.column(0).to_pylist(), shared.value)
+                rows = [(key, *m) for key, ms in zip(part.column(1).to_pylist(), found) for m in ms]
+                columns = list(zip(*rows)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["key", "item_id", "start", "item_start", "words"])
+
+    out = cut(docs.select("text", F.sha1("text").alias("key")).mapInArrow(work, "key string, item_id string, start bigint, item_start bigint, words bigint").distinct(), "matches")
+    shared.destroy()
+    return out
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (default: all) with n_words, matches (word offsets), n_hit, n_items, items_sha256 and contaminated."""
     added = ["matches", *DIGEST]
     spark: SparkSession = docs.sparkSession
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in added]
     out = without(docs, added).select(*[F.col(f"`{c}`") for c in carry], *([] if "text" in carry else ["text"]))
-    out = out.withColumn("n_words", F.lit(0).cast("long")).withColumn("matches", F.array().cast(MATCHES))
-    for c, kind in (("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")):
-        out = out.withColumn(c, F.lit(None).cast(kind))
-    final = [c for c in out.columns if c in carry or c in added]
-    blocks = list(blocks_of(benchmark, width, block_words))
-    for k, block in enumerate(blocks):
-        shared, last = spark.sparkContext.broadcast(block), k == len(blocks) - 1
-        if last:
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*final).schema.fields)
-        else:
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-
-        def work(batches, shared=shared, last=last, more=k > 0):
-            import pyarrow as pa
-
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                for part in _shards(batch, at):
-                    n, found = _scan(part.column(at).to_pylist(), shared.value)
-                    if more:
-                        found = [[tuple(m.values()) for m in old] + new for old, new in zip(part.column(batch.schema.get_field_index("matches")).to_pylist(), found)]
-                    rows = [[dict(zip(("item_id", "start", "item_start", "words"), m)) for m in ms] for ms in found]
-                    new = {"n_words": pa.array(n, pa.int64()), "matches": pa.array(rows, pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())])))}
-                    if last:
-                        ids = [sorted({m["item_id"] for m in ms if m["item_id"] is not None}) for ms in rows]
-                        hit = [sum(e - s for s, e in _spans(ms)) if ms else 0 for ms in rows]
-                        new |= {"n_hit": pa.array(hit, pa.int64()), "n_items": pa.array([len(x) for x in ids], pa.int64()),
-                                "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
-                                "contaminated": pa.array([x > 0 for x in hit], pa.bool_())}
-                    yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(batch.schema.names) if not last or c in final],
-                                                     names=[c for c in batch.schema.names if not last or c in final])
-
-        out = out.mapInArrow(work, schema)
-    return out
+    blocks = blocks_of(benchmark, width, block_words)
+    block, second, known = next(blocks), next(blocks, None), "_matches" if "_matches" not in out.columns else "_matches_"
+    if second is None:
+        out = out.withColumn(known, F.array().cast(MATCHES))
+    else:
+        tables = [_match_table(out, block), _match_table(out, second), *(_match_table(out, b) for b in blocks)]
+        block, second = TestBlock([], width), None
+        every = reduce(DataFrame.union, tables).groupBy("key").agg(F.collect_list(F.struct("item_id", "start", "item_start", "words")).cast(MATCHES).alias(known))  # as many as one text has
+        out = out.withColumn("_key", F.sha1("text")).join(every.withColumnRenamed("key", "_k"), F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
+        out = out.withColumn(known, F.coalesce(known, F.array().cast(MATCHES)))
+    shared = spark.sparkContext.broadcast(block)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*[F.col(f"`{c}`") for c in carry]).schema.fields]
+    schema = ", ".join([*fields, f"n_words bigint, matches {MATCHES}, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"])
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, old = (batch.schema.get_field_index(c) for c in ("text", known))
+            for part in _shards(batch, at):
+                n, found = _scan(part.column(at).to_pylist(), shared.value)
+                rows = [[*ms, *(dict(zip(("item_id", "start", "item_start", "words"), m)) for m in new)] for ms, new in zip(part.column(old).to_pylist(), found)]
+                ids = [sorted({m["item_id"] for m in ms if m["item_id"] is not None}) for ms in rows]
+                hit = [sum(e - s for s, e in _spans(ms)) if ms else 0 for ms in rows]
+                new = {"n_words": pa.array(n, pa.int64()), "matches": pa.array(rows, pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())]))),
+                       "n_hit": pa.array(hit, pa.int64()), "n_items": pa.array([len(x) for x in ids], pa.int64()),
+                       "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids], pa.string()),
+                       "contaminated": pa.array([x > 0 for x in hit], pa.bool_())}
+                yield pa.RecordBatch.from_arrays([*(part.column(batch.schema.get_field_index(c)) for c in carry), *new.values()], names=[*carry, *new])
+
+    return out.mapInArrow(work, schema)
 
 
 def _shards(batch, at: int):

@@ -255,7 +255,10 @@ def test_longest_matches(spark):
 
 
 def test_token_histogram(spark):
-    enc = tokens._encoding(tokens.default_vocabulary())
+    import public_tokenizers
+
+    with open(tokens.default_vocabulary(), "rb") as f:
+        enc = tokens._encoding(f.read(), public_tokenizers.PATTERN)
     n = sorted(len(enc.encode_ordinary(t or "")) for _, t, *_ in data.documents())
     hist = tokens.length_histogram(data.frame(spark))
     for x in tokens.suffix_sums(hist).collect():
