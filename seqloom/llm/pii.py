@@ -44,14 +44,16 @@ FIRST_WORD = r"^[^\p{L}\p{N}_]*+([\p{L}\p{N}_]++)"
 
 def _running(values: Column, op, zero: Column) -> Column:
     """Running totals of an array under ``op``, by blocks of about the square root of its size."""
-    wide = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
 
     def of(blocks: Column) -> Column:
         sums = F.transform(blocks, lambda x: F.aggregate(x, zero, op))
         return let(sums, lambda t: F.flatten(F.transform(blocks, lambda x, j: let(F.aggregate(F.slice(t, 1, j), zero, op), lambda base: F.transform(x, lambda _, i: op(base, F.aggregate(F.slice(x, 1, i + 1), zero, op)))))))
 
-    cut_up = lambda w: F.when(F.size(values) == 0, F.array().cast("array<array<bigint>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / w).cast("int")), lambda j: F.slice(values, j * w + 1, w)))
-    return let(wide, lambda w: let(cut_up(w), of))
+    def blocks_of(v: Column) -> Column:
+        wide = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        return let(wide, lambda w: let(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda j: F.slice(v, j * w + 1, w)), of))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(blocks_of(v)))
 
 
 def _free(tokens: Column, base: Column) -> Column:
