@@ -41,9 +41,9 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def _codon_residue(codon: Column) -> Column:
-    digit = lambda i: F.instr(F.lit(NUCLEOTIDES), F.substring(codon, i, 1)) - 1
-    place = digit(1) * 16 + digit(2) * 4 + digit(3)
-    return F.when(codon.rlike("^[ACGT]{3}$"), F.substring(F.lit(GENETIC_CODE), place + 1, F.lit(1))).otherwise("X")
+    triplets = ",".join(x + y + z for x in NUCLEOTIDES for y in NUCLEOTIDES for z in NUCLEOTIDES)
+    at = F.instr(F.lit(triplets), codon)  # 4 * place + 1; a codon with a comma is found elsewhere, if at all
+    return F.when(at % 4 == 1, F.substring(F.lit(GENETIC_CODE), F.call_function("shiftright", at, F.lit(2)) + 1, F.lit(1))).otherwise("X")
 
 
 def translate_frame(seq: Column, offset: int, drop_last: bool = False) -> Column:

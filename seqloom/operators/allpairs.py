@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .alignment import with_global, with_local
 from .kmers import kmer_counts
 
@@ -59,8 +60,12 @@ def grouper(n: int, strategy: str = "auto"):
 
 
 def place(seqs: DataFrame) -> DataFrame:
-    """``seqs`` with item, its rank by seq_id from 0.  All-pairs work is quadratic, so the rank is taken in one window."""
-    return seqs.withColumn("item", F.row_number().over(Window.orderBy("seq_id")) - 1)
+    """``seqs`` with item, its rank by seq_id from 0: rows are ranked within ranges of ids, and one task adds up the ranges' counts only."""
+    ranged = cut(seqs.repartitionByRange("seq_id").withColumn("_range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("seq_id")) - 1
+    return ranged.withColumn("_rank", rank).join(before, "_range").withColumn("item", F.col("_before") + F.col("_rank")).drop("_range", "_rank", "_before")
 
 
 def in_groups(seqs: DataFrame, design) -> DataFrame:

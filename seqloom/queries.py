@@ -11,7 +11,7 @@ from .functions.alphabet import DEFAULT, GENETIC_CODE, NUCLEOTIDES, RESIDUES, Al
 from .operators import allpairs, clustering, kmers, routing
 from .operators.alignment import with_global, with_local
 from .plans import pipelines
-from .session import cut, scratch
+from .session import cut, scratch, spread
 from .sources import fasta
 
 CLUSTERS = 16
@@ -23,7 +23,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), S.letters_of(F.col("text")).alias("seq"))
+    return spread(_table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("seq_id"), S.letters_of(F.col("text")).alias("seq"))
 
 
 def queries_of(spark: SparkSession, d: str) -> DataFrame:
@@ -126,8 +126,8 @@ def codon_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_hash(spark: SparkSession, d: str) -> DataFrame:
-    h = kmers.hashed_kmers(documents(spark, d), 3)
-    return h.groupBy("h").agg(F.count("*").alias("n"), F.countDistinct("seq_id").alias("n_seqs"))
+    h = kmers.hashed_kmers(documents(spark, d), 3).groupBy("h", "seq_id").agg(F.count("*").alias("n"))
+    return h.groupBy("h").agg(F.sum("n").alias("n"), F.count("seq_id").alias("n_seqs"))
 
 
 def kmer_hash_exact(spark: SparkSession, d: str) -> DataFrame:

@@ -49,3 +49,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores; only a scan of fewer splits than cores, which would leave some idle, is dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

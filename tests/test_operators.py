@@ -147,3 +147,9 @@ def test_hamming_is_a_metric(spark):
     d = {(i, j): len(sets[i]) + len(sets[j]) - 2 * common.get((i, j), 0) for i in sets for j in sets}
     assert all(d[i, j] == d[j, i] == len(sets[i] ^ sets[j]) and d[i, k] <= d[i, j] + d[j, k] for i, j, k in itertools.product(sets, repeat=3))
     assert math.isclose(sum(d[i, i] for i in sets), 0)
+
+
+def test_place_over_ranges(spark):
+    ids = [7 * i % 101 for i in range(101)]
+    rows = allpairs.place(spark.createDataFrame([(i, str(i)) for i in ids], "seq_id long, seq string").repartition(5)).collect()
+    assert sorted((r.item, r.seq_id, r.seq) for r in rows) == [(i, i, str(i)) for i in range(101)]

@@ -42,6 +42,7 @@ def test_six_frames(spark):
     assert set(letters) == want
     assert one(spark, S.translate_frame(F.col("v"), 0), v="ATGTGA") == "M*" and one(spark, S.translate_frame(F.col("v"), 0, True), v="ATGTGA") == "M"
     assert one(spark, S.translate_frame(F.col("v"), 0), v="AT") == "" and one(spark, S.translate_frame(F.col("v"), 0), v="ATN") == "X"
+    assert one(spark, S.translate_frame(F.col("v"), 0), v="T,TTTTGGG") == "XFG"
 
 
 @pytest.mark.parametrize("kmer,h", [("AAA", 0), ("RNA", 7), ("OOO", 286), ("aaa", 0), ("AXA", None), ("XAA", None), ("A-A", None)])
