@@ -27,6 +27,8 @@ from .common import cut, word_count
 WEIGHTS = (5, 2, 1)
 #: For each weight in turn, (t, rate) knots of the schedule; rates are relative.
 SCHEDULES = (((0.0, 2.0), (0.5, 1.0), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.7, 0.5), (1.0, 3.0)))
+#: Columns that the mix adds.
+ADDED = {"size", "source_size", "target", "taken", "position", "position_again"}
 HEX = 3  # leading hash digits that name a bucket: 4,096 buckets
 
 
@@ -64,25 +66,27 @@ def _time(schedule, u: Column) -> Column:
 
 def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0, carry: list[str] | None = None) -> DataFrame:
     """One row per document: ``carry`` columns (default doc_id, source, lang), size, source_size, target, taken,
-    position and position_again (training time of the first and second copy; null if not taken)."""
+    position and position_again (training time of the first and second copy; null if not taken).  Carried columns named as
+    one of these are replaced.  Texts are read twice, for the sizes of buckets and for the rows, and not written in between."""
     carry = [c for c in docs.columns if c in ("doc_id", "source", "lang")] if carry is None else carry
-    need = [*carry, *[c for c in ("doc_id", "source") if c not in carry]]
+    carry = [c for c in carry if c.lower() not in ADDED]
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = cut(docs.select(*need, word_count(F.col("text")).alias("size"), key.alias("_key")), "mix")
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, HEX))
-    buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("n"))
-    w = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("source", "_bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_base"))
-    sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    base = buckets.join(sources, buckets.source.eqNullSafe(sources.source)).select(
-        buckets.source.alias("_s"), F.col("_bucket").alias("_b"), "_base", "source_size", "kind", "target")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    j = rows.join(base, rows.source.eqNullSafe(base._s) & (rows._bucket == base._b))
-    j = j.withColumn("_first", F.col("_base") + F.col("_in")).withColumn("_again", F.col("_first") + F.col("source_size"))
+    own = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None)
+    rows = docs.select(own.alias("own"), F.col("doc_id").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    rows = rows.withColumn("bucket", F.substring("key", 1, HEX))
+    buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
+    w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    based = buckets.select("source", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    sources = source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
+    base = based.join(sources, based.source.eqNullSafe(sources.source)).select(
+        based.source.alias("s"), F.col("bucket").alias("b"), "base", "source_size", "kind", "target")
+    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    j = rows.join(base, rows.source.eqNullSafe(base.s) & (rows.bucket == base.b))
+    j = j.withColumn("first", F.col("base") + F.col("within")).withColumn("again", F.col("first") + F.col("source_size"))
     words = F.floor(F.col("target")).cast("long")
     part = lambda c: F.greatest(F.least(words - F.col(c), F.col("size")), F.lit(0).cast("long"))
-    rounds = [part("_first"), part("_again")]
+    rounds = [part("first"), part("again")]
 
     def when(c: str, taken: Column) -> Column:
         u = F.col(c) / F.col("target")
@@ -91,9 +95,8 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: flo
             at = F.when(F.col("kind") % len(schedules) == k, _time(schedule, u)).otherwise(at)
         return F.when(taken > 0, at)
 
-    out = j.select(*carry, "size", "source_size", "target", (rounds[0] + rounds[1]).alias("taken"),
-                   when("_first", rounds[0]).alias("position"), when("_again", rounds[1]).alias("position_again"))
-    return out
+    return j.select(*[F.col(f"own.`{c}`").alias(c) for c in carry], "size", "source_size", "target", (rounds[0] + rounds[1]).alias("taken"),
+                    when("first", rounds[0]).alias("position"), when("again", rounds[1]).alias("position_again"))
 
 
 def training_order(mix: DataFrame) -> DataFrame:
