@@ -3,6 +3,7 @@
 A score is computed row by row with numpy; the dependence along a row, which only gaps cause, is a running maximum.
 With a gap g <= 0 a Needleman-Wunsch row is t[j] = max(diagonal + match, up + g), then row[j] = max over i <= j of
 t[i] + g * (j - i).  A Smith-Waterman row opens horizontal gaps from t only, as opening from a gap never pays.
+Letters score ``match`` or ``mismatch``, or what a ScoringMatrix gives; pairs that it lacks score as without one.
 """
 
 import numpy as np
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.alphabet import ScoringMatrix
+
 MATCH, MISMATCH, GAP, EXTEND = 10, -5, -5, -2
 LOCAL_SCALE, GLOBAL_SCALE = 10_000, 30
 
@@ -18,27 +21,46 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def global_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> int:
+def score_table(matrix: ScoringMatrix, match: int = MATCH, mismatch: int = MISMATCH) -> np.ndarray:
+    """Scores by letter codes, both cases alike; the last row and column stand for letters beyond ASCII."""
+    t = np.where(np.eye(129, dtype=bool), match, mismatch).astype(np.int64)
+    t[128, 128] = mismatch
+    for a, b, s in matrix.rows():
+        for x in {a, a.lower()}:
+            for y in {b, b.lower()}:
+                t[ord(x), ord(y)] = t[ord(y), ord(x)] = s
+    return t
+
+
+def _pairing(y: np.ndarray, match: int, mismatch: int, table: np.ndarray | None):
+    """Function of a letter's code: its scores with all letters of ``y``."""
+    if table is None:
+        return lambda c: np.where(y == c, match, mismatch)
+    at = np.minimum(y, 128)
+    return lambda c: table[min(c, 128)][at]
+
+
+def global_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, table: np.ndarray | None = None) -> int:
     x, y = sorted((_codes(a), _codes(b)), key=len)
     lead = gap * np.arange(len(y) + 1, dtype=np.int64)
-    row = lead.copy()
+    row, scores = lead.copy(), _pairing(y, match, mismatch, table)
     for i, c in enumerate(x, 1):
         t = np.empty(len(y) + 1, np.int64)
         t[0] = gap * i
-        t[1:] = np.maximum(row[:-1] + np.where(y == c, match, mismatch), row[1:] + gap)
+        t[1:] = np.maximum(row[:-1] + scores(c), row[1:] + gap)
         row = np.maximum.accumulate(t - lead) + lead
     return int(row[-1])
 
 
-def local_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND) -> int:
+def local_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND, table: np.ndarray | None = None) -> int:
     x, y = sorted((_codes(a), _codes(b)), key=len)
-    n, best = len(y), 0
+    n, best, scores = len(y), 0, _pairing(y, match, mismatch, table)
     v, f = np.zeros(n + 1, np.int64), np.full(n + 1, -(1 << 40), np.int64)
     slope = extend * np.arange(n + 1, dtype=np.int64)
     for c in x:
         f = np.maximum(f, v + gap) + extend
         t = np.zeros(n + 1, np.int64)
-        t[1:] = np.maximum(np.maximum(v[:-1] + np.where(y == c, match, mismatch), f[1:]), 0)
+        t[1:] = np.maximum(np.maximum(v[:-1] + scores(c), f[1:]), 0)
         reach = np.maximum.accumulate(t - slope) + gap
         v = t
         v[1:] = np.maximum(t[1:], reach[:-1] + slope[1:])
@@ -68,15 +90,17 @@ def _udf(score, **costs):
     return scored
 
 
-def with_global(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> DataFrame:
+def with_global(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, matrix: ScoringMatrix | None = None) -> DataFrame:
     """Adds score, distance (normalised by the match value) and distance_ref (normalised by the score itself)."""
-    p = pairs.withColumn("score", _udf(global_score, match=match, mismatch=mismatch, gap=gap)(a, b))
+    table = matrix and score_table(matrix, match, mismatch)
+    p = pairs.withColumn("score", _udf(global_score, match=match, mismatch=mismatch, gap=gap, table=table)(a, b))
     short, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
     d = lambda m: F.when(both > 0, F.call_function("div", GLOBAL_SCALE * (m * short - F.col("score")), both)).otherwise(0).cast("bigint")
     return p.withColumn("distance", d(F.lit(match))).withColumn("distance_ref", d(F.col("score")))
 
 
-def with_local(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND) -> DataFrame:
+def with_local(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND, matrix: ScoringMatrix | None = None) -> DataFrame:
     """Adds score and distance."""
-    p = pairs.withColumn("score", _udf(local_score, match=match, mismatch=mismatch, gap=gap, extend=extend)(a, b))
+    table = matrix and score_table(matrix, match, mismatch)
+    p = pairs.withColumn("score", _udf(local_score, match=match, mismatch=mismatch, gap=gap, extend=extend, table=table)(a, b))
     return p.withColumn("distance", F.call_function("div", F.lit(LOCAL_SCALE).cast("bigint"), F.col("score") + 1).cast("bigint"))

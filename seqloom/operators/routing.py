@@ -59,3 +59,12 @@ def parse_membership(lines: DataFrame) -> DataFrame:
 def cluster_vectors(membership: DataFrame, seqs: DataFrame, k: int = 3, base: int | None = None) -> DataFrame:
     """(cluster_id, h), distinct, of the members' k-mers at every offset."""
     return hashed_kmers(membership_join(membership, seqs), k, 1, False, base, keep=("cluster_id",)).distinct()
+
+
+def membership_lines(assignment: DataFrame, most: int = 100_000) -> DataFrame:
+    """(value): lines ``cluster<tab>id<tab>id...``, as parse_membership() reads them; a cluster of more than ``most``
+    members is dealt over several lines, so that no row holds a whole cluster."""
+    sizes = assignment.groupBy("cluster_id").agg(F.ceil(F.count("*") / most).cast("bigint").alias("parts"))
+    dealt = assignment.join(sizes, "cluster_id").withColumn("part", F.pmod(F.xxhash64("seq_id"), F.col("parts")))
+    lines = dealt.groupBy("cluster_id", "part").agg(F.array_sort(F.collect_list("seq_id")).alias("ids"))
+    return lines.select(F.concat_ws("\t", F.col("cluster_id").cast("string"), F.array_join("ids", "\t")).alias("value"))

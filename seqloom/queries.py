@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequences as S
 from .functions import vectors as V
-from .functions.alphabet import DEFAULT, GENETIC_CODE, NUCLEOTIDES, RESIDUES, Alphabet
+from .functions.alphabet import AMBIGUOUS, CODONS, DEFAULT, GENETIC_CODE, NUCLEOTIDES, RESIDUES, Alphabet, ScoringMatrix
 from .operators import allpairs, clustering, kmers, routing
 from .operators.alignment import with_global, with_local
 from .plans import pipelines
@@ -300,7 +300,95 @@ def local_alignment(spark: SparkSession, d: str) -> DataFrame:
     return with_local(allpairs.all_pairs(bench_seqs(spark, d))).select("id_a", "id_b", "score", "distance")
 
 
+def matrix() -> ScoringMatrix:
+    """10 for a residue with itself, 2 with others of its class, -5 otherwise."""
+    of = COARSE.letters
+    return ScoringMatrix({(x, y): 10 if x == y else 2 if x in of and of[x] == of.get(y) else -5 for x in RESIDUES for y in RESIDUES})
+
+
+def substitution_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(matrix().rows(), "aa1 string, aa2 string, score bigint")
+
+
+def matrix_global_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return with_global(allpairs.all_pairs(bench_seqs(spark, d)), matrix=matrix()).select("id_a", "id_b", "score", "distance")
+
+
+def matrix_local_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return with_local(allpairs.all_pairs(bench_seqs(spark, d)), matrix=matrix()).select("id_a", "id_b", "score", "distance")
+
+
+# -- options, stored forms and small functions
+
+
+def fasta_reader_options(spark: SparkSession, d: str) -> DataFrame:
+    """Other separators, lines joined by a blank, and a file without a header, which is skipped."""
+    at = scratch(spark, "options")
+    wrapped = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    spark.range(1).select(F.lit("no header").alias("value")).write.text(f"{at}/a")
+    documents(spark, d).select(F.concat(F.lit("@doc"), F.col("seq_id").cast("string"), F.lit("\n"), wrapped).alias("value")).write.text(f"{at}/b")
+    r = fasta.read_fasta(spark, [f"{at}/a", f"{at}/b"], head_sep="@", line_sep=" ", strict=False)
+    return r.select(F.substring("ext_id", 4, 20).cast("bigint").alias("doc_id"), "seq")
+
+
+def codon_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(c, COARSE.get(c), COARSE.reverse_get(c)) for c in CODONS], "codon string, letter string, reverse_letter string")
+
+
+def alphabet_classes(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(chr(ord("A") + i), " ".join(c), len(c), COARSE.size) for i, c in enumerate(COARSE.classes)]
+    return spark.createDataFrame(rows, "letter string, members string, n bigint, size bigint")
+
+
+def residue_hashes(spark: SparkSession, d: str) -> DataFrame:
+    one = documents(spark, d).select(F.explode(F.split("seq", "")).alias("r")).filter("r <> ''").groupBy("r").agg(F.count("*").alias("n"))
+    h = one.select("r", "n", S.residue_hash(F.col("r")).cast("bigint").alias("h"))
+    return h.select("r", "n", "h", F.size(S.neighbour_hashes(F.col("h"))).cast("bigint").alias("n_near"))
+
+
+def checked_ids(spark: SparkSession, d: str) -> DataFrame:
+    n = documents(spark, d).agg((F.max("seq_id") + 1).alias("n"))
+    return documents(spark, d).select("seq_id").crossJoin(F.broadcast(n)).select(S.check_id(F.col("seq_id"), F.col("n")).alias("seq_id"))  # one row
+
+
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Written as one array for each sequence, read back and listed."""
+    at = scratch(spark, "vectors")
+    kmers.packed(kmers.presence(documents(spark, d))).write.parquet(at)
+    return kmers.unpacked(spark.read.parquet(at))
+
+
+def vector_hash_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of hashes with nulls among them: size, XOR of words and bits set in it."""
+    hashes = F.transform(S.kmers(F.col("seq"), 3), lambda x: S.kmer_hash(x, 3))
+    v = documents(spark, d).select("seq_id", V.vector(hashes).alias("v"))
+    code = v.select("seq_id", V.count(F.col("v")).alias("n"), V.hash_code(F.col("v")).cast("bigint").alias("code"))
+    return code.withColumn("bits", V.popcount(F.col("code").bitwiseAND(F.lit((1 << 32) - 1))).cast("bigint"))
+
+
+def membership_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch(spark, "membership")
+    routing.membership_lines(assignment(documents(spark, d)), 20).write.text(at)
+    return routing.parse_membership(spark.read.text(at)).select("cluster_id", F.explode("members").alias("seq_id"))
+
+
+def block_designs(spark: SparkSession, d: str) -> DataFrame:
+    """Order, items and groups of the designs for 1 to 200 items."""
+    sizes = lambda n: (allpairs.grouper(n, "plane"), allpairs.grouper(n, "pairs"))
+    rows = [(n, a.p, a.n_groups, b.n_groups) for n in range(1, 201) for a, b in [sizes(n)]]
+    return spark.createDataFrame(rows, "n bigint, p bigint, plane_groups bigint, pair_groups bigint")
+
+
+def stated_count(spark: SparkSession, d: str) -> DataFrame:
+    """What the meta file states, for sequences and for their six frames."""
+    at = scratch(spark, "meta")
+    fasta.write_meta(documents(spark, d).select("seq_id", F.concat(F.lit("doc"), F.col("seq_id").cast("string")).alias("ext_id")), at)
+    return spark.createDataFrame([(fasta.sequence_count(spark, at), fasta.sequence_count(spark, at, 6))], "n bigint, n_frames bigint")
+
+
 QUERIES = {f.__name__: f for f in (
+    substitution_scores, matrix_global_alignment, matrix_local_alignment, fasta_reader_options, codon_classes, alphabet_classes, residue_hashes, checked_ids, stored_vectors,
+    vector_hash_codes, membership_round_trip, block_designs, stated_count,
     fasta_round_trip, simple_fasta_round_trip, sequence_numbering, meta_round_trip, partition_round_trip, parse_simple_lines, reverse_complement, six_frame_translation,
     six_frame_translation_cli, alphabet_compress, alphabet_table, codon_table, kmer_hash, kmer_hash_exact, compressed_kmer_hash, kmer_multiset, presence_vector_count,
     vector_hamming_pairs, vector_intersection_count, vector_algebra, vector_union_by_cluster, cluster_presence_vectors, nearest_center, nearest_center_embeddings, kmeans_update,
@@ -420,24 +508,27 @@ SQL = {
 }
 
 
-def _global_sql(pairs: str) -> str:
+_SAME = "CASE WHEN substr(s, r.i + 1, 1) = substr(t, j, 1) THEN 10 ELSE -5 END"
+
+
+def _global_sql(pairs: str, same: str = _SAME) -> str:
     """(id_a, id_b, s, t, score): one recursive step per letter of s; the gap along a row is a running maximum."""
     return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {pairs} p0),
       r(id_a, id_b, i, v) AS (SELECT id_a, id_b, 0, list_transform(generate_series(0, length(t)), lambda j : CAST(-5 * j AS BIGINT)) FROM p
         UNION ALL SELECT id_a, id_b, i + 1, w FROM (SELECT id_a, id_b, i, list(m - 5 * j ORDER BY j) AS w FROM (SELECT id_a, id_b, i, j, max(x + 5 * j) OVER (PARTITION BY id_a, id_b ORDER BY j) AS m FROM (
-          SELECT id_a, id_b, r.i, j, CASE WHEN j = 0 THEN -5 * (r.i + 1) ELSE greatest(v[j] + CASE WHEN substr(s, r.i + 1, 1) = substr(t, j, 1) THEN 10 ELSE -5 END, v[j + 1] - 5) END AS x
+          SELECT id_a, id_b, r.i, j, CASE WHEN j = 0 THEN -5 * (r.i + 1) ELSE greatest(v[j] + {same}, v[j + 1] - 5) END AS x
           FROM r JOIN p USING (id_a, id_b), unnest(generate_series(0, length(t))) u(j) WHERE r.i < length(s)) a) b GROUP BY ALL) z)
       SELECT id_a, id_b, s, t, v[len(v)] AS score FROM r JOIN p USING (id_a, id_b) WHERE i = length(s)"""
 
 
-def _local_sql(pairs: str) -> str:
+def _local_sql(pairs: str, same: str = _SAME) -> str:
     """The same with affine gaps; gaps along a row open from values without one."""
     return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {pairs} p0),
       r(id_a, id_b, i, v, f, best) AS (SELECT id_a, id_b, 0, list_transform(generate_series(0, length(t)), lambda j : CAST(0 AS BIGINT)), list_transform(generate_series(0, length(t)), lambda j : CAST(-1000000 AS BIGINT)), CAST(0 AS BIGINT) FROM p
         UNION ALL SELECT id_a, id_b, i + 1, v, f, greatest(best, top) FROM (SELECT id_a, id_b, i, best, list(vv ORDER BY j) AS v, list(ff ORDER BY j) AS f, max(vv) AS top FROM (
           SELECT id_a, id_b, i, best, j, ff, greatest(x, coalesce(max(x - 5 + 2 * j) OVER (PARTITION BY id_a, id_b ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2 * j, 0)) AS vv FROM (
             SELECT *, CASE WHEN j = 0 THEN 0 ELSE greatest(0, d, ff) END AS x FROM (
-              SELECT id_a, id_b, r.i, best, j, CASE WHEN j = 0 THEN -1000000 ELSE greatest(f[j + 1], v[j + 1] - 5) - 2 END AS ff, CASE WHEN j > 0 THEN v[j] + CASE WHEN substr(s, r.i + 1, 1) = substr(t, j, 1) THEN 10 ELSE -5 END END AS d
+              SELECT id_a, id_b, r.i, best, j, CASE WHEN j = 0 THEN -1000000 ELSE greatest(f[j + 1], v[j + 1] - 5) - 2 END AS ff, CASE WHEN j > 0 THEN v[j] + {same} END AS d
               FROM r JOIN p USING (id_a, id_b), unnest(generate_series(0, length(t))) u(j) WHERE r.i < length(s)) c) a) b GROUP BY ALL) z)
       SELECT id_a, id_b, best AS score, 10000 // (best + 1) AS distance FROM r JOIN p USING (id_a, id_b) WHERE i = length(s)"""
 
@@ -445,3 +536,51 @@ def _local_sql(pairs: str) -> str:
 SQL["global_alignment"] = f"""SELECT id_a, id_b, score, CAST(30 * (10 * least(length(s), length(t)) - score) AS BIGINT) // (length(s) + length(t)) AS distance,
   CAST(30 * (score * least(length(s), length(t)) - score) AS BIGINT) // (length(s) + length(t)) AS distance_ref FROM ({_global_sql(_LENGTHS)}) g"""
 SQL["local_alignment"] = _local_sql(_LENGTHS)
+
+_NUMBERED = f"'{_COARSE[0]}', '{''.join(str(ord(c) - 64) for c in _COARSE[1])}'"
+_CLOSE = f"CASE WHEN substr(s, r.i + 1, 1) = substr(t, j, 1) THEN 10 WHEN translate(substr(s, r.i + 1, 1), {_NUMBERED}) = translate(substr(t, j, 1), {_NUMBERED}) THEN 2 ELSE -5 END"
+_RESIDUE_ROWS = f"(SELECT substr('{RESIDUES}', i::BIGINT, 1) AS x FROM (SELECT unnest(generate_series(1, {len(RESIDUES)})) AS i) r0)"
+_CODON_ROWS = f"(SELECT substr('{NUCLEOTIDES}', (i // 16) + 1, 1) || substr('{NUCLEOTIDES}', (i // 4) % 4 + 1, 1) || substr('{NUCLEOTIDES}', i % 4 + 1, 1) AS codon, substr('{GENETIC_CODE}', i + 1, 1) AS aa FROM (SELECT unnest(generate_series(0, 63)) AS i) c0)"
+_CLASS = f"translate(aa, '{_COARSE[0]}', '{_COARSE[1]}')"
+
+
+def _rounds_sql(step: str, tail: str, rounds: int = 8) -> str:
+    """``tail`` over assignment ``a{rounds}``: all rounds written out, which equals stopping where nothing changes."""
+    near = lambda c, names: f"""SELECT seq_id, cluster_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY distance, cluster_id) AS r FROM (
+      SELECT nv.seq_id, nc.cluster_id, nv.n + nc.n - 2 * coalesce(m.k, 0) AS distance FROM nv CROSS JOIN (SELECT cluster_id, count(h) AS n FROM (SELECT DISTINCT cluster_id FROM {names}) y LEFT JOIN {c} USING (cluster_id) GROUP BY 1) nc
+      LEFT JOIN (SELECT seq_id, cluster_id, count(*) AS k FROM v JOIN {c} USING (h) GROUP BY ALL) m ON m.seq_id = nv.seq_id AND m.cluster_id = nc.cluster_id) z) w WHERE r = 1"""
+    parts = [f"v AS MATERIALIZED (SELECT * FROM {_PRESENCE} v0), nv AS MATERIALIZED (SELECT doc_id AS seq_id, count(h) AS n FROM documents LEFT JOIN v ON v.seq_id = doc_id GROUP BY 1)",
+             f"c0 AS MATERIALIZED (SELECT n AS cluster_id, h FROM v JOIN (SELECT doc_id AS seq_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents ORDER BY doc_id LIMIT {CLUSTERS}) s USING (seq_id))",
+             f"a0 AS MATERIALIZED ({near('c0', 'c0')})"]
+    for i in range(rounds):
+        parts += [f"c{i + 1} AS MATERIALIZED ({step.replace('@', f'a{i}')})", f"a{i + 1} AS MATERIALIZED ({near(f'c{i + 1}', f'a{i}')})"]
+    return "WITH " + ", ".join(parts) + " " + tail.replace("@", f"a{rounds}")
+
+
+_MEAN = "SELECT cluster_id, h FROM (SELECT cluster_id, h, count(*) AS k FROM v JOIN @ USING (seq_id) GROUP BY ALL) t JOIN (SELECT cluster_id, count(*) AS n FROM @ GROUP BY 1) n USING (cluster_id) WHERE 2 * k >= n"
+_MEDOID = """SELECT cluster_id, h FROM v JOIN (SELECT cluster_id, seq_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY total, seq_id) AS r FROM (
+  SELECT p.cluster_id, p.seq_id, m * nv.n + all_n - 2 * coalesce(common, 0) AS total FROM @ p JOIN nv USING (seq_id)
+    JOIN (SELECT cluster_id, count(*) AS m, sum(n) AS all_n FROM @ JOIN nv USING (seq_id) GROUP BY 1) w USING (cluster_id)
+    LEFT JOIN (SELECT x.seq_id, sum(k) AS common FROM v x JOIN @ a ON a.seq_id = x.seq_id JOIN (SELECT cluster_id, h, count(*) AS k FROM v JOIN @ USING (seq_id) GROUP BY ALL) g ON g.cluster_id = a.cluster_id AND g.h = x.h GROUP BY 1) o ON o.seq_id = p.seq_id) t) u WHERE r = 1) best USING (seq_id)"""
+_LAST = "SELECT seq_id, CAST(cluster_id AS BIGINT) AS cluster_id, CAST(distance AS BIGINT) AS distance FROM @"
+
+SQL |= {
+    "kmeans_hamming": _rounds_sql(_MEAN, _LAST),
+    "kmedoid_hamming": _rounds_sql(_MEDOID, _LAST),
+    "partition_database": _rounds_sql(_MEAN, "SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(DISTINCT h) AS n_hashes FROM @ JOIN v USING (seq_id) GROUP BY 1"),
+    "substitution_scores": f"SELECT a.x AS aa1, b.x AS aa2, CAST(CASE WHEN a.x = b.x THEN 10 WHEN translate(a.x, {_NUMBERED}) = translate(b.x, {_NUMBERED}) THEN 2 ELSE -5 END AS BIGINT) AS score FROM {_RESIDUE_ROWS} a, {_RESIDUE_ROWS} b",
+    "matrix_global_alignment": f"SELECT id_a, id_b, score, CAST(30 * (10 * least(length(s), length(t)) - score) AS BIGINT) // (length(s) + length(t)) AS distance FROM ({_global_sql(_LENGTHS, _CLOSE)}) g",
+    "matrix_local_alignment": _local_sql(_LENGTHS, _CLOSE),
+    "fasta_reader_options": f"SELECT seq_id AS doc_id, regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1 ', 'g'), ' $', '') AS seq FROM {_SEQ} s",
+    "codon_classes": f"SELECT f.codon, {_CLASS.replace('aa', 'f.aa')} AS letter, {_CLASS.replace('aa', 'b.aa')} AS reverse_letter FROM {_CODON_ROWS} f JOIN {_CODON_ROWS} b ON b.codon = reverse(translate(f.codon, 'ACGT', 'TGCA'))",
+    "alphabet_classes": "SELECT letter, members, CAST(len(string_split(members, ' ')) AS BIGINT) AS n, CAST(7 AS BIGINT) AS size FROM (VALUES " + ", ".join(f"('{chr(65 + i)}', '{m}')" for i, m in enumerate(["A", "R N D", "C E Q G H", "I L", "K M", "F P S T", "W Y V"])) + ") t(letter, members)",
+    "residue_hashes": f"SELECT r, count(*) AS n, CAST(CASE WHEN contains('{AMBIGUOUS}', r) THEN -1 ELSE instr('{RESIDUES}', r) - 1 END AS BIGINT) AS h, CAST(CASE WHEN contains('{AMBIGUOUS}', r) THEN 0 ELSE 1 END AS BIGINT) AS n_near FROM (SELECT unnest(regexp_extract_all(seq, '.')) AS r FROM {_SEQ} s) t GROUP BY r",
+    "checked_ids": "SELECT doc_id AS seq_id FROM documents",
+    "stored_vectors": f"SELECT seq_id, h FROM {_PRESENCE} p",
+    "vector_hash_codes": f"""SELECT doc_id AS seq_id, count(h) AS n, CAST(coalesce(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END, 0) AS BIGINT) AS code, CAST(coalesce(bit_count(x), 0) AS BIGINT) AS bits
+      FROM documents LEFT JOIN (SELECT seq_id, h, bit_xor(CAST(1 AS BIGINT) << (h % 32)) OVER (PARTITION BY seq_id) AS x FROM (SELECT DISTINCT seq_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id')} k) d) e ON seq_id = doc_id GROUP BY doc_id, x""",
+    "membership_round_trip": f"SELECT doc_id % {CLUSTERS} AS cluster_id, doc_id AS seq_id FROM documents",
+    "block_designs": """WITH p AS (SELECT x AS p FROM range(1, 30) t(x) WHERE x = 1 OR NOT EXISTS (SELECT 1 FROM range(2, 30) u(y) WHERE y < x AND x % y = 0))
+      SELECT n, min(p) AS p, min(p * p + p + 1) AS plane_groups, n * (n - 1) // 2 AS pair_groups FROM range(1, 201) t(n) JOIN p ON p * p + p + 1 >= n GROUP BY n""",
+    "stated_count": "SELECT count(*) AS n, 6 * count(*) AS n_frames FROM documents",
+}

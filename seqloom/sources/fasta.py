@@ -17,10 +17,11 @@ from ..session import cut
 EXTENSIONS = r"\.(fa|fasta|fsa_aa|faa|fna)$"
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], head_sep: str = ">", line_sep: str = "") -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str], head_sep: str = ">", line_sep: str = "", strict: bool = True) -> DataFrame:
     """(ext_id, description, seq, source_file, split_start, split_row) of every record.
 
-    ``line_sep`` joins body lines (a blank suits quality files).  Text before the first header raises an error; empty files give nothing.
+    ``line_sep`` joins body lines (a blank suits quality files).  Text before the first header raises an error, or is skipped
+    if not ``strict``; empty files give nothing.
     """
     scan = spark.read.option("lineSep", f"\n{head_sep}").text(path)
     raw = scan.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("_at"))
@@ -32,6 +33,8 @@ def read_fasta(spark: SparkSession, path: str | list[str], head_sep: str = ">",
     blank = F.trim(F.regexp_replace("value", r"[\r\n]", "")) == ""
     raw = raw.filter(~(is_first & blank))
     begins = F.col("value").startswith(head_sep)
+    if not strict:
+        raw = raw.filter(~is_first | begins)
     body = F.when(~is_first, F.col("value")).when(begins, F.substring(F.col("value"), F.lit(len(head_sep) + 1), F.length("value"))).otherwise(
         F.raise_error(F.concat(F.lit("no header at the start of "), F.col("source_file"))).cast("string"))
     body = F.regexp_replace(body, r"\r", "")

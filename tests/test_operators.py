@@ -7,8 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from seqloom.functions.alphabet import RESIDUES, ScoringMatrix
 from seqloom.operators import allpairs, clustering, kmers, routing
-from seqloom.operators.alignment import global_score, global_score_column, local_score, with_global, with_local
+from seqloom.operators.alignment import global_score, global_score_column, local_score, score_table, with_global, with_local
+from seqloom.operators.routing import membership_lines, parse_membership
 
 
 def slow_global(a, b, m=10, x=-5, g=-5):
@@ -153,3 +155,22 @@ def test_place_over_ranges(spark):
     ids = [7 * i % 101 for i in range(101)]
     rows = allpairs.place(spark.createDataFrame([(i, str(i)) for i in ids], "seq_id long, seq string").repartition(5)).collect()
     assert sorted((r.item, r.seq_id, r.seq) for r in rows) == [(i, i, str(i)) for i in range(101)]
+
+
+def test_alignment_by_a_matrix():
+    """Every score of a matrix is used, in both cases; a matrix of match and mismatch changes nothing."""
+    plain = ScoringMatrix({(a, b): 10 if a == b else -5 for a in RESIDUES for b in RESIDUES})
+    close = ScoringMatrix({(a, b): 10 if a == b else 7 if {a, b} == {"I", "L"} else -5 for a in RESIDUES for b in RESIDUES})
+    for score in (global_score, local_score):
+        for a, b in (("ARND", "ARD"), ("", "ILV"), ("BZX", "BZX"), ("é", "A")):
+            if not (set(a + b) - set(RESIDUES + "BZX")):
+                assert score(a, b, table=score_table(plain)) == score(a, b)
+        assert score("ILI", "LIL", table=score_table(close)) == 21 and score("ili", "LIL", table=score_table(close)) == 21
+
+
+def test_membership_lines(spark):
+    a = spark.createDataFrame([(i, i % 3) for i in range(50)], "seq_id bigint, cluster_id bigint")
+    lines = membership_lines(a, most=5)
+    assert lines.count() > 3
+    back = parse_membership(lines).collect()
+    assert sorted((i, r.cluster_id) for r in back for i in r.members) == [(i, i % 3) for i in range(50)]
