@@ -80,4 +80,32 @@ OP9 = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_
   k AS (SELECT rid, count(*) AS n, string_agg(v, ',' ORDER BY v) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS v FROM o) u GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(k.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (rid) LEFT JOIN k USING (rid)"""
 
-ORACLES = {"op1_warc": OP1, "op2_quality_rules": _op2(), "op4_curriculum_mix": _op4(), "op5_jaccard_join": OP5, "op9_decontamination": OP9}
+
+
+def _op11(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """All rounds written out; every vector meets every centroid."""
+    apart = f"list_sum(list_transform(range(1, {dim + 1}), lambda i : (v[i] - c[i]) * (v[i] - c[i])))"
+    near = lambda c: f"(SELECT rid, vec_id, v, min(struct_pack(d := {apart}, j := j)) AS b FROM e CROSS JOIN {c} GROUP BY rid, vec_id, v)"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED {near(f'c{r}')},
+  m{r} AS MATERIALIZED (SELECT j, list(x ORDER BY i) AS c FROM (SELECT b.j AS j, i, CAST((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM a{r}, range(1, {dim + 1}) t(i) GROUP BY 1, 2) s GROUP BY j),
+  c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))""")
+    return f"""WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x : CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+  c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS j, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM e ORDER BY h NULLS LAST, v LIMIT {k}) s),
+  {', '.join(steps)},
+  z AS MATERIALIZED (SELECT vec_id, b.j AS j, CAST(b.d AS BIGINT) AS d FROM {near(f'c{rounds}')} y)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM z JOIN c{rounds} USING (j)"""
+
+
+_TURN = r"CAST(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10)) AS BIGINT)"
+OP13 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)) s),
+  g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS x,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS y, CAST(sum({_TURN}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(x) AS turns_sha256, CAST(length(y) AS BIGINT) AS loss_chars, sha256(y) AS loss_sha256, formatted_chars FROM g"""
+
+ORACLES = {"op1_warc": OP1, "op2_quality_rules": _op2(), "op4_curriculum_mix": _op4(), "op5_jaccard_join": OP5, "op9_decontamination": OP9, "op11_centroid_clustering": _op11(),
+           "op13_chat_format": OP13}
