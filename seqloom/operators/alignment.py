@@ -1,6 +1,7 @@
 """Pairwise alignment scores and distances.
 
-A score is computed row by row with numpy; the dependence along a row, which only gaps cause, is a running maximum.
+The columns that with_global() and with_local() add are computed for many pairs at once, see waves.py.  The functions of a single pair go
+row by row; the dependence along a row, which only gaps cause, is a running maximum.
 With a gap g <= 0 a Needleman-Wunsch row is t[j] = max(diagonal + match, up + g), then row[j] = max over i <= j of
 t[i] + g * (j - i).  A Smith-Waterman row opens horizontal gaps from t only, as opening from a gap never pays.
 Letters score ``match`` or ``mismatch``, or what a ScoringMatrix gives; pairs that it lacks score as without one.
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import ScoringMatrix
+from .waves import scores
 
 MATCH, MISMATCH, GAP, EXTEND = 10, -5, -5, -2
 LOCAL_SCALE, GLOBAL_SCALE = 10_000, 30
@@ -82,25 +84,31 @@ def global_score_column(a: Column, b: Column, match: int = MATCH, mismatch: int
     return F.aggregate(rows, border, next_row, lambda row: F.element_at(row, -1))
 
 
-def _udf(score, **costs):
+def _udf(local: bool, **costs):
     @F.pandas_udf("bigint")
     def scored(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([score(x or "", y or "", **costs) for x, y in zip(a, b)], dtype="int64")
+        return pd.Series(scores(a.fillna("").tolist(), b.fillna("").tolist(), local, **costs), dtype="int64")
 
     return scored
 
 
+def max_length(a: str, b: str) -> Column:
+    return F.least(*[F.coalesce(F.length(x), F.lit(0)) for x in (a, b)]).cast("bigint")
+
+
 def with_global(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, matrix: ScoringMatrix | None = None) -> DataFrame:
-    """Adds score, distance (normalised by the match value) and distance_ref (normalised by the score itself)."""
+    """Adds score, distance (normalised by the match value), distance_ref (normalised by the score itself) and max_length, the
+    most columns of letters that an alignment can have."""
     table = matrix and score_table(matrix, match, mismatch)
-    p = pairs.withColumn("score", _udf(global_score, match=match, mismatch=mismatch, gap=gap, table=table)(a, b))
+    p = pairs.withColumn("score", _udf(False, match=match, mismatch=mismatch, gap=gap, table=table)(a, b))
     short, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
     d = lambda m: F.when(both > 0, F.call_function("div", GLOBAL_SCALE * (m * short - F.col("score")), both)).otherwise(0).cast("bigint")
-    return p.withColumn("distance", d(F.lit(match))).withColumn("distance_ref", d(F.col("score")))
+    return p.withColumn("distance", d(F.lit(match))).withColumn("distance_ref", d(F.col("score"))).withColumn("max_length", max_length(a, b))
 
 
 def with_local(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND, matrix: ScoringMatrix | None = None) -> DataFrame:
-    """Adds score and distance."""
+    """Adds score, distance and max_length."""
     table = matrix and score_table(matrix, match, mismatch)
-    p = pairs.withColumn("score", _udf(local_score, match=match, mismatch=mismatch, gap=gap, extend=extend, table=table)(a, b))
-    return p.withColumn("distance", F.call_function("div", F.lit(LOCAL_SCALE).cast("bigint"), F.col("score") + 1).cast("bigint"))
+    p = pairs.withColumn("score", _udf(True, match=match, mismatch=mismatch, gap=gap, extend=extend, table=table)(a, b))
+    distance = F.call_function("div", F.lit(LOCAL_SCALE).cast("bigint"), F.col("score") + 1).cast("bigint")
+    return p.withColumn("distance", distance).withColumn("max_length", max_length(a, b))

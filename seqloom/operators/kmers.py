@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import DEFAULT, Alphabet
+from ..functions.alphabet import DEFAULT, RESIDUES, Alphabet, ScoringMatrix
 from ..functions.sequences import compress, kmer_hash, kmers, six_frames
 
 
@@ -49,3 +49,28 @@ def kmer_counts(seqs: DataFrame, k: int = 3) -> DataFrame:
 def common_hashes(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, common) of the vectors (a, h) and (b, h) that share a hash."""
     return left.join(right, "h").groupBy("a", "b").agg(F.count("*").alias("common"))
+
+
+def neighbours(kmers: DataFrame, matrix: ScoringMatrix, threshold: int, k: int) -> DataFrame:
+    """(kmer, neighbour, score): for each distinct ``k``-mer of residues in column kmer, all k-mers whose summed score with it is
+    at least ``threshold``; k-mers with other letters, and nulls, have none.
+
+    Branch and bound, one position at a time: a beginning stays only if the best scores of the positions to come can still lift it to the
+    threshold, so what is held between positions are beginnings of neighbours only.  The table joined at each position has a row per residue.
+    """
+    spark, rows = kmers.sparkSession, {}
+    for a, b, score in matrix.rows():
+        if a in RESIDUES and b in RESIDUES:
+            rows.setdefault(a, []).append((score, b))
+    dimension = spark.createDataFrame([(a, [(s, b) for s, b in sorted(x, reverse=True)], max(x)[0]) for a, x in sorted(rows.items())], "residue string, others array<struct<s:bigint,to:string>>, top bigint")
+    found = kmers.select("kmer").distinct().filter(F.length("kmer") == k)
+    found = found.withColumn("_up", F.upper("kmer"))
+    for i in range(k):  # what each position can add at most
+        found = found.join(F.broadcast(dimension.select(F.col("residue").alias("_r"), F.col("others").alias(f"_o{i}"), F.col("top").alias(f"_t{i}"))), F.substring("_up", i + 1, 1) == F.col("_r")).drop("_r")
+    found = found.withColumns({"neighbour": F.lit(""), "score": F.lit(0).cast("bigint")})
+    for i in range(k):
+        rest = sum((F.col(f"_t{j}") for j in range(i + 1, k)), F.lit(0))
+        near = F.filter(f"_o{i}", lambda x: F.col("score") + x.s + rest >= threshold)  # noqa: B023
+        found = found.withColumn("_next", F.explode(near))
+        found = found.withColumns({"neighbour": F.concat("neighbour", "_next.to"), "score": F.col("score") + F.col("_next.s")}).drop("_next", f"_o{i}")
+    return found.select("kmer", "neighbour", "score")

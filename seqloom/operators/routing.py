@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import hashed_kmers
+from ..functions.alphabet import ScoringMatrix
+from ..functions.sequences import kmer_hash, kmers
+from .kmers import hashed_kmers, neighbours
 
 
 def query_kmers(queries: DataFrame, k: int = 3, base: int | None = None, drop_last: bool = True, stride: int = 1) -> DataFrame:
@@ -24,6 +26,21 @@ def route(queries: DataFrame, centers: DataFrame, k: int = 3, min_matches: int =
     return hits.filter(F.col("n_matches") >= min_matches)
 
 
+def route_by_neighbours(queries: DataFrame, centers: DataFrame, matrix: ScoringMatrix, threshold: int, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True) -> DataFrame:
+    """As route(), but an occurrence of a query's k-mer matches if the center has any k-mer that scores ``threshold`` or more with it.
+
+    The neighbourhoods of the queries' distinct k-mers are enumerated once, as a table between the queries and the centers; a k-mer that meets a
+    center by several neighbours counts once."""
+    q = queries.select("query_id", F.explode(kmers(F.upper("seq"), k, 1, drop_last)).alias("kmer")).groupBy("query_id", "kmer").agg(F.count("*").alias("n"))
+    q = q.filter(kmer_hash(F.col("kmer"), k, base).isNotNull())
+    near = neighbours(q, matrix, threshold, k).select("kmer", kmer_hash(F.col("neighbour"), k, base).alias("h")).distinct()
+    hits = near.join(centers, "h").select("kmer", "cluster_id").distinct()
+    found = q.join(hits, "kmer").groupBy("query_id", "cluster_id").agg(F.sum("n").alias("n_matches"))
+    if min_fraction is not None:
+        found = found.join(q.groupBy("query_id").agg(F.sum("n").alias("total")), "query_id").filter(F.col("n_matches") >= min_fraction * F.col("total")).drop("total")
+    return found.filter(F.col("n_matches") >= min_matches)
+
+
 def count_query_maps(queries: DataFrame, routes: DataFrame) -> DataFrame:
     """(query_id, n_clusters), 0 for queries that no cluster takes."""
     n = routes.groupBy("query_id").agg(F.count("*").alias("n_clusters"))

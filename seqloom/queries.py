@@ -318,6 +318,19 @@ def matrix_local_alignment(spark: SparkSession, d: str) -> DataFrame:
     return with_local(allpairs.all_pairs(bench_seqs(spark, d)), matrix=matrix()).select("id_a", "id_b", "score", "distance")
 
 
+def kmer_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every k-mer that scores 14 or more with one of the queries'."""
+    asked = queries_of(spark, d).select(F.explode(S.kmers(F.col("seq"), 3)).alias("kmer"))
+    return kmers.neighbours(asked, matrix(), 14, 3)
+
+
+def route_by_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Queries against each document's k-mers, with k-mers that score 22 or more taken as equal."""
+    s = documents(spark, d)
+    c = kmers.presence(s, 3, 3, len(RESIDUES)).withColumnRenamed("seq_id", "cluster_id")
+    return routing.route_by_neighbours(queries_of(spark, d), c, matrix(), 22, 3, 1, 0.8, len(RESIDUES)).select("query_id", "cluster_id", "n_matches")
+
+
 # -- options, stored forms and small functions
 
 
@@ -388,7 +401,7 @@ def stated_count(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     substitution_scores, matrix_global_alignment, matrix_local_alignment, fasta_reader_options, codon_classes, alphabet_classes, residue_hashes, checked_ids, stored_vectors,
-    vector_hash_codes, membership_round_trip, block_designs, stated_count,
+    vector_hash_codes, membership_round_trip, block_designs, stated_count, kmer_neighbours, route_by_neighbours,
     fasta_round_trip, simple_fasta_round_trip, sequence_numbering, meta_round_trip, partition_round_trip, parse_simple_lines, reverse_complement, six_frame_translation,
     six_frame_translation_cli, alphabet_compress, alphabet_table, codon_table, kmer_hash, kmer_hash_exact, compressed_kmer_hash, kmer_multiset, presence_vector_count,
     vector_hamming_pairs, vector_intersection_count, vector_algebra, vector_union_by_cluster, cluster_presence_vectors, nearest_center, nearest_center_embeddings, kmeans_update,
@@ -584,3 +597,26 @@ SQL |= {
       SELECT n, min(p) AS p, min(p * p + p + 1) AS plane_groups, n * (n - 1) // 2 AS pair_groups FROM range(1, 201) t(n) JOIN p ON p * p + p + 1 >= n GROUP BY n""",
     "stated_count": "SELECT count(*) AS n, 6 * count(*) AS n_frames FROM documents",
 }
+
+_RESIDUE_SCORES = f"(SELECT aa1, aa2, score FROM ({SQL['substitution_scores']}) m0)"
+
+
+def _near_sql(asked: str, threshold: int) -> str:
+    """(kmer, neighbour, score) of the 3-mers (kmer): all three letters of every candidate are summed before any is dropped."""
+    return f"""(SELECT kmer, x.aa2 || y.aa2 || z.aa2 AS neighbour, x.score + y.score + z.score AS score FROM {asked} q
+      JOIN {_RESIDUE_SCORES} x ON x.aa1 = substr(kmer, 1, 1) JOIN {_RESIDUE_SCORES} y ON y.aa1 = substr(kmer, 2, 1) JOIN {_RESIDUE_SCORES} z ON z.aa1 = substr(kmer, 3, 1)
+      WHERE x.score + y.score + z.score >= {threshold})"""
+
+
+def _query_kmers(less: int) -> str:
+    return f"(SELECT query_id, substr(seq, i::BIGINT, 3) AS kmer FROM (SELECT query_id, seq, unnest(generate_series(1, length(seq) - 2 - {less})) AS i FROM {_QUERY} s) t)"
+
+
+SQL |= {
+    "kmer_neighbours": f"SELECT kmer, neighbour, score FROM {_near_sql(f'(SELECT DISTINCT kmer FROM {_query_kmers(0)} k)', 14)} n",
+    "route_by_neighbours": f"""WITH q AS MATERIALIZED (SELECT query_id, kmer, count(*) AS n FROM {_query_kmers(1)} k WHERE NOT regexp_matches(kmer, '[BZXJ]') GROUP BY ALL),
+      near AS MATERIALIZED (SELECT kmer, {_hash_sql('neighbour', 3, len(RESIDUES))} AS h FROM {_near_sql('(SELECT DISTINCT kmer FROM q)', 22)} n),
+      c AS MATERIALIZED (SELECT DISTINCT seq_id AS cluster_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id', 3, 3, 0, len(RESIDUES))} k), t AS (SELECT query_id, sum(n) AS t FROM q GROUP BY 1)
+      SELECT query_id, cluster_id, CAST(m AS BIGINT) AS n_matches FROM (SELECT query_id, cluster_id, sum(n) AS m FROM q JOIN (SELECT DISTINCT kmer, cluster_id FROM near JOIN c USING (h)) x USING (kmer) GROUP BY ALL) r
+        JOIN t USING (query_id) WHERE m >= 0.8 * t""",
+}

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqloom.functions.alphabet import RESIDUES, ScoringMatrix
-from seqloom.operators import allpairs, clustering, kmers, routing
+from seqloom.operators import allpairs, clustering, kmers, routing, waves
 from seqloom.operators.alignment import global_score, global_score_column, local_score, score_table, with_global, with_local
 from seqloom.operators.routing import membership_lines, parse_membership
 
@@ -174,3 +174,59 @@ def test_membership_lines(spark):
     assert lines.count() > 3
     back = parse_membership(lines).collect()
     assert sorted((i, r.cluster_id) for r in back for i in r.members) == [(i, i % 3) for i in range(50)]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGTé", max_size=20), st.text("ACGTé", max_size=20)), max_size=12), st.booleans())
+def test_waves_equal_single_pairs(pairs, by_matrix):
+    """Pairs of any lengths in one block, empty ones among them."""
+    t = score_table(ScoringMatrix({(x, y): 10 if x == y else 3 if {x, y} <= set("AC") else -5 for x in RESIDUES for y in RESIDUES})) if by_matrix else None
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    assert waves.scores(a, b, True, 10, -5, -5, -2, t).tolist() == [local_score(x, y, table=t) for x, y in pairs]
+    assert waves.scores(a, b, False, 10, -5, -5, table=t).tolist() == [global_score(x, y, table=t) for x, y in pairs]
+
+
+def test_waves_of_many_and_long_pairs():
+    """Several blocks, widths of 16 and 32 bits, and costs that differ from the defaults."""
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("ARND") for _ in range(n))
+    pairs = [(some(r.randint(0, 90)), some(r.randint(0, 90))) for _ in range(700)] + [(some(1900), some(2100)), (some(3), some(5000)), ("A" * 1500, "A" * 1500)]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    for costs in ({}, {"match": 3, "mismatch": -1, "gap": -4}):
+        full = {"match": 10, "mismatch": -5, "gap": -5} | costs
+        assert waves.scores(a, b, False, **full).tolist() == [global_score(x, y, **full) for x, y in pairs]
+        assert waves.scores(a, b, True, **full, extend=-2).tolist() == [local_score(x, y, **full) for x, y in pairs]
+
+
+def test_lengths_and_nulls(spark):
+    p = spark.createDataFrame([("ACGT", "AC"), (None, "A"), ("", "")], "seq_a string, seq_b string")
+    assert [(r.score, r.max_length) for r in with_local(p).collect()] == [(20, 2), (0, 0), (0, 0)]
+    assert [(r.score, r.max_length) for r in with_global(p).collect()] == [(10, 2), (-5, 0), (0, 0)]
+
+
+def near_matrix():
+    return ScoringMatrix({(x, y): 10 if x == y else 4 if {x, y} in ({"I", "L"}, {"D", "E"}) else -5 for x in RESIDUES for y in RESIDUES})
+
+
+@pytest.mark.parametrize("threshold", [-100, 5, 15, 24, 30, 31])
+def test_neighbours_equal_all_kmers(spark, threshold):
+    m, asked = near_matrix(), ["ILD", "AAA", "aei", "AXA", "AA", None, "ILD", "***"]
+    of = lambda a, b: sum(m.score(x, y) for x, y in zip(a, b))
+    every = ["".join(t) for t in itertools.product(RESIDUES, repeat=3)] if threshold > -100 else []
+    got = kmers.neighbours(spark.createDataFrame([(x,) for x in asked], "kmer string"), m, threshold, 3)
+    if threshold == -100:  # nothing is out of reach
+        assert got.groupBy("kmer").count().collect() and {r["count"] for r in got.groupBy("kmer").count().collect()} == {len(RESIDUES) ** 3}
+    else:
+        assert sorted((r.kmer, r.neighbour, r.score) for r in got.collect()) == sorted((a, b, of(a, b)) for a in ("ILD", "AAA", "aei", "***") for b in every if of(a, b) >= threshold)
+
+
+def test_routing_by_neighbours(spark):
+    """Equal k-mers only at the highest threshold, which is route(); below it, near ones, and each occurrence once."""
+    base = len(RESIDUES)
+    s = spark.createDataFrame([(0, "ILDILD"), (1, "LLE"), (2, "AAAA")], "seq_id bigint, seq string")
+    centers = kmers.presence(s, 3, 1, base).withColumnRenamed("seq_id", "cluster_id")
+    q = spark.createDataFrame([(7, "ILDILDW"), (8, "AAAX"), (9, "W")], "query_id bigint, seq string")
+    rows = lambda d: sorted(map(tuple, d.select("query_id", "cluster_id", "n_matches").collect()))
+    assert rows(routing.route_by_neighbours(q, centers, near_matrix(), 30, base=base)) == rows(routing.route(q, centers, base=base)) == [(7, 0, 4), (8, 2, 1)]
+    assert rows(routing.route_by_neighbours(q, centers, near_matrix(), 18, base=base)) == [(7, 0, 4), (7, 1, 2), (8, 2, 1)]
+    assert rows(routing.route_by_neighbours(q, centers, near_matrix(), 18, base=base, min_fraction=0.9)) == [(7, 0, 4), (8, 2, 1)]
