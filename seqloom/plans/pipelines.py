@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DEFAULT, Alphabet
-from ..operators.alignment import with_local
 from ..operators.allpairs import compare
 from ..operators.clustering import cluster, union_centers
 from ..operators.kmers import compressed, presence, translate
 from ..operators.routing import count_cluster_hits, count_query_maps, partition_join, route
+from ..operators.alignment import LOCAL_SCALE
+from ..operators.search import aligned, best_first, best_hits, bounded_pairs
 from ..session import cut
 from ..sources.fasta import number_sequences, read_fasta, write_meta, write_partitions, write_simple_fasta
+from ..sources.pipe import Program, search_clusters
 
 STEPS = ("transform", "cluster", "write", "union")
 
@@ -34,21 +36,25 @@ def partition_database(seqs: DataFrame, n_clusters: int, k: int = 3, stride: int
     return r
 
 
-def search(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True, **costs) -> DataFrame:
+def search(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True, method: str = "native", program: Program | None = None, **costs) -> DataFrame:
     """(query_id, cluster_id, seq_id, score, distance): local alignment of each query (query_id, seq) with every sequence of
-    the clusters it is routed to."""
+    the clusters it is routed to, or, by method ``external``, the hits that ``program`` finds there."""
     routes = route(queries, centers, k, min_matches, min_fraction, base, drop_last).select("query_id", "cluster_id")
-    pairs = (routes.join(queries.select("query_id", F.col("seq").alias("seq_a")), "query_id")
-             .join(partitions.select("cluster_id", "seq_id", F.col("seq").alias("seq_b")), "cluster_id"))
-    #: alignment is the costly step: deal pairs out evenly, whatever cluster they come from
-    pairs = pairs.repartition(F.xxhash64("query_id", "seq_id"))
-    return with_local(pairs, **costs).select("query_id", "cluster_id", "seq_id", "score", "distance")
+    if method == "native":
+        return aligned(routes.join(partitions.select("cluster_id", "seq_id"), "cluster_id"), queries, partitions, **costs)
+    if method != "external" or program is None:
+        raise ValueError(f"unknown method {method!r}, or no program given")
+    hits = search_clusters(routes.join(queries.select("query_id", "seq"), "query_id"), partitions, program)
+    return hits.withColumn("distance", F.call_function("div", F.lit(LOCAL_SCALE).cast("bigint"), F.col("score") + 1).cast("bigint"))
 
 
-def top_hits(hits: DataFrame) -> DataFrame:
-    """The best hit of each query: highest score, then lowest seq_id."""
-    best = hits.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "seq_id", "cluster_id", "distance")).alias("b"))
-    return best.select("query_id", "b.cluster_id", "b.seq_id", (-F.col("b.s")).alias("score"), "b.distance")
+top_hits = best_hits
+
+
+def search_best(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True, bound_k: int = 5, **costs) -> tuple[DataFrame, list[int]]:
+    """(top_hits(search(...)), pairs aligned in each round), by aligning only pairs whose bound can beat the best hit so far."""
+    routes = cut(route(queries, centers, k, min_matches, min_fraction, base, drop_last).select("query_id", "cluster_id"), "routes")
+    return best_first(bounded_pairs(routes, queries, partitions, bound_k, **costs), queries, partitions, **costs)
 
 
 def metrics(queries: DataFrame, centers: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .functions import sequences as S
 from .functions import vectors as V
 from .functions.alphabet import AMBIGUOUS, CODONS, DEFAULT, GENETIC_CODE, NUCLEOTIDES, RESIDUES, Alphabet, ScoringMatrix
-from .operators import allpairs, clustering, kmers, routing
+from .operators import allpairs, clustering, kmers, routing, search
 from .operators.alignment import with_global, with_local
 from .plans import pipelines
-from .session import cut, scratch, spread
+from .session import aligner_archive, cut, scratch, spread
 from .sources import fasta
+from .sources.pipe import Program
 
 CLUSTERS = 16
 COARSE = Alphabet.parse("(A) (R N D) (C E Q G H) (I L) (K M) (F P S T) (W Y V)")
@@ -256,11 +257,27 @@ def cluster_partition_sizes(spark: SparkSession, d: str) -> DataFrame:
     return partition_join(spark, d).groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("letters"))
 
 
-def routed_search_top_hit(spark: SparkSession, d: str) -> DataFrame:
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries; k-mers and texts of the documents, each of which is a cluster of its own."""
     s = documents(spark, d)
-    c = kmers.presence(s, 5, 1, len(RESIDUES)).withColumnRenamed("seq_id", "cluster_id")
-    hits = pipelines.search(queries_of(spark, d), c, s.withColumn("cluster_id", F.col("seq_id")), 5, 1, 0.8, len(RESIDUES))
-    return pipelines.top_hits(hits)
+    return queries_of(spark, d), kmers.presence(s, 5, 1, len(RESIDUES)).withColumnRenamed("seq_id", "cluster_id"), s.withColumn("cluster_id", F.col("seq_id"))
+
+
+def routed_search_top_hit(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.search_best(*_searched(spark, d), 5, 1, 0.8, len(RESIDUES))[0]
+
+
+def external_search_top_hit(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits by an external program, which comes to the executors in an archive."""
+    program = Program(("python3", "{archive}/local_align.py", "{queries}", "{database}"), aligner_archive(spark))
+    return pipelines.top_hits(pipelines.search(*_searched(spark, d), 5, 1, 0.8, len(RESIDUES), method="external", program=program))
+
+
+def search_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of each routed pair before it is aligned: common k-mers, maximum length, bound of the score."""
+    q, c, s = _searched(spark, d)
+    routes = routing.route(q, c, 5, 1, 0.3, len(RESIDUES)).select("query_id", "cluster_id")
+    return search.bounded_pairs(routes, q, s, 5).drop("cluster_id")
 
 
 def partition_database(spark: SparkSession, d: str) -> DataFrame:
@@ -402,6 +419,7 @@ def stated_count(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     substitution_scores, matrix_global_alignment, matrix_local_alignment, fasta_reader_options, codon_classes, alphabet_classes, residue_hashes, checked_ids, stored_vectors,
     vector_hash_codes, membership_round_trip, block_designs, stated_count, kmer_neighbours, route_by_neighbours,
+    external_search_top_hit, search_bounds,
     fasta_round_trip, simple_fasta_round_trip, sequence_numbering, meta_round_trip, partition_round_trip, parse_simple_lines, reverse_complement, six_frame_translation,
     six_frame_translation_cli, alphabet_compress, alphabet_table, codon_table, kmer_hash, kmer_hash_exact, compressed_kmer_hash, kmer_multiset, presence_vector_count,
     vector_hamming_pairs, vector_intersection_count, vector_algebra, vector_union_by_cluster, cluster_presence_vectors, nearest_center, nearest_center_embeddings, kmeans_update,
@@ -614,6 +632,14 @@ def _query_kmers(less: int) -> str:
 
 SQL |= {
     "kmer_neighbours": f"SELECT kmer, neighbour, score FROM {_near_sql(f'(SELECT DISTINCT kmer FROM {_query_kmers(0)} k)', 14)} n",
+    "search_bounds": f"""WITH k AS MATERIALIZED (SELECT query_id, substr(seq, i::BIGINT, 5) AS kmer, count(*) AS n FROM (SELECT query_id, seq, unnest(generate_series(1, length(seq) - 4)) AS i FROM {_QUERY} s) t GROUP BY ALL),
+      s AS MATERIALIZED (SELECT seq_id, substr(seq, i::BIGINT, 5) AS kmer, count(*) AS n FROM (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - 4)) AS i FROM {_SEQ} s) t GROUP BY ALL),
+      q AS MATERIALIZED (SELECT query_id, h, count(*) AS n FROM {_kmers_sql(_QUERY + ' s', 'query_id', 5, 1, 1, len(RESIDUES))} k GROUP BY ALL),
+      c AS (SELECT DISTINCT seq_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id', 5, 1, 0, len(RESIDUES))} k), t AS (SELECT query_id, sum(n) AS t FROM q GROUP BY 1),
+      r AS MATERIALIZED (SELECT query_id, seq_id FROM (SELECT query_id, seq_id, sum(n) AS m FROM q JOIN c USING (h) GROUP BY ALL) x JOIN t USING (query_id) WHERE m >= 0.3 * t),
+      o AS (SELECT query_id, seq_id, sum(least(k.n, s.n)) AS common FROM k JOIN s USING (kmer) GROUP BY ALL),
+      p AS (SELECT r.query_id, r.seq_id, CAST(coalesce(common, 0) AS BIGINT) AS common, least(length(a.seq), length(b.seq)) AS max_length FROM r JOIN {_QUERY} a USING (query_id) JOIN {_SEQ} b USING (seq_id) LEFT JOIN o ON o.query_id = r.query_id AND o.seq_id = r.seq_id)
+      SELECT query_id, seq_id, common, CAST(max_length AS BIGINT) AS max_length, CAST(10 * max_length - 5 * (greatest(1, ceil((max_length - common) / 4)) - 1) AS BIGINT) AS bound FROM p""",
     "route_by_neighbours": f"""WITH q AS MATERIALIZED (SELECT query_id, kmer, count(*) AS n FROM {_query_kmers(1)} k WHERE NOT regexp_matches(kmer, '[BZXJ]') GROUP BY ALL),
       near AS MATERIALIZED (SELECT kmer, {_hash_sql('neighbour', 3, len(RESIDUES))} AS h FROM {_near_sql('(SELECT DISTINCT kmer FROM q)', 22)} n),
       c AS MATERIALIZED (SELECT DISTINCT seq_id AS cluster_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id', 3, 3, 0, len(RESIDUES))} k), t AS (SELECT query_id, sum(n) AS t FROM q GROUP BY 1)

@@ -35,6 +35,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def aligner_archive(spark: SparkSession) -> str:
+    """A zip of the aligner in ``programs`` with what it needs, made once per application, for Spark to send to the executors."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_seqloom_aligner", ("",))[0] != sc.applicationId:
+        at = os.path.join(tempfile.mkdtemp(prefix="seqloom-"), "aligner.zip")
+        with zipfile.ZipFile(at, "w") as z:
+            z.write(root / "programs/local_align.py", "local_align.py")
+            z.write(root / "operators/waves.py", "waves.py")
+        sc._seqloom_aligner = (sc.applicationId, at)
+    return sc._seqloom_aligner[1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")

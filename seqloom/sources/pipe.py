@@ -1,4 +1,8 @@
-"""Running an external program over each cluster's records."""
+"""Running an external program over each cluster's records, or over them and the queries that a cluster takes.
+
+A program comes with its files in an archive (zip, tar, tar.gz) that Spark sends to every executor and unpacks there.  No call is given more than a
+stated amount: clusters are counted first and dealt out in parts, queries in blocks, and each part meets each block once.
+"""
 
 from __future__ import annotations
 
@@ -6,41 +10,113 @@ import os
 import subprocess
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Program:
+    """``command`` may hold {database}, {queries} and {cluster}, for two FASTA files and the cluster's id, and {archive}, for the folder that
+    ``archive`` is unpacked to on the executor.  It prints a line per hit, tab-separated, with query, sequence and score in ``fields``
+    (from 0; 0, 1 and 11 in the usual tabular form); lines that begin with # are remarks."""
+
+    command: tuple[str, ...]
+    archive: str | None = None
+    fields: tuple[int, int, int] = (0, 1, 2)
+
+
+def add_archive(spark: SparkSession, archive: str | None) -> str | None:
+    """Name of the folder that ``archive`` is unpacked to on every executor, now or later in this session's life."""
+    if archive is None:
+        return None
+    name = os.path.basename(archive).partition(".")[0]
+    spark.sparkContext.addArchive(f"{archive}#{name}")
+    return name
+
+
+def _fasta(ids: pd.Series, seqs: pd.Series) -> str:
+    with tempfile.NamedTemporaryFile("w", suffix=".fa", delete=False) as f:
+        f.writelines(f">{i}\n{s}\n" for i, s in zip(ids, seqs.fillna("")))
+    return f.name
 
 
-def pipe_clusters(records: DataFrame, command: list[str], batch_records: int = 100_000) -> DataFrame:
+def _run(command: tuple[str, ...] | list[str], folder: str | None, cluster, merge: bool = False, **files: str) -> str:
+    """What the program prints; a failure raises with what it said.  The files of the call, which only it reads, go afterwards."""
+    names = {"{cluster}": str(cluster), "{archive}": SparkFiles.get(folder) if folder else "", **{f"{{{k}}}": v for k, v in files.items()}}
+    argv = list(command)
+    for k, v in names.items():
+        argv = [x.replace(k, v) for x in argv]
+    try:
+        done = subprocess.run(argv, stdout=subprocess.PIPE, stderr=subprocess.STDOUT if merge else subprocess.PIPE, text=True)
+    finally:
+        for f in files.values():
+            os.unlink(f)
+    if done.returncode:
+        raise RuntimeError(f"{argv[0]} ended with {done.returncode} for cluster {cluster}: {(done.stderr or done.stdout)[-500:]}")
+    return done.stdout
+
+
+def pipe_clusters(records: DataFrame, command: list[str], batch_records: int = 100_000, archive: str | None = None) -> DataFrame:
     """(cluster_id, output): standard output and error of ``command`` for the records (cluster_id, seq_id, seq) of each cluster.
 
-    ``{fasta}`` and ``{cluster}`` in the command stand for a FASTA file and the cluster's id.  A cluster of more than
-    ``batch_records`` records is given to several calls, so no task holds a whole cluster.
+    ``{fasta}``, ``{cluster}`` and ``{archive}`` in the command stand for a FASTA file, the cluster's id and the unpacked archive.  A cluster of more than
+    ``batch_records`` records is dealt over several tasks and calls.
     """
+    folder = add_archive(records.sparkSession, archive)
 
     def call(cluster: int, rows: pd.DataFrame) -> str:
         with tempfile.NamedTemporaryFile("w", suffix=".fa", delete=False) as f:
             f.writelines(f">{i} {s}\n" for i, s in zip(rows.seq_id, rows.seq.fillna("")))
-        try:
-            argv = [x.replace("{fasta}", f.name).replace("{cluster}", str(cluster)) for x in command]
-            return subprocess.run(argv, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, check=True).stdout
-        finally:
-            os.unlink(f.name)
+        return _run(command, folder, cluster, True, fasta=f.name)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cluster, held = None, pd.DataFrame()
-        out = lambda rows: pd.DataFrame({"cluster_id": [cluster], "output": [call(cluster, rows)]})
+        key, held = None, pd.DataFrame()
+        out = lambda rows: pd.DataFrame({"cluster_id": [key[0]], "output": [call(key[0], rows)]})
         for batch in batches:
-            for name, rows in batch.groupby("cluster_id", sort=False):
-                if name != cluster and len(held):
+            for name, rows in batch.groupby(["cluster_id", "part"], sort=False):
+                if name != key and len(held):
                     yield out(held)
-                held = rows if name != cluster else pd.concat([held, rows])
-                cluster = name
+                held = rows if name != key else pd.concat([held, rows])
+                key = name
                 while len(held) >= batch_records:
                     yield out(held[:batch_records])
                     held = held[batch_records:]
         if len(held):
             yield out(held)
 
-    dealt = records.select("cluster_id", "seq_id", "seq").repartition("cluster_id").sortWithinPartitions("cluster_id", "seq_id")
-    return dealt.mapInPandas(work, "cluster_id bigint, output string")
+    parts = records.groupBy("cluster_id").agg(F.ceil(F.count("*") / batch_records).cast("bigint").alias("parts"))
+    dealt = records.select("cluster_id", "seq_id", "seq").join(parts, "cluster_id").withColumn("part", F.pmod(F.xxhash64("seq_id"), F.col("parts"))).drop("parts")
+    return dealt.repartition("cluster_id", "part").sortWithinPartitions("cluster_id", "part", "seq_id").mapInPandas(work, "cluster_id bigint, output string")
+
+
+def search_clusters(queries: DataFrame, records: DataFrame, program: Program, batch_letters: int = 50_000_000, batch_queries: int = 10_000) -> DataFrame:
+    """(query_id, cluster_id, seq_id, score): the hits that ``program`` prints for the queries (cluster_id, query_id, seq) of each cluster and its
+    records (cluster_id, seq_id, seq).
+
+    A call gets about ``batch_letters`` of a cluster's letters and ``batch_queries`` of its queries.  Clusters without queries aren't touched.
+    """
+    folder = add_archive(queries.sparkSession, program.archive)
+    asked = queries.groupBy("cluster_id").agg(F.ceil(F.count("*") / batch_queries).cast("bigint").alias("blocks"))
+    parts = records.groupBy("cluster_id").agg(F.greatest(F.ceil(F.sum(F.length("seq")) / batch_letters), F.lit(1)).cast("bigint").alias("parts"))
+    plan = asked.join(parts, "cluster_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    d = records.join(plan, "cluster_id").select("cluster_id", F.pmod(F.xxhash64("seq_id"), F.col("parts")).alias("part"), each("blocks").alias("block"), "seq_id", "seq")
+    q = queries.join(plan, "cluster_id").select("cluster_id", each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "seq")
+
+    def call(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(held):  # a part or block that the hash left empty
+            return pd.DataFrame({"cluster_id": [], "line": []})
+        cluster = int(own.cluster_id.iloc[0])
+        said = _run(program.command, folder, cluster, queries=_fasta(own.query_id, own.seq), database=_fasta(held.seq_id, held.seq))
+        lines = [x for x in said.splitlines() if x and not x.startswith("#")]
+        return pd.DataFrame({"cluster_id": [cluster] * len(lines), "line": lines})
+
+    key = ("cluster_id", "part", "block")
+    lines = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInPandas(call, "cluster_id bigint, line string")
+    f = F.split("line", "\t")
+    query, seq, score = program.fields
+    return lines.select(F.trim(f[query]).cast("bigint").alias("query_id"), "cluster_id", F.trim(f[seq]).cast("bigint").alias("seq_id"), F.trim(f[score]).cast("double").cast("bigint").alias("score"))

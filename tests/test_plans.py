@@ -1,10 +1,18 @@
+import random
 import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from seqloom.operators import kmers
+from seqloom.operators.search import bounded_pairs
 from seqloom.plans import cli, pipelines
+from seqloom.queries import _local_sql
+from seqloom.session import aligner_archive
+from seqloom.sources.pipe import Program, search_clusters
 from seqloom.streaming.routes import read_queries, route_stream
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -75,3 +83,69 @@ def test_plans_push_down(spark, tmp_path):
     plan = pipelines.route(spark.read.parquet(str(tmp_path / "q")), centers)._jdf.queryExecution().executedPlan().toString()
     assert "other" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert F is not None
+
+
+def searched(spark, n=60):
+    """Queries cut from sequences that differ in few letters, with exact copies, so that scores and bounds tie."""
+    r = random.Random(9)
+    some = lambda k: "".join(r.choice("RNDC") for _ in range(k))
+    base = [some(120) for _ in range(6)]
+    seqs = []
+    for i in range(n):
+        s = list(base[i % 6])
+        for _ in range(r.choice([0, 0, 1, 5, 20])):
+            s[r.randrange(len(s))] = r.choice("RNDC")
+        seqs.append((i, "".join(s) + some(r.randint(0, 40)), i % 7))
+    queries = [(i, base[i % 6][10:10 + r.choice([30, 70])]) for i in range(6)]
+    queries += [(i, "".join(x if r.random() < 0.85 else "H" for x in base[i % 6][10:80])) for i in range(6, 12)] + [(50, "WWWWWW"), (51, "RND")]
+    s = spark.createDataFrame(seqs, "seq_id bigint, seq string, cluster_id bigint")
+    centers = kmers.presence(s.select("seq_id", "seq"), 3, 1, 23).join(s.select("seq_id", "cluster_id"), "seq_id").select("cluster_id", "h").distinct()
+    return spark.createDataFrame(queries, "query_id bigint, seq string"), centers, s
+
+
+def test_bounded_search_equals_whole_search(spark):
+    """Same hits with far fewer alignments; no score is above its bound."""
+    q, c, s = searched(spark)
+    every = pipelines.search(q, c, s, base=23)
+    best, counts = pipelines.search_best(q, c, s, base=23, bound_k=4)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, pipelines.top_hits(every).collect()))
+    assert sum(counts) < 0.6 * every.count() and len(counts) > 1
+    routes = every.select("query_id", "cluster_id").distinct()
+    for k, costs in ((4, {}), (2, {"match": 1, "mismatch": -9, "gap": -9, "extend": 0}), (6, {"mismatch": 0})):
+        bounded = bounded_pairs(routes, q, s, k, **costs).join(pipelines.search(q, c, s, base=23, **costs), ["query_id", "cluster_id", "seq_id"])
+        assert bounded.count() == every.count() and bounded.filter("score > bound").count() == 0
+    with pytest.raises(ValueError):
+        bounded_pairs(routes, q, s, 4, mismatch=2)
+
+
+def test_search_equals_sql_on_short_items(spark):
+    """The SQL of local alignment over all pairs of shortened items."""
+    q, c, s = searched(spark, 14)
+    q = q.withColumn("seq", F.substring("seq", 1, 25))
+    best, _ = pipelines.search_best(q, c, s, base=23)
+    db = duckdb.connect()
+    tables = {"q": [tuple(r) for r in q.collect()], "s": [(r.seq_id, r.seq) for r in s.collect()]}
+    for name, rows in tables.items():
+        db.execute(f"CREATE TABLE {name} (id BIGINT, seq VARCHAR)")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    found = db.execute(f"SELECT * FROM ({_local_sql('(SELECT q.id AS id_a, s.id AS id_b, q.seq AS s, s.seq AS t FROM q, s)')}) r").fetchall()
+    want = {}
+    for a, b, score, distance in found:
+        want.setdefault(a, []).append((-score, b, distance))
+    got = {r.query_id: (-r.score, r.seq_id, r.distance) for r in best.collect()}
+    assert got == {a: min(x) for a, x in want.items() if a in got} and len(got) >= 12
+
+
+def test_external_search_equals_native(spark):
+    """Program and archive on the executors; parts and blocks of a few records; a program that fails says why."""
+    q, c, s = searched(spark, 20)
+    program = Program((sys.executable, "{archive}/local_align.py", "{queries}", "{database}"), aligner_archive(spark))
+    rows = lambda d: sorted(map(tuple, d.select("query_id", "cluster_id", "seq_id", "score").collect()))
+    native = pipelines.search(q, c, s, base=23)
+    assert rows(pipelines.search(q, c, s, base=23, method="external", program=program)) == rows(native)
+    routes = native.select("query_id", "cluster_id").distinct().join(q, "query_id")
+    assert rows(search_clusters(routes, s, program, batch_letters=200, batch_queries=3)) == rows(native)
+    with pytest.raises(Exception, match="no such thing"):
+        search_clusters(routes, s, Program((sys.executable, "-c", "raise SystemExit('no such thing')"))).collect()
+    with pytest.raises(ValueError):
+        pipelines.search(q, c, s, method="external")
