@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bucketed, cut
+from .allpairs import place
+
+#: Prime strides of the seed sample.
+STRIDES = (27277, 30707)
 
 
 def sizes(vectors: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -19,8 +23,36 @@ def sizes(vectors: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return ids.select(key).join(vectors.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def seed_centers(vectors: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(cluster_id, h): the vectors of the first ``k`` ids; cluster ids count from 0.  Raises if there are fewer."""
+def stride_sample(n: int, k: int, seed: int = 0) -> list[int]:
+    """``k`` distinct numbers below ``n``: seed, seed + p, seed + 2 p, ... modulo n, by a prime stride p that doesn't divide n."""
+    if k > n:
+        raise ValueError(f"{k} clusters of {n} sequences")
+    fits = (p for p in (*STRIDES, *range(STRIDES[-1] + 2, STRIDES[-1] + 2000, 2)) if n % p and all(p % d for d in range(3, int(p**0.5) + 1, 2)))
+    p = next(fits)
+    return [(seed + i * p) % n for i in range(k)]
+
+
+def sampled_ids(ids: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(cluster_id, seq_id) of a stride_sample() of the distinct ids by their places in order.
+
+    Ids that count from 0 without gaps, as number_sequences() gives them, are their own places: no id is sorted or moved.  Others are
+    ranked within ranges first."""
+    spark = ids.sparkSession
+    own = ids.select("seq_id").distinct()
+    s = own.agg(F.count("*").alias("n"), F.min("seq_id").alias("low"), F.max("seq_id").alias("high")).first()
+    chosen = spark.createDataFrame(list(enumerate(stride_sample(s.n, k, seed))), "cluster_id bigint, seq_id bigint")
+    if s.low == 0 and s.high == s.n - 1:
+        return chosen
+    return place(own).join(F.broadcast(chosen.withColumnRenamed("seq_id", "item")), "item").select("cluster_id", "seq_id")  # k rows
+
+
+def seed_centers(vectors: DataFrame, ids: DataFrame, k: int, sample: str = "first", seed: int = 0) -> DataFrame:
+    """(cluster_id, h): the vectors of the first ``k`` ids or, by sample ``stride``, of sampled_ids(); cluster ids count from 0.
+    Raises if there are fewer ids."""
+    if sample not in ("first", "stride"):
+        raise ValueError(f"unknown sample {sample!r}")
+    if sample == "stride":
+        return vectors.join(F.broadcast(sampled_ids(ids, k, seed)), "seq_id").select("cluster_id", "h")  # k rows
     first = [r.seq_id for r in ids.select("seq_id").distinct().orderBy("seq_id").limit(k).collect()]
     if len(first) < k:
         raise ValueError(f"{k} clusters of {len(first)} sequences")
@@ -28,17 +60,18 @@ def seed_centers(vectors: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return vectors.join(F.broadcast(named), "seq_id").select("cluster_id", "h")
 
 
-def nearest_center(vectors: DataFrame, ids: DataFrame, centers: DataFrame, center_ids: DataFrame | None = None) -> DataFrame:
-    """(seq_id, cluster_id, distance): the center at least Hamming distance, the lowest id among equals."""
+def nearest_center(vectors: DataFrame, ids: DataFrame, centers: DataFrame, center_ids: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """(seq_id, cluster_id, distance): the center at least Hamming distance, the lowest id among equals.  ``counted`` are the
+    vectors' sizes (seq_id, n), if known."""
     center_ids = centers.select("cluster_id").distinct() if center_ids is None else center_ids
     c = sizes(centers, center_ids, "cluster_id").withColumnRenamed("n", "n_c")
-    v = sizes(vectors, ids, "seq_id").withColumnRenamed("n", "n_v")
+    v = (sizes(vectors, ids, "seq_id") if counted is None else counted).withColumnRenamed("n", "n_v")
     meet = vectors.join(centers, "h").groupBy("seq_id", "cluster_id").agg(F.count("*").alias("common"))
     near = meet.join(v, "seq_id").join(c, "cluster_id").select("seq_id", F.struct((F.col("n_v") + F.col("n_c") - 2 * F.col("common")).alias("distance"), "cluster_id").alias("b"))
     least = c.agg(F.min(F.struct(F.col("n_c"), F.col("cluster_id"))).alias("l"))  # one row
-    far = v.crossJoin(F.broadcast(least)).select("seq_id", F.struct((F.col("n_v") + F.col("l.n_c")).alias("distance"), F.col("l.cluster_id").alias("cluster_id")).alias("b"))
-    best = near.union(far).groupBy("seq_id").agg(F.min("b").alias("b"))
-    return best.select("seq_id", "b.cluster_id", "b.distance")
+    far = F.struct((F.col("n_v") + F.col("l.n_c")).alias("distance"), F.col("l.cluster_id").alias("cluster_id"))
+    best = v.join(near.groupBy("seq_id").agg(F.min("b").alias("near")), "seq_id", "left").crossJoin(F.broadcast(least))
+    return best.select("seq_id", F.least("near", far).alias("b")).select("seq_id", "b.cluster_id", "b.distance")
 
 
 def kmeans_update(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -72,21 +105,33 @@ def union_centers(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
     return vectors.join(assignment.select("seq_id", "cluster_id"), "seq_id").select("cluster_id", "h").distinct()
 
 
-def cluster(vectors: DataFrame, ids: DataFrame, k: int, update: str = "mean", max_iter: int = 8, centers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: Rows of centers up to which every iteration's centers are sent to all executors: two numbers a row, 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if a count says that it is small; otherwise Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def cluster(vectors: DataFrame, ids: DataFrame, k: int, update: str = "mean", max_iter: int = 8, centers: DataFrame | None = None, sample: str = "first", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(assignment, centers) after at most ``max_iter`` updates, or as soon as no assignment changes.
 
-    A cluster without members goes; one whose center becomes empty stays as long as it has members.  Every iteration is
-    written out, so a lost executor costs one iteration at most.
+    A cluster without members goes; one whose center becomes empty stays as long as it has members.  Vectors, their sizes and assignments are stored in
+    buckets of seq_id, so that no iteration shuffles the vectors.  Every iteration is written out, so a lost executor costs one iteration at most.
     """
     step = {"mean": kmeans_update, "medoid": kmedoid_update}[update]
-    vectors, ids = cut(vectors, "vectors"), cut(ids.select("seq_id"), "ids")
-    centers = cut(seed_centers(vectors, ids, k) if centers is None else centers, "centers")
+    vectors = bucketed(vectors, "vectors", "seq_id")
+    counted = bucketed(sizes(vectors, ids.select("seq_id").distinct(), "seq_id"), "sizes", "seq_id")
+    ids = counted.select("seq_id")
+    centers = cut(seed_centers(vectors, ids, k, sample, seed) if centers is None else centers, "centers")
     names = centers.select("cluster_id").distinct()
-    assignment = cut(nearest_center(vectors, ids, centers, names), "assignment")
+    near = lambda c, names: bucketed(nearest_center(vectors, ids, small(c), names, counted), "assignment", "seq_id")
+    assignment = near(centers, names)
     for _ in range(max_iter):
         centers = cut(step(vectors, assignment), "centers")
         names = assignment.select("cluster_id").distinct()
-        new = cut(nearest_center(vectors, ids, centers, names), "assignment")
+        new = near(centers, names)
         moved = not new.join(assignment.select("seq_id", F.col("cluster_id").alias("was")), "seq_id").filter("cluster_id <> was").isEmpty()
         assignment = new
         if not moved:

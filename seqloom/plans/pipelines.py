@@ -9,30 +9,53 @@ from ..functions.alphabet import DEFAULT, Alphabet
 from ..operators.allpairs import compare
 from ..operators.clustering import cluster, union_centers
 from ..operators.kmers import compressed, presence, translate
-from ..operators.routing import count_cluster_hits, count_query_maps, partition_join, route
+from ..operators.routing import count_cluster_hits, count_query_maps, route, strict_join
 from ..operators.alignment import LOCAL_SCALE
 from ..operators.search import aligned, best_first, best_hits, bounded_pairs
 from ..session import cut
 from ..sources.fasta import number_sequences, read_fasta, write_meta, write_partitions, write_simple_fasta
 from ..sources.pipe import Program, search_clusters
+from . import manifest
 
 STEPS = ("transform", "cluster", "write", "union")
 
 
-def partition_database(seqs: DataFrame, n_clusters: int, k: int = 3, stride: int | None = None, base: int | None = None, update: str = "mean", max_iter: int = 8, out: str | None = None, steps: tuple[str, ...] = STEPS) -> dict[str, DataFrame]:
-    """Results of the steps up to the last of ``steps``: vectors, assignment, partitions (written as FASTA under ``out``), centers."""
-    last = max((STEPS.index(s) for s in steps), default=-1)
-    r = {"vectors": cut(presence(seqs, k, stride, base), "presence")}
+def partition_database(seqs: DataFrame, n_clusters: int, k: int = 3, stride: int | None = None, base: int | None = None, update: str = "mean", max_iter: int = 8, out: str | None = None, steps: tuple[str, ...] = STEPS, start: str | None = None, sample: str = "first", seed: int = 0) -> dict[str, DataFrame]:
+    """Results of the steps up to the last of ``steps``: vectors, assignment, partitions (written as FASTA), centers.
+
+    Under ``out`` every step stores its result, and a manifest notes it with its parameters.  A run with ``start`` takes the steps before that one from
+    there; it raises if one of them has not finished since the ones before it, or was run with other parameters.
+    """
+    spark, last = seqs.sparkSession, max((STEPS.index(s) for s in steps), default=-1)
+    of = {"transform": {"k": k, "stride": stride, "base": base}}
+    of["cluster"] = of["transform"] | {"n_clusters": n_clusters, "update": update, "max_iter": max_iter, "sample": sample, "seed": seed}
+    of |= {"write": of["cluster"], "union": of["cluster"]}
+    first = STEPS.index(start or STEPS[0])
+    if first:
+        if not out:
+            raise ValueError("a start needs the folder of the steps before it")
+        manifest.require(spark, out, start, STEPS, of)
+
+    def stored(step: str, name: str, make, write=None) -> DataFrame:
+        at = f"{out}/{name}"
+        if STEPS.index(step) >= first:
+            df = make()
+            if not out:
+                return df
+            (write or (lambda d: d.write.mode("overwrite").parquet(at)))(df)
+            manifest.record(spark, out, step, STEPS, of[step])
+            if write:
+                return df
+        return spark.read.parquet(at)
+
+    r = {"vectors": stored("transform", "vectors", lambda: presence(seqs, k, stride, base) if out else cut(presence(seqs, k, stride, base), "presence"))}
     if last >= 1:
-        r["assignment"], _ = cluster(r["vectors"], seqs, n_clusters, update, max_iter)
+        r["assignment"] = stored("cluster", "assignment", lambda: cluster(r["vectors"], seqs, n_clusters, update, max_iter, sample=sample, seed=seed)[0])
     if last >= 2:
-        r["partitions"] = partition_join(seqs, r["assignment"])
-        if out:
-            write_partitions(r["partitions"], f"{out}/partitions")
+        joined = strict_join(seqs, r["assignment"])
+        r["partitions"] = stored("write", "partitions", lambda: joined, lambda d: write_partitions(d, f"{out}/partitions")) if first <= 2 else joined
     if last >= 3:
-        r["centers"] = union_centers(r["vectors"], r["assignment"])
-        if out:
-            r["centers"].write.mode("overwrite").parquet(f"{out}/centers")
+        r["centers"] = stored("union", "centers", lambda: union_centers(r["vectors"], r["assignment"]))
     return r
 
 

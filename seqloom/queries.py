@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import packed as P
 from .functions import sequences as S
 from .functions import vectors as V
 from .functions.alphabet import AMBIGUOUS, CODONS, DEFAULT, GENETIC_CODE, NUCLEOTIDES, RESIDUES, Alphabet, ScoringMatrix
@@ -13,6 +14,7 @@ from .operators.alignment import with_global, with_local
 from .plans import pipelines
 from .session import aligner_archive, cut, scratch, spread
 from .sources import fasta
+from .sources.fasta_source import register
 from .sources.pipe import Program
 
 CLUSTERS = 16
@@ -66,6 +68,33 @@ def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return r.select(F.substring("ext_id", 4, 20).cast("bigint").alias("doc_id"), "description", "seq")
 
 
+def fasta_data_source(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the data source, in splits that cut through records; numbered by file and offset."""
+    at = scratch(spark, "fasta")
+    wrapped = F.regexp_replace("seq", "(.{60})", "$1\n")
+    documents(spark, d).repartitionByRange(4, "seq_id").sortWithinPartitions("seq_id").select(F.concat(F.lit(">doc"), F.col("seq_id").cast("string"), F.lit(" a document\n"), wrapped).alias("value")).write.text(at)
+    r = fasta.number_sequences(register(spark).read.format("fasta").option("splitBytes", 300_000).load(at))
+    return r.select("seq_id", F.substring("ext_id", 4, 20).cast("bigint").alias("doc_id"), "description", "seq")
+
+
+def lenient_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Simple FASTA among other lines, which are skipped; headers of two words at most."""
+    at = scratch(spark, "lenient")
+    s = documents(spark, d)
+    noise = s.select(F.concat(F.lit("# "), F.substring("seq", 1, 20)).alias("value"))
+    s.select(fasta.simple_line().alias("value")).union(noise).write.text(at)
+    named = fasta.header_tokens(fasta.read_simple_fasta(spark, at, strict=False).withColumn("description", F.concat(F.lit(" doc"), F.col("seq_id").cast("string"), F.lit(" of many"))))
+    return named.select("seq_id", "description", "seq")
+
+
+def base_name(spark: SparkSession, d: str) -> DataFrame:
+    """Name of the first of several source files, and the sequences of all."""
+    at = scratch(spark, "named")
+    documents(spark, d).repartitionByRange(3, "seq_id").select(F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit("\n"), "seq").alias("value")).write.text(at)
+    r = cut(fasta.read_fasta(spark, at), "named")
+    return r.agg(F.count("*").alias("n")).withColumn("name", F.lit(fasta.base_name(r)[:10]))
+
+
 def simple_fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "simple")
     fasta.write_simple_fasta(documents(spark, d), at, 4)
@@ -348,6 +377,43 @@ def route_by_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return routing.route_by_neighbours(queries_of(spark, d), c, matrix(), 22, 3, 1, 0.8, len(RESIDUES)).select("query_id", "cluster_id", "n_matches")
 
 
+def packed_vector_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Packed vectors, stored and read back, and their algebra by words."""
+    at = scratch(spark, "packed")
+    P.pack(kmers.presence(bench_seqs(spark, d)), 3, len(RESIDUES)).write.parquet(at)
+    v = spark.read.parquet(at)
+    j = v.select(F.col("seq_id").alias("a"), F.col("v").alias("x")).join(v.select(F.col("seq_id").alias("b"), F.col("v").alias("y")), F.col("a") < F.col("b"))
+    x, y = F.col("x"), F.col("y")
+    return j.select("a", "b", P.hamming(x, y).alias("distance"), P.intersection_count(x, y).alias("common"), P.count(P.union(x, y)).alias("n_union"), P.intersects(x, y).alias("meets"),
+                    P.contains(x, 31).alias("has"), P.count(P.with_kmer(x, 31, False)).alias("n_without"), F.size(P.hashes(P.intersection(x, y))).cast("bigint").alias("n_listed"))
+
+
+def packed_centers(spark: SparkSession, d: str) -> DataFrame:
+    """Packed vectors of the documents, merged by cluster and listed."""
+    v = P.pack(kmers.presence(documents(spark, d)), 3, len(RESIDUES))
+    merged = P.merged(v.select((F.col("seq_id") % CLUSTERS).alias("cluster_id"), "v"), "cluster_id")
+    return merged.select("cluster_id", F.explode(P.hashes(F.col("v"))).alias("h"))
+
+
+def strict_join(spark: SparkSession, d: str) -> DataFrame:
+    s = documents(spark, d)
+    return routing.strict_join(s, assignment(s)).select("seq_id", "cluster_id", F.length("seq").cast("bigint").alias("n"))
+
+
+def sampled_seeds(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.sampled_ids(documents(spark, d), CLUSTERS, 5)
+
+
+def resumed_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors are stored by one run; a second one clusters them; a third one starts at its assignment."""
+    s, out = documents(spark, d), scratch(spark, "resumed")
+    args = {"n_clusters": CLUSTERS, "max_iter": 1, "out": out}
+    pipelines.partition_database(s, steps=("transform",), **args)
+    pipelines.partition_database(s, steps=("cluster",), start="cluster", **args)
+    r = pipelines.partition_database(s, start="write", **args)
+    return r["centers"].groupBy("cluster_id").agg(F.count("*").alias("n_hashes"))
+
+
 # -- options, stored forms and small functions
 
 
@@ -419,7 +485,8 @@ def stated_count(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     substitution_scores, matrix_global_alignment, matrix_local_alignment, fasta_reader_options, codon_classes, alphabet_classes, residue_hashes, checked_ids, stored_vectors,
     vector_hash_codes, membership_round_trip, block_designs, stated_count, kmer_neighbours, route_by_neighbours,
-    external_search_top_hit, search_bounds,
+    external_search_top_hit, search_bounds, packed_vector_pairs, packed_centers, strict_join, sampled_seeds, resumed_partitions,
+    fasta_data_source, lenient_lines, base_name,
     fasta_round_trip, simple_fasta_round_trip, sequence_numbering, meta_round_trip, partition_round_trip, parse_simple_lines, reverse_complement, six_frame_translation,
     six_frame_translation_cli, alphabet_compress, alphabet_table, codon_table, kmer_hash, kmer_hash_exact, compressed_kmer_hash, kmer_multiset, presence_vector_count,
     vector_hamming_pairs, vector_intersection_count, vector_algebra, vector_union_by_cluster, cluster_presence_vectors, nearest_center, nearest_center_embeddings, kmeans_update,
@@ -646,3 +713,19 @@ SQL |= {
       SELECT query_id, cluster_id, CAST(m AS BIGINT) AS n_matches FROM (SELECT query_id, cluster_id, sum(n) AS m FROM q JOIN (SELECT DISTINCT kmer, cluster_id FROM near JOIN c USING (h)) x USING (kmer) GROUP BY ALL) r
         JOIN t USING (query_id) WHERE m >= 0.8 * t""",
 }
+
+SQL |= {
+    "packed_vector_pairs": f"""SELECT a, b, len(x) + len(y) - 2 * len(list_intersect(x, y)) AS distance, len(list_intersect(x, y)) AS common, len(list_distinct(list_concat(x, y))) AS n_union, list_has_any(x, y) AS meets,
+      list_contains(x, 31) AS has, len(list_filter(x, lambda h : h <> 31)) AS n_without, len(list_intersect(x, y)) AS n_listed FROM {_SET_PAIRS} p""",
+    "packed_centers": f"SELECT cluster_id, h FROM {_CENTERS} c",
+    "strict_join": f"SELECT seq_id, seq_id % {CLUSTERS} AS cluster_id, length(seq) AS n FROM {_SEQ} s",
+    "sampled_seeds": f"""WITH i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents)
+      SELECT CAST(j AS BIGINT) AS cluster_id, doc_id AS seq_id FROM range({CLUSTERS}) t(j) JOIN i ON place = (5 + j * 27277) % n""",
+    "resumed_partitions": _rounds_sql(_MEAN, "SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(DISTINCT h) AS n_hashes FROM @ JOIN v USING (seq_id) GROUP BY 1", 1),
+}
+
+SQL |= {
+    "fasta_data_source": f"SELECT row_number() OVER (ORDER BY seq_id) - 1 AS seq_id, seq_id AS doc_id, 'a document' AS description, seq FROM {_SEQ} s",
+    "lenient_lines": f"SELECT seq_id, 'doc' || seq_id AS description, seq FROM {_SEQ} s",
+    "base_name": "SELECT count(*) AS n, 'part-00000' AS name FROM documents",
+}

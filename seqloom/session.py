@@ -63,6 +63,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, at: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (or to ``at``) in buckets of ``key``, and reread: joins and aggregates on ``key`` need no shuffle of it."""
+    spark = df.sparkSession
+    n, at = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), at or scratch(spark, name)
+    table = f"seqloom_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", at).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
+def open_bucketed(spark: SparkSession, at: str, columns: str, key: str, buckets: int) -> DataFrame:
+    """What bucketed() wrote to ``at``, also in another session."""
+    table = f"seqloom_opened_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{at}'")
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores; only a scan of fewer splits than cores, which would leave some idle, is dealt out."""
     cores = df.sparkSession.sparkContext.defaultParallelism

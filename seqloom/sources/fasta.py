@@ -65,9 +65,11 @@ def write_simple_fasta(seqs: DataFrame, path: str, shards: int | None = None) ->
     ordered.sortWithinPartitions("seq_id").select(simple_line().alias("value")).write.mode("overwrite").text(path)
 
 
-def read_simple_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seq_id, seq); blank lines are skipped, malformed ones raise."""
+def read_simple_fasta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(seq_id, seq); blank lines are skipped, malformed ones raise, or are skipped too if not ``strict``."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    if not strict:
+        lines = lines.filter(F.col("value").rlike(r"^>\d+[ \t]"))
     return lines.select(parse_id(F.col("value")).alias("seq_id"), parse_sequence(F.col("value")).alias("seq"))
 
 
@@ -78,6 +80,11 @@ def write_meta(seqs: DataFrame, path: str) -> None:
     count.union(lines).repartitionByRange("k").sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
 
 
+def header_tokens(records: DataFrame) -> DataFrame:
+    """``records`` with description cut to its first word: headers of two words at most."""
+    return records.withColumn("description", F.regexp_extract(F.trim("description"), r"^(\S*)", 1))
+
+
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, ext_id)."""
     lines = spark.read.text(path).filter(F.col("value").contains(" "))
@@ -95,11 +102,14 @@ def base_name(records: DataFrame) -> str:
     return re.sub(EXTENSIONS, "", name)
 
 
-def write_partitions(seqs: DataFrame, path: str) -> None:
-    """Two-line FASTA under ``<path>/cluster_id=<id>/``; ``seqs`` has cluster_id, seq_id, seq and maybe description."""
+def write_partitions(seqs: DataFrame, path: str, file_letters: int = 64_000_000) -> None:
+    """Two-line FASTA under ``<path>/cluster_id=<id>/``; ``seqs`` has cluster_id, seq_id, seq and maybe description.
+
+    Clusters are counted first: each is dealt over so many files, and tasks, that one has about ``file_letters`` letters."""
     head = F.concat_ws(" ", F.concat(F.lit(">"), F.col("seq_id").cast("string")), *(["description"] if "description" in seqs.columns else []))
-    out = seqs.select("cluster_id", F.concat(F.trim(head), F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value"))
-    out.repartition("cluster_id", F.pmod(F.xxhash64("value"), F.lit(8))).write.mode("overwrite").partitionBy("cluster_id").text(path)
+    parts = seqs.groupBy("cluster_id").agg(F.ceil((F.sum(F.coalesce(F.length("seq"), F.lit(0))) + 1) / file_letters).cast("bigint").alias("_parts"))
+    out = seqs.join(parts, "cluster_id").select("cluster_id", F.concat(F.trim(head), F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value"), F.pmod(F.xxhash64("seq_id"), F.col("_parts")).alias("_part"))
+    out.repartition("cluster_id", "_part").drop("_part").write.mode("overwrite").partitionBy("cluster_id").text(path)
 
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ def add_archive(spark: SparkSession, archive: str | None) -> str | None:
     return name
 
 
-def _fasta(ids: pd.Series, seqs: pd.Series) -> str:
+def _fasta(ids: pa.ChunkedArray, seqs: pa.ChunkedArray) -> str:
     with tempfile.NamedTemporaryFile("w", suffix=".fa", delete=False) as f:
-        f.writelines(f">{i}\n{s}\n" for i, s in zip(ids, seqs.fillna("")))
+        f.writelines(f">{i}\n{s or ''}\n" for i, s in zip(ids.to_pylist(), seqs.to_pylist()))
     return f.name
 
 
@@ -107,16 +108,16 @@ def search_clusters(queries: DataFrame, records: DataFrame, program: Program, ba
     d = records.join(plan, "cluster_id").select("cluster_id", F.pmod(F.xxhash64("seq_id"), F.col("parts")).alias("part"), each("blocks").alias("block"), "seq_id", "seq")
     q = queries.join(plan, "cluster_id").select("cluster_id", each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "seq")
 
-    def call(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(held):  # a part or block that the hash left empty
-            return pd.DataFrame({"cluster_id": [], "line": []})
-        cluster = int(own.cluster_id.iloc[0])
-        said = _run(program.command, folder, cluster, queries=_fasta(own.query_id, own.seq), database=_fasta(held.seq_id, held.seq))
-        lines = [x for x in said.splitlines() if x and not x.startswith("#")]
-        return pd.DataFrame({"cluster_id": [cluster] * len(lines), "line": lines})
+    def call(own: pa.Table, held: pa.Table) -> pa.Table:
+        lines, cluster = [], None
+        if len(own) and len(held):  # the hash may leave a part or a block empty
+            cluster = own["cluster_id"][0].as_py()
+            said = _run(program.command, folder, cluster, queries=_fasta(own["query_id"], own["seq"]), database=_fasta(held["seq_id"], held["seq"]))
+            lines = [x for x in said.splitlines() if x and not x.startswith("#")]
+        return pa.table({"cluster_id": pa.array([cluster] * len(lines), pa.int64()), "line": pa.array(lines, pa.string())})
 
     key = ("cluster_id", "part", "block")
-    lines = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInPandas(call, "cluster_id bigint, line string")
+    lines = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInArrow(call, "cluster_id bigint, line string")
     f = F.split("line", "\t")
     query, seq, score = program.fields
     return lines.select(F.trim(f[query]).cast("bigint").alias("query_id"), "cluster_id", F.trim(f[seq]).cast("bigint").alias("seq_id"), F.trim(f[score]).cast("double").cast("bigint").alias("score"))

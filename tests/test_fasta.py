@@ -3,6 +3,7 @@ import sys
 import pytest
 
 from seqloom.sources import fasta
+from seqloom.sources.fasta_source import FastaReader, Range, register
 from seqloom.sources.pipe import pipe_clusters
 
 
@@ -58,3 +59,60 @@ def test_pipe(spark):
     count = [sys.executable, "-c", "import sys; print(sys.argv[2], sum(1 for _ in open(sys.argv[1])))", "{fasta}", "{cluster}"]
     assert sorted((r.cluster_id, r.output) for r in pipe_clusters(s, count).collect()) == [(0, "0 3\n"), (1, "1 2\n")]
     assert sorted(r.output for r in pipe_clusters(s, count, 2).collect()) == ["0 1\n", "0 2\n", "1 2\n"]
+
+
+TEXT = ">x first one\nACGT\r\nAC\n>y\nGG\n\n>>odd\ttwo words \n\nT\n>last\n>z\nTT\nA"
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 13, 1000])
+def test_data_source_in_any_splits(tmp_path, size):
+    """Each record once and in order, by its offset, wherever the splits cut."""
+    (tmp_path / "a.fa").write_text(TEXT)
+    (tmp_path / "b.fa").write_text("\n\n>w\nC\n")
+    (tmp_path / "_SUCCESS").write_text("junk")
+    (tmp_path / "empty.fa").write_text("")
+    reader = FastaReader({"path": str(tmp_path), "splitBytes": str(size), "lineSep": "-"})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["ext_id"], r["description"], r["seq"]) for r in rows] == [("x", "first one", "ACGT-AC"), ("y", "", "GG"), (">odd", "two words ", "-T"), ("last", "", ""), ("z", "", "TT-A"), ("w", "", "C")]
+    assert [r["split_row"] for r in rows[:5]] == [TEXT.index(h) for h in (">x", ">y", ">>odd", ">last", ">z")]
+
+
+def test_data_source_without_header(tmp_path):
+    (tmp_path / "a.fa").write_text("ACGT\n>x\nA\n")
+    for strict in ("true", "false"):
+        reader = FastaReader({"path": str(tmp_path / "a.fa"), "strict": strict})
+        if strict == "true":
+            with pytest.raises(ValueError, match="no header"):
+                list(reader.read(Range(str(tmp_path / "a.fa"), 0, 12)))
+        else:
+            assert [r["seq"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == ["A"]
+    with pytest.raises(FileNotFoundError):
+        FastaReader({"path": str(tmp_path / "none")}).partitions()
+
+
+def test_data_source_equals_reader(spark, tmp_path):
+    (tmp_path / "m.fa").write_text("".join(f">s{i} no {i}\n{'ACGT' * (i % 7)}\n" for i in range(300)))
+    want = [(i, f"s{i}", f"no {i}", "ACGT" * (i % 7)) for i in range(300)]
+    for at in (str(tmp_path / "m.fa"), f"file://{tmp_path}"):
+        r = register(spark).read.format("fasta").option("splitBytes", 700).load(at)
+        assert sorted((x.seq_id, x.ext_id, x.description, x.seq) for x in fasta.number_sequences(r).collect()) == want
+    assert sorted((x.seq_id, x.ext_id, x.description, x.seq) for x in fasta.number_sequences(fasta.read_fasta(spark, str(tmp_path / "m.fa"))).collect()) == want
+
+
+def test_lenient_lines(spark, tmp_path):
+    (tmp_path / "l.sfa").write_text(">1 AC\nno header\n>x AC\n\n>22\tGG\n>3\n")
+    assert sorted(map(tuple, fasta.read_simple_fasta(spark, str(tmp_path / "l.sfa"), strict=False).collect())) == [(1, "AC"), (22, "GG")]
+    with pytest.raises(Exception, match="no sequence id"):
+        fasta.read_simple_fasta(spark, str(tmp_path / "l.sfa")).collect()
+    d = spark.createDataFrame([("a b c",), ("  x",), ("",), (None,)], "description string")
+    assert [r.description for r in fasta.header_tokens(d).collect()] == ["a", "x", "", None]
+
+
+def test_partitions_by_counted_size(spark, tmp_path):
+    """A large cluster is written by several tasks, a small one to one file."""
+    s = spark.createDataFrame([(i, "ACGT" * 10, 0 if i < 90 else 1) for i in range(100)], "seq_id bigint, seq string, cluster_id bigint")
+    fasta.write_partitions(s, str(tmp_path / "p"), file_letters=500)
+    files = lambda c: len(list((tmp_path / "p" / f"cluster_id={c}").glob("part-*")))
+    assert files(0) > 1 and files(1) == 1
+    assert sorted(map(tuple, fasta.read_partitions(spark, str(tmp_path / "p")).collect())) == [(0 if i < 90 else 1, i, "ACGT" * 10) for i in range(100)]
+    assert spark.read.text(str(tmp_path / "p")).filter("value LIKE '>%'").count() == 100

@@ -7,10 +7,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from seqloom.functions import packed
 from seqloom.functions.alphabet import RESIDUES, ScoringMatrix
 from seqloom.operators import allpairs, clustering, kmers, routing, waves
 from seqloom.operators.alignment import global_score, global_score_column, local_score, score_table, with_global, with_local
 from seqloom.operators.routing import membership_lines, parse_membership
+from seqloom.session import bucketed, cut, open_bucketed, scratch
 
 
 def slow_global(a, b, m=10, x=-5, g=-5):
@@ -141,6 +143,84 @@ def test_joins(spark):
     assert {(r.cluster_id, r.h) for r in routing.cluster_vectors(m, s).collect()} == {(5, 0), (5, 7), (6, 7)}
 
 
+def test_strict_join(spark):
+    """Lazy; every way in which the sides don't match raises when rows are computed, also when only they are counted."""
+    s = spark.createDataFrame([(1, "AAA", 0), (2, "RNA", 0)], "seq_id bigint, seq string, cluster_id bigint")
+    a = spark.createDataFrame([(1, 5), (2, 6)], "seq_id bigint, cluster_id bigint")
+    assert {(r.seq_id, r.seq, r.cluster_id) for r in routing.strict_join(s, a).collect()} == {(1, "AAA", 5), (2, "RNA", 6)}
+    assert routing.strict_join(s.limit(0), a.limit(0)).count() == 0
+    nothing = spark.createDataFrame([(None, 7)], "seq_id bigint, cluster_id bigint")
+    for x, y in ((s, a.union(a)), (s, a.filter("seq_id = 1")), (s.filter("seq_id = 1"), a), (s.union(s), a), (s, a.union(nothing))):
+        j = routing.strict_join(x, y)
+        with pytest.raises(Exception, match="not on both sides exactly once"):
+            j.count()
+
+
+def test_stored_vectors_stay_where_they_are(spark):
+    """An iteration shuffles assignments and centers, never vectors; they can be opened again."""
+    v = spark.createDataFrame([(i, h) for i in range(40) for h in range(i % 7)], "seq_id bigint, h bigint")
+    ids = spark.createDataFrame([(i,) for i in range(40)], "seq_id bigint")
+    at = scratch(spark, "kept")
+    stored = bucketed(v, "vectors", "seq_id", 4, at)
+    counted = bucketed(clustering.sizes(stored, ids, "seq_id"), "sizes", "seq_id", 4)
+    centers = cut(clustering.seed_centers(stored, ids, 4), "centers")
+    near = clustering.nearest_center(stored, counted.select("seq_id"), F.broadcast(centers), None, counted)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(seq_id" not in plan and "Bucketed: true" in plan
+    found = bucketed(near, "assignment", "seq_id", 4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, clustering.nearest_center(v, ids, centers).collect()))
+    update = clustering.kmeans_update(stored, found)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(seq_id" not in update
+    again = open_bucketed(spark, at, "seq_id bigint, h bigint", "seq_id", 4)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, v.collect()))
+    assert "hashpartitioning(seq_id" not in again.groupBy("seq_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seed_samples(spark):
+    for n, k in ((16, 16), (1000, 16), (27277, 50), (27277 * 30707, 9)):
+        got = clustering.stride_sample(n, k, 3)
+        assert len(set(got)) == k and all(0 <= x < n for x in got)
+    with pytest.raises(ValueError):
+        clustering.stride_sample(3, 4)
+    dense = spark.createDataFrame([(i,) for i in range(50)], "seq_id bigint")
+    odd = dense.select((7 * F.col("seq_id") + 3).alias("seq_id"))
+    want = clustering.stride_sample(50, 5, 2)
+    assert [r.seq_id for r in clustering.sampled_ids(dense, 5, 2).orderBy("cluster_id").collect()] == want
+    assert [r.seq_id for r in clustering.sampled_ids(odd.union(odd), 5, 2).orderBy("cluster_id").collect()] == [7 * i + 3 for i in want]
+    v = dense.select("seq_id", F.col("seq_id").alias("h"))
+    assert sorted(r.h for r in clustering.seed_centers(v, dense, 5, "stride", 2).collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        clustering.seed_centers(v, dense, 5, "other")
+
+
+def test_packed_vectors(spark):
+    r = random.Random(6)
+    sets = [sorted(r.sample(range(287), r.randint(1, 200))) for _ in range(12)] + [[0], [63, 64], [286]]
+    v = packed.pack(spark.createDataFrame([(i, h) for i, s in enumerate(sets) for h in s + s[:1]], "seq_id bigint, h bigint"), 3, 23)
+    assert packed.n_words(3, 23) == 5 and packed.n_words(3, 23, 23) == 191 and dict(v.dtypes)["v"] == packed.TYPE
+    a, b = v.select(F.col("seq_id").alias("a"), F.col("v").alias("x")), v.select(F.col("seq_id").alias("b"), F.col("v").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    for p in a.crossJoin(b).select("a", "b", packed.hashes(x).alias("h"), packed.hashes(packed.union(x, y)).alias("u"), packed.hashes(packed.intersection(x, y)).alias("i"), packed.hamming(x, y).alias("d"), packed.intersects(x, y).alias("m"),
+                                   packed.hashes(packed.with_kmer(x, 63)).alias("w"), packed.hashes(packed.with_kmer(x, 63, False)).alias("o"), packed.contains(x, 63).alias("c"), packed.contains(x, 9999).alias("far"), packed.count(packed.empty_like(x)).alias("none")).collect():
+        s, t = set(sets[p.a]), set(sets[p.b])
+        assert (p.h, p.u, p.i, p.d, p.m) == (sorted(s), sorted(s | t), sorted(s & t), len(s ^ t), bool(s & t))
+        assert (p.w, p.o, p.c, p.far, p.none) == (sorted(s | {63}), sorted(s - {63}), 63 in s, False, 0)
+    whole = packed.merged(v.select((F.col("seq_id") % 2).alias("g"), "v"), "g").select("g", packed.hashes(F.col("v")).alias("h")).collect()
+    assert {x.g: x.h for x in whole} == {g: sorted(set().union(*sets[g::2])) for g in (0, 1)}
+
+
+@pytest.mark.parametrize("of", [packed.union, packed.intersection, packed.intersection_count, packed.hamming, packed.intersects])
+def test_packed_vectors_of_other_parameters(spark, of):
+    """Operators of vectors made by another k or alphabet raise; a null gives null."""
+    long = spark.createDataFrame([(1, 3)], "seq_id bigint, h bigint")
+    v = packed.pack(long, 3, 23).select(F.col("v").alias("x"))
+    for k, sigma in ((4, 23), (3, 20)):
+        with pytest.raises(Exception, match="different k-mer lengths or alphabets"):
+            v.crossJoin(packed.pack(long, k, sigma).select(F.col("v").alias("y"))).select(of(F.col("x"), F.col("y"))).collect()
+    with pytest.raises(Exception, match="out of range"):
+        packed.pack(spark.createDataFrame([(1, 320)], "seq_id bigint, h bigint"), 3, 23).collect()
+
+
 def test_hamming_is_a_metric(spark):
     r = random.Random(1)
     sets = {i: {h for h in range(9) if r.random() < 0.5} for i in range(8)}

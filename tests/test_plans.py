@@ -149,3 +149,42 @@ def test_external_search_equals_native(spark):
         search_clusters(routes, s, Program((sys.executable, "-c", "raise SystemExit('no such thing')"))).collect()
     with pytest.raises(ValueError):
         pipelines.search(q, c, s, method="external")
+
+
+def test_start_from_stored_steps(spark, tmp_path):
+    """A run from a step on equals a whole run; missing, stale and differing steps raise."""
+    path, out = fixture(tmp_path), str(tmp_path / "out")
+    s = pipelines.number_sequences(pipelines.read_fasta(spark, path)).select("seq_id", "seq")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    whole = pipelines.partition_database(s, 2, max_iter=1)
+    with pytest.raises(ValueError, match="has not finished"):
+        pipelines.partition_database(s, 2, max_iter=1, out=out, start="cluster")
+    with pytest.raises(ValueError, match="folder"):
+        pipelines.partition_database(s, 2, max_iter=1, start="cluster")
+    pipelines.partition_database(s, 2, max_iter=1, out=out, steps=("transform", "cluster"))
+    for start in ("transform", "cluster", "write", "union"):
+        r = pipelines.partition_database(s, 2, max_iter=1, out=out, start=start)
+        assert rows(r["assignment"]) == rows(whole["assignment"]) and rows(r["centers"]) == rows(whole["centers"])
+    with pytest.raises(ValueError, match="was run with"):
+        pipelines.partition_database(s, 3, max_iter=1, out=out, start="write")
+    pipelines.partition_database(s, 2, max_iter=1, out=out, steps=("transform",))
+    with pytest.raises(ValueError, match="has not finished"):
+        pipelines.partition_database(s, 2, max_iter=1, out=out, start="write")
+    assert rows(pipelines.partition_database(s, 2, max_iter=1, out=out, start="cluster")["centers"]) == rows(whole["centers"])
+
+
+def test_clustering_commands(spark, tmp_path, monkeypatch):
+    path, out = fixture(tmp_path), str(tmp_path / "out")
+    monkeypatch.setattr(cli, "build", lambda *a, **k: spark)
+    aligner = aligner_archive(spark)
+    for argv in (["vectors", path, f"{out}/v", "--base", "23"], ["cluster", f"{out}/v", f"{out}/c", "--clusters", "2", "--max-iter", "1", "--sample", "stride"], ["membership", f"{out}/c/assignment", f"{out}/m"],
+                 ["cluster-vectors", f"{out}/m", path, f"{out}/cv", "--base", "23"], ["union-vectors", f"{out}/v", f"{out}/c/assignment", f"{out}/u"],
+                 ["partition", path, f"{out}/db", "--clusters", "2", "--max-iter", "1", "--base", "23", "--steps", "transform"], ["partition", path, f"{out}/db", "--clusters", "2", "--max-iter", "1", "--base", "23", "--start", "cluster"],
+                 ["search", path, f"{out}/db", f"{out}/h1", "--base", "23", "--best"],
+                 ["search", path, f"{out}/db", f"{out}/h2", "--base", "23", "--archive", aligner, "--program", sys.executable, "{archive}/local_align.py", "{queries}", "{database}"]):
+        cli.main(argv)
+    tsv = lambda at: sorted(map(tuple, spark.read.option("sep", "\t").csv(at).collect()))
+    assert {x for x, _ in tsv(f"{out}/c/assignment")} == {"0", "1", "2", "3"}
+    own, every = spark.read.parquet(f"{out}/u"), spark.read.parquet(f"{out}/cv")
+    assert own.count() > 0 and own.join(every, ["cluster_id", "h"], "left_anti").count() == 0 and every.count() > own.count()
+    assert tsv(f"{out}/h1") == tsv(f"{out}/h2") and len(tsv(f"{out}/h1")) == 4
