@@ -1,9 +1,7 @@
 """Pairwise alignment scores and distances.
 
-The columns that with_global() and with_local() add are computed for many pairs at once, see waves.py.  The functions of a single pair go
-row by row; the dependence along a row, which only gaps cause, is a running maximum.
-With a gap g <= 0 a Needleman-Wunsch row is t[j] = max(diagonal + match, up + g), then row[j] = max over i <= j of
-t[i] + g * (j - i).  A Smith-Waterman row opens horizontal gaps from t only, as opening from a gap never pays.
+The columns that with_global() and with_local() add are computed for many pairs at once, see waves.py, which has the functions of a
+single pair too.
 Letters score ``match`` or ``mismatch``, or what a ScoringMatrix gives; pairs that it lacks score as without one.
 """
 
@@ -13,16 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import ScoringMatrix
-from .waves import scores
+from .waves import EXTEND, GAP, MATCH, MISMATCH, global_score, local_score, scores  # noqa: F401
 
-MATCH, MISMATCH, GAP, EXTEND = 10, -5, -5, -2
 LOCAL_SCALE, GLOBAL_SCALE = 10_000, 30
 
 
-def _codes(s: str) -> np.ndarray:
-    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
 def score_table(matrix: ScoringMatrix, match: int = MATCH, mismatch: int = MISMATCH) -> np.ndarray:
     """Scores by letter codes, both cases alike; the last row and column stand for letters beyond ASCII."""
     t = np.where(np.eye(129, dtype=bool), match, mismatch).astype(np.int64)
@@ -34,42 +27,6 @@ def score_table(matrix: ScoringMatrix, match: int = MATCH, mismatch: int = MISMA
     return t
 
 
-def _pairing(y: np.ndarray, match: int, mismatch: int, table: np.ndarray | None):
-    """Function of a letter's code: its scores with all letters of ``y``."""
-    if table is None:
-        return lambda c: np.where(y == c, match, mismatch)
-    at = np.minimum(y, 128)
-    return lambda c: table[min(c, 128)][at]
-
-
-def global_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, table: np.ndarray | None = None) -> int:
-    x, y = sorted((_codes(a), _codes(b)), key=len)
-    lead = gap * np.arange(len(y) + 1, dtype=np.int64)
-    row, scores = lead.copy(), _pairing(y, match, mismatch, table)
-    for i, c in enumerate(x, 1):
-        t = np.empty(len(y) + 1, np.int64)
-        t[0] = gap * i
-        t[1:] = np.maximum(row[:-1] + scores(c), row[1:] + gap)
-        row = np.maximum.accumulate(t - lead) + lead
-    return int(row[-1])
-
-
-def local_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND, table: np.ndarray | None = None) -> int:
-    x, y = sorted((_codes(a), _codes(b)), key=len)
-    n, best, scores = len(y), 0, _pairing(y, match, mismatch, table)
-    v, f = np.zeros(n + 1, np.int64), np.full(n + 1, -(1 << 40), np.int64)
-    slope = extend * np.arange(n + 1, dtype=np.int64)
-    for c in x:
-        f = np.maximum(f, v + gap) + extend
-        t = np.zeros(n + 1, np.int64)
-        t[1:] = np.maximum(np.maximum(v[:-1] + scores(c), f[1:]), 0)
-        reach = np.maximum.accumulate(t - slope) + gap
-        v = t
-        v[1:] = np.maximum(t[1:], reach[:-1] + slope[1:])
-        best = max(best, int(v.max()))
-    return best
-
-
 def global_score_column(a: Column, b: Column, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> Column:
     """The same with built-in functions only, for short sequences."""
     border = F.transform(F.sequence(F.lit(0), F.length(b)), lambda j: (j * gap).cast("bigint"))

@@ -65,7 +65,7 @@ def best_first(pairs: DataFrame, queries: DataFrame, partitions: DataFrame, firs
 
     A round aligns each query's next pairs by bound, ``first`` of them, then ``growth`` times as many each round, so the rounds are as many as the
     logarithm of the pairs.  After it, pairs go whose bound is below the best score so far, or equals it with a later id.  A round is
-    written out, so lineage is short.
+    written out, so lineage is short; so are the texts that are still needed after the first one, the only ones that later rounds read.
     """
     left, best, take, counts = pairs.select("query_id", "cluster_id", "seq_id", "bound"), None, first, []
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "seq_id", "cluster_id")
@@ -80,4 +80,6 @@ def best_first(pairs: DataFrame, queries: DataFrame, partitions: DataFrame, firs
         left = ranked.filter(F.col("_rank") > take).join(b, "query_id").filter(can).select("query_id", "cluster_id", "seq_id", "bound")
         if left.isEmpty():
             return best, counts
+        if len(counts) == 1:
+            partitions = cut(partitions.select("cluster_id", "seq_id", "seq").join(left.select("cluster_id", "seq_id").distinct(), ["cluster_id", "seq_id"], "left_semi"), "texts")
         take *= growth

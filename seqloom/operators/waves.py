@@ -3,6 +3,11 @@
 The cells (i, j) with i + j = d of all pairs of a block make up a wave; they depend on the two waves before only, so a wave is a few
 array operations over (places, pairs), whatever the letters.  Pairs are put into blocks by length; shorter ones are filled up with letters
 that match nothing, which changes no cell of their own.  Numbers are as narrow as the costs and lengths of a block allow.
+
+A block of few pairs, each of a short text and a very long one, has many waves of few cells; such pairs go one by one, row by row, where the
+dependence along a row, which only gaps cause, is a running maximum.  With a gap g <= 0 a Needleman-Wunsch row is t[j] = max(diagonal + match, up + g), then row[j] = max over i <= j of
+t[i] + g * (j - i).  A Smith-Waterman row opens horizontal gaps from t only, as opening from a gap never pays.
+Which way a block goes is decided by an estimate of both; the scores are the same.
 """
 
 from __future__ import annotations
@@ -11,19 +16,29 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+MATCH, MISMATCH, GAP, EXTEND = 10, -5, -5, -2
+
+#: Seconds that decide between waves and rows: of a wave or row, and of a cell in it.
+PER_WAVE, PER_WAVE_CELL, PER_ROW, PER_ROW_CELL = 16e-6, 0.8e-9, 14e-6, 3e-9
+
 #: Cells of a wave, over all pairs of a block: a few arrays of that size fit into a core's cache.
 CELLS = 1 << 16
 LANES = 512
 
 
 def _blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Indices of pairs of like (shorter, longer) length, LANES or so many that a wave has CELLS cells at most, but one at least."""
-    order = np.lexsort((lengths[:, 1], lengths[:, 0]))
+    """Indices of pairs whose longer texts, and whose shorter ones, differ by about a quarter at most; LANES pairs, or so many that a wave
+    has CELLS cells, but one at least."""
+    like = np.floor(np.log(lengths[:, 1] + 16) / np.log(1.25))
+    order = np.lexsort((lengths[:, 0], like))
     at = 0
     while at < len(order):
-        end = min(at + LANES, len(order))
-        while end > at + 1 and (lengths[order[end - 1], 0] + 1) * (end - at) > CELLS:
-            end = at + max(1, min(end - at - 1, CELLS // (int(lengths[order[end - 1], 0]) + 1)))
+        first, end = order[at], at + 1
+        while end < min(at + LANES, len(order)):
+            m = lengths[order[end], 0]
+            if like[order[end]] != like[first] or m > 1.25 * lengths[first, 0] + 16 or (m + 1) * (end + 1 - at) > CELLS:
+                break
+            end += 1
         yield order[at:end]
         at = end
 
@@ -125,12 +140,53 @@ def _local(m: int, n: int, lanes: int, similar, gap: int, extend: int, dtype) ->
     return best.max(axis=0).astype(np.int64)
 
 
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _pairing(y: np.ndarray, match: int, mismatch: int, table: np.ndarray | None):
+    """Function of a letter's code: its scores with all letters of ``y``."""
+    if table is None:
+        return lambda c: np.where(y == c, match, mismatch)
+    at = np.minimum(y, 128)
+    return lambda c: table[min(c, 128)][at]
+
+
+def global_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, table: np.ndarray | None = None) -> int:
+    x, y = sorted((_codes(a), _codes(b)), key=len)
+    lead = gap * np.arange(len(y) + 1, dtype=np.int64)
+    row, scores = lead.copy(), _pairing(y, match, mismatch, table)
+    for i, c in enumerate(x, 1):
+        t = np.empty(len(y) + 1, np.int64)
+        t[0] = gap * i
+        t[1:] = np.maximum(row[:-1] + scores(c), row[1:] + gap)
+        row = np.maximum.accumulate(t - lead) + lead
+    return int(row[-1])
+
+
+def local_score(a: str, b: str, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND, table: np.ndarray | None = None) -> int:
+    x, y = sorted((_codes(a), _codes(b)), key=len)
+    n, best, scores = len(y), 0, _pairing(y, match, mismatch, table)
+    v, f = np.zeros(n + 1, np.int64), np.full(n + 1, -(1 << 40), np.int64)
+    slope = extend * np.arange(n + 1, dtype=np.int64)
+    for c in x:
+        f = np.maximum(f, v + gap) + extend
+        t = np.zeros(n + 1, np.int64)
+        t[1:] = np.maximum(np.maximum(v[:-1] + scores(c), f[1:]), 0)
+        reach = np.maximum.accumulate(t - slope) + gap
+        v = t
+        v[1:] = np.maximum(t[1:], reach[:-1] + slope[1:])
+        best = max(best, int(v.max()))
+    return best
+
+
 def scores(a: Sequence[str], b: Sequence[str], local: bool, match: int, mismatch: int, gap: int, extend: int = 0, table: np.ndarray | None = None) -> np.ndarray:
     """Alignment scores of the pairs (a[k], b[k]): Smith-Waterman with affine gaps if ``local``, else Needleman-Wunsch with linear ones.
     ``table`` has scores by letter codes, its last row and column standing for all other letters."""
     short = [x if len(x) <= len(y) else y for x, y in zip(a, b)]
     long = [y if len(x) <= len(y) else x for x, y in zip(a, b)]
     lengths = np.array([(len(x), len(y)) for x, y in zip(short, long)], np.int64).reshape(len(short), 2)
+    whole = table
     codes, starts = zip(_letters(short), _letters(long))
     if table is None:  # letters by number, from 2: 0 and 1 fill up
         known = np.unique(np.concatenate(codes))
@@ -144,6 +200,12 @@ def scores(a: Sequence[str], b: Sequence[str], local: bool, match: int, mismatch
     out = np.zeros(len(short), np.int64)
     for block in _blocks(lengths):
         m, n = lengths[block].max(axis=0)
+        by_waves = (m + n) * PER_WAVE + m * n * len(block) * PER_WAVE_CELL
+        by_rows = lengths[block, 0].sum() * PER_ROW + (lengths[block, 0] * lengths[block, 1]).sum() * PER_ROW_CELL
+        if by_rows < by_waves:
+            costs = {"match": match, "mismatch": mismatch, "gap": gap, "table": whole} | ({"extend": extend} if local else {})
+            out[block] = [(local_score if local else global_score)(short[r], long[r], **costs) for r in block]
+            continue
         dtype = _width(int(m + n) + most // int(m + n + 4), match, mismatch, gap, gap + extend, *([] if table is None else [int(np.abs(table).max())]))
         x = _filled(codes[0], starts[0], block, m, fills[0], dtype, False)
         y = _filled(codes[1], starts[1], block, n, fills[1], dtype, True)

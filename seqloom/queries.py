@@ -371,10 +371,9 @@ def kmer_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_by_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Queries against each document's k-mers, with k-mers that score 22 or more taken as equal."""
-    s = documents(spark, d)
-    c = kmers.presence(s, 3, 3, len(RESIDUES)).withColumnRenamed("seq_id", "cluster_id")
-    return routing.route_by_neighbours(queries_of(spark, d), c, matrix(), 22, 3, 1, 0.8, len(RESIDUES)).select("query_id", "cluster_id", "n_matches")
+    """Queries against the clusters' k-mers, with k-mers that score 22 or more taken as equal."""
+    c = centers(spark, d, 3, 3, len(RESIDUES))
+    return routing.route_by_neighbours(queries_of(spark, d), c, matrix(), 22, 3, 1, None, len(RESIDUES)).select("query_id", "cluster_id", "n_matches")
 
 
 def packed_vector_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -709,9 +708,8 @@ SQL |= {
       SELECT query_id, seq_id, common, CAST(max_length AS BIGINT) AS max_length, CAST(10 * max_length - 5 * (greatest(1, ceil((max_length - common) / 4)) - 1) AS BIGINT) AS bound FROM p""",
     "route_by_neighbours": f"""WITH q AS MATERIALIZED (SELECT query_id, kmer, count(*) AS n FROM {_query_kmers(1)} k WHERE NOT regexp_matches(kmer, '[BZXJ]') GROUP BY ALL),
       near AS MATERIALIZED (SELECT kmer, {_hash_sql('neighbour', 3, len(RESIDUES))} AS h FROM {_near_sql('(SELECT DISTINCT kmer FROM q)', 22)} n),
-      c AS MATERIALIZED (SELECT DISTINCT seq_id AS cluster_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id', 3, 3, 0, len(RESIDUES))} k), t AS (SELECT query_id, sum(n) AS t FROM q GROUP BY 1)
-      SELECT query_id, cluster_id, CAST(m AS BIGINT) AS n_matches FROM (SELECT query_id, cluster_id, sum(n) AS m FROM q JOIN (SELECT DISTINCT kmer, cluster_id FROM near JOIN c USING (h)) x USING (kmer) GROUP BY ALL) r
-        JOIN t USING (query_id) WHERE m >= 0.8 * t""",
+      c AS MATERIALIZED (SELECT DISTINCT seq_id % {CLUSTERS} AS cluster_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id', 3, 3, 0, len(RESIDUES))} k)
+      SELECT query_id, cluster_id, CAST(sum(n) AS BIGINT) AS n_matches FROM q JOIN (SELECT DISTINCT kmer, cluster_id FROM near JOIN c USING (h)) x USING (kmer) GROUP BY ALL""",
 }
 
 SQL |= {

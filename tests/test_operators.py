@@ -262,15 +262,18 @@ def test_waves_equal_single_pairs(pairs, by_matrix):
     """Pairs of any lengths in one block, empty ones among them."""
     t = score_table(ScoringMatrix({(x, y): 10 if x == y else 3 if {x, y} <= set("AC") else -5 for x in RESIDUES for y in RESIDUES})) if by_matrix else None
     a, b = [p[0] for p in pairs], [p[1] for p in pairs]
-    assert waves.scores(a, b, True, 10, -5, -5, -2, t).tolist() == [local_score(x, y, table=t) for x, y in pairs]
-    assert waves.scores(a, b, False, 10, -5, -5, table=t).tolist() == [global_score(x, y, table=t) for x, y in pairs]
+    usual = waves.PER_WAVE
+    for waves.PER_WAVE in (0, usual, 1):  # always waves, as estimated, always rows
+        assert waves.scores(a, b, True, 10, -5, -5, -2, t).tolist() == [local_score(x, y, table=t) for x, y in pairs]
+        assert waves.scores(a, b, False, 10, -5, -5, table=t).tolist() == [global_score(x, y, table=t) for x, y in pairs]
+    waves.PER_WAVE = usual
 
 
 def test_waves_of_many_and_long_pairs():
     """Several blocks, widths of 16 and 32 bits, and costs that differ from the defaults."""
     r = random.Random(8)
     some = lambda n: "".join(r.choice("ARND") for _ in range(n))
-    pairs = [(some(r.randint(0, 90)), some(r.randint(0, 90))) for _ in range(700)] + [(some(1900), some(2100)), (some(3), some(5000)), ("A" * 1500, "A" * 1500)]
+    pairs = [(some(r.randint(0, 90)), some(r.randint(0, 90))) for _ in range(700)] + [(some(1900), some(2100)), (some(3), some(5000)), ("A" * 1500, "A" * 1500)] + [(some(120), some(1000 + i)) for i in range(30)]
     a, b = [p[0] for p in pairs], [p[1] for p in pairs]
     for costs in ({}, {"match": 3, "mismatch": -1, "gap": -4}):
         full = {"match": 10, "mismatch": -5, "gap": -5} | costs
