@@ -1,11 +1,13 @@
 """Main-text extraction by a tree-structured graphical model.
 
 A page is parsed into a tree whose inner nodes are block elements and whose leaves are text blocks.
-Each node is content or not.  Its own evidence (tag, class and id words, block length, share of link
-text, sentence ends) is a product of trained likelihoods; parent and child are coupled by trained
+Each node is content or not.  Its own evidence (tag, class and id words, what the elements around it are
+named, block length, share of link text, sentence ends) is a product of trained likelihoods; parent and child are coupled by trained
 transition potentials.  Sum-product messages passed up and then down the tree give each leaf's exact
 marginal, and leaves that are more likely content than not are kept in page order.
 
+As browsers do, a page without a body gets one (here called a fragment), so a bare text is a node with a text in it.
+
 The potentials are counted on labelled pages, written by ``labelled_pages`` from a fixed seed, with
 add-one smoothing; nothing is learned from the pages to be extracted.
 
@@ -42,7 +44,7 @@ NAMES = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc topbar toolbar sitemap",
     "header": "header masthead banner branding logo site-header hero",
     "footer": "footer foot colophon copyright bottom legal contentinfo",
-    "side": "sidebar side aside widget widgets rail related recommended popular trending complementary more",
+    "side": "sidebar side aside widget widgets rail related recommended popular trending complementary more right rightcol leftcol",
     "advert": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted teaser outbrain taboola",
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe paywall toast disclaimer warning",
     "form": "form search login signup signin contact",
@@ -51,6 +53,11 @@ NAMES = {
     "content": "article content post entry story main text body page-content article-body entry-content post-content richtext prose",
 }
 _NAME_OF = {w: k for k, v in NAMES.items() for w in v.split()}
+#: Words that also count at the beginning or end of a longer word, like commentlist; the longest first.
+_STEMS = sorted((w for w in _NAME_OF if len(w) > 4 and "-" not in w), key=lambda w: (-len(w), w))
+_PARTS = re.compile(r"[-_\d]+|(?<=[a-z])(?=[A-Z])")
+#: What page furniture is called by its tag alone.
+_TAG_KIND = {"nav": "menu", "menu": "menu", "footer": "footer", "aside": "side", "form": "form", "search": "form", "dialog": "notice"}
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -58,26 +65,44 @@ _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _BREAKS = frozenset("option optgroup select datalist hr head".split())
 _OF_HEAD = frozenset("base basefont bgsound link meta".split())
 _BODY = re.compile(r"<body\b", re.I)
+#: Begins labelled pages whose text is not in an element.
+_FRAGMENT = '<!--data-y="1"-->'
 _LABEL = re.compile(r"data-y=\"([01])\"")
 _END = re.compile(r"[.!?…:;]['\"”»)]*$")
 
 
 class Node:
-    __slots__ = ("tag", "names", "label", "up", "kids", "text", "links", "index")
+    __slots__ = ("tag", "names", "label", "up", "kids", "text", "links", "index", "under")
 
     def __init__(self, tag, names, label, up):
         self.tag, self.names, self.label, self.up, self.kids, self.text, self.links = tag, names, label, up, [], None, 0
+        #: the page furniture that it is inside of: the innermost kind, by names or tag, of the elements around it
+        self.under = "none"
+        if up is not None:
+            own = [_TAG_KIND[up.tag]] if up.tag in _TAG_KIND else []
+            own = [k for k in sorted(up.names) if k != "content"] or own
+            self.under = own[0] if own and up.tag != "html" and up.tag != "body" else up.under
+
+
+@lru_cache(maxsize=10_000)
+def _kind(word: str) -> str | None:
+    """What a class or id word names: the whole word, else its parts, among which page furniture counts before content; a header or footer of
+    an article or a post is content."""
+    if whole := _NAME_OF.get(word.lower()):
+        return whole
+    found = []
+    for part in filter(None, _PARTS.split(word)):
+        low = part.lower()
+        kind = _NAME_OF.get(low) or next((_NAME_OF[w] for w in _STEMS if low.startswith(w) or low.endswith(w)), None)
+        found += [kind] if kind else []
+    if not found or found[0] == "content" and set(found) <= {"content", "header", "footer"}:
+        return found[0] if found else None
+    return next(k for k in found if k != "content")
 
 
 def _kinds(attributes: str) -> frozenset:
-    found = set()
-    for m in _NAMED.finditer(attributes):
-        value = (m[1] or m[2] or m[3] or "").lower()
-        for word in re.split(r"\s+", value):
-            kind = _NAME_OF.get(word) or next((_NAME_OF[p] for p in re.split(r"[-_\d]+", word) if p in _NAME_OF), None)
-            if kind:
-                found.add(kind)
-    return frozenset(found)
+    words = (word for m in _NAMED.finditer(attributes) for word in (m[1] or m[2] or m[3] or "").split())
+    return frozenset(k for k in map(_kind, words) if k)
 
 
 def _raw_end(html: str, tag: str, i: int) -> int:
@@ -188,13 +213,25 @@ def parse(html: str) -> list[Node]:
     root = Node("root", frozenset(), 0, None)
     nodes, stack, held, linked = [root], [root], [], 0
     head, link, i, n = False, 0, 0, len(html)
-    opened = _Open("root")
+    opened, bodied = _Open("root"), False
+
+    def embody():
+        """The body that is left out, when something comes that must be in one."""
+        nonlocal bodied
+        if not bodied and stack[-1].tag in ("root", "html"):
+            node = Node("fragment", frozenset(), int(html.startswith(_FRAGMENT)), stack[-1])
+            stack[-1].kids.append(node)
+            nodes.append(node)
+            stack.append(node)
+            opened.push("body")
+            bodied = True
 
     def flush():
         nonlocal held, linked
         if held:
             text = " ".join("".join(held).split())
             if text:
+                embody()
                 leaf = Node("text", frozenset(), stack[-1].label, stack[-1])
                 leaf.text, leaf.links = text, linked / max(1, len(text))
                 stack[-1].kids.append(leaf)
@@ -260,6 +297,12 @@ def parse(html: str) -> list[Node]:
             if (at := opened.last(*CLOSES[tag])) > opened.last("ul", "ol", "dl", "table"):
                 close(at)
         flush()
+        if tag == "body":
+            if bodied:
+                continue
+            bodied = True
+        elif tag != "html":
+            embody()
         label = _LABEL.search(attributes) if "data-y" in attributes else None
         node = Node(tag, _kinds(attributes) if attributes else frozenset(), int(label[1]) if label else stack[-1].label, stack[-1])
         stack[-1].kids.append(node)
@@ -273,12 +316,12 @@ def parse(html: str) -> list[Node]:
 
 
 def features(x: Node) -> list[str]:
-    """Kinds of evidence: an inner node's tag and what its names say, a leaf's looks."""
+    """Kinds of evidence: an inner node's tag and what its names say, a leaf's looks, and what furniture a node is inside of."""
     if x.text is None:
-        return [f"tag={x.tag}", *[f"name={k}" for k in sorted(x.names) or ["none"]]]
+        return [f"tag={x.tag}", f"under={x.under}", *[f"name={k}" for k in sorted(x.names) or ["none"]]]
     words = x.text.count(" ") + 1
     size = "1" if words < 4 else "2" if words < 10 else "3" if words < 25 else "4"
-    return [f"leaf={size},{'0' if x.links == 0 else '1' if x.links < 0.5 else '2'},{bool(_END.search(x.text))}"]
+    return [f"under={x.under}", f"leaf={size},{'0' if x.links == 0 else '1' if x.links < 0.5 else '2'},{bool(_END.search(x.text))}"]
 
 
 class Model:
@@ -332,7 +375,7 @@ class Model:
 
 
 def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
-    """Pages with data-y labels: semantic and plain layouts, with and without each kind of page furniture."""
+    """Pages with data-y labels: semantic, plain and bare layouts, with and without each kind of page furniture."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
@@ -352,7 +395,10 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
         tag = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}.get(kind, "div") if semantic else "div"
         if kind == "comment" and r.random() < 0.5:
             tag = r.choice(["section", "div", "ul"])
-        attr = "" if semantic and tag not in ("div", "section", "ul") and r.random() < 0.6 else f' {r.choice(["class", "id"])}="{r.choice(names[kind])}"'
+        name = r.choice(names[kind])
+        if r.random() < 0.3:
+            name = r.choice(["{}-list", "{}-area", "{}_box", "block-{}", "{}-1", "page-{}", "post-{}"]).format(name) if kind not in ("header", "footer") else f"site-{name}"
+        attr = "" if semantic and tag not in ("div", "section", "ul") and r.random() < 0.6 else f' {r.choice(["class", "id"])}="{name}"'
         body = {
             "menu": lambda: links(r.randint(3, 8)), "header": lambda: f"<h1><a href='/'>{say(1, 3)}</a></h1><p>{say(2, 6)}</p>" if r.random() < 0.6 else links(4),
             "footer": lambda: f"<p>&copy; {say(1, 4)}</p>{links(3)}" if r.random() < 0.6 else f"{say(2, 8)}.", "side": lambda: f"<{(h := r.choice(["h2", "h3", "h3", "h4"]))}>{say(1, 3)}</{h}>{links(5)}" if r.random() < 0.6 else f"<{(h := r.choice(["h2", "h3", "h3", "h4"]))}>{say(1, 3)}</{h}><p>{prose()}</p>",
@@ -375,6 +421,15 @@ def labelled_pages(count: int = 300, seed: int = 7) -> list[str]:
                 body.insert(r.randint(1, len(body)), junk(x, semantic))
         tag = r.choice(["article", "article", "main", "section"]) if semantic else "div"
         attr = f' class="{r.choice(names["content"])}"' if tag in ("div", "section") or r.random() < 0.3 else ""
+        if k % 4 == 1:  # bare: the body, or elements without names in it, hold the text
+            for _ in range(r.choice([0, 0, 1, 2])):
+                body = [f"<div>{''.join(body)}</div>"]
+            few = r.random() < 0.5
+            if r.random() < 0.6:  # nothing but a text
+                body, few = [r.choice([prose, lambda: say(1, 9)])()], False
+            page = f"{''.join(before[:1] * few)}{''.join(body)}{''.join(after[:2] * few)}"
+            out.append(_FRAGMENT + page if k % 8 == 1 else f"<html><head><title>{say(2, 5)}</title></head><body{one}>{page}</body></html>")
+            continue
         main = f"<{tag}{attr}{one}>{''.join(body)}</{tag}>"
         if r.random() < 0.3:
             main = f"<div>{main}</div>"

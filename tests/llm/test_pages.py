@@ -166,3 +166,45 @@ def test_truncated_archives_raise(spark, tmp_path):
     with pytest.raises(ValueError, match="no record begins"):
         warc.read_warc(spark, str(at))
     assert warc.read_warc(spark, str(at), strict=False).count() == 4
+
+
+SENTENCES = "The harbour was quiet that morning. Two boats left before the fog came in."
+BARE = [
+    ("<body>" + f"<p>{SENTENCES}</p>" * 4 + "</body>", "\n".join([SENTENCES] * 4)),
+    (f"<h1>Harbour news</h1><p>{SENTENCES} {SENTENCES}</p><p>{SENTENCES} {SENTENCES}</p>", f"Harbour news\n{SENTENCES} {SENTENCES}\n{SENTENCES} {SENTENCES}"),
+    (f"<div><div><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div>", f"{SENTENCES}\n{SENTENCES}"),
+    (SENTENCES, SENTENCES), ("Two words", "Two words"), (f"{SENTENCES}\n\n{SENTENCES}", f"{SENTENCES} {SENTENCES}"),
+    (f"<html><body>{SENTENCES}<p>More of it here, and then some.</p></body></html>", f"{SENTENCES}\nMore of it here, and then some."),
+]
+
+
+@pytest.mark.parametrize("page,text", BARE)
+def test_bare_pages(page, text):
+    assert html.main_text(page) == text
+
+
+ARTICLE = f"<h1>Harbour news</h1><p>{SENTENCES}</p><p>{SENTENCES} It was late.</p>"
+STAYS = f"Harbour news\n{SENTENCES}\n{SENTENCES} It was late."
+FURNITURE = {
+    "comments": ["<section class='comments'><p>I agree with all of this, well said.</p><p>So do I. It reads well.</p></section>", "<div id='comments'><p>Nice one, thanks!</p></div>", "<ol class='commentlist'><li><p>I was there too. It was cold.</p></li><li><p>Same here, I saw it.</p></li></ol>",
+                 "<div class='comments-area'><article class='comment-body'><div class='comment-content'><p>I agree. Good piece of work, this.</p></div></article></div>", "<div class='postComments'><p>First! I like it.</p></div>", "<ul id='disqus_thread'><li>Great story, thanks for it.</li></ul>"],
+    "adverts": ["<div class='right'><p>Buy our boats now. They float, all of them do.</p></div>", "<div class='ad-box'>Cheap boats for everyone. Order one today.</div>", "<div id='sponsored_links'><p>Boats at half price. Only this week.</p></div>"],
+    "menus": ["<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>", "<div class='mainNavigation'><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></div>"],
+    "sidebars": ["<aside><h3>Popular</h3><p>Ten boats you must see. They are all here.</p></aside>", "<div class='sidebarwrap'><h3>Also</h3><p>The weather at sea. It will rain.</p></div>"],
+    "notices": ["<div class='cookieBanner'><p>We use cookies to make this site work. <a href='/c'>More</a></p></div>"],
+    "footers": ["<footer><p>&copy; Harbour press</p></footer>"],
+}
+LAYOUTS = ["<body><article>{a}</article>{f}</body>", "<body><main>{a}{f}</main></body>", "<body><div class='content'>{a}</div>{f}</body>", "<body class='single-post search-on'><div id='wrap'><div class='entry'>{a}{f}</div></div></body>"]
+
+
+@pytest.mark.parametrize("kind", FURNITURE)
+def test_furniture_of_each_kind_goes_and_the_article_stays(kind):
+    """Precision and recall of each kind over hand-written pages, which the training pages know nothing of."""
+    pages = [x.format(a=ARTICLE, f=f) for f in FURNITURE[kind] for x in LAYOUTS]
+    wrong = [(p, html.main_text(p)) for p in pages if html.main_text(p) != STAYS]
+    assert len(wrong) <= len(pages) // 20, wrong[:3]
+
+
+@pytest.mark.parametrize("word,kind", [("commentlist", "comment"), ("post-comments", "comment"), ("postComments", "comment"), ("article-body", "content"), ("entry-header", "content"), ("site-header", "header"), ("mainNavigation", "menu"), ("content-sidebar", "side"), ("xyz", None), ("bodybuilding", None)])
+def test_names(word, kind):
+    assert html._kind(word) == kind
