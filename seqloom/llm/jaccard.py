@@ -17,8 +17,7 @@ num/(num+den) * (n + m) of them, and the sum of coordinate minima of two points
   of a code of its counts into leaves of about ``LEAF`` points, and ``FAN`` nodes to a parent.  Leaves are joined with
   themselves first.  Then the tree is joined with itself from the roots whose half-spaces share a point downward; node
   pairs go when the sum of minima of their bounding boxes is too small or when they hold one and the same component.
-* Surviving pairs are verified on their sets, of which 48 bits of each hash are compared (two sets of 20,000 take a
-  foreign shingle for a common one with probability 0.0000014).  Pairs already in one component need no test, as only
+* Surviving pairs are verified on their sets, whole hashes against whole hashes of 64 bits.  Pairs already in one component need no test, as only
   the components are returned.  Classes are named by 64 bits of a hash of their set.
 
 Every step is a shuffle by a hashed key; groups that may be large are handled by aggregates and joins
@@ -42,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 WIDTH, NUM, DEN = 5, 75, 100
 RARE = 32
@@ -355,16 +354,12 @@ def _entries(docs: DataFrame, levels, buckets: int, bits: int, width: int, num:
     return blobs.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, entry bigint")
 
 
-def _narrow(s: np.ndarray) -> bytes:
-    """The upper 48 bits of every hash, six bytes each."""
-    return np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _packed_set(s: np.ndarray) -> bytes:
+    return np.ascontiguousarray(s.astype("<u8")).tobytes()
 
 
-def _wide(b) -> np.ndarray:
-    six = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+def _unpacked_set(b) -> np.ndarray:
+    return np.frombuffer(b, "<u8")
 
 
 def _sets(docs: DataFrame, marks, slots: int, width: int) -> DataFrame:
@@ -379,7 +374,7 @@ def _sets(docs: DataFrame, marks, slots: int, width: int) -> DataFrame:
                 part = batch.column(1).take(pa.array(wanted[at:at + 500])).to_pylist()
                 sets = {g: s for s in shingle_sets(part, width) if len(s) and (g := _signature(s)) not in seen}
                 seen.update(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([_narrow(s) for s in sets.values()], pa.binary())], names=["sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([_packed_set(s) for s in sets.values()], pa.binary())], names=["sig", "shingles"])
         _trim()
 
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot"), "text").mapInArrow(work, "sig bigint, shingles binary")
@@ -415,7 +410,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     def links(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(x, y):
-            out.append(_similar(_wide(a.as_buffer()), _wide(b.as_buffer()), num, den))
+            out.append(_similar(_unpacked_set(a.as_buffer()), _unpacked_set(b.as_buffer()), num, den))
         return pa.array(out, pa.bool_())
 
     first = pairs.join(sets, pairs.a == sets.sig).select("a", "b", F.col("shingles").alias("x"))
@@ -545,7 +540,7 @@ def _leaf_links(key: tuple[pa.Scalar, ...], batch: pa.Table, num: int, den: int)
         return c
 
     rows = list(zip(*(batch[x].to_pylist() for x in ("a", "c", "n", "point", "second"))))
-    wide = [_wide(b.as_buffer()) for b in batch["shingles"].combine_chunks()]
+    wide = [_unpacked_set(b.as_buffer()) for b in batch["shingles"].combine_chunks()]
     flat = np.array(batch["p"].to_pylist(), np.int64).reshape(len(rows), COARSE)
     n = np.array([r[2] for r in rows], np.int64)
     second = np.array([r[4] for r in rows], bool)
@@ -601,10 +596,10 @@ def _extended(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _by_class(sets: DataFrame, buckets: int) -> tuple[DataFrame, str]:
-    """``sets`` as a table in buckets of its key, so that the joins of every round move the pairs but not the sets; and its name."""
+    """``sets`` as a table in buckets of its key in the shared folder, so that the joins of every round move the pairs but not the sets; and its name."""
     spark, name = sets.sparkSession, f"seqloom_sets_{uuid.uuid4().hex}"
     buckets = min(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
-    sets.repartition(buckets, "sig").write.format("parquet").bucketBy(buckets, "sig").sortBy("sig").saveAsTable(name)
+    sets.repartition(buckets, "sig").write.format("parquet").bucketBy(buckets, "sig").sortBy("sig").option("path", scratch(spark, "sets")).saveAsTable(name)
     return spark.table(name), name
 
 
