@@ -74,10 +74,11 @@ def search(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int
 top_hits = best_hits
 
 
-def search_best(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True, bound_k: int = 5, **costs) -> tuple[DataFrame, list[int]]:
-    """(top_hits(search(...)), pairs aligned in each round), by aligning only pairs whose bound can beat the best hit so far."""
+def search_best(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True, bound_k: int = 5, first: int = 1, growth: int = 4, **costs) -> tuple[DataFrame, list[int]]:
+    """(top_hits(search(...)), pairs aligned in each round), by aligning only pairs whose bound can beat the best hit so far: ``first`` of each query,
+    then ``growth`` times as many a round.  Few rounds suit few pairs a query, many rounds align fewer."""
     routes = cut(route(queries, centers, k, min_matches, min_fraction, base, drop_last).select("query_id", "cluster_id"), "routes")
-    return best_first(bounded_pairs(routes, queries, partitions, bound_k, **costs), queries, partitions, **costs)
+    return best_first(bounded_pairs(routes, queries, partitions, bound_k, **costs), queries, partitions, first, growth, **costs)
 
 
 def metrics(queries: DataFrame, centers: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

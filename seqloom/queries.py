@@ -293,7 +293,7 @@ def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def routed_search_top_hit(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.search_best(*_searched(spark, d), 5, 1, 0.8, len(RESIDUES))[0]
+    return pipelines.search_best(*_searched(spark, d), 5, 1, 0.8, len(RESIDUES), first=4, growth=16)[0]
 
 
 def external_search_top_hit(spark: SparkSession, d: str) -> DataFrame:
