@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +54,37 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
 
 
+#: Scratch folders of the innermost settled() under way.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+    if (made := _passing.get()) is not None:
+        made.append(at)
+    return at
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, whatever file system they are in; those that aren't there are passed over."""
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written to the shared folder and reread; the scratch that it wrote on the way is deleted, also if it fails."""
+    made: list[str] = []
+    outer, token = _passing.get(), _passing.set(made)
+    try:
+        df, at = make(), f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(at)
+    finally:
+        _passing.reset(token)
+        discard(spark, made)
+    if outer is not None:
+        outer.append(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

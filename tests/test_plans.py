@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom import session
 from seqloom.operators import kmers
 from seqloom.operators.search import bounded_pairs
 from seqloom.plans import cli, pipelines
@@ -188,3 +189,20 @@ def test_clustering_commands(spark, tmp_path, monkeypatch):
     own, every = spark.read.parquet(f"{out}/u"), spark.read.parquet(f"{out}/cv")
     assert own.count() > 0 and own.join(every, ["cluster_id", "h"], "left_anti").count() == 0 and every.count() > own.count()
     assert tsv(f"{out}/h1") == tsv(f"{out}/h2") and len(tsv(f"{out}/h1")) == 4
+
+
+def test_settled_deletes_what_led_to_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    names = lambda: sorted(p.name.split("-")[1] for p in tmp_path.iterdir())
+    kept = session.cut(spark.range(3), "before")
+    inner = lambda: session.settled(spark, "inner", lambda: session.cut(kept, "step").withColumn("x", F.col("id") * 2))
+    out = session.settled(spark, "outer", lambda: inner().filter("x > 0"))
+    assert names() == ["before", "outer"] and sorted(map(tuple, out.collect())) == [(1, 2), (2, 4)] and kept.count() == 3
+
+    def fails():
+        session.cut(kept, "step")
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        session.settled(spark, "never", fails)
+    assert names() == ["before", "outer"]
