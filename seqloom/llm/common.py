@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, scratch  # noqa: F401
+from ..session import cut, scratch, settled  # noqa: F401
 
 #: White space of the word definition: \x20 and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"

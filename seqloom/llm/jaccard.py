@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut, scratch
+from .common import cut, scratch, settled
 
 WIDTH, NUM, DEN = 5, 75, 100
 RARE = 32
@@ -618,7 +618,7 @@ def _small_batches(spark):
 def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text)."""
     with _small_batches(docs.sparkSession):
-        return _near_duplicates(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+        return settled(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, width, num, den).select("doc_id", "n_shingles", "component_id"))
 
 
 def _near_duplicates(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -677,7 +677,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Id and text name a row.  Of rows that agree in both, which are counted, an arbitrary one stays."""
     o = {"width": WIDTH, "num": NUM, "den": DEN} | options
     with _small_batches(docs.sparkSession):
-        found = cut(_near_duplicates(docs, **o).select("doc_id", "text_hash", "stays", "blank"), "found")
+        found = settled(docs.sparkSession, "found", lambda: _near_duplicates(docs, **o).select("doc_id", "text_hash", "stays", "blank"))
     gone = found.filter("not stays").select("doc_id", "text_hash").distinct()
     several = cut(found.filter("stays and not blank").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash"), "several")
     same = lambda x, k: x["_h"].eqNullSafe(k["_text_hash"]) & x["_i"].eqNullSafe(k["_doc_id"])
