@@ -73,16 +73,19 @@ def curriculum(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: flo
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     own = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None)
     rows = docs.select(own.alias("own"), F.col("doc_id").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
+    #: one column that is never null names source and bucket: window and join then share a shuffle of the rows
+    place = lambda s, b: F.concat(F.coalesce(F.concat(F.lit("s"), F.col(s)), F.lit("n")), F.col(b))
     rows = rows.withColumn("bucket", F.substring("key", 1, HEX))
     buckets = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     based = buckets.select("source", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
     sources = source_targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, most)
     base = based.join(sources, based.source.eqNullSafe(sources.source)).select(
-        based.source.alias("s"), F.col("bucket").alias("b"), "base", "source_size", "kind", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+        based.source.alias("s"), F.col("bucket").alias("b"), "base", "source_size", "kind", "target").select(place("s", "b").alias("at"), "base", "source_size", "kind", "target")
+    rows = rows.withColumn("place", place("source", "bucket")).drop("source", "bucket")
+    inside = Window.partitionBy("place").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    j = rows.join(base, rows.source.eqNullSafe(base.s) & (rows.bucket == base.b))
+    j = rows.join(base, rows.place == base["at"])
     j = j.withColumn("first", F.col("base") + F.col("within")).withColumn("again", F.col("first") + F.col("source_size"))
     words = F.floor(F.col("target")).cast("long")
     part = lambda c: F.greatest(F.least(words - F.col(c), F.col("size")), F.lit(0).cast("long"))

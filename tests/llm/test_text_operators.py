@@ -350,3 +350,10 @@ def test_keys_beside_a_cue_are_found(spark):
     assert got[100] == "ctx_secret:17:25" and got[101] == "" and got[102] == ""
     gone = {x.doc_id: x.text for x in pii.redact(data.frame(spark, rows)).collect()}
     assert 'token = "[CTX_SECRET]"' in gone[0] and gone[100] == "some words token=[CTX_SECRET] here" and gone[102] == rows[-1][1]
+
+
+def test_mix_shuffles_rows_once(spark):
+    """Window and join of the mix share one shuffle of the carried rows."""
+    mix = mixing.curriculum(data.frame(spark), carry=["doc_id", "text"])
+    plan = mix._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line and "place" in line for line in plan.splitlines()) == 1
