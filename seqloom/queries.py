@@ -145,14 +145,28 @@ def alphabet_compress(spark: SparkSession, d: str) -> DataFrame:
     return kmers.compressed(documents(spark, d), COARSE, missing="drop")
 
 
+def _residue_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(residue, n): letters of the documents that have a class, counted without a row for each letter."""
+    residues = list(DEFAULT.letters)
+    sums = documents(spark, d).agg(*[F.sum((F.length("seq") - F.length(F.translate("seq", r, ""))).cast("bigint")).alias(r) for r in residues])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(r).alias("residue"), F.coalesce(F.col(r), F.lit(0).cast("bigint")).alias("n")) for r in residues])))
+
+
+def _codon_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(codon, n) of the documents' DNA, read from its start."""
+    codons = dna(spark, d).select(F.explode(F.regexp_extract_all("seq", F.lit("..."), F.lit(0))).alias("codon"))
+    return codons.groupBy("codon").agg(F.count("*").alias("n"))
+
+
 def alphabet_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(r, c) for r, c in DEFAULT.letters.items()]
-    return spark.createDataFrame(rows, "residue string, letter string")
+    """Letters of the documents, with what the default alphabet writes for them."""
+    rows = spark.createDataFrame(list(DEFAULT.letters.items()), "residue string, letter string")
+    return _residue_counts(spark, d).join(rows, "residue").select("residue", "letter", "n")
 
 
 def codon_table(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.range(64).select(F.concat(*[F.substring(F.lit(NUCLEOTIDES), (F.floor(F.col("id") / w) % 4 + 1).cast("int"), F.lit(1)) for w in (16, 4, 1)]).alias("triplet"))
-    return n.select("triplet", S.translate_frame(F.col("triplet"), 0).alias("aa"))
+    """Codons of the documents and what they stand for."""
+    return _codon_counts(spark, d).select(F.col("codon").alias("triplet"), S.translate_frame(F.col("codon"), 0).alias("aa"), "n")
 
 
 def kmer_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -353,7 +367,10 @@ def matrix() -> ScoringMatrix:
 
 
 def substitution_scores(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(matrix().rows(), "aa1 string, aa2 string, score bigint")
+    """Neighbouring letters of the queries, and their score."""
+    pairs = queries_of(spark, d).select(F.explode(S.kmers(F.col("seq"), 2)).alias("km")).groupBy("km").agg(F.count("*").alias("n"))
+    scores = spark.createDataFrame(matrix().rows(), "aa1 string, aa2 string, score bigint")
+    return pairs.select(F.substring("km", 1, 1).alias("aa1"), F.substring("km", 2, 1).alias("aa2"), "n").join(scores, ["aa1", "aa2"])
 
 
 def matrix_global_alignment(spark: SparkSession, d: str) -> DataFrame:
@@ -427,12 +444,16 @@ def fasta_reader_options(spark: SparkSession, d: str) -> DataFrame:
 
 
 def codon_classes(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(c, COARSE.get(c), COARSE.reverse_get(c)) for c in CODONS], "codon string, letter string, reverse_letter string")
+    """Codons of the documents by the class of what they, and those on the other strand, stand for."""
+    classes = spark.createDataFrame([(c, COARSE.get(c), COARSE.reverse_get(c)) for c in CODONS], "codon string, letter string, reverse_letter string")
+    return _codon_counts(spark, d).join(classes, "codon").groupBy("letter", "reverse_letter").agg(F.sum("n").alias("n"), F.count("*").alias("n_codons"))
 
 
 def alphabet_classes(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(chr(ord("A") + i), " ".join(c), len(c), COARSE.size) for i, c in enumerate(COARSE.classes)]
-    return spark.createDataFrame(rows, "letter string, members string, n bigint, size bigint")
+    """Classes of a coarse alphabet, and how many letters of the documents each has."""
+    rows = [(chr(ord("A") + i), " ".join(c), len(c), COARSE.size, r) for i, c in enumerate(COARSE.classes) for r in c]
+    classes = spark.createDataFrame(rows, "letter string, members string, n bigint, size bigint, residue string")
+    return classes.join(_residue_counts(spark, d).withColumnRenamed("n", "found"), "residue").groupBy("letter", "members", "n", "size").agg(F.sum("found").alias("n_letters"))
 
 
 def residue_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -468,10 +489,15 @@ def membership_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_designs(spark: SparkSession, d: str) -> DataFrame:
-    """Order, items and groups of the designs for 1 to 200 items."""
-    sizes = lambda n: (allpairs.grouper(n, "plane"), allpairs.grouper(n, "pairs"))
-    rows = [(n, a.p, a.n_groups, b.n_groups) for n in range(1, 201) for a, b in [sizes(n)]]
-    return spark.createDataFrame(rows, "n bigint, p bigint, plane_groups bigint, pair_groups bigint")
+    """Order and groups of the designs that would compare the documents of each source and language."""
+
+    @F.udf("p bigint, plane_groups bigint, pair_groups bigint")
+    def design(n):
+        a, b = allpairs.grouper(n, "plane"), allpairs.grouper(n, "pairs")
+        return a.p, a.n_groups, b.n_groups
+
+    n = _table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return n.withColumn("design", design("n")).select("source", "lang", "n", "design.*")
 
 
 def stated_count(spark: SparkSession, d: str) -> DataFrame:
@@ -509,6 +535,10 @@ _SEQ = "(SELECT doc_id AS seq_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g
 _QUERY = "(SELECT item_id AS query_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark)"
 _BENCH = _QUERY.replace("query_id", "seq_id")
 _DNA = f"(SELECT seq_id, translate(seq, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{('ACGT' * 7)[:26]}') AS seq FROM {_SEQ} s0)"
+_RESIDUE_ROWS = f"(SELECT substr('{RESIDUES}', i::BIGINT, 1) AS x FROM (SELECT unnest(generate_series(1, {len(RESIDUES)})) AS i) r0)"
+_CODON_ROWS = f"(SELECT substr('{NUCLEOTIDES}', (i // 16) + 1, 1) || substr('{NUCLEOTIDES}', (i // 4) % 4 + 1, 1) || substr('{NUCLEOTIDES}', i % 4 + 1, 1) AS codon, substr('{GENETIC_CODE}', i + 1, 1) AS aa FROM (SELECT unnest(generate_series(0, 63)) AS i) c0)"
+_CODON_COUNTS = f"(SELECT codon, count(*) AS n FROM (SELECT unnest(regexp_extract_all(seq, '...')) AS codon FROM {_DNA} x) y GROUP BY 1)"
+_RESIDUE_LETTERS = "(SELECT substr('ARNDCEQGHILKMFPSTWYV', i::BIGINT, 1) AS residue, chr(CAST(64 + i AS INTEGER)) AS letter FROM (SELECT unnest(generate_series(1, 20)) AS i) t)"
 _RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
 _COARSE = ("".join(COARSE.letters), "".join(COARSE.letters.values()))
 _PRESENCE = f"(SELECT DISTINCT seq_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id', 3, 3)} p0)"
@@ -563,8 +593,8 @@ SQL = {
     "six_frame_translation": _frames_sql(0),
     "six_frame_translation_cli": _frames_sql(1),
     "alphabet_compress": f"SELECT seq_id, seq FROM {_COMPRESSED} s",
-    "alphabet_table": "SELECT substr('ARNDCEQGHILKMFPSTWYV', i::BIGINT, 1) AS residue, chr(CAST(64 + i AS INTEGER)) AS letter FROM (SELECT unnest(generate_series(1, 20)) AS i) t",
-    "codon_table": f"SELECT substr('{NUCLEOTIDES}', (i // 16) + 1, 1) || substr('{NUCLEOTIDES}', (i // 4) % 4 + 1, 1) || substr('{NUCLEOTIDES}', i % 4 + 1, 1) AS triplet, substr('{GENETIC_CODE}', i + 1, 1) AS aa FROM (SELECT unnest(generate_series(0, 63)) AS i) t",
+    "alphabet_table": f"SELECT residue, letter, n FROM (SELECT residue, CAST(coalesce(sum(length(seq) - length(replace(seq, residue, ''))), 0) AS BIGINT) AS n FROM {_RESIDUE_LETTERS} r LEFT JOIN {_SEQ} s ON true GROUP BY 1) c JOIN {_RESIDUE_LETTERS} l USING (residue)",
+    "codon_table": f"SELECT codon AS triplet, aa, n FROM {_CODON_COUNTS} c JOIN {_CODON_ROWS} r USING (codon)",
     "kmer_hash": f"SELECT h, count(*) AS n, count(DISTINCT seq_id) AS n_seqs FROM {_kmers_sql(_SEQ + ' s', 'seq_id')} k GROUP BY 1",
     "kmer_hash_exact": f"SELECT h, count(*) AS n FROM {_kmers_sql(_SEQ + ' s', 'seq_id', 5, base=len(RESIDUES))} k GROUP BY 1",
     "compressed_kmer_hash": f"""SELECT CAST((ascii(substr(km, 1, 1)) - 65) + (ascii(substr(km, 2, 1)) - 65) * 3 + (ascii(substr(km, 3, 1)) - 65) * 9 AS BIGINT) AS h, count(*) AS n FROM
@@ -636,9 +666,8 @@ SQL["local_alignment"] = _local_sql(_LENGTHS)
 
 _NUMBERED = f"'{_COARSE[0]}', '{''.join(str(ord(c) - 64) for c in _COARSE[1])}'"
 _CLOSE = f"CASE WHEN substr(s, r.i + 1, 1) = substr(t, j, 1) THEN 10 WHEN translate(substr(s, r.i + 1, 1), {_NUMBERED}) = translate(substr(t, j, 1), {_NUMBERED}) THEN 2 ELSE -5 END"
-_RESIDUE_ROWS = f"(SELECT substr('{RESIDUES}', i::BIGINT, 1) AS x FROM (SELECT unnest(generate_series(1, {len(RESIDUES)})) AS i) r0)"
-_CODON_ROWS = f"(SELECT substr('{NUCLEOTIDES}', (i // 16) + 1, 1) || substr('{NUCLEOTIDES}', (i // 4) % 4 + 1, 1) || substr('{NUCLEOTIDES}', i % 4 + 1, 1) AS codon, substr('{GENETIC_CODE}', i + 1, 1) AS aa FROM (SELECT unnest(generate_series(0, 63)) AS i) c0)"
 _CLASS = f"translate(aa, '{_COARSE[0]}', '{_COARSE[1]}')"
+_RESIDUE_SCORES = f"(SELECT a.x AS aa1, b.x AS aa2, CAST(CASE WHEN a.x = b.x THEN 10 WHEN translate(a.x, {_NUMBERED}) = translate(b.x, {_NUMBERED}) THEN 2 ELSE -5 END AS BIGINT) AS score FROM {_RESIDUE_ROWS} a, {_RESIDUE_ROWS} b)"
 
 
 def _rounds_sql(step: str, tail: str, rounds: int = 8) -> str:
@@ -665,25 +694,23 @@ SQL |= {
     "kmeans_hamming": _rounds_sql(_MEAN, _LAST),
     "kmedoid_hamming": _rounds_sql(_MEDOID, _LAST),
     "partition_database": _rounds_sql(_MEAN, "SELECT CAST(cluster_id AS BIGINT) AS cluster_id, count(DISTINCT h) AS n_hashes FROM @ JOIN v USING (seq_id) GROUP BY 1"),
-    "substitution_scores": f"SELECT a.x AS aa1, b.x AS aa2, CAST(CASE WHEN a.x = b.x THEN 10 WHEN translate(a.x, {_NUMBERED}) = translate(b.x, {_NUMBERED}) THEN 2 ELSE -5 END AS BIGINT) AS score FROM {_RESIDUE_ROWS} a, {_RESIDUE_ROWS} b",
+    "substitution_scores": f"SELECT aa1, aa2, score, count(*) AS n FROM (SELECT unnest(generate_series(1, length(seq) - 1)) AS i, seq FROM {_BENCH} b) q JOIN {_RESIDUE_SCORES} m ON aa1 = substr(seq, i::BIGINT, 1) AND aa2 = substr(seq, i::BIGINT + 1, 1) GROUP BY ALL",
     "matrix_global_alignment": f"SELECT id_a, id_b, score, CAST(30 * (10 * least(length(s), length(t)) - score) AS BIGINT) // (length(s) + length(t)) AS distance FROM ({_global_sql(_LENGTHS, _CLOSE)}) g",
     "matrix_local_alignment": _local_sql(_LENGTHS, _CLOSE),
     "fasta_reader_options": f"SELECT seq_id AS doc_id, regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1 ', 'g'), ' $', '') AS seq FROM {_SEQ} s",
-    "codon_classes": f"SELECT f.codon, {_CLASS.replace('aa', 'f.aa')} AS letter, {_CLASS.replace('aa', 'b.aa')} AS reverse_letter FROM {_CODON_ROWS} f JOIN {_CODON_ROWS} b ON b.codon = reverse(translate(f.codon, 'ACGT', 'TGCA'))",
-    "alphabet_classes": "SELECT letter, members, CAST(len(string_split(members, ' ')) AS BIGINT) AS n, CAST(7 AS BIGINT) AS size FROM (VALUES " + ", ".join(f"('{chr(65 + i)}', '{m}')" for i, m in enumerate(["A", "R N D", "C E Q G H", "I L", "K M", "F P S T", "W Y V"])) + ") t(letter, members)",
+    "codon_classes": f"SELECT {_CLASS.replace('aa', 'f.aa')} AS letter, {_CLASS.replace('aa', 'b.aa')} AS reverse_letter, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_codons FROM {_CODON_COUNTS} c JOIN {_CODON_ROWS} f USING (codon) JOIN {_CODON_ROWS} b ON b.codon = reverse(translate(f.codon, 'ACGT', 'TGCA')) GROUP BY 1, 2",
+    "alphabet_classes": "SELECT letter, members, CAST(len(string_split(members, ' ')) AS BIGINT) AS n, CAST(7 AS BIGINT) AS size, CAST(coalesce(sum(length(regexp_replace(seq, '[^' || replace(members, ' ', '') || ']', '', 'g'))), 0) AS BIGINT) AS n_letters FROM (VALUES " + ", ".join(f"('{chr(65 + i)}', '{m}')" for i, m in enumerate(["A", "R N D", "C E Q G H", "I L", "K M", "F P S T", "W Y V"])) + f") t(letter, members) LEFT JOIN {_SEQ} s ON true GROUP BY letter, members",
     "residue_hashes": f"SELECT r, count(*) AS n, CAST(CASE WHEN contains('{AMBIGUOUS}', r) THEN -1 ELSE instr('{RESIDUES}', r) - 1 END AS BIGINT) AS h, CAST(CASE WHEN contains('{AMBIGUOUS}', r) THEN 0 ELSE 1 END AS BIGINT) AS n_near FROM (SELECT unnest(regexp_extract_all(seq, '.')) AS r FROM {_SEQ} s) t GROUP BY r",
     "checked_ids": "SELECT doc_id AS seq_id FROM documents",
     "stored_vectors": f"SELECT seq_id, h FROM {_PRESENCE} p",
     "vector_hash_codes": f"""SELECT doc_id AS seq_id, count(h) AS n, CAST(coalesce(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END, 0) AS BIGINT) AS code, CAST(coalesce(bit_count(x), 0) AS BIGINT) AS bits
       FROM documents LEFT JOIN (SELECT seq_id, h, bit_xor(CAST(1 AS BIGINT) << (h % 32)) OVER (PARTITION BY seq_id) AS x FROM (SELECT DISTINCT seq_id, h FROM {_kmers_sql(_SEQ + ' s', 'seq_id')} k) d) e ON seq_id = doc_id GROUP BY doc_id, x""",
     "membership_round_trip": f"SELECT doc_id % {CLUSTERS} AS cluster_id, doc_id AS seq_id FROM documents",
-    "block_designs": """WITH p AS (SELECT x AS p FROM range(1, 30) t(x) WHERE x = 1 OR NOT EXISTS (SELECT 1 FROM range(2, 30) u(y) WHERE y < x AND x % y = 0))
-      SELECT n, min(p) AS p, min(p * p + p + 1) AS plane_groups, n * (n - 1) // 2 AS pair_groups FROM range(1, 201) t(n) JOIN p ON p * p + p + 1 >= n GROUP BY n""",
+    "block_designs": """WITH p AS (SELECT x AS p FROM range(1, 500) t(x) WHERE x = 1 OR NOT EXISTS (SELECT 1 FROM range(2, 500) u(y) WHERE y < x AND x % y = 0)), d AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)
+      SELECT source, lang, n, min(p) AS p, min(p * p + p + 1) AS plane_groups, n * (n - 1) // 2 AS pair_groups FROM d JOIN p ON p * p + p + 1 >= n GROUP BY source, lang, n""",
     "stated_count": "SELECT count(*) AS n, 6 * count(*) AS n_frames FROM documents",
 }
 
-_RESIDUE_SCORES = f"(SELECT aa1, aa2, score FROM ({SQL['substitution_scores']}) m0)"
-
 
 def _near_sql(asked: str, threshold: int) -> str:
     """(kmer, neighbour, score) of the 3-mers (kmer): all three letters of every candidate are summed before any is dropped."""
