@@ -1,6 +1,6 @@
 """Licence scans: TF-IDF cosine to templates, and inheritance from ancestor directories [native].
 
-Statements are the sentences of a text that use licence vocabulary or a licence's short name (GPLv3, MIT), line by line and with wrapped or comment lines joined,
+Statements are the sentences of a text that use licence vocabulary or a licence's short name (GPLv3), line by line and with wrapped or comment lines joined,
 its paragraphs that do, and the whole text if it does; a licence file is a file of a usual
 name, or one at least half of whose lines hold statements that are at least half of its characters, white space apart.  Statements and templates are sparse TF-IDF vectors over
 lower-cased words, with document frequencies over the templates; terms are joined, and the best cosine
@@ -85,8 +85,8 @@ NOTICES = [
 FULL = [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "texts").glob("*.txt"))]
 TEMPLATES = list(dict.fromkeys([*NOTICES, *FULL, *[(k, f"SPDX-License-Identifier: {x}") for k, ids, _ in NAMES for x in ids], *[(k, f.format(x)) for k, _, names in NAMES for x in names for f in PHRASES]]))
 WORDS = r"(?i:licen[cs]e|copyright|spdx|public domain|permission|redistribut|all rights reserved|released under)"
-#: What the identifiers and names begin with that don't hold such words themselves, as spelled ("mit" is a German word).
-SHORT = sorted({re.match("[A-Za-z]+", x)[0] for _, ids, names in NAMES for x in [*ids, *names] if not re.search(WORDS, x)})
+#: What the identifiers and names begin with that don't hold such words themselves, as spelled; not MIT, which is a German word too, also in capitals.
+SHORT = sorted({re.match("[A-Za-z]+", x)[0] for _, ids, names in NAMES for x in [*ids, *names] if not re.search(WORDS, x)} - {"MIT"})
 VOCABULARY = rf"{WORDS}|\b(?:{'|'.join(SHORT)})"
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 LEAST = 0.6

@@ -301,7 +301,7 @@ def test_headers_identifiers_and_whole_licenses(spark):
 
 
 def test_short_names_without_other_vocabulary(spark):
-    said = [("GPL-3.0", "GPLv3"), ("GPL-3.0", "This project is distributed under the GPLv3."), ("GPL-2.0", "Distributed under the terms of the GNU GPL v2 or later."), (None, "Sie kam mit dem Zug."), (None, "MIT students work in a lab near the river.")]
+    said = [("GPL-3.0", "GPLv3"), ("GPL-3.0", "This project is distributed under the GPLv3."), ("GPL-2.0", "Distributed under the terms of the GNU GPL v2 or later."), (None, "Sie kam mit dem Zug."), (None, "ER!! KAM!! MIT!! DEM!! ZUG!!")]
     files = [(f"f{k}/x", t) for k, (_, t) in enumerate(said)]
     got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
     assert [got[f"f{k}/x"] for k in range(len(said))] == [k for k, _ in said]
