@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.alphabet import DEFAULT, RESIDUES, Alphabet, ScoringMatrix
-from ..functions.sequences import compress, kmer_hash, kmers, six_frames
+from ..functions.sequences import compress, kmers
+from . import residues
+
+
+def _schemas(rows: DataFrame, keep: tuple[str, ...], ddl: str) -> tuple[T.StructType, pa.Schema]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    s = T.StructType([*(rows.schema[c] for c in keep), *T.StructType.fromDDL(ddl).fields])
+    return s, to_arrow_schema(s)
 
 
 def translate(seqs: DataFrame, drop_last: bool = False) -> DataFrame:
-    """(frame_id, seq_id, frame, seq): the six frames of each DNA sequence; frame_id = 6 * seq_id + frame, so frames of
+    """(frame_id, seq_id, frame, seq): the six frames of each DNA sequence, as six_frames() has them; frame_id = 6 * seq_id + frame, so frames of
     different sequences never share an id."""
-    f = seqs.select("seq_id", F.posexplode(six_frames(F.col("seq"), drop_last)).alias("frame", "seq"))
+    rows = seqs.select("seq_id", "seq")
+    schema, arrow = _schemas(rows, ("seq_id",), "frame int, seq string")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in residues.blocks(batches):
+            for frame, at, found in residues.six_frames(b.column(1), drop_last):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.full(len(at), frame, np.int32)), found], schema=arrow)
+
+    f = rows.mapInArrow(work, schema)
     return f.select((6 * F.col("seq_id") + F.col("frame")).alias("frame_id"), "seq_id", F.col("frame").cast("bigint"), "seq")
 
 
@@ -20,15 +41,67 @@ def compressed(seqs: DataFrame, alphabet: Alphabet = DEFAULT, missing: str = "er
     return seqs.withColumn("seq", compress(F.col("seq"), alphabet, missing))
 
 
-def hashed_kmers(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool = False, base: int | None = None, keep: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """(``keep`` columns, h): a row per k-mer without ambiguous residues."""
-    km = seqs.select(*keep, F.explode(kmers(F.col("seq"), k, stride, drop_last)).alias("kmer"))
-    return km.select(*keep, kmer_hash(F.col("kmer"), k, base).alias("h")).filter(F.col("h").isNotNull())
+def _hashed(seqs: DataFrame, keep: tuple[str, ...], ddl: str, make: Callable[..., Iterator[tuple]], k: int, stride: int, drop_last: bool, base: int | None, letters: str) -> DataFrame:
+    """(``keep`` columns, what ``make`` gives) of the k-mers of blocks of rows; a row number comes first in what it gives, if there are columns to keep."""
+    rows, base = seqs.select(*keep, "seq"), base or k
+    schema, arrow = _schemas(rows, keep, ddl)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = ((b, residues.hashes(b.column(len(keep)), k, stride, drop_last, base, letters)) for b in residues.blocks(batches))
+        for b, at, *columns in make(found):
+            kept = [b.column(i).take(pa.array(at)) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keep):]))], schema=arrow)
+
+    return rows.mapInArrow(work, schema)
+
+
+def hashed_kmers(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool = False, base: int | None = None, keep: tuple[str, ...] = ("seq_id",), letters: str = "residue") -> DataFrame:
+    """(``keep`` columns, h): a row per k-mer without ambiguous residues, hashed as kmer_hash() or, for ``letters`` "class", compressed_kmer_hash() does."""
+    return _hashed(seqs, keep, "h bigint", lambda found: ((b, row[good], h[good]) for b, (row, h, good) in found), k, stride, drop_last, base, letters)
+
+
+def counted_kmers(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool = False, base: int | None = None, keep: tuple[str, ...] = ("seq_id",), letters: str = "residue") -> DataFrame:
+    """(``keep`` columns, h, n): the same with each row's equal hashes counted or, without columns to keep, those of many rows.  Rows may share
+    what is kept, and a hash come from several tasks: sums are left to the caller."""
+
+    def by_row(found):
+        for b, (row, h, good) in found:
+            yield b, *residues.counted(row[good], h[good])
+
+    def by_task(found):
+        held, size = [], 0
+        for b, (row, h, good) in found:
+            held.append(residues.counted(np.zeros_like(row[good]), h[good])[1:])
+            size += len(held[-1][0])
+            if size >= 2 * residues.HELD:
+                held = [residues.summed(held)]
+                size = len(held[0][0])
+                if size >= residues.HELD:
+                    yield b, None, *held.pop()
+                    size = 0
+        if held:
+            yield None, None, *residues.summed(held)
+
+    return _hashed(seqs, keep, "h bigint, n bigint", by_row if keep else by_task, k, stride, drop_last, base, letters)
+
+
+def hash_arrays(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool = False, base: int | None = None) -> DataFrame:
+    """(seq_id, hashes): an entry per k-mer, null for one with an ambiguous residue; null for a null sequence."""
+    rows, base = seqs.select("seq_id", "seq"), base or k
+    schema, arrow = _schemas(rows, ("seq_id",), "hashes array<bigint>")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in residues.blocks(batches):
+            row, h, good = residues.hashes(b.column(1), k, stride, drop_last, base)
+            bounds = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=b.num_rows))), pa.int32(), mask=np.append(b.column(1).is_null().to_numpy(zero_copy_only=False), False))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(bounds, pa.array(h, mask=~good)).cast(arrow.field(1).type)], schema=arrow)
+
+    return rows.mapInArrow(work, schema)
 
 
 def presence(seqs: DataFrame, k: int = 3, stride: int | None = None, base: int | None = None) -> DataFrame:
     """(seq_id, h), distinct: presence vectors in long form, of k-mers at ``stride`` (k by default, as databases have them)."""
-    return hashed_kmers(seqs, k, stride or k, False, base).distinct()
+    return counted_kmers(seqs, k, stride or k, False, base).select("seq_id", "h").distinct()
 
 
 def packed(long_form: DataFrame, key: str = "seq_id") -> DataFrame:
