@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def vector(hashes: Column) -> Column:
     """Canonical vector of an array of hashes: nulls and negative ones go, sorted, distinct."""
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h >= 0)))
+    return F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h >= 0)))
 
 
 def with_kmer(v: Column, h: Column | int, present: bool = True) -> Column:
