@@ -60,10 +60,26 @@ def seed_centers(vectors: DataFrame, ids: DataFrame, k: int, sample: str = "firs
     return vectors.join(F.broadcast(named), "seq_id").select("cluster_id", "h")
 
 
+#: Rows of centers up to which every iteration's centers are sent to all executors: two numbers a row, 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if a count says that it is small; otherwise marked against it, as Spark guesses from the sizes of compressed files."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _with_cluster(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
+    """``vectors`` with cluster_id.  Only a partition's assignments are held in memory, and neither side goes through the driver, however small its files."""
+    return vectors.join(assignment.select("seq_id", "cluster_id").hint("shuffle_hash"), "seq_id")
+
+
 def nearest_center(vectors: DataFrame, ids: DataFrame, centers: DataFrame, center_ids: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """(seq_id, cluster_id, distance): the center at least Hamming distance, the lowest id among equals.  ``counted`` are the
-    vectors' sizes (seq_id, n), if known."""
+    vectors' sizes (seq_id, n), if known.  Centers are counted and, up to BROADCAST_ROWS, sent to the vectors, which then aren't dealt out by hash:
+    a hash that most vectors have would gather most of them in one task."""
     center_ids = centers.select("cluster_id").distinct() if center_ids is None else center_ids
+    centers = small(centers)
     c = sizes(centers, center_ids, "cluster_id").withColumnRenamed("n", "n_c")
     v = (sizes(vectors, ids, "seq_id") if counted is None else counted).withColumnRenamed("n", "n_v")
     meet = vectors.join(centers, "h").groupBy("seq_id", "cluster_id").agg(F.count("*").alias("common"))
@@ -77,41 +93,33 @@ def nearest_center(vectors: DataFrame, ids: DataFrame, centers: DataFrame, cente
 def kmeans_update(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
     """(cluster_id, h): hashes that at least half of a cluster's members have."""
     members = assignment.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    held = vectors.join(assignment.select("seq_id", "cluster_id"), "seq_id").groupBy("cluster_id", "h").agg(F.count("*").alias("cnt"))
+    held = _with_cluster(vectors, assignment).groupBy("cluster_id", "h").agg(F.count("*").alias("cnt"))
     return held.join(members, "cluster_id").filter(2 * F.col("cnt") >= F.col("n")).select("cluster_id", "h")
 
 
 def medoids(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
     """(cluster_id, seq_id, total): the member with the least summed Hamming distance to its cluster, the lowest id among equals."""
     a = assignment.select("seq_id", "cluster_id")
-    n = sizes(vectors, a, "seq_id").join(a, "seq_id")
-    whole = n.groupBy("cluster_id").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
-    named = vectors.join(a, "seq_id")
-    held = named.groupBy("cluster_id", "h").agg(F.count("*").alias("cnt"))
-    common = named.join(held, ["cluster_id", "h"]).groupBy("seq_id").agg(F.sum("cnt").alias("common"))
-    t = n.join(common, "seq_id", "left").join(whole, "cluster_id")
-    t = t.withColumn("total", F.col("m") * F.col("n") + F.col("all_n") - 2 * F.coalesce("common", F.lit(0)))
+    named = _with_cluster(vectors, a)
+    held = cut(named.groupBy("cluster_id", "h").agg(F.count("*").alias("cnt")), "held")
+    whole = a.groupBy("cluster_id").agg(F.count("*").alias("m")).join(held.groupBy("cluster_id").agg(F.sum("cnt").alias("all_n")), "cluster_id", "left")
+    own = named.join(small(held), ["cluster_id", "h"]).groupBy("seq_id").agg(F.count("*").alias("n"), F.sum("cnt").alias("common"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    t = a.join(own, "seq_id", "left").join(small(cut(whole, "whole")), "cluster_id")
+    t = t.withColumn("total", F.col("m") * none("n") + none("all_n") - 2 * none("common"))
     best = t.groupBy("cluster_id").agg(F.min(F.struct("total", "seq_id")).alias("b"))
     return best.select("cluster_id", "b.seq_id", "b.total")
 
 
 def kmedoid_update(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
     """(cluster_id, h): the medoids' vectors."""
-    return vectors.join(medoids(vectors, assignment).select("cluster_id", "seq_id"), "seq_id").select("cluster_id", "h")
+    chosen = small(cut(medoids(vectors, assignment).select("cluster_id", "seq_id"), "medoids"))  # a row per cluster
+    return vectors.join(chosen, "seq_id").select("cluster_id", "h")
 
 
 def union_centers(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
     """(cluster_id, h): every hash that a member has."""
-    return vectors.join(assignment.select("seq_id", "cluster_id"), "seq_id").select("cluster_id", "h").distinct()
-
-
-#: Rows of centers up to which every iteration's centers are sent to all executors: two numbers a row, 16 MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if a count says that it is small; otherwise Spark joins it as it sees fit."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return _with_cluster(vectors, assignment).select("cluster_id", "h").distinct()
 
 
 def cluster(vectors: DataFrame, ids: DataFrame, k: int, update: str = "mean", max_iter: int = 8, centers: DataFrame | None = None, sample: str = "first", seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +134,7 @@ def cluster(vectors: DataFrame, ids: DataFrame, k: int, update: str = "mean", ma
     ids = counted.select("seq_id")
     centers = cut(seed_centers(vectors, ids, k, sample, seed) if centers is None else centers, "centers")
     names = centers.select("cluster_id").distinct()
-    near = lambda c, names: bucketed(nearest_center(vectors, ids, small(c), names, counted), "assignment", "seq_id")
+    near = lambda c, names: bucketed(nearest_center(vectors, ids, c, names, counted), "assignment", "seq_id")
     assignment = near(centers, names)
     for _ in range(max_iter):
         centers = cut(step(vectors, assignment), "centers")

@@ -100,8 +100,9 @@ def hash_arrays(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool =
 
 
 def presence(seqs: DataFrame, k: int = 3, stride: int | None = None, base: int | None = None) -> DataFrame:
-    """(seq_id, h), distinct: presence vectors in long form, of k-mers at ``stride`` (k by default, as databases have them)."""
-    return counted_kmers(seqs, k, stride or k, False, base).select("seq_id", "h").distinct()
+    """(seq_id, h), distinct: presence vectors in long form, of k-mers at ``stride`` (k by default, as databases have them).
+    Rows are dealt out by seq_id, so that what follows by seq_id needs no shuffle of its own."""
+    return counted_kmers(seqs, k, stride or k, False, base).select("seq_id", "h").repartition("seq_id").distinct()
 
 
 def packed(long_form: DataFrame, key: str = "seq_id") -> DataFrame:

@@ -313,3 +313,46 @@ def test_routing_by_neighbours(spark):
     assert rows(routing.route_by_neighbours(q, centers, near_matrix(), 30, base=base)) == rows(routing.route(q, centers, base=base)) == [(7, 0, 4), (8, 2, 1)]
     assert rows(routing.route_by_neighbours(q, centers, near_matrix(), 18, base=base)) == [(7, 0, 4), (7, 1, 2), (8, 2, 1)]
     assert rows(routing.route_by_neighbours(q, centers, near_matrix(), 18, base=base, min_fraction=0.9)) == [(7, 0, 4), (8, 2, 1)]
+
+
+def _broadcast_scans(df):
+    """Folders whose rows a broadcast of ``df``'s plan reads row by row, without counting them first."""
+    lines, found = df._jdf.queryExecution().sparkPlan().toString().splitlines(), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "BroadcastHashJoin" in line:
+            left = next(j for j in range(i + 1, len(lines)))
+            right = next(j for j in range(left + 1, len(lines)) if depth(lines[j]) == depth(lines[left]))
+            begin, end = (left, right) if "BuildLeft" in line else (right, next((j for j in range(right + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines)))
+            if not any("Aggregate" in x for x in lines[begin:end]):
+                found += [x for x in lines[begin:end] if "FileScan" in x]
+    return found
+
+
+def test_medoids_dont_send_vectors_through_the_driver(spark):
+    from seqloom.session import bucketed
+
+    v = bucketed(spark.range(4000).selectExpr("id div 10 as seq_id", "id % 10 as h"), "probe", "seq_id")
+    a = bucketed(spark.range(400).selectExpr("id as seq_id", "id % 4 as cluster_id"), "probe", "seq_id")
+    df = clustering.kmedoid_update(v, a)
+    assert not [x for x in _broadcast_scans(df) if "[seq_id#" in x and ",h#" in x]
+    assert sorted(map(tuple, df.collect())) == [(c, h) for c in range(4) for h in range(10)]
+
+
+def test_groups_of_pairs_dont_go_through_the_driver(spark):
+    df = allpairs.all_pairs(spark.range(60).selectExpr("id as seq_id", "'' as seq"), "plane")
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [grp" in plan and "BroadcastHashJoin [grp" not in plan
+    assert df.count() == df.select("id_a", "id_b").distinct().count() == 60 * 59 // 2
+
+
+def test_centers_are_sent_to_the_vectors(spark):
+    v = spark.range(4000).selectExpr("id div 10 as seq_id", "id % 10 as h")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if Spark took the centers for large
+    try:
+        near = clustering.nearest_center(v, v.select("seq_id").distinct(), v.filter("seq_id < 3").withColumnRenamed("seq_id", "cluster_id"))
+        assert "BroadcastHashJoin [h#" in near._jdf.queryExecution().sparkPlan().toString()
+        assert {tuple(r)[1:] for r in near.collect()} == {(0, 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
