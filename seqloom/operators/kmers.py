@@ -85,6 +85,19 @@ def counted_kmers(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool
     return _hashed(seqs, keep, "h bigint, n bigint", by_row if keep else by_task, k, stride, drop_last, base, letters)
 
 
+def counted_any(seqs: DataFrame, k: int, *keep: str) -> DataFrame:
+    """(``keep`` columns, h, n): k-mers of any characters by a 64-bit hash, counted by row."""
+    rows = seqs.select(*keep, "seq")
+    schema, arrow = _schemas(rows, keep, "h bigint, n bigint")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in residues.blocks(batches):
+            at, h, n = residues.counted(*residues.any_hashes(b.column(len(keep)), k))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at)) for i in range(len(keep))), pa.array(h), pa.array(n)], schema=arrow)
+
+    return rows.mapInArrow(work, schema)
+
+
 def hash_arrays(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool = False, base: int | None = None) -> DataFrame:
     """(seq_id, hashes): an entry per k-mer, null for one with an ambiguous residue; null for a null sequence."""
     rows, base = seqs.select("seq_id", "seq"), base or k
@@ -105,6 +118,12 @@ def presence(seqs: DataFrame, k: int = 3, stride: int | None = None, base: int |
     return counted_kmers(seqs, k, stride or k, False, base).select("seq_id", "h").repartition("seq_id").distinct()
 
 
+def presence_in_place(seqs: DataFrame, k: int = 3, stride: int | None = None, base: int | None = None) -> DataFrame:
+    """presence(), by a shuffle only if a seq_id is repeated, which is counted first: otherwise no row shares a vector with another one."""
+    ids = seqs.groupBy("seq_id").agg(F.count("*").alias("n"))
+    return counted_kmers(seqs, k, stride or k, False, base).select("seq_id", "h") if ids.filter("n > 1").isEmpty() else presence(seqs, k, stride, base)
+
+
 def packed(long_form: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, hashes): presence vectors as sorted arrays."""
     return long_form.groupBy(key).agg(F.array_sort(F.collect_set("h")).alias("hashes"))

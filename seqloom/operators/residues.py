@@ -98,11 +98,34 @@ def hashes(col: pa.Array, k: int, stride: int, drop_last: bool, base: int, lette
     return row, h, good
 
 
+#: Multiplier of the hash of any characters, modulo 2^64.
+_ODD = 0x9E3779B97F4A7C15
+
+
+def any_hashes(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each k-mer of any characters at every offset of the strings; different k-mers may share a hash, but hardly do."""
+    data, bounds = flat(col)
+    if (data > 127).any():
+        data = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        bounds = np.append(0, np.cumsum(pc.utf8_length(pc.fill_null(col, "")).to_numpy(zero_copy_only=False)))
+    n, code = max(len(data) - k + 1, 0), data.astype(np.uint64)
+    h = np.zeros(n, np.uint64)
+    for i in range(k):
+        h += code[i : i + n] * np.uint64(pow(_ODD, i, 1 << 64))
+    row = np.repeat(np.arange(len(col)), np.diff(bounds))[:n]
+    inside = np.arange(n) + k <= bounds[row + 1]
+    return row[inside], h[inside].view(np.int64)
+
+
 def counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, h, n), distinct."""
     if not len(h):
         return row, h, h
-    low, span = h.min(), int(h.max() - h.min()) + 1
+    low, span = int(h.min()), int(h.max()) - int(h.min()) + 1
+    if span * (int(row[-1]) + 1) >= 1 << 62:
+        names, of = np.unique(h, return_inverse=True)
+        row, of, n = counted(row, of)
+        return row, names[of], n
     key = row * span + (h - low)
     if (int(row[-1]) + 1) * span <= 4 * len(h):
         n = np.bincount(key)

@@ -60,3 +60,30 @@ def test_tables_of_counts():
     h, n = residues.summed([(np.array([3, 1, 3]), np.array([1, 2, 4])), (np.array([1, 9]), np.array([5, 6]))])
     assert h.tolist() == [1, 3, 9] and n.tolist() == [7, 5, 6]
     assert [x.tolist() for x in residues.counted(np.array([0, 0, 2, 2]), np.array([-5, -5, 7, -5]))] == [[0, 2, 2], [-5, -5, 7], [2, 1, 1]]
+
+
+def test_any_characters(spark, seqs):
+    found = seqs.select("seq_id", F.explode(F.regexp_extract_all("seq", F.lit("(?s)(?=(.{4}))"), F.lit(1))).alias("km")).groupBy("seq_id", "km").count()
+    assert sorted((r.seq_id, r.n) for r in kmers.counted_any(seqs, 4, "seq_id").collect()) == sorted((r.seq_id, r["count"]) for r in found.collect())
+    assert kmers.counted_any(seqs, 4).select("h").distinct().count() == found.select("km").distinct().count()
+
+
+def test_presence_in_place_shuffles_repeated_ids_only(spark, seqs):
+    once = kmers.presence_in_place(seqs, 3, 1, 23)
+    assert "HashAggregate" not in once._jdf.queryExecution().sparkPlan().toString()
+    assert rows(once) == rows(kmers.presence(seqs, 3, 1, 23))
+    twice = seqs.union(seqs.limit(40))
+    assert rows(kmers.presence_in_place(twice, 3, 1, 23)) == rows(kmers.presence(twice, 3, 1, 23)) == rows(once)
+
+
+def test_bounds_are_the_same_by_sent_queries_and_by_clusters(spark, seqs, monkeypatch):
+    from seqloom.operators import search
+
+    q = seqs.filter("seq_id % 9 = 0").withColumnRenamed("seq_id", "query_id")
+    s = seqs.withColumn("cluster_id", F.col("seq_id") % 7)
+    routes = q.select("query_id").crossJoin(s.select("cluster_id").distinct()).filter("(query_id + cluster_id) % 3 = 0")
+    sent = search.bounded_pairs(routes, q, s, 3)
+    assert "BroadcastHashJoin [h#" in sent._jdf.queryExecution().sparkPlan().toString()
+    want = rows(sent)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
+    assert rows(search.bounded_pairs(routes, q, s, 3)) == want and len(want) > 100
