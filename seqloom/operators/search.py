@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .alignment import EXTEND, GAP, MATCH, MISMATCH, with_local
+from .clustering import BROADCAST_ROWS
+from .kmers import counted_any
 
 
 def local_bound(length: Column, common: Column, k: int, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP, extend: int = EXTEND) -> Column:
@@ -28,21 +30,26 @@ def local_bound(length: Column, common: Column, k: int, match: int = MATCH, mism
 
 def _counted(seqs: DataFrame, k: int, *keys: str) -> DataFrame:
     """(keys, h, n): k-mers of any characters by a 64-bit hash; where two share one, only more are in common."""
-    found = seqs.select(*keys, F.explode(F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("kmer"))
-    return found.select(*keys, F.xxhash64("kmer").alias("h")).groupBy(*keys, "h").agg(F.count("*").alias("n"))
+    return counted_any(seqs, k, *keys).groupBy(*keys, "h").agg(F.sum("n").alias("n"))
 
 
 def bounded_pairs(routes: DataFrame, queries: DataFrame, partitions: DataFrame, k: int = 5, **costs: int) -> DataFrame:
     """(query_id, cluster_id, seq_id, common, max_length, bound) of each query and sequence of a cluster it is routed to, without texts.
 
-    K-mers that no query has leave the database's side before it is shuffled."""
-    q = _counted(queries, k, "query_id").withColumnRenamed("n", "n_q")
+    K-mers that no query has leave the database's side before it is shuffled.  If the queries' k-mers are few (BROADCAST_ROWS), they are sent to the
+    database's, and what a sequence has in common with a query is summed up within its task; otherwise routes and k-mers meet by cluster and hash."""
+    q = cut(_counted(queries, k, "query_id").withColumnRenamed("n", "n_q"), "asked")
     held = partitions.select("cluster_id", "seq_id", F.col("seq"))
-    s = _counted(held.join(routes.select("cluster_id").distinct(), "cluster_id", "left_semi"), k, "cluster_id", "seq_id")
-    s = s.join(q.select("h").distinct(), "h", "left_semi")
-    common = q.join(routes, "query_id").join(s, ["cluster_id", "h"]).groupBy("query_id", "cluster_id", "seq_id").agg(F.sum(F.least("n_q", "n")).alias("common"))
+    routed = held.join(routes.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    key = ["query_id", "cluster_id", "seq_id"]
+    if q.count() <= BROADCAST_ROWS:
+        met = counted_any(routed, k, "cluster_id", "seq_id").join(F.broadcast(q), "h")
+    else:
+        s = _counted(routed, k, "cluster_id", "seq_id").join(q.select("h").distinct(), "h", "left_semi")
+        met = q.join(routes, "query_id").join(s, ["cluster_id", "h"])
+    common = met.groupBy(*key).agg(F.sum(F.least("n_q", "n")).alias("common"))
     pairs = (routes.join(queries.select("query_id", F.length("seq").alias("_q")), "query_id").join(held.select("cluster_id", "seq_id", F.length("seq").alias("_s")), "cluster_id")
-             .join(common, ["query_id", "cluster_id", "seq_id"], "left"))
+             .join(common, key, "left"))
     length, shared = F.coalesce(F.least("_q", "_s"), F.lit(0)).cast("bigint"), F.coalesce("common", F.lit(0)).cast("bigint")
     return pairs.select("query_id", "cluster_id", "seq_id", shared.alias("common"), length.alias("max_length")).withColumn("bound", local_bound(F.col("max_length"), F.col("common"), k, **costs))
 
