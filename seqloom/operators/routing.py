@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import ScoringMatrix
 from ..functions.sequences import kmer_hash, kmers
-from .kmers import hashed_kmers, neighbours
+from .kmers import counted_kmers, hashed_kmers, neighbours
 
 
 def query_kmers(queries: DataFrame, k: int = 3, base: int | None = None, drop_last: bool = True, stride: int = 1) -> DataFrame:
@@ -18,7 +18,7 @@ def query_kmers(queries: DataFrame, k: int = 3, base: int | None = None, drop_la
 def route(queries: DataFrame, centers: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True) -> DataFrame:
     """(query_id, cluster_id, n_matches): clusters whose center (cluster_id, h) has at least ``min_matches`` of the query's k-mer
     occurrences, or that fraction of them.  The k-mers of a query are first counted by hash, so each meets the centers once."""
-    q = query_kmers(queries, k, base, drop_last).groupBy("query_id", "h").agg(F.count("*").alias("n"))
+    q = counted_kmers(queries, k, 1, drop_last, base, keep=("query_id",)).groupBy("query_id", "h").agg(F.sum("n").alias("n"))
     hits = q.join(centers, "h").groupBy("query_id", "cluster_id").agg(F.sum("n").alias("n_matches"))
     if min_fraction is not None:
         total = q.groupBy("query_id").agg(F.sum("n").alias("total"))
@@ -86,7 +86,7 @@ def parse_membership(lines: DataFrame) -> DataFrame:
 
 def cluster_vectors(membership: DataFrame, seqs: DataFrame, k: int = 3, base: int | None = None) -> DataFrame:
     """(cluster_id, h), distinct, of the members' k-mers at every offset."""
-    return hashed_kmers(membership_join(membership, seqs), k, 1, False, base, keep=("cluster_id",)).distinct()
+    return counted_kmers(membership_join(membership, seqs), k, 1, False, base, keep=("cluster_id",)).select("cluster_id", "h").distinct()
 
 
 def membership_lines(assignment: DataFrame, most: int = 100_000) -> DataFrame:
