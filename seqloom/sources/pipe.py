@@ -18,6 +18,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 @dataclass(frozen=True)
 class Program:
@@ -99,25 +101,38 @@ def search_clusters(queries: DataFrame, records: DataFrame, program: Program, ba
     records (cluster_id, seq_id, seq).
 
     A call gets about ``batch_letters`` of a cluster's letters and ``batch_queries`` of its queries.  Clusters without queries aren't touched.
+    Clusters that take the same queries share calls, so that many small ones don't start a program each, unless the command names {cluster}.
     """
     folder = add_archive(queries.sparkSession, program.archive)
-    asked = queries.groupBy("cluster_id").agg(F.ceil(F.count("*") / batch_queries).cast("bigint").alias("blocks"))
-    parts = records.groupBy("cluster_id").agg(F.greatest(F.ceil(F.sum(F.length("seq")) / batch_letters), F.lit(1)).cast("bigint").alias("parts"))
-    plan = asked.join(parts, "cluster_id")
+    sets = queries.select("cluster_id", F.col("query_id").alias("_q")).distinct().groupBy("cluster_id").agg(F.concat_ws(
+        ":", F.count("*"), F.bit_xor(F.xxhash64("_q")), F.bit_xor(F.xxhash64("_q", F.lit(1)))).alias("set"), F.first("cluster_id").alias("_c"))
+    if any("{cluster}" in x for x in program.command):
+        sets = sets.withColumn("set", F.col("_c").cast("string"))
+    sets = cut(sets.drop("_c"), "sets")
+    first = sets.groupBy("set").agg(F.min("cluster_id").alias("cluster_id"))  # whose queries stand for those of all of its set
+    queries = queries.join(first, "cluster_id").select("set", "query_id", "seq")
+    records = records.join(sets, "cluster_id").select("set", "cluster_id", "seq_id", "seq")
+    asked = queries.groupBy("set").agg(F.ceil(F.count("*") / batch_queries).cast("bigint").alias("blocks"))
+    parts = records.groupBy("set").agg(F.greatest(F.ceil(F.sum(F.length("seq")) / batch_letters), F.lit(1)).cast("bigint").alias("parts"))
+    plan = asked.join(parts, "set")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    d = records.join(plan, "cluster_id").select("cluster_id", F.pmod(F.xxhash64("seq_id"), F.col("parts")).alias("part"), each("blocks").alias("block"), "seq_id", "seq")
-    q = queries.join(plan, "cluster_id").select("cluster_id", each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "seq")
+    d = records.join(plan, "set").select("set", "cluster_id", F.pmod(F.xxhash64("seq_id"), F.col("parts")).alias("part"), each("blocks").alias("block"), "seq_id", "seq")
+    q = queries.join(plan, "set").select(F.col("set").alias("set"), each("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"), "query_id", "seq")
+
+    query, seq, score = program.fields
 
     def call(own: pa.Table, held: pa.Table) -> pa.Table:
-        lines, cluster = [], None
+        lines, of = [], {}
         if len(own) and len(held):  # the hash may leave a part or a block empty
-            cluster = own["cluster_id"][0].as_py()
-            said = _run(program.command, folder, cluster, queries=_fasta(own["query_id"], own["seq"]), database=_fasta(held["seq_id"], held["seq"]))
+            for c, i in zip(held["cluster_id"].to_pylist(), held["seq_id"].to_pylist()):
+                of.setdefault(str(i), []).append(c)
+            once = held.take(pa.array(list(dict(zip(reversed(held["seq_id"].to_pylist()), range(len(held) - 1, -1, -1))).values()))) if len(of) < len(held) else held
+            said = _run(program.command, folder, held["cluster_id"][0].as_py(), queries=_fasta(own["query_id"], own["seq"]), database=_fasta(once["seq_id"], once["seq"]))
             lines = [x for x in said.splitlines() if x and not x.startswith("#")]
-        return pa.table({"cluster_id": pa.array([cluster] * len(lines), pa.int64()), "line": pa.array(lines, pa.string())})
+        found = [(c, x) for x in lines for c in of[x.split("\t")[seq].strip()]]
+        return pa.table({"cluster_id": pa.array([c for c, _ in found], pa.int64()), "line": pa.array([x for _, x in found], pa.string())})
 
-    key = ("cluster_id", "part", "block")
+    key = ("set", "part", "block")
     lines = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInArrow(call, "cluster_id bigint, line string")
     f = F.split("line", "\t")
-    query, seq, score = program.fields
     return lines.select(F.trim(f[query]).cast("bigint").alias("query_id"), "cluster_id", F.trim(f[seq]).cast("bigint").alias("seq_id"), F.trim(f[score]).cast("double").cast("bigint").alias("score"))

@@ -206,3 +206,15 @@ def test_settled_deletes_what_led_to_it(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         session.settled(spark, "never", fails)
     assert names() == ["before", "outer"]
+
+
+def test_clusters_of_the_same_queries_share_a_call(spark, tmp_path):
+    """Forty clusters of one sequence, taken by the same two queries: one call; a sequence of several clusters keeps them all; {cluster} needs a call for each."""
+    q = spark.createDataFrame([(c, i, "ACDEFGHIKL"[i:]) for c in range(40) for i in (0, 1)], "cluster_id bigint, query_id bigint, seq string")
+    s = spark.createDataFrame([(c, c % 30, "ACDEFGHIKLMNPQ") for c in range(40)], "cluster_id bigint, seq_id bigint, seq string")
+    code = "import re,sys,uuid; open(f'{sys.argv[3]}/{uuid.uuid4()}', 'w'); ids = [re.findall('>([0-9]+)', open(f).read()) for f in sys.argv[1:3]]; print('\\n'.join(f'{a}\\t{b}\\t7' for a in ids[0] for b in ids[1]))"
+    for name, more, calls in (("shared", (), 1), ("own", ("{cluster}",), 40)):
+        (tmp_path / name).mkdir()
+        hits = search_clusters(q, s, Program((sys.executable, "-c", code, "{queries}", "{database}", str(tmp_path / name), *more))).collect()
+        assert sorted((r.query_id, r.cluster_id, r.seq_id, r.score) for r in hits) == [(i, c, c % 30, 7) for i in (0, 1) for c in range(40)]
+        assert len(list((tmp_path / name).iterdir())) == calls
