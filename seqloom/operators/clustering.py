@@ -8,11 +8,19 @@ it is m |a| + sum of sizes - 2 * sum of cnt(h) over a's hashes.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bucketed, cut
+from . import residues
 from .allpairs import place
+from .kmers import schemas, unpacked
 
 #: Prime strides of the seed sample.
 STRIDES = (27277, 30707)
@@ -63,6 +71,9 @@ def seed_centers(vectors: DataFrame, ids: DataFrame, k: int, sample: str = "firs
 #: Rows of centers up to which every iteration's centers are sent to all executors: two numbers a row, 16 MB.
 BROADCAST_ROWS = 1_000_000
 
+#: Cells of the table of centers by hashes that a task may hold (32 MB), hashes of vectors it takes at once, and numbers it looks up hashes by (8 bytes each).
+CELLS, HASHES, TABLE = 1 << 22, 1 << 20, 1 << 18
+
 
 def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if a count says that it is small; otherwise marked against it, as Spark guesses from the sizes of compressed files."""
@@ -122,26 +133,153 @@ def union_centers(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
     return _with_cluster(vectors, assignment).select("cluster_id", "h").distinct()
 
 
+class Sent(NamedTuple):
+    """Centers as every task has them: cluster ids in order, those of empty centers too, their distinct hashes, and how often each center has each one
+    (the last column, of zeros, is for other hashes)."""
+
+    names: np.ndarray
+    hashes: np.ndarray
+    held: np.ndarray
+
+    def same(self, other: Sent) -> bool:
+        return all(np.array_equal(x, y) for x, y in zip(self, other))
+
+    def nearest(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the nearest center, distance) of the vectors whose hashes are ``h`` between ``bounds``."""
+        at = np.searchsorted(self.hashes, h) if len(self.hashes) == 0 or self.hashes[-1] - self.hashes[0] >= TABLE else self._looked_up(h)
+        if len(self.hashes):
+            at = np.where(self.hashes[np.minimum(at, len(self.hashes) - 1)] == h, at, len(self.hashes))
+        n = np.diff(bounds)
+        some = n > 0
+        which, least = np.zeros(len(n), np.int64), np.full(len(n), np.iinfo(np.int64).max)
+        for c, held in enumerate(self.held):
+            distance = n + int(held.sum())
+            if len(h):
+                distance[some] -= 2 * np.add.reduceat(held[at], bounds[:-1][some])
+            which[distance < least] = c
+            np.minimum(least, distance, out=least)
+        return which, least
+
+    def _looked_up(self, h: np.ndarray) -> np.ndarray:
+        low, n = self.hashes[0], self.hashes[-1] - self.hashes[0] + 1
+        table = np.searchsorted(self.hashes, np.arange(low, low + n))
+        return table[np.clip(h - low, 0, n - 1)]
+
+
+def sent(centers: DataFrame, names: DataFrame) -> Sent | None:
+    """The centers if they are few enough to be sent to all tasks (BROADCAST_ROWS) and their table is small and not mostly empty; they are counted first."""
+    rows = centers.count()
+    if rows > BROADCAST_ROWS:
+        return None
+    c, h = (x.to_numpy() for x in centers.select(F.col("cluster_id").cast("bigint"), F.col("h").cast("bigint")).toArrow().columns)
+    ids, hashes = np.unique(names.select(F.col("cluster_id").cast("bigint")).toArrow().column(0).to_numpy()), np.unique(h)
+    if not len(ids) or len(ids) * (len(hashes) + 1) > min(CELLS, 64 * (rows + len(ids) + len(hashes) + 1)):
+        return None
+    known = np.isin(c, ids)
+    held = np.zeros((len(ids), len(hashes) + 1), np.int64)
+    np.add.at(held, (np.searchsorted(ids, c[known]), np.searchsorted(hashes, h[known])), 1)
+    return Sent(ids, hashes, held)
+
+
+def vector_rows(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """(seq_id, hashes): a row for every id in ``ids``, whose vector in ``vectors`` (long form) may be empty."""
+    v = vectors.groupBy("seq_id").agg(F.collect_list(F.col("h").cast("bigint")).alias("hashes"))
+    return ids.select("seq_id").distinct().join(v, "seq_id", "left").select("seq_id", F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes"))
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(seq_id, hashes, their bounds by row) of vectors in rows, some HASHES at a time."""
+    for b in batches:
+        v = b.column(1)
+        ends, at = np.asarray(v.offsets)[1:].astype(np.int64) - v.offsets[0].as_py(), 0
+        flat = v.flatten().to_numpy()
+        while at < len(v):
+            start = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, start + HASHES, "right")), at + 1)
+            yield b.column(0).slice(at, to - at), flat[start : ends[to - 1]], np.append(0, ends[at:to] - start)
+            at = to
+
+
+def assigned(rows: DataFrame, centers: Sent) -> DataFrame:
+    """nearest_center() of vectors in rows (seq_id, hashes), where they are: nothing is shuffled."""
+    schema, arrow = schemas(rows, ("seq_id",), "cluster_id bigint, distance bigint")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, h, bounds in _lists(batches):
+            which, distance = centers.nearest(h, bounds)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(centers.names[which]), pa.array(distance)], schema=arrow)
+
+    return rows.mapInArrow(work, schema)
+
+
+def tallies(rows: DataFrame, centers: Sent) -> DataFrame:
+    """(cluster_id, h, n): how many vectors of the rows nearest to each center have each hash and, where h is null, how many there are.  Tasks add up their own
+    vectors' first; only sums are shuffled."""
+    schema, arrow = schemas(rows, (), "cluster_id bigint, h bigint, n bigint")
+
+    def batch(c: np.ndarray, h: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(centers.names[c]), h, pa.array(n)], schema=arrow)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, members = [], np.zeros(len(centers.names), np.int64)
+        for _, h, bounds in _lists(batches):
+            which, _ = centers.nearest(h, bounds)
+            members += np.bincount(which, minlength=len(members))
+            held.append(residues.counted(np.repeat(which, np.diff(bounds)), h))
+            if sum(len(x) for x, _, _ in held) >= 2 * residues.HELD:
+                held = [residues.added(held)]
+                if len(held[0][0]) >= residues.HELD:
+                    c, h, n = held.pop()
+                    yield batch(c, pa.array(h), n)
+        c, h, n = residues.added(held)
+        yield batch(c, pa.array(h), n)
+        c = np.flatnonzero(members)
+        yield batch(c, pa.nulls(len(c), pa.int64()), members[c])
+
+    return rows.mapInArrow(work, schema).groupBy("cluster_id", "h").agg(F.sum("n").alias("n"))
+
+
 def cluster(vectors: DataFrame, ids: DataFrame, k: int, update: str = "mean", max_iter: int = 8, centers: DataFrame | None = None, sample: str = "first", seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(assignment, centers) after at most ``max_iter`` updates, or as soon as no assignment changes.
+    """(assignment, centers) after at most ``max_iter`` updates, or as soon as no center changes.  ``vectors`` are in long form, or in rows (seq_id, hashes), one for
+    each id in ``ids``, as kmers.presence_rows() gives them.
 
-    A cluster without members goes; one whose center becomes empty stays as long as it has members.  Vectors, their sizes and assignments are stored in
-    buckets of seq_id, so that no iteration shuffles the vectors.  Every iteration is written out, so a lost executor costs one iteration at most.
+    A cluster without members goes; one whose center becomes empty stays as long as it has members.  Vectors are stored in rows, and centers are sent to them: a mean
+    iteration reads the rows once and shuffles sums only.  Centers that are too many for that, and medoids, are joined with the long form, stored in buckets of seq_id like
+    sizes and assignments, so that no iteration shuffles the vectors.  Centers of every iteration are written out, so a lost executor costs one iteration at most.
     """
+    none = F.array().cast("array<bigint>")
+    own = vectors.select("seq_id", F.when(F.col("seq_id").isNotNull(), F.col("hashes")).otherwise(none).alias("hashes")) if "hashes" in vectors.columns else vector_rows(vectors, ids)
+    rows = cut(own, "rows")
+    ids = rows.select("seq_id")
+
+    @functools.cache
+    def joined() -> tuple[DataFrame, DataFrame]:
+        return bucketed(unpacked(rows), "vectors", "seq_id"), bucketed(rows.select("seq_id", F.size("hashes").cast("bigint").alias("n")), "sizes", "seq_id")
+
+    def near(centers: DataFrame, names: DataFrame, few: Sent | None) -> DataFrame:
+        return assigned(rows, few) if few else nearest_center(joined()[0], ids, centers, names, joined()[1])
+
+    def moved(centers: DataFrame, names: DataFrame, few: Sent | None) -> tuple[DataFrame, DataFrame]:
+        """The next centers and the clusters that have members."""
+        if update == "mean" and few:
+            t = cut(tallies(rows, few), "tallies")
+            members = t.filter("h IS NULL").select("cluster_id", F.col("n").alias("m"))
+            return t.filter("h IS NOT NULL").join(members, "cluster_id").filter("2 * n >= m").select("cluster_id", "h"), members.select("cluster_id")
+        assignment = bucketed(near(centers, names, few), "assignment", "seq_id")
+        return step(joined()[0], assignment), assignment.select("cluster_id").distinct()
+
     step = {"mean": kmeans_update, "medoid": kmedoid_update}[update]
-    vectors = bucketed(vectors, "vectors", "seq_id")
-    counted = bucketed(sizes(vectors, ids.select("seq_id").distinct(), "seq_id"), "sizes", "seq_id")
-    ids = counted.select("seq_id")
-    centers = cut(seed_centers(vectors, ids, k, sample, seed) if centers is None else centers, "centers")
+    centers = cut(seed_centers(unpacked(rows), ids, k, sample, seed) if centers is None else centers, "centers")
     names = centers.select("cluster_id").distinct()
-    near = lambda c, names: bucketed(nearest_center(vectors, ids, c, names, counted), "assignment", "seq_id")
-    assignment = near(centers, names)
+    few = sent(centers, names)
     for _ in range(max_iter):
-        centers = cut(step(vectors, assignment), "centers")
-        names = assignment.select("cluster_id").distinct()
-        new = near(centers, names)
-        moved = not new.join(assignment.select("seq_id", F.col("cluster_id").alias("was")), "seq_id").filter("cluster_id <> was").isEmpty()
-        assignment = new
-        if not moved:
+        new, names_of_new = (cut(x, "centers") for x in moved(centers, names, few))
+        few_of_new = sent(new, names_of_new)
+        if few and few_of_new:
+            stays = few.same(few_of_new)
+        else:
+            stays = all(a.exceptAll(b).isEmpty() for x, y in ((centers, new), (names, names_of_new)) for a, b in ((x, y), (y, x)))
+        if stays:
             break
-    return assignment, centers
+        centers, names, few = new, names_of_new, few_of_new
+    return cut(near(centers, names, few), "assignment"), centers

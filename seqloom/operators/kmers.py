@@ -15,7 +15,7 @@ from ..functions.sequences import compress, kmers
 from . import residues
 
 
-def _schemas(rows: DataFrame, keep: tuple[str, ...], ddl: str) -> tuple[T.StructType, pa.Schema]:
+def schemas(rows: DataFrame, keep: tuple[str, ...], ddl: str) -> tuple[T.StructType, pa.Schema]:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     s = T.StructType([*(rows.schema[c] for c in keep), *T.StructType.fromDDL(ddl).fields])
@@ -26,7 +26,7 @@ def translate(seqs: DataFrame, drop_last: bool = False) -> DataFrame:
     """(frame_id, seq_id, frame, seq): the six frames of each DNA sequence, as six_frames() has them; frame_id = 6 * seq_id + frame, so frames of
     different sequences never share an id."""
     rows = seqs.select("seq_id", "seq")
-    schema, arrow = _schemas(rows, ("seq_id",), "frame int, seq string")
+    schema, arrow = schemas(rows, ("seq_id",), "frame int, seq string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in residues.blocks(batches):
@@ -44,7 +44,7 @@ def compressed(seqs: DataFrame, alphabet: Alphabet = DEFAULT, missing: str = "er
 def _hashed(seqs: DataFrame, keep: tuple[str, ...], ddl: str, make: Callable[..., Iterator[tuple]], k: int, stride: int, drop_last: bool, base: int | None, letters: str) -> DataFrame:
     """(``keep`` columns, what ``make`` gives) of the k-mers of blocks of rows; a row number comes first in what it gives, if there are columns to keep."""
     rows, base = seqs.select(*keep, "seq"), base or k
-    schema, arrow = _schemas(rows, keep, ddl)
+    schema, arrow = schemas(rows, keep, ddl)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((b, residues.hashes(b.column(len(keep)), k, stride, drop_last, base, letters)) for b in residues.blocks(batches))
@@ -88,7 +88,7 @@ def counted_kmers(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool
 def counted_any(seqs: DataFrame, k: int, *keep: str) -> DataFrame:
     """(``keep`` columns, h, n): k-mers of any characters by a 64-bit hash, counted by row."""
     rows = seqs.select(*keep, "seq")
-    schema, arrow = _schemas(rows, keep, "h bigint, n bigint")
+    schema, arrow = schemas(rows, keep, "h bigint, n bigint")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in residues.blocks(batches):
@@ -101,7 +101,7 @@ def counted_any(seqs: DataFrame, k: int, *keep: str) -> DataFrame:
 def hash_arrays(seqs: DataFrame, k: int = 3, stride: int = 1, drop_last: bool = False, base: int | None = None) -> DataFrame:
     """(seq_id, hashes): an entry per k-mer, null for one with an ambiguous residue; null for a null sequence."""
     rows, base = seqs.select("seq_id", "seq"), base or k
-    schema, arrow = _schemas(rows, ("seq_id",), "hashes array<bigint>")
+    schema, arrow = schemas(rows, ("seq_id",), "hashes array<bigint>")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in residues.blocks(batches):
@@ -124,12 +124,30 @@ def presence_in_place(seqs: DataFrame, k: int = 3, stride: int | None = None, ba
     return counted_kmers(seqs, k, stride or k, False, base).select("seq_id", "h") if ids.filter("n > 1").isEmpty() else presence(seqs, k, stride, base)
 
 
+def presence_rows(seqs: DataFrame, k: int = 3, stride: int | None = None, base: int | None = None) -> DataFrame:
+    """(seq_id, hashes): presence() in a row per seq_id, also for one that has no k-mer.  Rows are shuffled only if a seq_id is repeated or null, which is counted first."""
+    rows, stride, base = seqs.select("seq_id", "seq"), stride or k, base or k
+    if not rows.groupBy("seq_id").agg(F.count("*").alias("n")).filter("n > 1 OR seq_id IS NULL").isEmpty():
+        ids, v = rows.select("seq_id").distinct(), packed(presence(seqs, k, stride, base)).withColumnRenamed("seq_id", "_id")
+        return ids.join(v, ids.seq_id.eqNullSafe(v["_id"]), "left").select("seq_id", F.coalesce("hashes", F.array().cast("array<bigint>")).alias("hashes"))
+    schema, arrow = schemas(rows, ("seq_id",), "hashes array<bigint>")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in residues.blocks(batches):
+            row, h, good = residues.hashes(b.column(1), k, stride, False, base)
+            row, h, _ = residues.counted(row[good], h[good])
+            yield pa.RecordBatch.from_arrays([b.column(0), residues.lists(row, h, b.num_rows).cast(arrow.field(1).type)], schema=arrow)
+
+    return rows.mapInArrow(work, schema)
+
+
 def packed(long_form: DataFrame, key: str = "seq_id") -> DataFrame:
     """(key, hashes): presence vectors as sorted arrays."""
     return long_form.groupBy(key).agg(F.array_sort(F.collect_set("h")).alias("hashes"))
 
 
 def unpacked(vectors: DataFrame, key: str = "seq_id") -> DataFrame:
+    """(key, h): ``vectors`` in long form."""
     return vectors.select(key, F.explode("hashes").alias("h"))
 
 

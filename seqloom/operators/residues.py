@@ -118,16 +118,16 @@ def any_hashes(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, h, n), distinct."""
+    """(row, h, n), distinct, in order."""
     if not len(h):
         return row, h, h
-    low, span = int(h.min()), int(h.max()) - int(h.min()) + 1
-    if span * (int(row[-1]) + 1) >= 1 << 62:
+    low, span, rows = int(h.min()), int(h.max()) - int(h.min()) + 1, int(row.max()) + 1
+    if span * rows >= 1 << 62:
         names, of = np.unique(h, return_inverse=True)
         row, of, n = counted(row, of)
         return row, names[of], n
     key = row * span + (h - low)
-    if (int(row[-1]) + 1) * span <= 4 * len(h):
+    if rows * span <= 4 * len(h):
         n = np.bincount(key)
         key = np.flatnonzero(n)
         n = n[key]
@@ -145,6 +145,20 @@ def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return (h[starts], np.add.reduceat(n, starts)) if len(h) else (h, n)
 
 
+def added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, h, n), distinct, of several tables of counts by row."""
+    row, h, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*held) if held else ((), (), ())))
+    order = np.lexsort((h, row))
+    row, h, n = row[order], h[order], n[order]
+    starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)])
+    return (row[starts], h[starts], np.add.reduceat(n, starts)) if len(h) else (row, h, n)
+
+
+def lists(row: np.ndarray, h: np.ndarray, n: int) -> pa.ListArray:
+    """The hashes ``h`` of rows ``row``, in order, as one list for each of ``n`` rows."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=n))), pa.int32()), pa.array(h, pa.int64()))
+
+
 def _strings(data: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
     bounds = np.append(0, np.cumsum(sizes)).astype(np.int32)
     a = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data)))

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import packed
 from seqloom.functions.alphabet import RESIDUES, ScoringMatrix
-from seqloom.operators import allpairs, clustering, kmers, routing, waves
+from seqloom.operators import allpairs, clustering, kmers, residues, routing, waves
 from seqloom.operators.alignment import global_score, global_score_column, local_score, score_table, with_global, with_local
 from seqloom.operators.routing import membership_lines, parse_membership
 from seqloom.session import bucketed, cut, open_bucketed, scratch
@@ -356,3 +357,44 @@ def test_centers_are_sent_to_the_vectors(spark):
         assert {tuple(r)[1:] for r in near.collect()} == {(0, 0)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_mean_iterations_send_centers_to_rows_of_vectors(spark, monkeypatch):
+    """Neither the vectors nor an assignment are dealt out; the join, which takes over where centers are many, gives the same, with empty, repeated and null ids."""
+    r = random.Random(8)
+    seqs = [(i, "".join(r.choice("ARND") for _ in range(r.randint(0, 40)))) for i in range(60)]
+    s = spark.createDataFrame([*seqs, (61, None), (62, "XX"), (7, "WWWWWW"), (None, "ARNARN")], "seq_id bigint, seq string").repartition(3)
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    v = kmers.presence_rows(s)
+    assert rows(kmers.unpacked(v)) == rows(kmers.presence(s)) and rows(v.select("seq_id")) == rows(s.select("seq_id").distinct())
+    plain = spark.createDataFrame(seqs, "seq_id bigint, seq string")
+    assert "Aggregate" not in kmers.presence_rows(plain)._jdf.queryExecution().sparkPlan().toString()
+    want = {}
+    for name, cells in (("join", 0), ("sent", clustering.CELLS)):
+        monkeypatch.setattr(clustering, "CELLS", cells)
+        if name == "sent":
+            monkeypatch.setattr(clustering, "bucketed", None)
+        want[name] = [rows(x) for x in clustering.cluster(v, s, 4, max_iter=3)]
+    assert want["join"] == want["sent"] and len(want["sent"][0]) == 63 and len(want["sent"][1]) > 10
+    assert want["sent"] == [rows(x) for x in clustering.cluster(kmers.presence(s), s, 4, max_iter=3)]
+
+
+def test_sent_centers(spark):
+    """Nearest by lookup and by search, ties to the lowest id, empty vectors and centers, hashes far apart; tallies in several parts."""
+    r = random.Random(9)
+    for far in (1, 1 << 40):
+        sets = [{far * h for h in range(20) if r.random() < 0.3} for _ in range(50)] + [set(), {far * 99, -3}]
+        centers = {3: sets[0], 5: sets[1], 9: set(), 11: sets[0]}
+        rows = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "seq_id bigint, hashes array<bigint>").repartition(2)
+        c = spark.createDataFrame([(i, h) for i, x in centers.items() for h in x], "cluster_id bigint, h bigint")
+        few = clustering.sent(c, spark.createDataFrame([(i,) for i in centers], "cluster_id bigint"))
+        want = {i: min((len(x ^ y), k) for k, y in centers.items())[::-1] for i, x in enumerate(sets)}
+        found = clustering.assigned(rows, few)
+        assert {x.seq_id: (x.cluster_id, x.distance) for x in found.collect()} == want
+        counts = {}
+        for i, x in enumerate(sets):
+            for h in [None, *x]:
+                counts[want[i][0], h] = counts.get((want[i][0], h), 0) + 1
+        assert {(x.cluster_id, x.h): x.n for x in clustering.tallies(rows, few).collect()} == counts
+    held = [(np.array([1, 0]), np.array([4, 4]), np.array([2, 3])), (np.array([0, 1]), np.array([4, 5]), np.array([1, 1]))]
+    assert [x.tolist() for x in residues.added(held)] == [[0, 1, 1], [4, 4, 5], [4, 2, 1]] and [len(x) for x in residues.added([])] == [0, 0, 0]
