@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import ScoringMatrix
@@ -63,14 +63,15 @@ def partition_join(seqs: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def strict_join(seqs: DataFrame, assignment: DataFrame) -> DataFrame:
-    """As partition_join(), but lazy and in one pass: one join tells ids that are missing or repeated on either side, and the first
-    such row that is computed raises an error.  Repeats of an assignment are counted before the join, those of sequences beside it, on its partitioning."""
-    a = assignment.groupBy("seq_id").agg(F.min("cluster_id").alias("cluster_id"), F.count("*").alias("_m")).withColumnRenamed("seq_id", "_id")
-    n = F.count("*").over(Window.partitionBy(F.col("_key")))
-    j = seqs.drop("cluster_id").join(a, F.col("seq_id") == F.col("_id"), "full_outer").withColumn("_key", F.coalesce("seq_id", "_id")).withColumn("_n", n)
-    fine = F.col("seq_id").isNotNull() & F.col("_id").isNotNull() & (F.col("_m") == 1) & (F.col("_n") == 1)
-    said = F.raise_error(F.concat(F.lit("sequence "), F.coalesce(F.col("_key").cast("string"), F.lit("null")), F.lit(" is not on both sides exactly once")))
-    return j.filter(F.when(fine, F.lit(True)).otherwise(said.cast("boolean"))).drop("_id", "_m", "_key", "_n")
+    """As partition_join(), but lazy: a join with both sides' counts by id tells ids that are missing or repeated on either side, and the first
+    such row that is computed raises an error.  Ids are counted by themselves, without the texts, which are shuffled once and never sorted."""
+    a = assignment.groupBy("seq_id").agg(F.min("cluster_id").alias("cluster_id"), F.count("*").alias("_m"))
+    n = seqs.groupBy("seq_id").agg(F.count("*").alias("_n")).withColumnRenamed("seq_id", "_other")
+    ids = a.join(n, F.col("seq_id") == F.col("_other"), "full_outer").select(F.coalesce("seq_id", "_other").alias("_id"), "cluster_id", "_m", "_n")
+    j = seqs.drop("cluster_id").join(ids.hint("shuffle_hash"), F.col("seq_id") == F.col("_id"), "full_outer")
+    fine = F.col("seq_id").isNotNull() & (F.col("_m") == 1) & (F.col("_n") == 1)
+    said = F.raise_error(F.concat(F.lit("sequence "), F.coalesce(F.coalesce("seq_id", "_id").cast("string"), F.lit("null")), F.lit(" is not on both sides exactly once")))
+    return j.filter(F.when(fine, F.lit(True)).otherwise(said.cast("boolean"))).drop("_id", "_m", "_n")
 
 
 def membership_join(membership: DataFrame, seqs: DataFrame) -> DataFrame:

@@ -102,14 +102,19 @@ def base_name(records: DataFrame) -> str:
     return re.sub(EXTENSIONS, "", name)
 
 
-def write_partitions(seqs: DataFrame, path: str, file_letters: int = 64_000_000) -> None:
-    """Two-line FASTA under ``<path>/cluster_id=<id>/``; ``seqs`` has cluster_id, seq_id, seq and maybe description.
+def dealt(seqs: DataFrame, file_letters: int) -> DataFrame:
+    """(cluster_id, value): two-line records, dealt over tasks so that a file has about ``file_letters`` letters.
 
-    Clusters are counted first: each is dealt over so many files, and tasks, that one has about ``file_letters`` letters."""
+    Clusters are counted first.  The counts, a row per cluster, are sent to the sequences; if these were dealt out by cluster to meet them, all of a cluster would be in one task."""
     head = F.concat_ws(" ", F.concat(F.lit(">"), F.col("seq_id").cast("string")), *(["description"] if "description" in seqs.columns else []))
     parts = seqs.groupBy("cluster_id").agg(F.ceil((F.sum(F.coalesce(F.length("seq"), F.lit(0))) + 1) / file_letters).cast("bigint").alias("_parts"))
-    out = seqs.join(parts, "cluster_id").select("cluster_id", F.concat(F.trim(head), F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value"), F.pmod(F.xxhash64("seq_id"), F.col("_parts")).alias("_part"))
-    out.repartition("cluster_id", "_part").drop("_part").write.mode("overwrite").partitionBy("cluster_id").text(path)
+    out = seqs.join(F.broadcast(parts), "cluster_id").select("cluster_id", F.concat(F.trim(head), F.lit("\n"), F.coalesce("seq", F.lit(""))).alias("value"), F.pmod(F.xxhash64("seq_id"), F.col("_parts")).alias("_part"))
+    return out.repartition("cluster_id", "_part").drop("_part")
+
+
+def write_partitions(seqs: DataFrame, path: str, file_letters: int = 64_000_000) -> None:
+    """Two-line FASTA under ``<path>/cluster_id=<id>/``; ``seqs`` has cluster_id, seq_id, seq and maybe description.  Each cluster is dealt() over several files."""
+    dealt(seqs, file_letters).write.mode("overwrite").partitionBy("cluster_id").text(path)
 
 
 def read_partitions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@ import sys
 
 import pytest
 
+from seqloom.operators.routing import strict_join
 from seqloom.sources import fasta
 from seqloom.sources.fasta_source import FastaReader, Range, register
 from seqloom.sources.pipe import pipe_clusters
@@ -133,3 +134,20 @@ def test_files_grow_with_the_shuffle(spark):
         assert q._files(spark, 3) == 6
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_texts_of_a_cluster_are_never_gathered(spark):
+    """The join that brings clusters to the texts sorts none of them, and counts are sent to them rather than they dealt out by cluster, even if Spark took the counts for large."""
+    s = spark.range(90).selectExpr("id as seq_id", "repeat('A', 10) as seq")
+    a = spark.range(90).selectExpr("id as seq_id", "id % 2 as cluster_id")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = strict_join(s, a)
+        lines = [x for x in joined._jdf.queryExecution().executedPlan().toString().split("\n") if "ShuffledHashJoin" in x or "Sort [" in x or "Window" in x]
+        assert "ShuffledHashJoin" in lines[0] and not [x for x in lines if "Window" in x]
+        plan = fasta.dealt(joined, 100)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "BroadcastHashJoin [cluster_id#" in plan and "SortMergeJoin [cluster_id#" not in plan
+        assert sorted(r.value for r in fasta.dealt(joined, 100).collect()) == sorted(f">{i}\n" + "A" * 10 for i in range(90))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
