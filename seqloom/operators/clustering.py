@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import bucketed, cut
 from . import residues
 from .allpairs import place
-from .kmers import schemas, unpacked
+from .kmers import long_form, schemas, unpacked
 
 #: Prime strides of the seed sample.
 STRIDES = (27277, 30707)
@@ -60,12 +60,12 @@ def seed_centers(vectors: DataFrame, ids: DataFrame, k: int, sample: str = "firs
     if sample not in ("first", "stride"):
         raise ValueError(f"unknown sample {sample!r}")
     if sample == "stride":
-        return vectors.join(F.broadcast(sampled_ids(ids, k, seed)), "seq_id").select("cluster_id", "h")  # k rows
+        return long_form(vectors.join(F.broadcast(sampled_ids(ids, k, seed)), "seq_id"), "cluster_id")  # k rows
     first = [r.seq_id for r in ids.select("seq_id").distinct().orderBy("seq_id").limit(k).collect()]
     if len(first) < k:
         raise ValueError(f"{k} clusters of {len(first)} sequences")
     named = ids.sparkSession.createDataFrame(list(enumerate(first)), "cluster_id bigint, seq_id bigint")
-    return vectors.join(F.broadcast(named), "seq_id").select("cluster_id", "h")
+    return long_form(vectors.join(F.broadcast(named), "seq_id"), "cluster_id")
 
 
 #: Rows of centers up to which every iteration's centers are sent to all executors: two numbers a row, 16 MB.
@@ -129,8 +129,8 @@ def kmedoid_update(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def union_centers(vectors: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(cluster_id, h): every hash that a member has."""
-    return _with_cluster(vectors, assignment).select("cluster_id", "h").distinct()
+    """(cluster_id, h): every hash that a member has.  ``vectors`` are in long form or in rows (seq_id, hashes), which are opened after they have met their clusters."""
+    return long_form(_with_cluster(vectors, assignment), "cluster_id").distinct()
 
 
 class Sent(NamedTuple):
@@ -241,15 +241,15 @@ def tallies(rows: DataFrame, centers: Sent) -> DataFrame:
 
 def cluster(vectors: DataFrame, ids: DataFrame, k: int, update: str = "mean", max_iter: int = 8, centers: DataFrame | None = None, sample: str = "first", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(assignment, centers) after at most ``max_iter`` updates, or as soon as no center changes.  ``vectors`` are in long form, or in rows (seq_id, hashes), one for
-    each id in ``ids``, as kmers.presence_rows() gives them.
+    each id in ``ids``, as kmers.presence_rows() gives them, which the caller has stored, as every iteration reads them.
 
     A cluster without members goes; one whose center becomes empty stays as long as it has members.  Vectors are stored in rows, and centers are sent to them: a mean
     iteration reads the rows once and shuffles sums only.  Centers that are too many for that, and medoids, are joined with the long form, stored in buckets of seq_id like
     sizes and assignments, so that no iteration shuffles the vectors.  Centers of every iteration are written out, so a lost executor costs one iteration at most.
     """
     none = F.array().cast("array<bigint>")
-    own = vectors.select("seq_id", F.when(F.col("seq_id").isNotNull(), F.col("hashes")).otherwise(none).alias("hashes")) if "hashes" in vectors.columns else vector_rows(vectors, ids)
-    rows = cut(own, "rows")
+    rows = vectors if "hashes" in vectors.columns else cut(vector_rows(vectors, ids), "rows")
+    rows = rows.select("seq_id", F.when(F.col("seq_id").isNotNull(), F.col("hashes")).otherwise(none).alias("hashes"))
     ids = rows.select("seq_id")
 
     @functools.cache
@@ -269,7 +269,7 @@ def cluster(vectors: DataFrame, ids: DataFrame, k: int, update: str = "mean", ma
         return step(joined()[0], assignment), assignment.select("cluster_id").distinct()
 
     step = {"mean": kmeans_update, "medoid": kmedoid_update}[update]
-    centers = cut(seed_centers(unpacked(rows), ids, k, sample, seed) if centers is None else centers, "centers")
+    centers = cut(seed_centers(rows, ids, k, sample, seed) if centers is None else centers, "centers")
     names = centers.select("cluster_id").distinct()
     few = sent(centers, names)
     for _ in range(max_iter):

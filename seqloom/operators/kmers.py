@@ -151,6 +151,11 @@ def unpacked(vectors: DataFrame, key: str = "seq_id") -> DataFrame:
     return vectors.select(key, F.explode("hashes").alias("h"))
 
 
+def long_form(vectors: DataFrame, key: str = "seq_id") -> DataFrame:
+    """(key, h) of vectors in either form."""
+    return unpacked(vectors, key) if "hashes" in vectors.columns else vectors.select(key, "h")
+
+
 def kmer_counts(seqs: DataFrame, k: int = 3) -> DataFrame:
     """(seq_id, kmer, n): multiset of each sequence's k-mers."""
     km = seqs.select("seq_id", F.explode(kmers(F.col("seq"), k)).alias("kmer"))

@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> None:
             hits = top_hits(search(*place))
         write_tsv(hits, a.out)
     elif a.command == "cluster":
-        v = spark.read.parquet(a.vectors)
+        v = spark.read.parquet(a.vectors)  # in either form
         found, centers = cluster(v, v.select("seq_id"), a.clusters, a.update, a.max_iter, sample=a.sample, seed=a.seed)
         write_tsv(found.select("seq_id", "cluster_id"), f"{a.out}/assignment")
         centers.write.mode("overwrite").parquet(f"{a.out}/centers")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import DEFAULT, Alphabet
 from ..operators.allpairs import compare
 from ..operators.clustering import cluster, union_centers
-from ..operators.kmers import compressed, presence, translate
+from ..operators.kmers import compressed, long_form, presence_rows, translate
 from ..operators.routing import count_cluster_hits, count_query_maps, route, strict_join
 from ..operators.alignment import LOCAL_SCALE
 from ..operators.search import aligned, best_first, best_hits, bounded_pairs
@@ -23,7 +23,7 @@ STEPS = ("transform", "cluster", "write", "union")
 def partition_database(seqs: DataFrame, n_clusters: int, k: int = 3, stride: int | None = None, base: int | None = None, update: str = "mean", max_iter: int = 8, out: str | None = None, steps: tuple[str, ...] = STEPS, start: str | None = None, sample: str = "first", seed: int = 0) -> dict[str, DataFrame]:
     """Results of the steps up to the last of ``steps``: vectors, assignment, partitions (written as FASTA), centers.
 
-    Under ``out`` every step stores its result, and a manifest notes it with its parameters.  A run with ``start`` takes the steps before that one from
+    Under ``out`` every step stores its result, vectors in rows (seq_id, hashes), and a manifest notes it with its parameters.  A run with ``start`` takes the steps before that one from
     there; it raises if one of them has not finished since the ones before it, or was run with other parameters.
     """
     spark, last = seqs.sparkSession, max((STEPS.index(s) for s in steps), default=-1)
@@ -48,14 +48,15 @@ def partition_database(seqs: DataFrame, n_clusters: int, k: int = 3, stride: int
                 return df
         return spark.read.parquet(at)
 
-    r = {"vectors": stored("transform", "vectors", lambda: presence(seqs, k, stride, base) if out else cut(presence(seqs, k, stride, base), "presence"))}
+    rows = stored("transform", "vectors", lambda: presence_rows(seqs, k, stride, base) if out else cut(presence_rows(seqs, k, stride, base), "presence"))
+    r = {"vectors": long_form(rows)}
     if last >= 1:
-        r["assignment"] = stored("cluster", "assignment", lambda: cluster(r["vectors"], seqs, n_clusters, update, max_iter, sample=sample, seed=seed)[0])
+        r["assignment"] = stored("cluster", "assignment", lambda: cluster(rows, seqs, n_clusters, update, max_iter, sample=sample, seed=seed)[0])
     if last >= 2:
         joined = strict_join(seqs, r["assignment"])
         r["partitions"] = stored("write", "partitions", lambda: joined, lambda d: write_partitions(d, f"{out}/partitions")) if first <= 2 else joined
     if last >= 3:
-        r["centers"] = stored("union", "centers", lambda: union_centers(r["vectors"], r["assignment"]))
+        r["centers"] = stored("union", "centers", lambda: union_centers(rows, r["assignment"]))
     return r
 
 

@@ -218,3 +218,17 @@ def test_clusters_of_the_same_queries_share_a_call(spark, tmp_path):
         hits = search_clusters(q, s, Program((sys.executable, "-c", code, "{queries}", "{database}", str(tmp_path / name), *more))).collect()
         assert sorted((r.query_id, r.cluster_id, r.seq_id, r.score) for r in hits) == [(i, c, c % 30, 7) for i in (0, 1) for c in range(40)]
         assert len(list((tmp_path / name).iterdir())) == calls
+
+
+def test_stored_vectors_are_rows(spark, tmp_path):
+    """A step that starts from stored vectors deals out none of their k-mers; an older run's vectors in long form serve as well."""
+    path, out = fixture(tmp_path), str(tmp_path / "out")
+    s = pipelines.number_sequences(pipelines.read_fasta(spark, path)).select("seq_id", "seq")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    r = pipelines.partition_database(s, 2, max_iter=2, out=out)
+    stored = spark.read.parquet(f"{out}/vectors")
+    assert stored.columns == ["seq_id", "hashes"] and stored.count() == 4 and rows(r["vectors"]) == rows(kmers.presence(s))
+    want = rows(r["assignment"]), rows(r["centers"])
+    kmers.presence(s).write.mode("overwrite").parquet(f"{out}/vectors")
+    again = pipelines.partition_database(s, 2, max_iter=2, out=out, start="cluster")
+    assert (rows(again["assignment"]), rows(again["centers"])) == want
