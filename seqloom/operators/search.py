@@ -8,6 +8,8 @@ whose bound can't beat its query's best hit is never aligned.  Until then pairs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,24 +69,25 @@ def best_hits(hits: DataFrame) -> DataFrame:
     return best.select("query_id", "b.cluster_id", "b.seq_id", (-F.col("b.s")).alias("score"), "b.distance")
 
 
-def best_first(pairs: DataFrame, queries: DataFrame, partitions: DataFrame, first: int = 1, growth: int = 4, **costs) -> tuple[DataFrame, list[int]]:
+def best_first(pairs: DataFrame, queries: DataFrame, partitions: DataFrame, first: int = 1, growth: int = 4, align: Callable[..., DataFrame] = aligned, **costs) -> tuple[DataFrame, list[int]]:
     """(best_hits() of the ``pairs`` with bounds, pairs aligned in each round).
 
     A round aligns each query's next pairs by bound, ``first`` of them, then ``growth`` times as many each round, so the rounds are as many as the
     logarithm of the pairs.  After it, pairs go whose bound is below the best score so far, or equals it with a later id.  A round is
     written out, so lineage is short; so are the texts that are still needed after the first one, the only ones that later rounds read.
+    ``align`` gives hits as aligned() does; a pair without any leaves its query's best as it is, and all pairs of a query without a best one stay.
     """
     left, best, take, counts = pairs.select("query_id", "cluster_id", "seq_id", "bound"), None, first, []
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "seq_id", "cluster_id")
     while True:
         ranked = cut(left.withColumn("_rank", F.row_number().over(order)), "bounded")
         now = ranked.filter(F.col("_rank") <= take)
-        hits = cut(aligned(now, queries, partitions, **costs), "hits")
-        counts.append(hits.count())
+        hits = cut(align(now, queries, partitions, **costs), "hits")
+        counts.append(now.count())
         best = cut(best_hits(hits if best is None else hits.unionByName(best)), "best")
         b = best.select("query_id", F.col("score").alias("_score"), F.struct("seq_id", "cluster_id").alias("_id"))
         can = (F.col("bound") > F.col("_score")) | ((F.col("bound") == F.col("_score")) & (F.struct("seq_id", "cluster_id") < F.col("_id")))
-        left = ranked.filter(F.col("_rank") > take).join(b, "query_id").filter(can).select("query_id", "cluster_id", "seq_id", "bound")
+        left = ranked.filter(F.col("_rank") > take).join(b, "query_id", "left").filter(F.col("_score").isNull() | can).select("query_id", "cluster_id", "seq_id", "bound")
         if left.isEmpty():
             return best, counts
         if len(counts) == 1:

@@ -14,7 +14,7 @@ from ..operators.alignment import LOCAL_SCALE
 from ..operators.search import aligned, best_first, best_hits, bounded_pairs
 from ..session import cut
 from ..sources.fasta import number_sequences, read_fasta, write_meta, write_partitions, write_simple_fasta
-from ..sources.pipe import Program, search_clusters
+from ..sources.pipe import Program, search_clusters, search_pairs
 from . import manifest
 
 STEPS = ("transform", "cluster", "write", "union")
@@ -68,18 +68,26 @@ def search(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int
         return aligned(routes.join(partitions.select("cluster_id", "seq_id"), "cluster_id"), queries, partitions, **costs)
     if method != "external" or program is None:
         raise ValueError(f"unknown method {method!r}, or no program given")
-    hits = search_clusters(routes.join(queries.select("query_id", "seq"), "query_id"), partitions, program)
+    return _with_distance(search_clusters(routes.join(queries.select("query_id", "seq"), "query_id"), partitions, program))
+
+
+def _with_distance(hits: DataFrame) -> DataFrame:
     return hits.withColumn("distance", F.call_function("div", F.lit(LOCAL_SCALE).cast("bigint"), F.col("score") + 1).cast("bigint"))
 
 
 top_hits = best_hits
 
 
-def search_best(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True, bound_k: int = 5, first: int = 1, growth: int = 4, **costs) -> tuple[DataFrame, list[int]]:
+def search_best(queries: DataFrame, centers: DataFrame, partitions: DataFrame, k: int = 3, min_matches: int = 1, min_fraction: float | None = None, base: int | None = None, drop_last: bool = True, bound_k: int = 5, first: int = 1, growth: int = 4, method: str = "native", program: Program | None = None, **costs) -> tuple[DataFrame, list[int]]:
     """(top_hits(search(...)), pairs aligned in each round), by aligning only pairs whose bound can beat the best hit so far: ``first`` of each query,
-    then ``growth`` times as many a round.  Few rounds suit few pairs a query, many rounds align fewer."""
+    then ``growth`` times as many a round.  Few rounds suit few pairs a query, many rounds align fewer.
+
+    By method ``external`` ``program`` aligns the pairs.  Its scores must be local scores by ``costs``, or lower; one above its pair's bound raises."""
+    if method not in ("native", "external") or (method == "external") != (program is not None):
+        raise ValueError(f"unknown method {method!r}, or no program given")
+    by_program = lambda pairs, q, p, **_: _with_distance(search_pairs(pairs, q, p, program))
     routes = cut(route(queries, centers, k, min_matches, min_fraction, base, drop_last).select("query_id", "cluster_id"), "routes")
-    return best_first(bounded_pairs(routes, queries, partitions, bound_k, **costs), queries, partitions, first, growth, **costs)
+    return best_first(bounded_pairs(routes, queries, partitions, bound_k, **costs), queries, partitions, first, growth, by_program if program else aligned, **costs)
 
 
 def metrics(queries: DataFrame, centers: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

@@ -132,7 +132,23 @@ def search_clusters(queries: DataFrame, records: DataFrame, program: Program, ba
         found = [(c, x) for x in lines for c in of[x.split("\t")[seq].strip()]]
         return pa.table({"cluster_id": pa.array([c for c, _ in found], pa.int64()), "line": pa.array([x for _, x in found], pa.string())})
 
-    key = ("set", "part", "block")
+    key, tasks = ("set", "part", "block"), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, d = q.repartition(tasks, *key), d.repartition(tasks, *key)  # a stated number, as small texts may be long calls
     lines = q.groupBy(*key).cogroup(d.groupBy(*key)).applyInArrow(call, "cluster_id bigint, line string")
     f = F.split("line", "\t")
     return lines.select(F.trim(f[query]).cast("bigint").alias("query_id"), "cluster_id", F.trim(f[seq]).cast("bigint").alias("seq_id"), F.trim(f[score]).cast("double").cast("bigint").alias("score"))
+
+
+def search_pairs(pairs: DataFrame, queries: DataFrame, partitions: DataFrame, program: Program, batch_letters: int = 5_000_000) -> DataFrame:
+    """(query_id, cluster_id, seq_id, score): the hits that ``program`` finds in ``pairs`` (query_id, cluster_id, seq_id, bound) and no others.
+
+    A call gets a query and the sequences that it is paired with, as if these were a cluster, so the command can't name {cluster}.  A score above its pair's bound
+    raises, as whoever left other pairs out relied on it."""
+    if any("{cluster}" in x for x in program.command):
+        raise ValueError("the program is given pairs, not clusters")
+    once = pairs.groupBy("query_id", "seq_id").agg(F.min("cluster_id").alias("cluster_id"))
+    texts = cut(partitions.select("cluster_id", "seq_id", "seq").join(once, ["cluster_id", "seq_id"]).select(F.col("query_id").alias("cluster_id"), "seq_id", "seq"), "paired")
+    asked = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi").select(F.col("query_id").alias("cluster_id"), "query_id", "seq")
+    hits = pairs.select("query_id", "cluster_id", "seq_id", "bound").join(search_clusters(asked, texts, program, batch_letters).drop("cluster_id"), ["query_id", "seq_id"])
+    said = F.concat(F.lit("score "), F.col("score").cast("string"), F.lit(" of query "), F.col("query_id").cast("string"), F.lit(" is above its bound "), F.col("bound").cast("string"))
+    return hits.select("query_id", "cluster_id", "seq_id", F.when(F.col("score") <= F.col("bound"), F.col("score")).otherwise(F.raise_error(said).cast("bigint")).alias("score"))

@@ -152,6 +152,27 @@ def test_external_search_equals_native(spark):
         pipelines.search(q, c, s, method="external")
 
 
+def test_external_program_aligns_only_pairs_that_can_win(spark, tmp_path):
+    """The same best hits as of all pairs; no program is given a pair that can't win; a query whose first pairs give no hit keeps the others."""
+    q, c, s = searched(spark)
+    rows = lambda d: sorted(map(tuple, d.select("query_id", "cluster_id", "seq_id", "score", "distance").collect()))
+    code = "import sys,uuid; sys.path.insert(0, sys.argv[1]); import local_align as l; n = [len(list(l.records(f))) for f in sys.argv[2:4]]; open(f'{sys.argv[4]}/{uuid.uuid4()}', 'w').write(str(n[0] * n[1])); l.main(*sys.argv[2:4])"
+    program = Program((sys.executable, "-c", code, "{archive}", "{queries}", "{database}", str(tmp_path)), aligner_archive(spark))
+    best, counts = pipelines.search_best(q, c, s, base=23, bound_k=4, method="external", program=program)
+    every = pipelines.search(q, c, s, base=23)
+    assert rows(best) == rows(pipelines.top_hits(every))
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == sum(counts) < 0.6 * every.count() and len(counts) > 1
+    code = "import re,sys; ids = [re.findall('>([0-9]+)', open(f).read()) for f in sys.argv[1:3]]; print('\\n'.join(f'{a}\\t{b}\\t{sys.argv[3]}' for a in ids[0] for b in ids[1] if int(b) % 7 == 3))"
+    said = lambda score, *more: Program((sys.executable, "-c", code, "{queries}", "{database}", score, *more))
+    some, counts = pipelines.search_best(q, c, s, base=23, bound_k=4, method="external", program=said("1"))
+    assert rows(some) == rows(pipelines.top_hits(pipelines.search(q, c, s, base=23, method="external", program=said("1")))) and some.count() and len(counts) > 1
+    with pytest.raises(Exception, match="above its bound"):
+        pipelines.search_best(q, c, s, base=23, method="external", program=said("100000"))
+    for wrong in ({"method": "external"}, {"method": "other"}, {"program": program}, {"method": "external", "program": said("1", "{cluster}")}):
+        with pytest.raises(ValueError):
+            pipelines.search_best(q, c, s, base=23, **wrong)
+
+
 def test_start_from_stored_steps(spark, tmp_path):
     """A run from a step on equals a whole run; missing, stale and differing steps raise."""
     path, out = fixture(tmp_path), str(tmp_path / "out")
